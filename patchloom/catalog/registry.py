@@ -29,5 +29,6 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
     """Import every query module and return (queries, oracles)."""
     from patchloom.catalog import (  # noqa: F401
         diff_queries,
+        finding_queries,
     )
     return QUERIES, ORACLES

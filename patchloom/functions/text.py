@@ -8,21 +8,25 @@ from pyspark.sql import functions as F
 # What ends a line, and what counts as white space, in the source data's
 # convention (wider than Java's defaults).
 LINE_BREAK = r"(?:\r\n|[\n\r\x0B\f\x1C-\x1E\x85\x{2028}\x{2029}])"
+_OTHER_BREAK = r"\r\n|[\r\x0B\f\x1C-\x1E\x85\x{2028}\x{2029}]"
 _NOT_BREAK = r"[^\n\r\x0B\f\x1C-\x1E\x85\x{2028}\x{2029}]"
 SPACE = r"[\t-\r\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 NON_SPACE = SPACE.replace("[", "[^", 1)
 
 
-def drop_last_break(text: Column) -> Column:
-    """Text without its one final line break, so that splitting it gives no
-    empty piece for a line that does not exist."""
-    return F.regexp_replace(text, LINE_BREAK + r"\z", "")
+def unify_breaks(text: Column) -> Column:
+    """Every line break as '\n', and no final one, so that splitting gives no
+    empty piece for a line that does not exist.
+
+    One cached-pattern pass; later splits are then on a single character, which
+    Java does without compiling a pattern per row."""
+    return F.regexp_replace(F.regexp_replace(text, _OTHER_BREAK, "\n"), r"\n\z", "")
 
 
 def lines_of(text: Column) -> Column:
     """Array of lines; no empty last line after a final break, none for ''."""
     return F.when(text == "", F.array().cast("array<string>")).otherwise(
-        F.split(drop_last_break(text), LINE_BREAK))
+        F.split(unify_breaks(text), "\n"))
 
 
 def lines_with_breaks(text: Column) -> Column:

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from patchloom import constants as C
 from patchloom.functions import text as T
 
-_HUNK_SPLIT = T.LINE_BREAK + "(?=" + C.HUNK_HEADER.replace("(?:,(\\d+))", "(?:,\\d+)").replace(
-    "(\\d+)", "\\d+") + ")"
+_BOUNDARY_SPLIT = rf"\n(?={C.FILE_BOUNDARY})"
+_HUNK_SPLIT = r"\n(?=@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@)"
 
 
 def scan_diffs(diffs: DataFrame) -> DataFrame:
@@ -41,19 +41,18 @@ def file_blocks(diffs: DataFrame) -> DataFrame:
 
     A block starts at a boundary line; a block whose first line is not a full
     file header is dropped."""
-    boundary = T.LINE_BREAK + f"(?={C.FILE_BOUNDARY})"
-    opens_file = lambda b: F.get(F.split(b, T.LINE_BREAK, 2), F.lit(0)).rlike(C.FILE_HEADER)
+    opens_file = lambda b: F.substring_index(b, "\n", 1).rlike(C.FILE_HEADER)
     blocks = scan_diffs(diffs).select(
         "change_id",
         F.posexplode(F.filter(
-            F.split(T.drop_last_break(F.col("diff_text")), boundary), opens_file)
+            F.split(T.unify_breaks(F.col("diff_text")), _BOUNDARY_SPLIT), opens_file)
         ).alias("file_no", "block"))
     pieces = blocks.select(
         "change_id", F.col("file_no").cast("bigint").alias("file_no"),
         F.split("block", _HUNK_SPLIT).alias("pieces"))
     return pieces.select(
         "change_id", "file_no",
-        F.split(F.get("pieces", F.lit(0)), T.LINE_BREAK).alias("head_lines"),
+        F.split(F.get("pieces", F.lit(0)), "\n").alias("head_lines"),
         F.slice("pieces", 2, F.size("pieces")).alias("hunk_texts"))
 
 
@@ -87,8 +86,8 @@ def diff_files(diffs: DataFrame, with_hunks: bool = False) -> DataFrame:
     new_null = F.regexp_extract(new_line, C.NEW_FILE, 2) != ""
     any_starts = lambda prefix: F.exists("ext", lambda x: x.startswith(prefix))
     nonempty = lambda c: F.nullif(c, F.lit(""))
-    parsed = head.select(
-        "change_id", "file_no", "hunk_texts",
+    is_binary = old_line.rlike(C.BINARY_MARKER)
+    parsed = F.struct(
         F.when(~old_null, F.coalesce(
             nonempty(F.regexp_extract(old_line, C.OLD_FILE, 1)),
             _last_path(F.col("ext"), C.RENAME_FROM),
@@ -100,13 +99,16 @@ def diff_files(diffs: DataFrame, with_hunks: bool = False) -> DataFrame:
         (any_starts("new file") | old_null).alias("is_new_file"),
         (any_starts("deleted file") | new_null).alias("is_deleted_file"),
         any_starts("rename from").alias("is_renamed"),
-        old_line.rlike(C.BINARY_MARKER).alias("is_binary"))
+        is_binary.alias("is_binary"),
+        # A binary marker ends the file: whatever follows it is not a hunk.
+        F.when(is_binary, F.array().cast("array<string>")).otherwise(F.col("hunk_texts"))
+        .alias("hunk_texts"))
+    # Columns that come out of a generator stop later filters (on path, flags,
+    # hunk count) from being pushed below and parsing the header a second time.
+    files = head.select("change_id", "file_no", F.inline(F.array(parsed)))
     columns = ["change_id", "file_no", "old_path", "new_path", "is_new_file",
                "is_deleted_file", "is_renamed", "is_binary"]
-    # A binary marker ends the file: whatever follows it is not a hunk.
-    hunks = F.when(F.col("is_binary"), F.array().cast("array<string>")).otherwise(
-        F.col("hunk_texts")).alias("hunk_texts")
-    return parsed.select(*columns, file_path(), *([hunks] if with_hunks else []))
+    return files.select(*columns, file_path(), *(["hunk_texts"] if with_hunks else []))
 
 
 def file_path() -> Column:
@@ -126,7 +128,7 @@ def _count(header: Column, group: int) -> Column:
 
 def _body(hunk_text: Column) -> Column:
     """The hunk's lines after its header, without '\\' notes."""
-    lines = F.split(hunk_text, T.LINE_BREAK)
+    lines = F.split(hunk_text, "\n")
     return F.filter(F.slice(lines, 2, F.size(lines)), lambda x: ~x.startswith("\\"))
 
 
@@ -151,7 +153,7 @@ def hunk_rows(files: DataFrame) -> DataFrame:
 
 def diff_hunks(diffs: DataFrame) -> DataFrame:
     """Hunk headers: starts, counts (1 if missing) and the header line."""
-    header = F.get(F.split("hunk_text", T.LINE_BREAK, 2), F.lit(0))
+    header = F.substring_index("hunk_text", "\n", 1)
     return hunk_rows(diff_files(diffs, with_hunks=True)).select(
         "change_id", "file_no", "path", F.col("hunk_no").cast("bigint").alias("hunk_no"),
         _start(header, 1).alias("old_start"), _count(header, 2).alias("old_count"),
