@@ -219,8 +219,8 @@ FROM (SELECT DISTINCT change_id, file_id % 20 AS file_no, path, new_line AS line
       WHERE op = 'add') c
 JOIN fx_head_lines h ON h.change_id = c.change_id AND h.path = c.path AND h.line = c.line""")
 def changed_line_text(spark, sf):
-    lines = D.changed_lines(D.diff_changes(X.diffs(spark, sf)))
-    return L.changed_line_text(lines, X.head_texts(spark, sf))
+    files = D.diff_files(X.diffs(spark, sf), with_hunks=True)
+    return L.changed_line_text(files, X.head_texts(spark, sf))
 
 
 @query("changed_line_text_or_diff", """
@@ -232,7 +232,8 @@ def changed_line_text_or_diff(spark, sf):
         "change_id", "path",
         F.concat(F.lit("head "), F.replace(F.col("content"), F.lit("\n"), F.lit("\nhead ")))
         .alias("content"))
-    return L.changed_line_text_or_diff(D.diff_changes(X.diffs(spark, sf)), heads)
+    files = D.diff_files(X.diffs(spark, sf), with_hunks=True)
+    return L.changed_line_text_or_diff(files, heads)
 
 
 @query("valid_paths", r"""
@@ -270,7 +271,7 @@ SELECT CASE WHEN doc_id % 9 = 0 THEN 'Org/R' || doc_id ELSE 'org/r' || doc_id EN
   doc_id % 5 AS k FROM documents"""),))
 def contract_checks(spark, sf):
     d = F.col("doc_id")
-    sources = X.table(spark, sf, "documents").select(
+    sources = X.documents(spark, sf).select(
         F.concat(F.when(d % 9 == 0, "Org/R").otherwise("org/r"), d.cast("string")).alias("repo_id"),
         F.when(d % 8 == 0, "main").otherwise(F.sha1(d.cast("string"))).alias("revision"),
         F.concat(F.when(d % 7 == 0, "docs/../g").otherwise("docs/g"),

@@ -289,7 +289,7 @@ def comment_body(spark, sf):
 SELECT doc_id, {_ESCAPED} AS escaped FROM (SELECT doc_id, replace('#1 "it''s" www.a.b/c] '
   || text, chr(10), ' ') AS explanation FROM documents) t""")
 def escape_prose(spark, sf):
-    return X.table(spark, sf, "documents").select(
+    return X.documents(spark, sf).select(
         "doc_id", M.escape_prose(F.concat(F.lit("#1 \"it's\" www.a.b/c] "), F.col("text")))
         .alias("escaped"))
 

@@ -8,6 +8,8 @@ is checked against a generator that never parses.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +17,41 @@ from patchloom import constants as C
 from patchloom.functions import ids
 
 
+SPLIT_BYTES = 32 << 20
+
+
+def memo(build):
+    """Build a fixture's lazy DataFrame once per session and folder. Only the
+    plan is kept, no data."""
+    made: dict[tuple[str, str], DataFrame] = {}
+
+    @functools.wraps(build)
+    def get(spark, sf_dir):
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in made:
+            made[key] = build(spark, sf_dir)
+        return made[key]
+    return get
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A small table lies in one file with one row group, hence in one task; hash
+    it over the cores. A large one comes in many splits and is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, key) if size < cores * SPLIT_BYTES else df
+
+
+@memo
+def documents(spark, sf_dir) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@memo
 def files(spark, sf_dir) -> DataFrame:
     """One file per document, 20 files per change."""
     d = F.col("doc_id")
@@ -28,7 +61,7 @@ def files(spark, sf_dir) -> DataFrame:
               .when(d % 7 == 4, ".min.js").when(d % 7 == 5, ".md").otherwise(".py"))
     kind = (F.when(d % 40 == 7, "binary").when(d % 40 == 9, "deleted")
             .when(d % 40 == 11, "rename").when(d % 40 == 13, "new").otherwise("edit"))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         d.alias("file_id"), F.floor(d / 20).cast("bigint").alias("change_id"),
         F.concat(folder, "source", F.lit("_"), d.cast("string"), suffix).alias("path"),
         kind.alias("kind"), F.col("text").alias("content"))
@@ -67,6 +100,7 @@ def _not_added_upto(kind, n):
             .otherwise(F.floor(n / 5) + F.floor(n / 3) - F.floor(n / 15)))
 
 
+@memo
 def changes(spark, sf_dir) -> DataFrame:
     """The expected line changes, straight from the generator."""
     raw = files(spark, sf_dir).filter(~F.col("kind").isin("binary", "rename")).select(
@@ -88,6 +122,7 @@ def changes(spark, sf_dir) -> DataFrame:
         .cast("bigint").alias("old_line"))
 
 
+@memo
 def change_rows(spark, sf_dir) -> DataFrame:
     """``changes`` in the column layout of ``diff_changes``."""
     return changes(spark, sf_dir).select(
@@ -106,6 +141,7 @@ def _line_structs() -> Column:
     return F.transform(F.split("content", "\n"), one)
 
 
+@memo
 def diffs(spark, sf_dir) -> DataFrame:
     """(change_id, diff_text): one unified diff per change."""
     kind, path = F.col("kind"), F.col("path")
@@ -150,6 +186,7 @@ def diffs(spark, sf_dir) -> DataFrame:
             lambda s: s.block), "\n").alias("diff_text"))
 
 
+@memo
 def head_texts(spark, sf_dir) -> DataFrame:
     """(change_id, path, content): file text after the change, with the three
     line gap between hunks filled by empty lines; deleted files are absent."""
@@ -167,6 +204,7 @@ def head_texts(spark, sf_dir) -> DataFrame:
                        F.array_join(F.transform("ls", one), "\n").alias("content"))
 
 
+@memo
 def functions(spark, sf_dir) -> DataFrame:
     """Synthetic spans over the raw lines of each file."""
     base = files(spark, sf_dir).select(
@@ -188,6 +226,7 @@ def functions(spark, sf_dir) -> DataFrame:
         .otherwise(F.array().cast("array<string>")).alias("decorators"))
 
 
+@memo
 def model_findings(spark, sf_dir) -> DataFrame:
     """One model finding per file, some outside the diff."""
     f = F.col("file_id")
@@ -209,6 +248,7 @@ def model_findings(spark, sf_dir) -> DataFrame:
         F.when(f % 5 != 0, F.concat(F.lit("fixed_"), f.cast("string"))).alias("replacement_code"))
 
 
+@memo
 def responses(spark, sf_dir) -> DataFrame:
     """Model answers as JSON text: some malformed, with a wrong enum value or
     without a required field."""
@@ -228,17 +268,19 @@ def responses(spark, sf_dir) -> DataFrame:
         F.when(d % 11 == 2, '"').otherwise('","risk_level":"medium"'),
         F.when(d % 4 == 0, "").otherwise(F.concat(F.lit(',"issues":['), issues, F.lit("]"))),
         F.lit("}"))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         d.alias("change_id"),
         F.when(d % 11 == 0, F.substring("text", 1, 200)).otherwise(good).alias("json"))
 
 
+@memo
 def contexts(spark, sf_dir) -> DataFrame:
     """(change_id, seq, path, context_text)."""
     return files(spark, sf_dir).select(
         "change_id", F.col("file_id").alias("seq"), "path", F.col("content").alias("context_text"))
 
 
+@memo
 def comments(spark, sf_dir) -> DataFrame:
     """Comments of many review runs: change = user, run = day."""
     base = table(spark, sf_dir, "events").select(
@@ -257,6 +299,7 @@ def comments(spark, sf_dir) -> DataFrame:
     return out.withColumn("body", body)
 
 
+@memo
 def patches(spark, sf_dir) -> DataFrame:
     """One patch per file with all sorts of ranges; some files are missing."""
     f = F.col("file_id")
@@ -270,6 +313,7 @@ def patches(spark, sf_dir) -> DataFrame:
         .alias("replacement_code"))
 
 
+@memo
 def attempts(spark, sf_dir) -> DataFrame:
     """Results of trying each patch."""
     f = F.col("seq")
@@ -284,6 +328,7 @@ def attempts(spark, sf_dir) -> DataFrame:
         (f % 3 == 1).alias("repair_ok"))
 
 
+@memo
 def sources(spark, sf_dir) -> DataFrame:
     """Guidance Markdown: five documents per repository snapshot."""
     d = F.col("doc_id")
@@ -297,8 +342,8 @@ def sources(spark, sf_dir) -> DataFrame:
     scope = (F.when(d % 4 == 1, F.array(F.lit("src"))).when(d % 4 == 2, F.array(F.lit("src/auth")))
              .when(d % 4 == 3, F.array(F.lit("tests"), F.lit("deploy")))
              .otherwise(F.array().cast("array<string>")))
-    return table(spark, sf_dir, "documents").select(
-        _repo(d).alias("repo_id"), F.sha1(_repo(d)).alias("revision"),
+    return documents(spark, sf_dir).select(
+        "doc_id", _repo(d).alias("repo_id"), F.sha1(_repo(d)).alias("revision"),
         F.concat(F.lit("docs/g"), F.when(d % 50 == 3, d - 1).otherwise(d).cast("string"),
                  F.lit(".md")).alias("path"),
         F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("content"),
@@ -309,6 +354,7 @@ def _repo(d: Column) -> Column:
     return F.concat(F.lit("org/r"), F.floor(d / 5).cast("string"))
 
 
+@memo
 def decisions(spark, sf_dir) -> DataFrame:
     """Decision sources: a JSON array of five items each; one in eight arrays
     repeats an id."""
@@ -331,6 +377,7 @@ def decisions(spark, sf_dir) -> DataFrame:
         F.array(F.lit("src"), F.lit("lib")).alias("applies_to"))
 
 
+@memo
 def guidance(spark, sf_dir) -> DataFrame:
     """Stored guidance vectors: 50 per repository, so within the item limit."""
     v = F.col("vec_id")
@@ -344,6 +391,7 @@ def guidance(spark, sf_dir) -> DataFrame:
         F.col("embedding").alias("embedding"))
 
 
+@memo
 def guidance_vector_queries(spark, sf_dir) -> DataFrame:
     """Every vector also asks, one repository further on."""
     v = F.col("vec_id")
@@ -356,6 +404,7 @@ def guidance_vector_queries(spark, sf_dir) -> DataFrame:
         F.lit(C.EMBEDDER_NAME).alias("embedder"), F.col("embedding").alias("embedding"))
 
 
+@memo
 def eval_cases(spark, sf_dir) -> DataFrame:
     """Labelled cases: ``quality`` = has an expected reference, ``toxic`` = is a
     violation."""
@@ -365,3 +414,35 @@ def eval_cases(spark, sf_dir) -> DataFrame:
         F.when(F.col("quality") == 1, F.concat(F.lit("L"), (d % 7).cast("string")))
         .alias("expected_locator"),
         (F.col("toxic") == 1).alias("violation"))
+
+
+@memo
+def code(spark, sf_dir) -> DataFrame:
+    """Source files of 16-line blocks, one block per ten lines of a document: the
+    even documents in Python, the others in JavaScript or TypeScript."""
+    d = F.col("doc_id")
+
+    def block(i):
+        n = i.cast("string")
+        raw = F.get(F.split("text", "\n"), (i * 10).cast("int"))
+        python = F.concat(
+            F.lit("import mod"), n, F.lit("\n\n@cached\n@retry(2)\nasync def f"), n,
+            F.lit("(a, b=(1, 2)) -> int:\n    \"\"\"Doc "), n, F.lit(".\"\"\"\n    # "), raw,
+            F.lit("\n    return a\n\nclass C"), n, F.lit("(Base, pkg.Mixin):\n    '''Class "), n,
+            F.lit("'''\n    def m"), n, F.lit("(self):\n        return 1\n    class Inner"), n,
+            F.lit(":\n        def deep(self): pass\n"))
+        script = F.concat(
+            F.lit("import { a"), n, F.lit(" } from 'm"), n, F.lit("';\n/**\n * Adds "), n,
+            F.lit(".\n */\nfunction g"), n, F.lit("(a, b) {\n  if (a) { return b; }\n  return a;\n}"
+                                                "\nconst h"), n,
+            F.lit(" = async x => x + 1;\nexport class K"), n,
+            F.lit(" extends Base {\n  /** Runs. */\n  run(x) {\n    return x;\n  }\n}\n// "), raw)
+        return F.when(d % 2 == 0, python).otherwise(script)
+    blocks = F.transform(F.sequence(
+        F.lit(0).cast("bigint"),
+        (F.ceil(F.size(F.split("text", "\n")) / 10) - 1).cast("bigint")), block)
+    return documents(spark, sf_dir).select(
+        F.floor(d / 20).cast("bigint").alias("change_id"),
+        F.concat(F.lit("src/c"), d.cast("string"), F.when(d % 2 == 0, ".py").when(
+            d % 4 == 1, ".js").otherwise(".ts")).alias("path"),
+        F.array_join(blocks, "\n").alias("content"))

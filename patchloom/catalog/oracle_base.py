@@ -87,6 +87,46 @@ VIEWS["fx_head"] = """
 SELECT file_id, change_id, path, string_agg(text, chr(10) ORDER BY line) AS content
 FROM fx_head_lines GROUP BY ALL"""
 
+VIEWS["fx_functions"] = """
+SELECT change_id, path, i AS fn_no, 'f' || i AS name, 10 * i + 1 AS start_line,
+  10 * i + 6 AS end_line, '(a, b)' AS parameters,
+  CASE WHEN i % 3 = 0 THEN 'int' END AS return_type,
+  CASE WHEN i % 4 = 0 THEN 'Doc ' || i END AS docstring, i % 2 = 1 AS is_method,
+  i % 5 = 0 AS is_async, CASE WHEN i % 2 = 1 THEN 'K' END AS class_name,
+  CASE WHEN i % 6 = 0 THEN '@cached' || chr(10) || '@retry(2)' || chr(10) ELSE '' END
+    || CASE WHEN i % 5 = 0 THEN 'async ' ELSE '' END || 'def '
+    || CASE WHEN i % 2 = 1 THEN 'K.' ELSE '' END || 'f' || i || '(a, b)'
+    || CASE WHEN i % 3 = 0 THEN ' -> int' ELSE '' END AS signature
+FROM (SELECT change_id, path, unnest(range(0,
+  CAST(ceil(len(string_split(content, chr(10))) / 10.0) AS BIGINT))) AS i FROM fx_files) t"""
+
+# Skeletons, and the changed lines of each function that has any.
+VIEWS["fx_fn"] = """
+SELECT f.*, signature || CASE WHEN docstring IS NOT NULL THEN ':' || chr(10) || '    \"\"\"'
+  || docstring || '\"\"\"' ELSE ': ...' END AS skeleton,
+  (SELECT list(DISTINCT new_line ORDER BY new_line) FROM fx_changes c WHERE c.op = 'add'
+    AND c.change_id = f.change_id AND c.path = f.path
+    AND c.new_line BETWEEN f.start_line AND f.end_line) AS touched
+FROM fx_functions f"""
+
+VIEWS["fx_fn_source"] = """
+SELECT change_id, path, fn_no, coalesce(string_agg(printf('%4d | %s', line, text), chr(10)
+  ORDER BY line) FILTER (line < last OR text <> ''), '') AS src
+FROM (SELECT f.change_id, f.path, f.fn_no, h.line, h.text,
+    max(h.line) OVER (PARTITION BY f.change_id, f.path, f.fn_no) AS last
+  FROM fx_functions f JOIN fx_head_lines h ON h.change_id = f.change_id AND h.path = f.path
+    AND h.line BETWEEN f.start_line AND f.end_line) t
+GROUP BY change_id, path, fn_no"""
+
+VIEWS["fx_fn_block"] = """
+SELECT f.change_id, f.path, f.fn_no, f.signature, chr(10) || '#### `' || f.name || '` (lines '
+  || f.start_line || '-' || f.end_line || ', changed: [' || array_to_string(f.touched, ', ')
+  || '])' || chr(10) || '```' || chr(10) || coalesce(s.src, '') || chr(10) || '```' AS block
+FROM fx_fn f LEFT JOIN fx_fn_source s
+  ON s.change_id = f.change_id AND s.path = f.path AND s.fn_no = f.fn_no
+WHERE f.touched IS NOT NULL
+  AND EXISTS (SELECT 1 FROM fx_head h WHERE h.change_id = f.change_id AND h.path = f.path)"""
+
 
 def _q(text):
     return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
@@ -115,12 +155,14 @@ def with_fixtures(sql: str, *extra: tuple[str, str]) -> str:
     known = {**VIEWS, **local}
     order: list[str] = []
 
+    opened: set[str] = set()
+
     def visit(text):
         for name in re.findall(r"\bfx_\w+|\bx_\w+", text):
-            if name in known and name not in order:
+            if name in known and name not in opened:
+                opened.add(name)
                 visit(known[name])
-                if name not in order:
-                    order.append(name)
+                order.append(name)
     visit(sql)
     recursive = "RECURSIVE " if any("UNION ALL" in known[n] for n in order) else ""
     if not order:

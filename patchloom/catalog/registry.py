@@ -28,7 +28,9 @@ def query(name: str, sql: str | None = None, views: tuple[tuple[str, str], ...]
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """Import every query module and return (queries, oracles)."""
     from patchloom.catalog import (  # noqa: F401
+        context_queries,
         diff_queries,
         finding_queries,
+        guidance_queries,
     )
     return QUERIES, ORACLES

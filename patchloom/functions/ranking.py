@@ -25,3 +25,30 @@ def bucketed_row_number(df: DataFrame, keys: list[str], seq: str, out: str,
     return rows.withColumn("_local", local).join(offsets, [*keys, "_bucket"]).withColumn(
         out, (F.col("_local") + F.col("_offset")).cast("bigint")
     ).drop("_bucket", "_local", "_offset")
+
+
+def grouped_median(df: DataFrame, keys: list[str], value: str, out: str,
+                   width: float = 1.0) -> DataFrame:
+    """Exact median per group, for groups of any size.
+
+    Values are counted first, so equal ones meet map-side; then positions are
+    found inside buckets of ``width``, whose offsets are running sums over bucket
+    counts. No task sees a whole group."""
+    bucket = F.floor(F.col(value) / width).cast("bigint")
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+        F.count("*").alias("_n")).withColumn("_bucket", bucket)
+    per_bucket = counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_size"))
+    key_window = Window.partitionBy(*keys)
+    up_to = key_window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.select(
+        *keys, "_bucket", F.coalesce(F.sum("_size").over(up_to), F.lit(0)).alias("_offset"),
+        F.sum("_size").over(key_window).alias("_total"))
+    local = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(
+        Window.unboundedPreceding, 0)
+    ranked = counts.join(offsets, [*keys, "_bucket"]).withColumn(
+        "_last", F.col("_offset") + F.sum("_n").over(local))
+    first = F.col("_last") - F.col("_n") + 1
+    low, high = F.floor((F.col("_total") + 1) / 2), F.ceil((F.col("_total") + 1) / 2)
+    holds = lambda p: F.when(p.between(first, F.col("_last")), F.col(value))
+    return ranked.groupBy(*keys).agg(
+        ((F.max(holds(low)) + F.max(holds(high))) / 2).alias(out))

@@ -14,6 +14,12 @@ SPACE = r"[\t-\r\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202
 NON_SPACE = SPACE.replace("[", "[^", 1)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: a lambda over a one-element
+    array is the only binding a column expression has."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unify_breaks(text: Column) -> Column:
     """Every line break as '\n', and no final one, so that splitting gives no
     empty piece for a line that does not exist.
@@ -46,8 +52,8 @@ def strip(text: Column) -> Column:
 def last_index(text: Column, needle: str) -> Column:
     """0-based position of the last occurrence, -1 if there is none."""
     from_end = F.locate(needle[::-1], F.reverse(text))
-    return F.when(from_end == 0, F.lit(-1)).otherwise(
-        F.length(text) - from_end - len(needle) + 1)
+    return let(from_end, lambda p: F.when(p == 0, F.lit(-1)).otherwise(
+        F.length(text) - p - len(needle) + 1))
 
 
 def contains_any(text: Column, words) -> Column:

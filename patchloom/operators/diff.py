@@ -251,11 +251,28 @@ def rendered_hunks(diffs: DataFrame) -> DataFrame:
         rendered_hunk(F.col("hunk_text")).alias("hunk_body"))
 
 
+def with_parsed_hunks(files: DataFrame) -> DataFrame:
+    """Adds ``hunks``: array of (new_start, body lines), one per hunk text."""
+    return files.withColumn("hunks", F.transform("hunk_texts", lambda h: F.struct(
+        _start(h, 3).alias("new_start"), _body(h).alias("body"))))
+
+
 def _added_of_file() -> Column:
     """All added lines of a file's hunks, in order."""
-    return F.flatten(F.transform(
-        "hunk_texts",
-        lambda h: F.transform(F.filter(_body(h), _is_add), lambda x: F.substr(x, F.lit(2)))))
+    return F.flatten(F.transform("hunk_texts", lambda h: F.transform(
+        F.filter(_body(h), _is_add), lambda x: F.substr(x, F.lit(2)))))
+
+
+def added_lines_of_file() -> Column:
+    """Array of (line, text) of a file's added lines, from ``hunks``."""
+    def of_hunk(h):
+        numbered = F.transform(
+            F.filter(h.body, lambda x: ~_is_delete(x)),
+            lambda x, k: F.when(_is_add(x), F.struct(
+                (h.new_start + k).cast("bigint").alias("line"),
+                F.substr(x, F.lit(2)).alias("text"))))
+        return F.filter(numbered, lambda e: e.isNotNull())
+    return F.flatten(F.transform("hunks", of_hunk))
 
 
 def added_text(files: DataFrame, max_chars: int = C.ADDED_TEXT_CHARS) -> DataFrame:
@@ -267,18 +284,11 @@ def added_text(files: DataFrame, max_chars: int = C.ADDED_TEXT_CHARS) -> DataFra
         "change_id", "file_no", "path", F.substring("added", 1, max_chars).alias("added_text"))
 
 
-def _added_numbers(hunk_text: Column) -> Column:
-    numbered = F.transform(
-        F.filter(_body(hunk_text), lambda x: ~_is_delete(x)),
-        lambda x, k: F.when(_is_add(x), _start(hunk_text, 3) + k))
-    return F.filter(numbered, lambda n: n.isNotNull())
-
-
 def diff_report(diffs: DataFrame, shown: int = 20) -> DataFrame:
     """Per file: path, status label, hunk count and its first changed lines."""
-    files = diff_files(diffs, with_hunks=True).select(
-        "*", F.array_sort(F.array_distinct(F.flatten(
-            F.transform("hunk_texts", _added_numbers)))).alias("numbers"))
+    files = with_parsed_hunks(diff_files(diffs, with_hunks=True)).select(
+        "*", F.array_sort(F.array_distinct(F.transform(
+            added_lines_of_file(), lambda e: e.line))).alias("numbers"))
     status = (F.when(F.col("is_new_file"), "NEW").when(F.col("is_deleted_file"), "DELETED")
               .when(F.col("is_binary"), "BINARY").otherwise(""))
     return files.select(

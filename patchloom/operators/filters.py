@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from patchloom import constants as C
 from patchloom.functions import paths as P
 from patchloom.functions import text as T
+from patchloom.operators import diff as D
 
 
 def pattern_usage(paths: DataFrame, patterns=C.IGNORE_PATTERNS) -> DataFrame:
@@ -55,19 +56,42 @@ def head_files(files: DataFrame, heads: DataFrame) -> DataFrame:
         ["change_id", "path"])
 
 
-def numbered_head_lines(heads: DataFrame) -> DataFrame:
-    """(change_id, path, line, content) of head files."""
-    return heads.select(
-        "change_id", "path", F.posexplode(T.lines_of(F.col("content"))).alias("p", "text")
-    ).select("change_id", "path", (F.col("p") + 1).cast("bigint").alias("line"), "text")
+def _line_texts(files: DataFrame, heads: DataFrame, how: str) -> DataFrame:
+    """Added lines of each file with their text.
+
+    Both sides are one row per file here, so files are joined, not lines: the
+    shuffle carries each text once, and the lines are taken from arrays in the
+    joined row. Several additions with one number count once, the last one."""
+    added = D.with_parsed_hunks(files).select(
+        "change_id", "file_no", "path",
+        F.array_sort(F.transform(
+            D.added_lines_of_file(),
+            lambda e, i: F.struct(e.line.alias("line"), i.alias("i"), e.text.alias("text")))
+        ).alias("added"))
+    last_only = added.withColumn("added", F.filter("added", lambda e, i: F.coalesce(
+        F.get(F.col("added"), i + 1).line != e.line, F.lit(True))))
+    joined = last_only.join(
+        heads.select("change_id", "path", T.lines_of(F.col("content")).alias("head_lines")),
+        ["change_id", "path"], how)
+    texts = F.transform("added", lambda e: F.struct(
+        e.line.alias("line"),
+        F.when(F.col("head_lines").isNull(), e.text).otherwise(
+            F.get(F.col("head_lines"), (e.line - 1).cast("int"))).alias("text")))
+    return joined.select(
+        "change_id", "file_no", "path",
+        F.inline(F.filter(texts, lambda e: e.text.isNotNull())))
+
+
+def changed_line_text(files: DataFrame, heads: DataFrame) -> DataFrame:
+    """Added line numbers with the text of the head file; numbers outside the
+    file are dropped. files: ``diff_files(..., with_hunks=True)``."""
+    return _line_texts(files, heads.filter(F.col("content") != ""), "inner")
 
 
-def changed_line_text(lines: DataFrame, heads: DataFrame) -> DataFrame:
-    """Added line numbers with the text of the head file; numbers outside the
-    file are dropped. The key holds the line, so a huge file spreads out."""
-    return lines.join(
-        numbered_head_lines(heads.filter(F.col("content") != "")), ["change_id", "path", "line"]
-    ).select("change_id", "file_no", "path", "line", "text")
+def changed_line_text_or_diff(files: DataFrame, heads: DataFrame) -> DataFrame:
+    """Head text where the file exists, else the text in the diff. The choice is
+    made per file, so numbers outside an existing file are dropped."""
+    return _line_texts(files, heads, "left")
 
 
 def added_line_rows(changes: DataFrame) -> DataFrame:
@@ -78,18 +102,6 @@ def added_line_rows(changes: DataFrame) -> DataFrame:
     ).agg(F.max_by("content", F.struct("hunk_no", "seq")).alias("text"))
 
 
-def changed_line_text_or_diff(changes: DataFrame, heads: DataFrame) -> DataFrame:
-    """Head text where the file exists, else the text in the diff. The choice is
-    made per file, so numbers outside an existing file are dropped."""
-    present = heads.select("change_id", "path").distinct()
-    added = added_line_rows(changes)
-    from_diff = added.join(present, ["change_id", "path"], "left_anti")
-    from_head = added.drop("text").join(
-        numbered_head_lines(heads), ["change_id", "path", "line"])
-    columns = ["change_id", "file_no", "path", "line", "text"]
-    return from_head.select(columns).unionByName(from_diff.select(columns))
-
-
 def valid_paths(paths: DataFrame) -> DataFrame:
     return paths.withColumn("valid", P.is_valid_path(F.col("path")))
 

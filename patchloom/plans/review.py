@@ -13,17 +13,11 @@ from patchloom.operators import findings as N
 from patchloom.operators import rules as R
 
 
-def reviewable_changes(diffs: DataFrame, extra_ignore=()) -> DataFrame:
-    """Line changes of the files under review."""
-    files = L.reviewable_files(D.diff_files(diffs, with_hunks=True), extra_ignore)
-    return D.changes_of_hunks(D.hunk_rows(files))
-
-
 def check_run(diffs: DataFrame, heads: DataFrame, min_severity: str = "nitpick",
               rules=R.DEFAULT_RULES, extra_ignore=()) -> DataFrame:
     """Rule findings only; text from the head file, else from the diff."""
-    changes = reviewable_changes(diffs, extra_ignore)
-    return R.rule_scan(L.changed_line_text_or_diff(changes, heads), rules, min_severity)
+    files = L.reviewable_files(D.diff_files(diffs, with_hunks=True), extra_ignore)
+    return R.rule_scan(L.changed_line_text_or_diff(files, heads), rules, min_severity)
 
 
 def review_run(diffs: DataFrame, heads: DataFrame, responses: DataFrame, attempts: DataFrame,
@@ -31,8 +25,9 @@ def review_run(diffs: DataFrame, heads: DataFrame, responses: DataFrame, attempt
                max_comments: int = C.MAX_COMMENTS, bot: str = C.BOT_NAME) -> dict[str, DataFrame]:
     """Diffs, head files, model answers and patch attempts to findings, comments,
     summaries and totals. ``attempts`` is keyed by (change_id, src, k1, k2, k3)."""
-    changes = reviewable_changes(diffs)
-    lines = L.changed_line_text(D.changed_lines(changes), heads)
+    files = L.reviewable_files(D.diff_files(diffs, with_hunks=True))
+    changes = D.changes_of_hunks(D.hunk_rows(files))
+    lines = L.changed_line_text(files, heads)
     parsed = N.parse_responses(responses)
     model = N.response_findings(parsed)
     if matches is not None:
