@@ -319,7 +319,7 @@ def scope_match(spark, sf):
 
 
 @query("cosine_topk", """
-SELECT query_id, source_id, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *,
+SELECT query_id, source_id, similarity, rank FROM (SELECT *,
   row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, source_id) AS rank FROM (
     SELECT query_id, source_id, round(list_cosine_similarity(qv, sv), 6) AS similarity
     FROM x_pairs) a WHERE similarity >= 0.05) b WHERE rank <= 3""",
@@ -327,7 +327,7 @@ SELECT query_id, source_id, similarity, CAST(rank AS INTEGER) AS rank FROM (SELE
 def cosine_topk(spark, sf):
     asks = X.guidance_vector_queries(spark, sf).withColumnRenamed("path", "query_path")
     return U.cosine_topk(asks, X.guidance(spark, sf), k=3, min_similarity=0.05).select(
-        "query_id", "source_id", "similarity", "rank")
+        "query_id", "source_id", "similarity", F.col("rank").cast("bigint").alias("rank"))
 
 
 _REQUESTS = ("x_requests", """
