@@ -70,12 +70,12 @@ def flat(df, column):
 
 @query("py_functions", "SELECT * FROM x_py_fn", views=_SYMBOLS)
 def py_functions(spark, sf):
-    return flat(S.py_functions(S.py_statements(X.code(spark, sf))), "decorators")
+    return flat(S.functions_of(S.py_outline(S.py_statements(X.code(spark, sf)))).drop("fn_no"), "decorators")
 
 
 @query("py_classes", "SELECT * FROM x_py_class", views=_SYMBOLS)
 def py_classes(spark, sf):
-    return flat(S.py_classes(S.py_statements(X.code(spark, sf))), "base_classes")
+    return flat(S.classes_of(S.py_outline(S.py_statements(X.code(spark, sf)))), "base_classes")
 
 
 @query("class_methods", """
@@ -85,8 +85,8 @@ JOIN (SELECT * FROM x_py_class UNION ALL SELECT * FROM x_js_class) c
   ON c.change_id = f.change_id AND c.path = f.path AND c.name = f.class_name
 GROUP BY ALL""", views=_SYMBOLS)
 def class_methods(spark, sf):
-    code = X.code(spark, sf)
-    return S.class_methods(S.functions(code), S.classes(code)).select(
+    found = S.outline(X.code(spark, sf))
+    return S.class_methods(S.functions_of(found), S.classes_of(found)).select(
         "change_id", "path", "class_name", "name", "start_line", "class_line")
 
 
@@ -94,24 +94,24 @@ def class_methods(spark, sf):
 SELECT change_id, path, 16 * i + 1 AS seq, 'import mod' || i AS import_text FROM x_code
 WHERE doc_id % 2 = 0""", views=_SYMBOLS)
 def py_imports(spark, sf):
-    return S.py_imports(S.py_statements(X.code(spark, sf)))
+    return S.imports_of(S.py_outline(S.py_statements(X.code(spark, sf))))
 
 
 @query("js_functions", "SELECT * FROM x_js_fn", views=_SYMBOLS)
 def js_functions(spark, sf):
-    return flat(S.js_functions(S.js_headers(X.code(spark, sf))), "decorators")
+    return flat(S.functions_of(S.js_outline(X.code(spark, sf))).drop("fn_no"), "decorators")
 
 
 @query("js_classes", "SELECT * FROM x_js_class", views=_SYMBOLS)
 def js_classes(spark, sf):
-    return flat(S.js_classes(S.js_headers(X.code(spark, sf))), "base_classes")
+    return flat(S.classes_of(S.js_outline(X.code(spark, sf))), "base_classes")
 
 
 @query("js_imports", """
 SELECT change_id, path, i AS seq, 'import { a' || i || ' } from ''m' || i || ''';' AS import_text
 FROM x_code WHERE doc_id % 2 = 1""", views=_SYMBOLS)
 def js_imports(spark, sf):
-    return S.js_imports(X.code(spark, sf))
+    return S.imports_of(S.js_outline(X.code(spark, sf)))
 
 
 @query("symbols", """
@@ -123,7 +123,7 @@ UNION ALL SELECT change_id, path, 'import', CASE WHEN doc_id % 2 = 0 THEN 'impor
   ELSE 'import { a' || i || ' } from ''m' || i || ''';' END, NULL, NULL FROM x_code""",
        views=_SYMBOLS)
 def symbols(spark, sf):
-    return S.symbols(X.code(spark, sf))
+    return S.symbols(S.outline(X.code(spark, sf)))
 
 
 @query("symbol_report", """
@@ -134,7 +134,7 @@ SELECT change_id, path, CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE
   count(*) AS imports FROM x_code GROUP BY change_id, path""", views=_SYMBOLS)
 def symbol_report(spark, sf):
     code = X.code(spark, sf)
-    return S.symbol_report(code, S.functions(code), S.classes(code), S.imports(code))
+    return S.symbol_report(code, S.outline(code))
 
 
 @query("function_signature", "SELECT change_id, path, fn_no, signature FROM fx_functions")

@@ -13,7 +13,7 @@ from patchloom.functions import ids
 from patchloom.operators import diff as D
 from patchloom.operators import evaluation as E
 from patchloom.operators import guidance as U
-from patchloom.session import shared_folder
+from patchloom.session import cut_lineage, shared_folder
 from patchloom.sources.guidance_store import GuidanceStore
 
 # --- sources in SQL ----------------------------------------------------------
@@ -280,7 +280,7 @@ def old_store(spark, sf, items):
 
 @query("snapshot_diff", "SELECT * FROM x_diff", views=(*_ALL, _STORE, _DIFF))
 def snapshot_diff(spark, sf):
-    items = U.index_items(all_sources(spark, sf))
+    items = cut_lineage(U.index_items(all_sources(spark, sf)))  # read three times below
     return U.snapshot_diff(items, old_store(spark, sf, items), X.sources(spark, sf)).select(
         "repo_id", "source_id", "action")
 
@@ -292,7 +292,7 @@ FROM x_items i JOIN x_diff d ON d.repo_id = i.repo_id AND d.source_id = i.source
        views=(*_ALL, _STORE, _DIFF))
 def replace_snapshot(spark, sf):
     """Old vectors have two places, so reuse shows in the result."""
-    items = U.index_items(all_sources(spark, sf))
+    items = cut_lineage(U.index_items(all_sources(spark, sf)))  # read three times below
     rows = U.replace_snapshot(items, old_store(spark, sf, items), X.sources(spark, sf))
     return flat(rows).select("repo_id", "source_id", "revision", "scopes",
                              F.size("embedding").cast("bigint").alias("dims"))

@@ -19,6 +19,8 @@ from patchloom.functions import paths as P
 from patchloom.functions import text as T
 
 FILE = ["change_id", "path"]
+OUTLINE = ["kind", "name", "start_line", "end_line", "parameters", "return_type", "docstring",
+           "is_method", "is_async", "class_name", "decorators", "base_classes", "import_text"]
 FUNCTION_COLUMNS = [*FILE, "name", "start_line", "end_line", "parameters", "return_type",
                     "docstring", "is_method", "is_async", "class_name", "decorators"]
 
@@ -37,77 +39,92 @@ def _language_files(files: DataFrame, *languages: str) -> DataFrame:
 # --- Python ------------------------------------------------------------------
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Statements at the first indentation of ``lines``, each with the lines it
-    spans and the decorators before it.
+_ROW = ["class_name", "start_line", "end_line", "decorators", "block", "lines", "before", "base"]
 
-    rows: FILE, class_name, lines, before (number of lines above the first), base
-    (the indentation, null for that of the first line)."""
+
+def _split_blocks(rows: DataFrame) -> DataFrame:
+    """One level of nesting: rows with ``lines`` to look into become one row per
+    statement at their first indentation, plus one row per class body to look
+    into next; finished rows pass through. Levels are thus stages of one pass.
+
+    rows: FILE and _ROW; ``before`` counts the lines above ``lines``, ``base`` is
+    the indentation, null for that of the first line."""
     meaningful = F.filter(F.transform("lines", lambda x, i: F.struct(
         (i + 1).alias("no"), F.length(F.regexp_extract(x, r"^\s*", 0)).alias("indent"),
         x.alias("x"))), lambda e: ~T.is_blank(e.x) & ~e.x.rlike(r"^\s*#"))
-    base = rows.withColumn("nb", F.transform(meaningful, lambda e, i: F.struct(
+    ranked = rows.withColumn("nb", F.transform(meaningful, lambda e, i: F.struct(
         e.no.alias("no"), e.indent.alias("indent"), e.x.alias("x"), i.alias("r"))))
     # A line that starts with a closing bracket continues the statement above.
-    heads = base.withColumn("heads", F.filter("nb", lambda e: (
-        e.indent == F.coalesce("base", F.get(F.col("nb"), F.lit(0)).indent)) & ~e.x.rlike(r"^\s*[)\]}]")))
+    heads = ranked.withColumn("heads", F.filter("nb", lambda e: (
+        e.indent == F.coalesce("base", F.get(F.col("nb"), F.lit(0)).indent))
+        & ~e.x.rlike(r"^\s*[)\]}]")))
+    own = heads.withColumn("own", F.filter(F.transform("heads", lambda h, k: F.struct(
+        h.no.alias("no"), h.x.alias("x"), k.alias("k"))), lambda h: ~h.x.rlike(r"^\s*@")))
 
     def last_line(k):  # last meaningful line before the head after head k
-        nxt = F.get(F.col("heads"), k + 1)
-        return F.coalesce(F.get(F.col("nb"), nxt.r - 1).no,
+        return F.coalesce(F.get(F.col("nb"), F.get(F.col("heads"), k + 1).r - 1).no,
                           F.element_at("nb", -1).no)
-    own = heads.withColumn("own", F.filter(F.transform("heads", lambda h, k: F.struct(
-        h.no.alias("no"), h.x.alias("x"), k.alias("k"))),
-        lambda h: ~h.x.rlike(r"^\s*@")))
 
-    def text_of(first, last):
+    def lines_between(first, last):
         return F.slice(F.col("lines"), first, last - first + 1)
 
-    def block(b, j):
-        first_deco = F.when(j == 0, F.lit(0)).otherwise(F.get(F.col("own"), j - 1).k + 1)
-        decorators = F.transform(
-            F.slice(F.transform(F.col("heads"), lambda h, k: F.struct(h.no.alias("no"), k.alias("k"))),
-                    first_deco + 1, b.k - first_deco),
-            lambda d: F.regexp_replace(
-                T.join_lines(text_of(d.no, last_line(d.k))), r"^\s*@\s*|\s+$", ""))
-        return F.struct(
-            F.get(F.col("heads"), first_deco).no.alias("start"), b.no.alias("head_no"),
-            last_line(b.k).alias("stop"), decorators.alias("decorators"),
-            text_of(b.no, last_line(b.k)).alias("block"))
-    wanted = lambda h: h.x.rlike(r"^\s*(?:async\s+def|def|class|import|from)\b")
-    return own.select(*FILE, "class_name", "before", F.inline(F.filter(
-        F.transform("own", lambda b, j: F.when(wanted(b), block(b, j))),
-        lambda b: b.isNotNull())))
+    def decorators_of(b, j):
+        """Index of the first head that belongs to b, and its decorator texts."""
+        first = F.when(j == 0, F.lit(0)).otherwise(F.get(F.col("own"), j - 1).k + 1)
+        texts = F.transform(F.filter(F.sequence(first, b.k), lambda k: k < b.k), lambda k:
+                            F.regexp_replace(T.join_lines(lines_between(
+                                F.get(F.col("heads"), k).no, last_line(k))),
+                                r"^\s*@\s*|\s+$", ""))
+        return F.get(F.col("heads"), first).no, texts
+
+    none = F.lit(None)
+
+    def rows_of(b, j):
+        start, texts = decorators_of(b, j)
+        block = lines_between(b.no, last_line(b.k))
+        above = F.col("before") + b.no - 1
+
+        def body_of(c):  # what follows the header's last line
+            header = F.array_position(F.transform(c, lambda x: x.rlike(r":\s*(?:#.*)?$")), True)
+            return F.struct(
+                F.regexp_extract(T.join_lines(c), _CLASS, 1).alias("class_name"),
+                none.cast("bigint").alias("start_line"), none.cast("bigint").alias("end_line"),
+                none.cast("array<string>").alias("decorators"),
+                none.cast("array<string>").alias("block"),
+                F.slice(c, header.cast("int") + 1, F.size(c)).alias("lines"),
+                (above + header).cast("int").alias("before"), none.cast("int").alias("base"))
+        done = F.struct(
+            F.col("class_name").alias("class_name"),
+            (F.col("before") + start).cast("bigint").alias("start_line"),
+            (F.col("before") + last_line(b.k)).cast("bigint").alias("end_line"),
+            texts.alias("decorators"), block.alias("block"),
+            none.cast("array<string>").alias("lines"), none.cast("int").alias("before"),
+            none.cast("int").alias("base"))
+        return F.when(b.x.rlike(r"^\s*class\b"), F.array(done, body_of(block))).otherwise(
+            F.array(done))
+    wanted = F.filter(F.transform("own", lambda b, j: F.when(
+        b.x.rlike(r"^\s*(?:async\s+def|def|class|import|from)\b"), rows_of(b, j))),
+        lambda rs: rs.isNotNull())
+    passed = F.array(F.struct(*_ROW))
+    return own.select(*FILE, F.inline(
+        F.when(F.col("lines").isNull(), passed).otherwise(F.flatten(wanted))))
 
 
 def py_statements(files: DataFrame, depth: int = 3) -> DataFrame:
     """Definitions and imports at the top level and in class bodies, with classes
     nested up to ``depth`` levels; what is inside functions, ``if`` or ``try`` is
     not listed."""
-    level = _blocks(_language_files(files, "python").select(
-        *FILE, F.lit(None).cast("string").alias("class_name"),
-        T.lines_of(F.col("content")).alias("lines"), F.lit(0).alias("before"),
-        F.lit(0).alias("base")))
-    out = None
-    for d in range(depth):
-        found = level.select(
-            *FILE, "class_name",
-            (F.col("before") + F.col("start")).cast("bigint").alias("start_line"),
-            (F.col("before") + F.col("stop")).cast("bigint").alias("end_line"),
-            "decorators", T.join_lines(F.col("block")).alias("code"))
-        out = found if out is None else out.unionByName(found)
-        if d + 1 < depth:
-            header_end = F.array_position(F.transform("block", lambda x: x.rlike(
-                r":\s*(?:#.*)?$")), True).cast("int")
-            classes = level.filter(F.get("block", F.lit(0)).rlike(r"^\s*class\b")).select(
-                *FILE, F.regexp_extract(T.join_lines(F.col("block")), _CLASS, 1).alias("class_name"),
-                "block", (F.col("before") + F.col("head_no") - 1).alias("above"),
-                header_end.alias("h"))
-            level = _blocks(classes.filter("h > 0").select(
-                *FILE, "class_name", F.expr("slice(block, h + 1, size(block))").alias("lines"),
-                (F.col("above") + F.col("h")).alias("before"),
-                F.lit(None).cast("int").alias("base")))
-    return out
+    none = F.lit(None)
+    rows = _language_files(files, "python").select(
+        *FILE, none.cast("string").alias("class_name"), none.cast("bigint").alias("start_line"),
+        none.cast("bigint").alias("end_line"), none.cast("array<string>").alias("decorators"),
+        none.cast("array<string>").alias("block"), T.lines_of(F.col("content")).alias("lines"),
+        F.lit(0).alias("before"), F.lit(0).alias("base"))
+    for _ in range(depth):
+        rows = _split_blocks(rows)
+    return rows.filter(F.col("block").isNotNull()).select(
+        *FILE, "class_name", "start_line", "end_line", "decorators",
+        T.join_lines(F.col("block")).alias("code"))
 
 
 def _docstring(code: Column, header: str, groups: int) -> Column:
@@ -116,38 +133,51 @@ def _docstring(code: Column, header: str, groups: int) -> Column:
     return F.when(code.rlike(pattern), T.strip(F.concat(*found)))
 
 
-def py_functions(statements: DataFrame) -> DataFrame:
-    """Function rows of ``py_statements``."""
-    code = F.col("code")
-    return statements.filter(code.rlike(_DEF)).select(
-        *FILE, F.regexp_extract(code, _DEF, 2).alias("name"), "start_line", "end_line",
-        F.regexp_extract(code, _DEF, 3).alias("parameters"),
-        F.nullif(F.regexp_extract(code, _DEF, 4), F.lit("")).alias("return_type"),
-        _docstring(code, _DEF, 4).alias("docstring"),
-        F.col("class_name").isNotNull().alias("is_method"),
-        (F.regexp_extract(code, _DEF, 1) != "").alias("is_async"), "class_name", "decorators")
-
-
-def py_classes(statements: DataFrame) -> DataFrame:
-    """Class rows: span, bases (plain or dotted names), docstring."""
+def py_outline(statements: DataFrame) -> DataFrame:
+    """Functions, classes and imports of ``py_statements`` in one pass
+    (OUTLINE columns). Bases are plain or dotted names; ``from __future__`` lines
+    are left out."""
     code = F.col("code")
+    kinds = statements.withColumn("kind", (
+        F.when(code.rlike(_DEF), "function").when(code.rlike(_CLASS), "class")
+        .when(code.rlike(_IMPORT) & ~code.rlike(r"^\s*from\s+__future__\b"), "import")))
+    is_function, is_class = F.col("kind") == "function", F.col("kind") == "class"
     inside = F.regexp_extract(F.regexp_extract(code, _CLASS, 2), r"(?s)^\((.*)\)$", 1)
     # Nested brackets hold commas of their own; take them out before splitting.
     flat = F.regexp_replace(inside, r"\([^()]*\)|\[[^\[\]]*\]", "()")
     bases = F.filter(F.transform(F.split(flat, ","), lambda b: T.strip(b)),
                      lambda b: b.rlike(r"^[A-Za-z_]\w*(?:\.\w+)*$"))
-    return statements.filter(code.rlike(_CLASS)).select(
-        *FILE, F.regexp_extract(code, _CLASS, 1).alias("name"), "start_line", "end_line",
-        bases.alias("base_classes"), _docstring(code, _CLASS, 2).alias("docstring"))
+    return kinds.filter(F.col("kind").isNotNull()).select(
+        *FILE, "kind",
+        F.when(is_function, F.regexp_extract(code, _DEF, 2))
+        .when(is_class, F.regexp_extract(code, _CLASS, 1)).alias("name"),
+        "start_line", "end_line",
+        F.when(is_function, F.regexp_extract(code, _DEF, 3)).alias("parameters"),
+        F.when(is_function, F.nullif(F.regexp_extract(code, _DEF, 4), F.lit("")))
+        .alias("return_type"),
+        F.when(is_function, _docstring(code, _DEF, 4))
+        .when(is_class, _docstring(code, _CLASS, 2)).alias("docstring"),
+        (is_function & F.col("class_name").isNotNull()).alias("is_method"),
+        (is_function & (F.regexp_extract(code, _DEF, 1) != "")).alias("is_async"),
+        "class_name", "decorators", F.when(is_class, bases).alias("base_classes"),
+        F.when(F.col("kind") == "import", T.strip(F.regexp_extract(code, _IMPORT, 1)))
+        .alias("import_text"))
 
 
-def py_imports(statements: DataFrame) -> DataFrame:
-    """Import statements as text; ``from __future__`` lines are left out."""
-    code = F.col("code")
-    return statements.filter(
-        code.rlike(_IMPORT) & ~code.rlike(r"^\s*from\s+__future__\b")
-    ).select(*FILE, F.col("start_line").alias("seq"),
-             T.strip(F.regexp_extract(code, _IMPORT, 1)).alias("import_text"))
+def functions_of(outline: DataFrame) -> DataFrame:
+    """Function rows; the start line, unique in a file, is their number."""
+    return outline.filter(F.col("kind") == "function").select(
+        *FUNCTION_COLUMNS, F.col("start_line").alias("fn_no"))
+
+
+def classes_of(outline: DataFrame) -> DataFrame:
+    return outline.filter(F.col("kind") == "class").select(
+        *FILE, "name", "start_line", "end_line", "base_classes", "docstring")
+
+
+def imports_of(outline: DataFrame) -> DataFrame:
+    return outline.filter(F.col("kind") == "import").select(
+        *FILE, F.col("start_line").alias("seq"), "import_text")
 
 
 # --- JavaScript and TypeScript -----------------------------------------------
@@ -244,50 +274,59 @@ def _pick(kind_patterns) -> Column:
     return out.otherwise("")
 
 
-def js_functions(headers: DataFrame) -> DataFrame:
-    """Function rows. An export wrapper or a variable binding hides a comment in
-    front, so only plain declarations and methods have a docstring."""
+def _js_declarations(headers: DataFrame) -> DataFrame:
+    """Functions and classes of ``js_headers`` in one pass (OUTLINE columns).
+
+    An export wrapper or a variable binding hides a comment in front, so only
+    plain declarations and methods have a docstring. In TypeScript the
+    ``extends`` name lies one level deeper in the syntax and is not listed."""
+    kind = F.col("kind")
+    method, is_class = kind == "method", kind == "class"
     arrow_params = F.regexp_extract("x", _JS_ARROW, 3)
-    bare_param = F.regexp_extract("x", _JS_ARROW, 5)
-    params = F.when(F.col("kind") == "arrow", F.when(arrow_params != "", arrow_params).otherwise(
-        F.concat(F.lit("("), bare_param, F.lit(")")))).otherwise(
+    params = F.when(kind == "arrow", F.when(arrow_params != "", arrow_params).otherwise(
+        F.concat(F.lit("("), F.regexp_extract("x", _JS_ARROW, 5), F.lit(")")))).otherwise(
         _pick([("function", _JS_FUNCTION, 4), ("method", _JS_METHOD, 3)]))
     returns = T.strip(_pick([("function", _JS_FUNCTION, 5), ("arrow", _JS_ARROW, 4),
                              ("method", _JS_METHOD, 4)]))
-    method = F.col("kind") == "method"
-    plain = method | ((F.col("kind") == "function")
-                      & (F.regexp_extract("x", _JS_FUNCTION, 1) == ""))
-    return headers.filter(F.col("kind") != "class").select(
-        *FILE, _pick([("function", _JS_FUNCTION, 3), ("arrow", _JS_ARROW, 1),
-                      ("method", _JS_METHOD, 2)]).alias("name"),
+    exported = _pick([("function", _JS_FUNCTION, 1), ("class", _JS_CLASS, 1)]) != ""
+    base = F.when(P.language(F.col("path")) == "javascript",
+                  F.regexp_extract("x", _JS_CLASS, 3)).otherwise("")
+    return headers.select(
+        *FILE, F.when(is_class, "class").otherwise("function").alias("kind"),
+        _pick([("function", _JS_FUNCTION, 3), ("arrow", _JS_ARROW, 1),
+               ("method", _JS_METHOD, 2), ("class", _JS_CLASS, 2)]).alias("name"),
         F.col("line").alias("start_line"),
         F.when(method, F.col("close1")).otherwise(F.col("close0")).alias("end_line"),
-        params.alias("parameters"), F.nullif(returns, F.lit("")).alias("return_type"),
-        F.when(plain, F.col("doc")).alias("docstring"), method.alias("is_method"),
+        F.when(~is_class, params).alias("parameters"),
+        F.when(~is_class, F.nullif(returns, F.lit(""))).alias("return_type"),
+        F.when((kind != "arrow") & ~exported, F.col("doc")).alias("docstring"),
+        method.alias("is_method"),
         (_pick([("function", _JS_FUNCTION, 2), ("arrow", _JS_ARROW, 2),
                 ("method", _JS_METHOD, 1)]) != "").alias("is_async"),
         F.when(method, F.col("outer.name")).alias("class_name"),
-        F.array().cast("array<string>").alias("decorators"))
-
-
-def js_classes(headers: DataFrame) -> DataFrame:
-    """Class rows. In TypeScript the ``extends`` name lies one level deeper in the
-    syntax and is not listed."""
-    base = F.when(P.language(F.col("path")) == "javascript",
-                  F.regexp_extract("x", _JS_CLASS, 3)).otherwise("")
-    return headers.filter(F.col("kind") == "class").select(
-        *FILE, F.regexp_extract("x", _JS_CLASS, 2).alias("name"),
-        F.col("line").alias("start_line"), F.col("close0").alias("end_line"),
-        F.filter(F.array(base), lambda b: b != "").alias("base_classes"),
-        F.when(F.regexp_extract("x", _JS_CLASS, 1) == "", F.col("doc")).alias("docstring"))
+        F.array().cast("array<string>").alias("decorators"),
+        F.when(is_class, F.filter(F.array(base), lambda b: b != "")).alias("base_classes"),
+        F.lit(None).cast("string").alias("import_text"))
 
 
-def js_imports(files: DataFrame) -> DataFrame:
-    """Import statements as text, also over several lines."""
+def _js_imports(files: DataFrame) -> DataFrame:
+    """Import statements as text, also over several lines; their place in the
+    file stands in for the line."""
     found = F.regexp_extract_all("content", F.lit(_JS_IMPORT), F.lit(0))
+    none = F.lit(None)
     return _language_files(files, "javascript", "typescript").select(
         *FILE, F.posexplode(found).alias("seq", "import_text")).select(
-        *FILE, F.col("seq").cast("bigint").alias("seq"), "import_text")
+        *FILE, F.lit("import").alias("kind"), none.cast("string").alias("name"),
+        F.col("seq").cast("bigint").alias("start_line"), none.cast("bigint").alias("end_line"),
+        *[none.cast("string").alias(c) for c in ("parameters", "return_type", "docstring")],
+        F.lit(False).alias("is_method"), F.lit(False).alias("is_async"),
+        none.cast("string").alias("class_name"),
+        none.cast("array<string>").alias("decorators"),
+        none.cast("array<string>").alias("base_classes"), "import_text")
+
+
+def js_outline(files: DataFrame) -> DataFrame:
+    return _js_declarations(js_headers(files)).unionByName(_js_imports(files))
 
 
 def js_headers(files: DataFrame) -> DataFrame:
@@ -297,32 +336,19 @@ def js_headers(files: DataFrame) -> DataFrame:
 # --- all languages -----------------------------------------------------------
 
 
-def functions(files: DataFrame) -> DataFrame:
-    """Functions of all supported files, numbered by place (``fn_no``)."""
-    found = py_functions(py_statements(files)).unionByName(js_functions(js_headers(files)))
-    # The number is the start line: unique per file, and no window is needed.
-    return found.withColumn("fn_no", F.col("start_line"))
-
-
-def classes(files: DataFrame) -> DataFrame:
-    return py_classes(py_statements(files)).unionByName(js_classes(js_headers(files)))
-
-
-def imports(files: DataFrame) -> DataFrame:
-    return py_imports(py_statements(files)).unionByName(js_imports(files))
+def outline(files: DataFrame) -> DataFrame:
+    """Functions, classes and imports of all supported files; others give
+    nothing."""
+    return py_outline(py_statements(files)).unionByName(js_outline(files))
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    """(FILE, kind, name, start_line, end_line) of all supported files; others
-    give nothing."""
-    none = F.lit(None).cast("bigint")
-    return functions(files).select(
-        *FILE, F.lit("function").alias("kind"), "name", "start_line", "end_line"
-    ).unionByName(classes(files).select(
-        *FILE, F.lit("class").alias("kind"), "name", "start_line", "end_line")
-    ).unionByName(imports(files).select(
-        *FILE, F.lit("import").alias("kind"), F.col("import_text").alias("name"),
-        none.alias("start_line"), none.alias("end_line")))
+def symbols(outline_rows: DataFrame) -> DataFrame:
+    """(FILE, kind, name, start_line, end_line); an import's name is its text."""
+    is_import = F.col("kind") == "import"
+    return outline_rows.select(
+        *FILE, "kind", F.coalesce("name", "import_text").alias("name"),
+        F.when(~is_import, F.col("start_line")).alias("start_line"),
+        F.when(~is_import, F.col("end_line")).alias("end_line"))
 
 
 def class_methods(fns: DataFrame, cls: DataFrame) -> DataFrame:
@@ -332,14 +358,15 @@ def class_methods(fns: DataFrame, cls: DataFrame) -> DataFrame:
     return fns.filter(F.col("class_name").isNotNull()).join(first, [*FILE, "class_name"])
 
 
-def symbol_report(files: DataFrame, fns: DataFrame, cls: DataFrame, imps: DataFrame) -> DataFrame:
+def symbol_report(files: DataFrame, outline_rows: DataFrame) -> DataFrame:
     """Counts per supported file."""
-    per = lambda df, out, *more: df.groupBy(*FILE).agg(F.count("*").alias(out), *more)
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    kind = F.col("kind")
+    counts = outline_rows.groupBy(*FILE).agg(
+        F.count_if(kind == "function").alias("functions"), F.count_if("is_method").alias("methods"),
+        F.count_if("is_async").alias("async_functions"),
+        F.count_if(kind == "class").alias("classes"), F.count_if(kind == "import").alias("imports"))
+    columns = ("functions", "methods", "async_functions", "classes", "imports")
     return files.select(*FILE, P.language(F.col("path")).alias("language")).filter(
         F.col("language").isin("python", "javascript", "typescript")
-    ).join(per(fns, "functions", F.count_if("is_method").alias("methods"),
-               F.count_if("is_async").alias("async_functions")), FILE, "left"
-           ).join(per(cls, "classes"), FILE, "left").join(per(imps, "imports"), FILE, "left").select(
-        *FILE, "language", zero("functions"), zero("methods"), zero("async_functions"),
-        zero("classes"), zero("imports"))
+    ).join(counts, FILE, "left").select(
+        *FILE, "language", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in columns])
