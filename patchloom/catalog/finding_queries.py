@@ -514,12 +514,13 @@ def lifecycle_stream(spark, sf):
     """Runs arrive as files of a few days each, in order; all are streamed."""
     import uuid
     folder = f"{shared_folder(spark)}/lifecycle-{uuid.uuid4().hex}"
-    runs = review_runs(spark, sf).withColumn("part", F.floor((F.col("revision") - 1) / 8))
+    review_runs(spark, sf).write.parquet(f"{folder}/all")
+    runs = spark.read.schema(S.RUN_SCHEMA).parquet(f"{folder}/all")
     for part in range(4):  # 31 days at most
-        runs.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(
-            f"{folder}/runs")
-    table = S.StateTable(spark, f"{folder}/state", compact_every=2)
+        runs.filter(F.floor((F.col("revision") - 1) / 8) == part).coalesce(1).write.mode(
+            "append").parquet(f"{folder}/runs")
+    table = S.StateTable(spark, f"{folder}/state", compact_every=3)
     stream = spark.readStream.schema(S.RUN_SCHEMA).option("maxFilesPerTrigger", 1).parquet(
         f"{folder}/runs")
     S.start(stream, table, f"{folder}/checkpoint").awaitTermination()
-    return table.read().ids
+    return table.ids()

@@ -283,7 +283,7 @@ def contexts(spark, sf_dir) -> DataFrame:
 @memo
 def comments(spark, sf_dir) -> DataFrame:
     """Comments of many review runs: change = user, run = day."""
-    base = table(spark, sf_dir, "events").select(
+    base = spread(table(spark, sf_dir, "events"), "event_id").select(
         F.col("event_id").alias("seq"), F.col("user_id").alias("change_id"),
         F.dayofmonth("ts").cast("bigint").alias("revision"),
         F.concat(F.lit("f"), (F.col("event_id") % 20).cast("string"), F.lit(".py")).alias("path"),
@@ -381,7 +381,7 @@ def decisions(spark, sf_dir) -> DataFrame:
 def guidance(spark, sf_dir) -> DataFrame:
     """Stored guidance vectors: 50 per repository, so within the item limit."""
     v = F.col("vec_id")
-    return table(spark, sf_dir, "embeddings").select(
+    return spread(table(spark, sf_dir, "embeddings"), "vec_id").select(
         F.concat(F.lit("org/r"), F.floor(v / 50).cast("string")).alias("repo_id"),
         F.concat(F.lit("s"), F.lpad(v.cast("string"), 9, "0")).alias("source_id"),
         F.when(v % 5 == 4, "other-embedder").otherwise(C.EMBEDDER_NAME).alias("embedder"),
@@ -395,7 +395,7 @@ def guidance(spark, sf_dir) -> DataFrame:
 def guidance_vector_queries(spark, sf_dir) -> DataFrame:
     """Every vector also asks, one repository further on."""
     v = F.col("vec_id")
-    return table(spark, sf_dir, "embeddings").select(
+    return spread(table(spark, sf_dir, "embeddings"), "vec_id").select(
         v.alias("query_id"),
         F.concat(F.lit("org/r"), F.floor(v / 50 + 1).cast("string")).alias("repo_id"),
         F.when(v % 3 == 0, F.concat(F.lit("src/auth/q"), v.cast("string")))

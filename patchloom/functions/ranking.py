@@ -27,6 +27,20 @@ def bucketed_row_number(df: DataFrame, keys: list[str], seq: str, out: str,
     ).drop("_bucket", "_local", "_offset")
 
 
+def bucketed_lead(df: DataFrame, keys: list[str], seq: str, out: str,
+                  width: int = BUCKET_WIDTH) -> DataFrame:
+    """The next larger ``seq`` within ``keys``, null for the last; ``seq`` is
+    unique per key. Neighbours are found inside buckets, and the last row of a
+    bucket takes the first value of the next filled one."""
+    rows = df.withColumn("_bucket", F.floor(F.col(seq) / width).cast("bigint"))
+    following = Window.partitionBy(*keys).orderBy("_bucket")
+    nexts = rows.groupBy(*keys, "_bucket").agg(F.min(seq).alias("_first")).select(
+        *keys, "_bucket", F.lead("_first").over(following).alias("_next"))
+    local = F.lead(seq).over(Window.partitionBy(*keys, "_bucket").orderBy(seq))
+    return rows.withColumn("_local", local).join(nexts, [*keys, "_bucket"]).withColumn(
+        out, F.coalesce("_local", "_next")).drop("_bucket", "_local", "_next")
+
+
 def grouped_median(df: DataFrame, keys: list[str], value: str, out: str,
                    width: float = 1.0) -> DataFrame:
     """Exact median per group, for groups of any size.

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,10 @@ from patchloom import constants as C
 from patchloom.functions import paths as P
 from patchloom.functions import text as T
 
+# Functions that run in Python workers travel by value: workers need numpy and
+# pandas, but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 IN_ROW_FILES = 4096  # up to here a change is packed inside one row
 SEGMENT = 4096       # file positions per segment of a larger change
 

@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import functools
+import hashlib
+import re
+import sys
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from patchloom import constants as C
 from patchloom.functions import ids
 from patchloom.functions import paths as P
 from patchloom.functions import text as T
 
+# Functions that run in Python workers travel by value: workers need numpy, pandas
+# and Arrow, but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DECISIONS = "array<struct<id string, title string, decision string, applies_to array<string>>>"
 SPAN = "array<struct<first:int,last:int,heading:string>>"
 REFERENCE = ["source_id", "kind", "path", "revision", "locator", "excerpt"]
@@ -196,7 +209,7 @@ def embed_terms(text: Column, dimensions: int = C.DIMENSIONS) -> Column:
     Sorted slots are turned into run lengths, and the gaps between runs into
     zeros, so the work is linear in words plus dimensions."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    slots = F.array_sort(F.transform(words, lambda w: (F.conv(
+    slots = F.sort_array(F.transform(words, lambda w: (F.conv(
         F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % dimensions).cast("int")))
     filled = F.when(F.size(slots) == 0, F.array(F.lit(0))).otherwise(slots)
 
@@ -216,10 +229,34 @@ def embed_terms(text: Column, dimensions: int = C.DIMENSIONS) -> Column:
     return T.let(T.let(filled, run_ends), dense)
 
 
+def term_embedder(digest: str = "md5", dimensions: int = C.DIMENSIONS):
+    """An embedder over hashed terms: adds ``embedding`` of ``text``.
+
+    Any DataFrame function of this shape is an embedder, such as one around an
+    outside model. This one runs over Arrow batches, because hashing each word in
+    a column expression is interpreted and measured several times slower, and
+    because BLAKE2b ("blake2b"), which the stored vectors of the review service
+    use, is no Spark function. With "md5" it equals ``embed_terms``."""
+    @F.pandas_udf("array<float>")
+    def embed(texts: pd.Series) -> pd.Series:
+        size = {"digest_size": 4} if digest == "blake2b" else {}
+
+        @functools.lru_cache(maxsize=1 << 16)
+        def slot(word):
+            code = hashlib.new(digest, word.encode(), **size).digest()[:4]
+            return int.from_bytes(code, "big") % dimensions
+
+        def one(text):
+            slots = [slot(w) for w in re.findall(r"[a-z0-9]+", text.lower())] or [0]
+            return np.bincount(slots, minlength=dimensions).astype("float32")
+        return texts.map(one)
+
+    return lambda rows: rows.withColumn("embedding", embed(F.col("text")))
+
+
 def fixture_embedder(rows: DataFrame) -> DataFrame:
-    """Adds ``embedding`` of ``text``. Any function of this shape is an embedder;
-    an outside model fits in as a pandas UDF."""
-    return rows.withColumn("embedding", embed_terms(F.col("text")))
+    """The default embedder."""
+    return term_embedder()(rows)
 
 
 def vector_ok(vector: Column, dimensions: int = C.DIMENSIONS) -> Column:
@@ -274,9 +311,20 @@ def replace_snapshot(items: DataFrame, store: DataFrame, snapshots: DataFrame,
 # --- retrieval ---------------------------------------------------------------
 
 
-def _unit(vector: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    return T.let(norm, lambda n: F.transform(vector, lambda x: x / n))
+def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the two vectors of each row by their cosine; the vectors are read
+    in place as one matrix each."""
+    for batch in batches:
+        n = batch.num_rows
+        if n == 0:
+            continue
+        q, s = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype("float64")
+                .reshape(n, -1) for c in ("_qv", "_sv"))
+        norms = np.sqrt(np.einsum("ij,ij->i", q, q) * np.einsum("ij,ij->i", s, s))
+        cosine = np.round(np.einsum("ij,ij->i", q, s) / norms, 6)
+        kept = [c for c in batch.schema.names if c not in ("_qv", "_sv")]
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(c) for c in kept], pa.array(cosine)], [*kept, "similarity"])
 
 
 def scope_match(queries: DataFrame, store: DataFrame) -> DataFrame:
@@ -293,17 +341,20 @@ def cosine_topk(queries: DataFrame, store: DataFrame, k: int = C.DEFAULT_K,
     """The k nearest items per query within scope and threshold.
 
     queries: query_id, repo_id, query_path, embedder, embedding; store: repo_id,
-    source_id, embedder, scopes, embedding. Vectors are scaled to unit length
-    once per row before the join; similarity is rounded to 6 places before
-    ranking, so ties go by id. The row number is filtered at once, which keeps
-    only k rows per query in each task before the shuffle."""
+    source_id, embedder, scopes, embedding. The scope filter is part of the join;
+    dot products are then taken over Arrow batches, since an expression over two
+    arrays is interpreted element by element. Similarity is rounded to 6 places
+    before ranking, so ties go by id. The row number is filtered at once, which
+    keeps only k rows per query in each task before the shuffle."""
     q = queries.select("query_id", "repo_id", "query_path", "embedder",
-                       _unit(F.col("embedding")).alias("qv"))
+                       F.col("embedding").alias("_qv"))
     s = store.select("repo_id", "source_id", "embedder", "scopes",
-                     _unit(F.col("embedding")).alias("sv"))
-    dot = F.aggregate(F.zip_with("qv", "sv", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
-    scored = scope_match(q, s).select("query_id", "repo_id", "source_id", "query_path",
-                                      F.round(dot, 6).alias("similarity"))
+                     F.col("embedding").alias("_sv"))
+    pairs = scope_match(q, s).select("query_id", "repo_id", "source_id", "query_path",
+                                     "_qv", "_sv")
+    scored = pairs.mapInArrow(_cosines, StructType([
+        *[f for f in pairs.schema if f.name not in ("_qv", "_sv")],
+        StructField("similarity", DoubleType())]))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(
         F.desc("similarity"), "source_id"))
     return scored.filter(F.col("similarity") >= min_similarity).withColumn("rank", rank).filter(

@@ -75,12 +75,3 @@ def lifecycle_stats(current: DataFrame, posted: DataFrame, bot: str = C.BOT_NAME
         F.count_if(is_old & ~has_now & unmarked).alias("resolved_marked"),
         F.bool_or(has_now).alias("_runs"))
     return stats.filter("_runs").drop("_runs")
-
-
-def lifecycle_history(runs: DataFrame) -> DataFrame:
-    """Batch twin of the stream: per (change, id) the run that posted it and the
-    first later run without it.
-
-    runs: change_id, revision, comment_ids (one row per run, complete)."""
-    from patchloom.streaming.lifecycle_stream import apply_runs, empty_state
-    return apply_runs(empty_state(runs.sparkSession), runs)

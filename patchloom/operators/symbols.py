@@ -183,7 +183,7 @@ def imports_of(outline: DataFrame) -> DataFrame:
 # --- JavaScript and TypeScript -----------------------------------------------
 
 _TYPE_ARGS = r"(?:<[^(]*>)?"
-_RETURNS = r"\s*(?::\s*((?:[^{};=]|=(?!>))+?))?\s*"
+_RETURNS = r"\s*(?::\s*((?:[^{};=<]|<(?:[^<>]|<[^<>]*>)*>|=(?!>))+?))?\s*"
 _JS_FUNCTION = (r"^(export\s+(?:default\s+)?)?(async\s+)?function\s*\*?\s*(\w+)\s*" + _TYPE_ARGS
                 + rf"\s*({_PARENS}){_RETURNS}\{{")
 _JS_ARROW = (r"^(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*(async\s+)?" + _TYPE_ARGS

@@ -5,81 +5,64 @@ of what was ever posted per (change, comment id): the run that posted it, the ru
 that marked it resolved, and per change the last run applied. A returning issue
 is not posted again and keeps its badge.
 
-Each micro-batch appends one delta to the state; a delta only ever sets values
-that merge by min or max, and its folder is named by the batch id, so replaying a
-batch overwrites it and changes nothing. Every ``compact_every`` batches the merged
-state is written as a new base, so a read is one base and few deltas.
+Each micro-batch first stages its runs, sorted into fresh and late ones, and then
+appends one delta of ids. A delta only ever sets values that merge by min or max,
+and its folder is named by the batch id, so replaying a batch overwrites it and
+changes nothing. Every ``compact_every`` batches the merged state is written as a
+new base, so a read is one base and few deltas.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from patchloom.functions.ranking import bucketed_row_number
+from patchloom.functions.ranking import bucketed_lead
 
 IDS_SCHEMA = "change_id bigint, comment_id string, posted_revision bigint, resolved_revision bigint"
 LAST_SCHEMA = "change_id bigint, last_revision bigint"
 RUN_SCHEMA = "change_id bigint, revision bigint, comment_ids array<string>"
 
 
-class State(NamedTuple):
-    ids: DataFrame
-    last: DataFrame
-
+STAGED_SCHEMA = RUN_SCHEMA + ", late boolean"
 
-def empty_state(spark: SparkSession) -> State:
-    return State(spark.createDataFrame([], IDS_SCHEMA), spark.createDataFrame([], LAST_SCHEMA))
 
-
-def split_late(last: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(fresh, late) runs; a run not newer than the last one applied is late. A
-    run given twice in one batch counts once."""
+def stage_runs(runs: DataFrame, last: DataFrame) -> DataFrame:
+    """Runs with ``late`` set where not newer than the last one applied to their
+    change. A run given twice in one batch counts once."""
     once = runs.groupBy("change_id", "revision").agg(F.min("comment_ids").alias("comment_ids"))
-    seen = once.join(last, "change_id", "left")
-    is_late = F.coalesce(F.col("revision") <= F.col("last_revision"), F.lit(False))
-    columns = ["change_id", "revision", "comment_ids"]
-    return seen.filter(~is_late).select(columns), seen.filter(is_late).select(columns)
-
-
-def apply_runs(state: State, runs: DataFrame) -> DataFrame:
-    """Rows of IDS_SCHEMA that the fresh runs add or alter.
-
-    With the runs of a change numbered 1..m, an id is absent for the first time
-    after the unbroken stretch of runs that hold it. Stretches come from ranks
-    inside one (change, id), so no pair of runs is ever formed and a change with
-    very many comments is spread over its ids."""
-    fresh, _ = split_late(state.last, runs)
-    numbered = bucketed_row_number(fresh, ["change_id"], "revision", "run_no", width=1000)
-    run_list = numbered.select("change_id", "run_no", "revision")
-    run_counts = numbered.groupBy("change_id").agg(F.max("run_no").alias("m"))
-    present = numbered.select("change_id", "run_no", "revision",
-                              F.explode(F.array_distinct("comment_ids")).alias("comment_id"))
-    rank = F.row_number().over(Window.partitionBy("change_id", "comment_id").orderBy("run_no"))
-    stretches = present.withColumn("gap", F.col("run_no") - rank).groupBy(
-        "change_id", "comment_id", "gap").agg(
-        F.count("*").alias("n"), F.min("run_no").alias("from_run"),
-        F.min("revision").alias("from_revision"))
-    first = stretches.groupBy("change_id", "comment_id").agg(
-        F.min_by(F.struct("gap", "n", "from_run", "from_revision"), "gap").alias("s"))
-    known = state.ids.join(run_counts, "change_id")
-    merged = known.join(first, ["change_id", "comment_id"], "full").drop("m")
-    is_known = F.col("posted_revision").isNotNull()
-    starts_batch = F.coalesce(F.col("s.gap") == 0, F.lit(False))
-    absent_at = F.when(
-        is_known, F.when(starts_batch, F.col("s.n") + 1).otherwise(1)
-    ).otherwise(F.col("s.from_run") + F.col("s.n"))
-    open_ids = merged.filter(F.col("resolved_revision").isNull()).select(
-        "change_id", "comment_id",
-        F.coalesce("posted_revision", F.col("s.from_revision")).alias("posted_revision"),
-        is_known.alias("was_known"), absent_at.cast("bigint").alias("run_no"))
-    closed = open_ids.join(
-        run_list.withColumnRenamed("revision", "resolved_revision"), ["change_id", "run_no"], "left")
-    return closed.filter(~F.col("was_known") | F.col("resolved_revision").isNotNull()).select(
-        "change_id", "comment_id", "posted_revision", "resolved_revision")
+    return once.join(last, "change_id", "left").select(
+        "change_id", "revision", "comment_ids",
+        F.coalesce(F.col("revision") <= F.col("last_revision"), F.lit(False)).alias("late"))
+
+
+def apply_fresh(ids: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Rows of IDS_SCHEMA that fresh runs add or alter.
+
+    Each run knows the next run of its change. An id is absent for the first time
+    in the run after the first one that holds it while the next does not; that is
+    seen from the rows of one (change, id) alone, so no pair of runs is formed and
+    a change with very many comments is spread over its ids."""
+    linked = bucketed_lead(fresh, ["change_id"], "revision", "next_revision", width=1000)
+    starts = fresh.groupBy("change_id").agg(F.min("revision").alias("first_revision"))
+    present = linked.select("change_id", "revision", "next_revision",
+                            F.explode(F.array_distinct("comment_ids")).alias("comment_id"))
+    by_id = Window.partitionBy("change_id", "comment_id").orderBy("revision")
+    ends = ~F.coalesce(F.lead("revision").over(by_id) == F.col("next_revision"), F.lit(False))
+    seen = present.withColumn("ends", ends).groupBy("change_id", "comment_id").agg(
+        F.min("revision").alias("seen_first"),
+        F.min_by("next_revision", F.when(F.col("ends"), F.col("revision"))).alias("absent_at"))
+    known = ids.join(starts, "change_id")
+    merged = known.join(seen, ["change_id", "comment_id"], "full")
+    is_new = F.col("posted_revision").isNull()
+    goes_on = F.coalesce(F.col("seen_first") == F.col("first_revision"), F.lit(False))
+    resolved = F.when(is_new | goes_on, F.col("absent_at")).otherwise(F.col("first_revision"))
+    return merged.filter(F.col("resolved_revision").isNull()).select(
+        "change_id", "comment_id", is_new.alias("is_new"),
+        F.coalesce("posted_revision", "seen_first").alias("posted_revision"),
+        resolved.alias("resolved_revision")
+    ).filter(F.col("is_new") | F.col("resolved_revision").isNotNull()).drop("is_new")
 
 
 def merge_ids(ids: DataFrame) -> DataFrame:
@@ -88,12 +71,15 @@ def merge_ids(ids: DataFrame) -> DataFrame:
         F.min("resolved_revision").alias("resolved_revision"))
 
 
-def merge_last(last: DataFrame) -> DataFrame:
-    return last.groupBy("change_id").agg(F.max("last_revision").alias("last_revision"))
+def history(runs: DataFrame) -> DataFrame:
+    """Batch twin: all runs at once, in order."""
+    spark = runs.sparkSession
+    staged = stage_runs(runs, spark.createDataFrame([], LAST_SCHEMA))
+    return apply_fresh(spark.createDataFrame([], IDS_SCHEMA), staged.drop("late"))
 
 
 class StateTable:
-    """The state's folders: ``ids`` and ``last`` deltas, their bases, ``late``."""
+    """The state's folders: staged runs, ``ids`` deltas and their bases."""
 
     def __init__(self, spark: SparkSession, folder: str, compact_every: int = 20):
         self.spark, self.folder, self.compact_every = spark, folder.rstrip("/"), compact_every
@@ -113,50 +99,51 @@ class StateTable:
                 done.append(int(name.removeprefix("batch=")))
         return sorted(done)
 
-    def _rows(self, kind: str, schema: str, before: int) -> DataFrame:
-        bases = [b for b in self._batches(f"{kind}_base") if b < before]
-        base = bases[-1] if bases else -1
-        paths = [f"{self.folder}/{kind}/batch={b}" for b in self._batches(kind)
-                 if base < b < before]
-        if bases:
-            paths.append(f"{self.folder}/{kind}_base/batch={base}")
+    def _read(self, kind: str, schema: str, batches: list[int]) -> DataFrame:
+        paths = [f"{self.folder}/{kind}/batch={b}" for b in batches]
         if not paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
-    def read(self, before: int = 2 ** 62) -> State:
-        """State as of the batches before one."""
-        return State(merge_ids(self._rows("ids", IDS_SCHEMA, before)),
-                     merge_last(self._rows("last", LAST_SCHEMA, before)))
+    def _since_base(self, kind: str, before: int) -> tuple[list[int], list[int]]:
+        """(the last base before a batch, the deltas after it)."""
+        bases = [b for b in self._batches(f"{kind}_base") if b < before][-1:]
+        after = bases[0] if bases else -1
+        return bases, [b for b in self._batches(kind) if after < b < before]
+
+    def ids(self, before: int = 2 ** 62) -> DataFrame:
+        """Posted and resolved runs per (change, id) as of the batches before one."""
+        bases, deltas = self._since_base("ids", before)
+        return merge_ids(self._read("ids_base", IDS_SCHEMA, bases).unionByName(
+            self._read("ids", IDS_SCHEMA, deltas)))
+
+    def last(self, before: int = 2 ** 62) -> DataFrame:
+        """Last run applied per change."""
+        bases, deltas = self._since_base("runs", before)
+        applied = self._read("runs", STAGED_SCHEMA, deltas).filter(~F.col("late")).select(
+            "change_id", F.col("revision").alias("last_revision"))
+        return self._read("runs_base", LAST_SCHEMA, bases).unionByName(applied).groupBy(
+            "change_id").agg(F.max("last_revision").alias("last_revision"))
 
     def late(self) -> DataFrame:
-        paths = [f"{self.folder}/late/batch={b}" for b in self._batches("late")]
-        if not paths:
-            return self.spark.createDataFrame([], RUN_SCHEMA)
-        return self.spark.read.schema(RUN_SCHEMA).parquet(*paths)
+        """Runs that came too late to be applied."""
+        return self._read("runs", STAGED_SCHEMA, self._batches("runs")).filter("late").drop("late")
 
     def _write(self, df: DataFrame, kind: str, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.folder}/{kind}/batch={batch_id}")
 
     def apply(self, runs: DataFrame, batch_id: int) -> None:
-        """One micro-batch. Only state of the changes it names is read on."""
-        state = self.read(before=batch_id)
-        touched = runs.select("change_id").distinct()
-        state = State(state.ids.join(touched, "change_id", "left_semi"),
-                      state.last.join(touched, "change_id", "left_semi"))
-        fresh, late = split_late(state.last, runs)
-        self._write(apply_runs(state, runs), "ids", batch_id)
-        self._write(late, "late", batch_id)
-        self._write(fresh.groupBy("change_id").agg(F.max("revision").alias("last_revision")),
-                    "last", batch_id)
+        """One micro-batch."""
+        self._write(stage_runs(runs, self.last(batch_id)), "runs", batch_id)
+        fresh = self._read("runs", STAGED_SCHEMA, [batch_id]).filter(~F.col("late")).drop("late")
+        self._write(apply_fresh(self.ids(batch_id), fresh), "ids", batch_id)
         if (batch_id + 1) % self.compact_every == 0:
-            merged = self.read(before=batch_id + 1)
-            self._write(merged.ids, "ids_base", batch_id)
-            self._write(merged.last, "last_base", batch_id)
+            self._write(self.ids(batch_id + 1), "ids_base", batch_id)
+            self._write(self.last(batch_id + 1), "runs_base", batch_id)
 
 
 def start(runs: DataFrame, table: StateTable, checkpoint: str, **trigger) -> StreamingQuery:
     """Start the stream over streaming ``runs``; ``trigger`` as in writeStream."""
     return (runs.writeStream.foreachBatch(lambda df, batch_id: table.apply(df, batch_id))
-            .option("checkpointLocation", checkpoint).trigger(**(trigger or
-                                                                {"availableNow": True})).start())
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
