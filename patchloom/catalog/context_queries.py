@@ -261,7 +261,7 @@ SELECT c.change_id, CASE WHEN title <> '' THEN '## Pull Request: ' || title || c
 FROM x_changes c""", views=(_CHANGES,))
 def review_prompt(spark, sf):
     contexts = X.contexts(spark, sf).withColumnRenamed("seq", "file_no")
-    return K.review_prompt(contexts, change_texts(spark, sf))
+    return K.review_prompt(contexts, change_texts(spark, sf)).drop("part_no")
 
 
 _ASCII = """list_aggregate(list_transform(string_split(CAST(to_json({0}) AS VARCHAR), ''),

@@ -11,6 +11,7 @@ from patchloom.functions import text as T
 from patchloom.operators import diff as D
 
 SPAN_BUCKET = 64  # lines per bucket of the interval joins
+WHOLE_PROMPT_CHARS = 64_000_000  # prompts up to here are one value
 FUNCTION_KEY = ["change_id", "path", "fn_no"]
 
 
@@ -176,24 +177,43 @@ def file_context(files: DataFrame, heads: DataFrame, functions: DataFrame,
     return rows.select("change_id", "file_no", "path", text.alias("context_text"))
 
 
-def review_prompt(contexts: DataFrame, changes: DataFrame) -> DataFrame:
-    """One user prompt per change. contexts: change_id, file_no, context_text;
-    changes: change_id, title, body. The prompt is one value per change by
-    definition; ``prompt_chunks`` is the bounded way for large changes."""
-    joined = contexts.groupBy("change_id").agg(
-        F.array_sort(F.collect_list(F.struct("file_no", "context_text"))).alias("cs"))
+def review_prompt(contexts: DataFrame, changes: DataFrame,
+                  whole_chars: int = WHOLE_PROMPT_CHARS) -> DataFrame:
+    """The user prompt of each change: (change_id, part_no, prompt).
+
+    contexts: change_id, file_no, context_text; changes: change_id, title, body.
+    A prompt is one row with part 0. Where the contexts of a change together are
+    longer than ``whole_chars``, they are not gathered in one task: the prompt
+    comes as several rows whose texts, in order of ``part_no`` and put together,
+    are the same prompt."""
     body = F.when(F.length("body") > C.BODY_CHARS,
                   F.concat(F.substring("body", 1, C.BODY_CHARS), F.lit("..."))
                   ).otherwise(F.col("body"))
     some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    text = F.concat_ws(
+    frame = changes.select("change_id", F.concat_ws(
         "\n",
         F.when(some("title"), F.concat(F.lit(C.REVIEW_TITLE_PREFIX), "title")),
         F.when(some("body"), F.concat(F.lit("\n"), body, F.lit("\n"))),
-        F.lit(C.REVIEW_CODE_HEADING),
-        F.array_join(F.transform("cs", lambda c: c.context_text), C.REVIEW_SEPARATOR),
-        F.lit(C.REVIEW_INSTRUCTIONS))
-    return joined.join(changes, "change_id").select("change_id", text.alias("prompt"))
+        F.lit(C.REVIEW_CODE_HEADING + "\n")).alias("top"))
+    foot = F.lit("\n" + C.REVIEW_INSTRUCTIONS)
+    sizes = contexts.groupBy("change_id").agg(
+        F.sum(F.length("context_text").cast("bigint")).alias("chars"),
+        F.min("file_no").alias("first_no"), F.max("file_no").alias("last_no"))
+    framed = frame.join(sizes, "change_id")
+    whole = framed.filter(F.col("chars") <= whole_chars).select("change_id", "top")
+    gathered = contexts.join(whole.select("change_id"), "change_id", "left_semi").groupBy(
+        "change_id").agg(F.array_sort(F.collect_list(F.struct("file_no", "context_text")))
+                         .alias("cs"))
+    short = gathered.join(whole, "change_id").select(
+        "change_id", F.lit(0).cast("bigint").alias("part_no"),
+        F.concat("top", F.array_join(F.transform("cs", lambda c: c.context_text),
+                                     C.REVIEW_SEPARATOR), foot).alias("prompt"))
+    parts = contexts.join(framed.filter(F.col("chars") > whole_chars), "change_id").select(
+        "change_id", F.col("file_no").cast("bigint").alias("part_no"),
+        F.concat(F.when(F.col("file_no") == F.col("first_no"), F.col("top")).otherwise(
+            C.REVIEW_SEPARATOR), "context_text",
+            F.when(F.col("file_no") == F.col("last_no"), foot).otherwise("")).alias("prompt"))
+    return short.unionByName(parts)
 
 
 def json_text(value: Column) -> Column:

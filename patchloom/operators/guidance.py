@@ -183,20 +183,29 @@ def snapshot_errors(sources: DataFrame) -> DataFrame:
     return duplicate.unionByName(long_line).unionByName(bad_json).distinct()
 
 
-def index_items(sources: DataFrame) -> DataFrame:
-    """Items of all snapshots. A snapshot with an error or more than 100 items is
-    refused whole.
+def _counted_items(sources: DataFrame) -> DataFrame:
+    """Items with ``_all``, their number in the repository, up to 101.
 
     Each task keeps 101 rows per repository before the shuffle, so a repository
     with any number of excerpts costs no more than that; 101 rows are enough to
     know it is refused, and an accepted one loses none."""
     items = markdown_items(sources).unionByName(decision_items(sources))
     by_repo = Window.partitionBy("repo_id")
-    first = items.withColumn("_n", F.row_number().over(by_repo.orderBy("source_id"))).filter(
-        F.col("_n") <= C.SNAPSHOT_ITEMS + 1)
-    counted = first.withColumn("_all", F.count("*").over(by_repo)).filter(
-        F.col("_all") <= C.SNAPSHOT_ITEMS).drop("_n", "_all")
-    return counted.join(snapshot_errors(sources), "repo_id", "left_anti")
+    return items.withColumn("_n", F.row_number().over(by_repo.orderBy("source_id"))).filter(
+        F.col("_n") <= C.SNAPSHOT_ITEMS + 1).withColumn("_all", F.count("*").over(by_repo))
+
+
+def index_items(sources: DataFrame) -> DataFrame:
+    """Items of all snapshots. A snapshot with an error or more than 100 items is
+    refused whole."""
+    return _counted_items(sources).filter(F.col("_all") <= C.SNAPSHOT_ITEMS).drop(
+        "_n", "_all").join(snapshot_errors(sources), "repo_id", "left_anti")
+
+
+def too_many_items(sources: DataFrame) -> DataFrame:
+    """Repositories refused for more than 100 items: (repo_id)."""
+    return _counted_items(sources).filter(F.col("_all") > C.SNAPSHOT_ITEMS).select(
+        "repo_id").distinct()
 
 
 # --- vectors -----------------------------------------------------------------
