@@ -516,10 +516,10 @@ def lifecycle_stream(spark, sf):
     folder = f"{shared_folder(spark)}/lifecycle-{uuid.uuid4().hex}"
     review_runs(spark, sf).write.parquet(f"{folder}/all")
     runs = spark.read.schema(S.RUN_SCHEMA).parquet(f"{folder}/all")
-    for part in range(4):  # 31 days at most
-        runs.filter(F.floor((F.col("revision") - 1) / 8) == part).coalesce(1).write.mode(
+    for part in range(3):  # 31 days at most
+        runs.filter(F.floor((F.col("revision") - 1) / 11) == part).coalesce(1).write.mode(
             "append").parquet(f"{folder}/runs")
-    table = S.StateTable(spark, f"{folder}/state", compact_every=3)
+    table = S.StateTable(spark, f"{folder}/state", compact_every=2)
     stream = spark.readStream.schema(S.RUN_SCHEMA).option("maxFilesPerTrigger", 1).parquet(
         f"{folder}/runs")
     S.start(stream, table, f"{folder}/checkpoint").awaitTermination()

@@ -164,48 +164,95 @@ def decision_items(sources: DataFrame) -> DataFrame:
         .alias("scopes")), "decision")
 
 
-def snapshot_errors(sources: DataFrame) -> DataFrame:
-    """Repositories whose snapshot holds a duplicate path, a line over the limit,
-    unreadable decisions or a repeated decision id: (repo_id)."""
-    duplicate = sources.groupBy("repo_id", "path").count().filter("count > 1").select("repo_id")
-    long_line = _with_lines(sources.filter(F.endswith("path", F.lit(".md")))).filter(
-        _long_line()).select("repo_id")
-    d_ids = F.transform("decisions", lambda d: d.id)
+def _bad_decisions(decisions: Column) -> Column:
+    """Unreadable JSON, a field out of bounds or an id given twice."""
     bad_field = lambda d: (
         ~F.coalesce(d.id.rlike(C.DECISION_ID), F.lit(False))
         | ~F.coalesce(F.length(d.title).between(1, 160), F.lit(False))
         | ~F.coalesce(F.length(d.decision).between(1, C.DECISION_CHARS), F.lit(False))
         | F.coalesce(F.size(d.applies_to) > 16, F.lit(False))
         | F.coalesce(F.exists(d.applies_to, lambda s: ~P.is_valid_path(s)), F.lit(False)))
-    bad_json = _parsed_decisions(sources).filter(
-        F.col("decisions").isNull() | F.exists("decisions", bad_field)
-        | (F.size(F.array_distinct(d_ids)) < F.size(d_ids))).select("repo_id")
-    return duplicate.unionByName(long_line).unionByName(bad_json).distinct()
+    d_ids = F.transform(decisions, lambda d: d.id)
+    return decisions.isNull() | F.exists(decisions, bad_field) | (
+        F.size(F.array_distinct(d_ids)) < F.size(d_ids))
+
+
+def _source_items(sources: DataFrame) -> DataFrame:
+    """Items of all sources in one pass over their texts, with ``_error``; a
+    broken source gives one row that only says so."""
+    md = F.endswith("path", F.lit(".md"))
+    read = sources.select(
+        "repo_id", "revision", "path", sorted_scopes(F.col("applies_to")).alias("own"),
+        F.when(md, "markdown").otherwise("decision").alias("kind"),
+        F.when(md, T.lines_of(F.col("content"))).alias("lines"),
+        F.when(~md, F.from_json("content", DECISIONS)).alias("decisions"))
+    is_md = F.col("kind") == "markdown"
+    judged = read.withColumn("_error", F.when(is_md, _long_line()).otherwise(
+        _bad_decisions(F.col("decisions")))).withColumn(
+        "spans", F.when(is_md & ~F.col("_error"), _spans(F.col("lines"))))
+
+    def item(locator, excerpt, scopes):
+        return F.struct(locator.alias("locator"), excerpt.alias("excerpt"), scopes.alias("scopes"))
+
+    def of_span(s):
+        body = T.join_lines(F.slice(F.col("lines"), s["first"], s["last"] - s["first"] + 1))
+        return item(
+            F.concat(F.lit("L"), s["first"].cast("string"), F.lit("-L"), s["last"].cast("string")),
+            T.strip(F.concat(s.heading, F.lit("\n"), body)), F.col("own"))
+
+    def of_decision(d):
+        own = F.coalesce(d.applies_to, F.array().cast("array<string>"))
+        return item(d.id, F.substring(F.concat(d.title, F.lit("\n"), d.decision), 1,
+                                      C.DECISION_CHARS),
+                    F.when(F.size(own) > 0, sorted_scopes(own)).otherwise(F.col("own")))
+    broken = F.array(item(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("own")))
+    items = F.when(F.col("_error"), broken).when(is_md, F.filter(
+        F.transform("spans", of_span), lambda i: i.excerpt != "")).otherwise(
+        F.transform("decisions", of_decision))
+    rows = judged.select("repo_id", "revision", "path", "kind", "_error", F.inline(items))
+    return rows.select(
+        "repo_id",
+        ids.reference_id(F.col("repo_id"), F.col("path"), F.col("kind"), F.col("locator"))
+        .alias("source_id"), "kind", "path", "revision", "locator", "excerpt", "scopes", "_error")
+
+
+def _doubled_paths(sources: DataFrame) -> DataFrame:
+    return sources.groupBy("repo_id", "path").count().filter("count > 1").select("repo_id")
+
+
+def snapshot_errors(sources: DataFrame) -> DataFrame:
+    """Repositories whose snapshot holds a duplicate path, a line over the limit,
+    unreadable decisions or a repeated decision id: (repo_id)."""
+    return _doubled_paths(sources).unionByName(
+        _source_items(sources).filter("_error").select("repo_id")).distinct()
 
 
-def _counted_items(sources: DataFrame) -> DataFrame:
-    """Items with ``_all``, their number in the repository, up to 101.
+def _judged_items(sources: DataFrame) -> DataFrame:
+    """Items with ``_refused``: their repository has a broken source or more than
+    100 items.
 
-    Each task keeps 101 rows per repository before the shuffle, so a repository
-    with any number of excerpts costs no more than that; 101 rows are enough to
-    know it is refused, and an accepted one loses none."""
-    items = markdown_items(sources).unionByName(decision_items(sources))
+    Each task keeps 101 rows per repository before the shuffle, errors first, so
+    a repository with any number of excerpts costs no more than that; 101 rows are
+    enough to know it is refused, and an accepted one loses none."""
     by_repo = Window.partitionBy("repo_id")
-    return items.withColumn("_n", F.row_number().over(by_repo.orderBy("source_id"))).filter(
-        F.col("_n") <= C.SNAPSHOT_ITEMS + 1).withColumn("_all", F.count("*").over(by_repo))
+    first = _source_items(sources).withColumn("_n", F.row_number().over(
+        by_repo.orderBy(F.desc("_error"), "source_id"))).filter(
+        F.col("_n") <= C.SNAPSHOT_ITEMS + 1)
+    return first.withColumn("_refused", (F.count("*").over(by_repo) > C.SNAPSHOT_ITEMS)
+                            | F.bool_or("_error").over(by_repo))
 
 
 def index_items(sources: DataFrame) -> DataFrame:
     """Items of all snapshots. A snapshot with an error or more than 100 items is
     refused whole."""
-    return _counted_items(sources).filter(F.col("_all") <= C.SNAPSHOT_ITEMS).drop(
-        "_n", "_all").join(snapshot_errors(sources), "repo_id", "left_anti")
+    return _judged_items(sources).filter(~F.col("_refused")).drop(
+        "_n", "_refused", "_error").join(_doubled_paths(sources).distinct(), "repo_id", "left_anti")
 
 
-def too_many_items(sources: DataFrame) -> DataFrame:
-    """Repositories refused for more than 100 items: (repo_id)."""
-    return _counted_items(sources).filter(F.col("_all") > C.SNAPSHOT_ITEMS).select(
-        "repo_id").distinct()
+def refused_snapshots(sources: DataFrame) -> DataFrame:
+    """Repositories whose snapshot ``index_items`` leaves out: (repo_id)."""
+    return _judged_items(sources).filter("_refused").select("repo_id").unionByName(
+        _doubled_paths(sources)).distinct()
 
 
 # --- vectors -----------------------------------------------------------------

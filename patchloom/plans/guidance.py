@@ -18,11 +18,8 @@ def index_run(sources: DataFrame, store: GuidanceStore, version: int,
     snapshot is refused keeps what it has. Items are written out first, since the
     difference to the store and the log both read them."""
     items = cut_lineage(U.index_items(sources))
-    refused = U.snapshot_errors(sources)
-    accepted = sources.select("repo_id").distinct().join(refused, "repo_id", "left_anti")
-    # Refused for too many excerpts: nothing came out although sources went in.
-    over = U.too_many_items(sources)
-    accepted = accepted.join(over, "repo_id", "left_anti")
+    accepted = sources.select("repo_id").distinct().join(
+        U.refused_snapshots(sources), "repo_id", "left_anti")
     rows = U.replace_snapshot(items, store.read(), accepted, embed, embedder)
     store.write(rows, accepted, version)
 
