@@ -28,20 +28,31 @@ def review_run(diffs: DataFrame, heads: DataFrame, responses: DataFrame, attempt
     files = L.reviewable_files(D.diff_files(diffs, with_hunks=True))
     changes = D.changes_of_hunks(D.hunk_rows(files))
     lines = L.changed_line_text(files, heads)
-    parsed = N.parse_responses(responses)
+    # A change without a reviewable file ends here: no answer, comment or summary.
+    reviewed = files.select("change_id").distinct()
+    parsed = N.parse_responses(responses.join(reviewed, "change_id", "left_semi"))
     model = N.response_findings(parsed)
     if matches is not None:
-        model = N.validate_guidance(model, matches)
-        model = N.guidance_on_changed_lines(model, D.changed_lines(changes))
+        # Only an answer given with guidance at hand is held to it, and only its
+        # prose is escaped; elsewhere the guidance fields mean nothing.
+        has_guidance = matches.select("change_id").distinct()
+        guided = N.guidance_on_changed_lines(
+            N.validate_guidance(model.join(has_guidance, "change_id", "left_semi"), matches),
+            D.changed_lines(changes)).withColumn("is_guidance", F.lit(True))
+        plain = model.join(has_guidance, "change_id", "left_anti").withColumn(
+            "is_guidance", F.lit(False))
+        model = plain.unionByName(guided, allowMissingColumns=True)
     found = N.merge_findings(R.rule_scan(lines, min_severity=min_severity), model)
     tried = attempts.select("change_id", *N.ORDER, "sandbox_on", "first_ok", "first_stdout",
                             "first_stderr", "repair_code", "repair_ok")
     verified = N.verification_status(
         found.join(tried, ["change_id", *N.ORDER], "left").withColumn(
             "sandbox_on", F.coalesce("sandbox_on", F.lit(False))))
+    if "is_guidance" in verified.columns:
+        verified = verified.fillna(False, ["is_guidance"])
     capped = N.cap_comments(verified, max_comments)
     comments = M.review_comments(capped, D.commentable_lines(changes), bot=bot)
-    counts = N.severity_counts(capped, diffs).join(
+    counts = N.severity_counts(capped, reviewed).join(
         N.verification_counts(capped), "change_id", "left").join(
         parsed.select("change_id", "summary", "risk_level"), "change_id", "left").select(
         "change_id", *C.SEVERITIES_SHOWN,
