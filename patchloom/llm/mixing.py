@@ -49,8 +49,6 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
         "left_words", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0))).withColumn(
         "left_w", F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0)))
     fits = F.col("left_words") * F.col("w") <= F.col("cap") * F.col("left_w")
-    share = F.min(F.when(fits, F.struct(F.row_number().over(by_cap).alias("k"), "left_words",
-                                        "left_w")))
     rows = rows.withColumn("_k", F.row_number().over(by_cap)).withColumn("_fits", fits)
     share = F.min(F.when(F.col("_fits"), F.struct("_k", "left_words", "left_w"))).over(every)
     return rows.withColumn("_s", share).select(
