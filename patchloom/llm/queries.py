@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from patchloom.llm import common as C
-from patchloom.llm import mixing, quality, urls
+from patchloom.llm import mixing, packing, quality, secrets, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,8 +28,18 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(C.read(spark, sf_dir, "documents"))
+
+
+def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(C.read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op3_best_fit_packing": best_fit_packing,
     "op5_quality_rules": quality_rules,
     "op6_url_filters": url_filters,
     "op8_source_mix": source_mix,
+    "op10_secret_scans": secret_scans,
 }
