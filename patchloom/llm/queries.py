@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from patchloom.llm import common as C
-from patchloom.llm import mixing, packing, quality, secrets, urls
+from patchloom.llm import jaccard, mixing, packing, quality, secrets, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(C.read(spark, sf_dir, "documents"))
 
 
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(C.read(spark, sf_dir, "documents"))
+
+
 def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(C.read(spark, sf_dir, "documents"))
 
@@ -41,5 +45,6 @@ QUERIES: dict[str, Query] = {
     "op5_quality_rules": quality_rules,
     "op6_url_filters": url_filters,
     "op8_source_mix": source_mix,
+    "op9_ngram_jaccard": ngram_jaccard,
     "op10_secret_scans": secret_scans,
 }
