@@ -110,6 +110,23 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights=WEIGHTS,
         (F.col("size") * (F.col("epochs") + part.cast("bigint"))).alias("taken"))
 
 
+def repeated(docs: DataFrame, quality: DataFrame | None = None, weights=WEIGHTS,
+             max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """``docs`` with each document as often as the mix takes it, columns unchanged.
+
+    Plans are made per doc_id and joined back to the texts; documents taken no time go. Documents
+    without words stay once: they have no size to weigh. Rows that share a doc_id all take the
+    count of the row the mix takes most; rows without an id come once."""
+    plan = mix(docs, quality, weights, max_epochs, seed).withColumn(
+        "_times", F.when(F.col("size") > 0, F.col("epochs") + F.col("part").cast("bigint")).otherwise(
+            1)).groupBy(F.col("doc_id").alias("_id")).agg(F.max("_times").alias("_times"))
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id")
+    taken = wide.join(plan, F.col("doc_id") == F.col("_id"), "left").withColumn(
+        "_times", F.coalesce("_times", F.lit(1)))
+    return taken.filter("_times > 0").select(
+        "_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times")))).select("_row.*")
+
+
 def quality_weights(labels: DataFrame) -> DataFrame:
     """(doc_id, weight) from quality labels; the first of several labels by value counts."""
     weight = F.lit(DEFAULT_WEIGHT)
