@@ -2,4 +2,137 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND coalesce(len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))), 0) = 0),
+t AS (SELECT vec_id, unnest(e) AS w, generate_subscripts(e, 1) AS d FROM v),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.w * c.w) AS BIGINT) AS score
+  FROM t q JOIN t c ON q.d = c.d AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0 GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
+FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+# Words, symbols, lines and repeated windows per document; then histograms, quartiles and fences.
+QUALITY = r"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+      FROM d),
+win AS (SELECT doc_id, p, ws[p] AS a, ws[p + 1] AS b, ws[p + 2] AS c
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS p FROM w WHERE len(ws) >= 3)),
+rep AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM win)
+        WHERE n > 1),
+cov AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM rep, range(0, 3) r(k) GROUP BY doc_id),
+m AS (SELECT w.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
+        CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(ls) AS BIGINT) AS n_lines,
+        CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
+      FROM w LEFT JOIN cov USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+        CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words END AS f1,
+        CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines END AS f2,
+        CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words END AS f3,
+        CASE WHEN n_words > 0 THEN 100 * word_chars // n_words END AS f4 FROM m),
+f AS (
+  SELECT lang, source, 1 AS f, f1 AS v FROM b WHERE NOT base_failed
+  UNION ALL SELECT lang, source, 2, f2 FROM b WHERE NOT base_failed
+  UNION ALL SELECT lang, source, 3, f3 FROM b WHERE NOT base_failed
+  UNION ALL SELECT lang, source, 4, f4 FROM b WHERE NOT base_failed),
+h AS (SELECT lang, source, f, CASE WHEN v < 64 THEN v
+        ELSE (length(bin(v)) - 6) * 32 + (v >> (length(bin(v)) - 6)) END AS k, count(*) AS n
+      FROM f WHERE v IS NOT NULL GROUP BY ALL),
+g AS (SELECT 1 AS level, lang, source, f, k, n FROM h
+      UNION ALL SELECT 2, lang, NULL, f, k, sum(n) FROM h GROUP BY lang, f, k
+      UNION ALL SELECT 3, NULL, NULL, f, k, sum(n) FROM h GROUP BY f, k),
+r AS (SELECT *, sum(n) OVER p AS total, sum(n) OVER (PARTITION BY level, lang, source, f ORDER BY k
+          ROWS UNBOUNDED PRECEDING) AS upto,
+        CASE WHEN k < 64 THEN k ELSE ((k - (k // 32 - 1) * 32 + 1) << (k // 32 - 1)) - 1 END AS top
+      FROM g WINDOW p AS (PARTITION BY level, lang, source, f)),
+q AS (SELECT level, lang, source, f, total, min(CASE WHEN 4 * upto >= total THEN top END) AS q1,
+        min(CASE WHEN 4 * upto >= 3 * total THEN top END) AS q3 FROM r GROUP BY ALL),
+e AS (SELECT *, q3 + greatest(3 * (q3 - q1), [150, 400, 400, 500][f]) AS fence FROM q),
+x AS (SELECT a.lang, a.source, a.f, CASE WHEN a.total >= 200 THEN a.fence WHEN l.total >= 200
+          THEN l.fence ELSE o.fence END AS fence
+      FROM e a JOIN e l ON l.level = 2 AND l.f = a.f AND l.lang IS NOT DISTINCT FROM a.lang
+      JOIN e o ON o.level = 3 AND o.f = a.f WHERE a.level = 1),
+y AS (SELECT lang, source, max(fence) FILTER (f = 1) AS t1, max(fence) FILTER (f = 2) AS t2,
+        max(fence) FILTER (f = 3) AS t3, max(fence) FILTER (f = 4) AS t4 FROM x GROUP BY ALL)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(f1 <= t1, true) AND coalesce(f2 <= t2, true)
+    AND coalesce(f3 <= t3, true) AND coalesce(f4 <= t4, true) AS kept
+FROM b LEFT JOIN y ON y.lang IS NOT DISTINCT FROM b.lang AND y.source IS NOT DISTINCT FROM b.source
+"""
+
+URLS = r"""
+WITH p AS (SELECT page_id, url,
+    translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+q AS (SELECT *, list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'),
+    lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) AS kept FROM p),
+c AS (SELECT *, CASE WHEN host <> '' THEN concat(regexp_replace(host, '^(www|m)\.', ''),
+      regexp_replace(path, '(\.html|/)$', ''),
+      CASE WHEN len(kept) > 0 THEN concat('?', array_to_string(kept, '&')) ELSE '' END) END AS canon,
+    CASE WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/en/')
+        THEN 'example.net/en/'
+      WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/de/')
+        THEN 'example.com/de/'
+      WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/fr/') THEN 'org/fr/'
+      WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/') THEN 'net/' END AS rule
+  FROM q),
+l AS (SELECT canon, min(page_id) AS first_page FROM c WHERE canon IS NOT NULL
+      GROUP BY canon HAVING count(*) > 1)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
+    WHEN rule IS NOT NULL THEN 'allow'
+    WHEN first_page IS NOT NULL AND page_id IS DISTINCT FROM first_page THEN 'block'
+    ELSE 'allow' END AS verdict, first_page IS NOT NULL AS listed
+FROM c LEFT JOIN l USING (canon)
+"""
+
+MIX = r"""
+WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''),
+    '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    coalesce(CASE q WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 END, 1.0)::DOUBLE AS weight
+  FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id)
+  USING (doc_id)),
+z AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM s
+      GROUP BY source),
+w AS (SELECT *, [1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w,
+        3 * source_size AS cap FROM z),
+k AS (SELECT *, row_number() OVER o AS k, sum(source_size) OVER () - coalesce(sum(cap) OVER (o
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_words,
+        sum(w) OVER () - coalesce(sum(w) OVER (o
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_w
+      FROM w WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
+m AS (SELECT min(k) AS k0 FROM k WHERE left_words * w <= cap * left_w),
+t AS (SELECT k.source, k.source_size, k.n_docs, CASE WHEN k0 IS NULL OR k.k < k0
+          THEN CAST(k.cap AS DOUBLE)
+          ELSE CAST(f.left_words * k.w AS DOUBLE) / CAST(f.left_w AS DOUBLE) END AS target
+      FROM k, m LEFT JOIN k f ON f.k = m.k0),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(least(3, floor(target / source_size))
+          AS BIGINT) ELSE 0 END AS epochs FROM t),
+j AS (SELECT s.*, source_size, target, epochs, target - epochs * source_size AS rest,
+        -ln((CAST(concat('0x', substr(md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), ''))),
+          1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / weight AS key
+      FROM s JOIN p ON s.source IS NOT DISTINCT FROM p.source),
+r AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM j)
+SELECT doc_id, size, source_size, target, CAST(size * (epochs + CAST(epochs < 3 AND rest > 0
+    AND before + size / 2 <= rest AS BIGINT)) AS BIGINT) AS taken
+FROM r
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_exact_topk": TOP_K,
+    "op5_quality_rules": QUALITY,
+    "op6_url_filters": URLS,
+    "op8_source_mix": MIX,
+}

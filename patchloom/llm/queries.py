@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from patchloom.llm import common as C
-from patchloom.llm import jaccard, mixing, packing, quality, secrets, urls
+from patchloom.llm import jaccard, mixing, packing, quality, search, secrets, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(C.read(spark, sf_dir, "embeddings"))
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(C.read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -42,6 +46,7 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_best_fit_packing": best_fit_packing,
+    "op4_exact_topk": exact_topk,
     "op5_quality_rules": quality_rules,
     "op6_url_filters": url_filters,
     "op8_source_mix": source_mix,
