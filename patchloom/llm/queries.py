@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from patchloom.llm import common as C
-from patchloom.llm import jaccard, mixing, packing, quality, search, secrets, urls
+from patchloom.llm import jaccard, mixing, packing, quality, repeats, search, secrets, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digests(C.read(spark, sf_dir, "documents"))
+
+
 def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(C.read(spark, sf_dir, "embeddings"))
 
@@ -45,6 +49,7 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_array_dedup": suffix_array_dedup,
     "op3_best_fit_packing": best_fit_packing,
     "op4_exact_topk": exact_topk,
     "op5_quality_rules": quality_rules,
