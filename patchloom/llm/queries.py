@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from patchloom.llm import common as C
-from patchloom.llm import jaccard, mixing, packing, quality, repeats, search, secrets, urls
+from patchloom.llm import html_text, jaccard, mixing, packing, quality, repeats, search, secrets, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_digests(C.read(spark, sf_dir, "documents"))
 
 
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(C.read(spark, sf_dir, "pages"))
+
+
 def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(C.read(spark, sf_dir, "embeddings"))
 
@@ -50,6 +54,7 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_suffix_array_dedup": suffix_array_dedup,
+    "op2_html_extraction": html_extraction,
     "op3_best_fit_packing": best_fit_packing,
     "op4_exact_topk": exact_topk,
     "op5_quality_rules": quality_rules,
