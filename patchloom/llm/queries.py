@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from patchloom.llm import common as C
-from patchloom.llm import html_text, jaccard, mixing, packing, quality, repeats, search, secrets, urls
+from patchloom.llm import classifier, html_text, jaccard, mixing, packing, quality, repeats, search, secrets, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(C.read(spark, sf_dir, "pages"))
 
 
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels"))
+
+
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = mixing.quality_weights(C.read(spark, sf_dir, "labels"))
     return mixing.mix(C.read(spark, sf_dir, "documents"), weights).select(
@@ -59,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op4_exact_topk": exact_topk,
     "op5_quality_rules": quality_rules,
     "op6_url_filters": url_filters,
+    "op7_quality_classifier": quality_classifier,
     "op8_source_mix": source_mix,
     "op9_ngram_jaccard": ngram_jaccard,
     "op10_secret_scans": secret_scans,
