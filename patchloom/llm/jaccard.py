@@ -5,8 +5,9 @@
 2. Sets are put in one order for all, rare shingles first by the sketch. Two sets that are similar
    enough share a shingle in short prefixes of that order. Documents with equal prefix and size
    form one group.
-3. Groups meet at the shingles of their prefixes. Pairs that size or place rule out are dropped;
-   what remains are candidate families, and their groups are expanded to documents again.
+3. Groups meet at the shingles of their prefixes. Pairs that size, place or parity signatures rule
+   out are dropped; what remains are candidate families, and their groups are expanded to
+   documents again.
 4. Families are verified on whole sets in bounded blocks of documents. A block returns a spanning
    forest of its true links, not all of them, and components are found over those.
 
@@ -36,6 +37,8 @@ BLOCK_DOCS = 1_024         # documents of one side of a block
 FAMILY_DOCS = 2 * BLOCK_DOCS
 FAMILY_SHINGLES = 3_000_000
 POSTINGS_PER_BUCKET = 150_000
+MEETINGS_PER_BUCKET = 2_000
+LEAST_BITS, MOST_BITS = 64, 1 << 16
 POSTING = np.dtype([("token", "<u8"), ("group", "<i8"), ("n", "<i4"), ("pos", "<i4"),
                     ("docs", "<i4")])
 
@@ -129,10 +132,24 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def signature_bits(n: int) -> int:
+    """Half a bit per shingle at least, as a power of two."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << max(0, (n - 1) // 2).bit_length()))
+
+
+def signature(shingles: np.ndarray) -> bytes:
+    """For each of some bits the parity of the set's shingles that hash to it. Two signatures differ
+    in no more bits than their sets in shingles."""
+    bits = signature_bits(len(shingles))
+    slots = (H.mixed(shingles) & np.uint64(bits - 1)).view(np.int64)
+    return np.packbits(np.bincount(slots, minlength=bits) & 1).tobytes()
+
+
 def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc_id, n, h1, h2 and the prefix (8 bytes per shingle) of each document with words."""
+    """doc_id, n, h1, h2, the prefix (8 bytes per shingle) and the parity signature of each
+    document with words."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    schema = "doc_id bigint, n bigint, h1 bigint, h2 bigint, prefix binary"
+    schema = "doc_id bigint, n bigint, h1 bigint, h2 bigint, prefix binary, signature binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -142,8 +159,8 @@ def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
                 n = len(shingles)
                 if n:
                     rows.append((doc_id, n, *set_hash(shingles), in_order(
-                        shingles, shared.value)[:prefix_length(n, percent)].tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "h1", "h2", "prefix"])
+                        shingles, shared.value)[:prefix_length(n, percent)].tobytes(), signature(shingles)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "h1", "h2", "prefix", "signature"])
 
     return docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull()).mapInPandas(
         run, schema)
@@ -233,6 +250,68 @@ def meetings(bucketed: DataFrame, percent: int) -> DataFrame:
         lambda f: run(f), "meeting bigint, groups array<bigint>")
 
 
+def possible(n: np.ndarray, docs: np.ndarray, signatures: list[bytes], percent: int) -> np.ndarray:
+    """Which of several groups can be similar to another one, by size and signature: sets of
+    similarity t differ in at most (1 - t) / (1 + t) of the sum of their sizes. Signatures of
+    unequal length are compared at the shorter one, to which the longer folds. A group of several
+    documents has as many sets, so only its size tells."""
+    fits = np.zeros(len(n), bool)
+    many = docs > 1
+    if many.any():
+        small, large = np.minimum(n[many][:, None], n), np.maximum(n[many][:, None], n)
+        ok = 100 * small >= percent * large
+        ok[np.arange(len(ok)), np.flatnonzero(many)] = False
+        fits[many] |= ok.any(1)
+        fits |= ok.any(0)
+    sizes = np.where(many, 0, [8 * len(x) for x in signatures])
+    for bits in np.unique(sizes[sizes > 0]):
+        own, longer = np.flatnonzero(sizes == bits), np.flatnonzero(sizes == 2 * bits)
+        at, k = np.concatenate([own, longer]), len(own)
+        if len(at) < 2:
+            continue
+        raw = lambda places: np.frombuffer(b"".join(signatures[j] for j in places), np.uint8)
+        rows = raw(own).reshape(k, bits // 8)
+        if len(longer):
+            halves = raw(longer).reshape(len(longer), 2, bits // 8)
+            rows = np.concatenate([rows, halves[:, 0] ^ halves[:, 1]])
+        differ = np.zeros((k, len(at)), np.float32)
+        for start in range(0, bits // 8, 256):
+            part = np.unpackbits(rows[:, start:start + 256], axis=1).astype(np.float32)
+            ones = part.sum(1)
+            differ += ones[:k, None] + ones[None, :] - 2 * (part[:k] @ part.T)
+        small, large = np.minimum(n[own][:, None], n[at]), np.maximum(n[own][:, None], n[at])
+        ok = ((100 + percent) * differ <= (100 - percent) * (small + large)) & (
+            100 * small >= percent * large)
+        ok[np.arange(k), np.arange(k)] = False
+        fits[own] |= ok.any(1)
+        fits[at] |= ok.any(0)
+    return fits
+
+
+def pruned(lists: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """``lists`` without the groups that signatures keep from every other of their list."""
+    n_buckets = max(1, math.ceil(lists.count() / MEETINGS_PER_BUCKET))
+    rows = lists.select("meeting", F.explode("groups").alias("group")).join(
+        groups.select("group", "n", "docs", "signature"), "group").withColumn(
+        "bucket", F.pmod(F.xxhash64("meeting"), F.lit(n_buckets)))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("meeting")
+        meeting, n = frame["meeting"].to_numpy(), frame["n"].to_numpy()
+        group, signatures = frame["group"].to_numpy(), list(frame["signature"])
+        docs = frame["docs"].to_numpy()
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(meeting)) + 1, [len(meeting)]])
+        out = []
+        for a, b in zip(cut[:-1], cut[1:]):
+            fits = possible(n[a:b], docs[a:b], signatures[a:b], percent)
+            if fits.any():
+                out.append((meeting[a], group[a:b][fits].tolist()))
+        return pd.DataFrame(out, columns=["meeting", "groups"])
+
+    return rows.groupBy("bucket").applyInPandas(
+        lambda f: run(f), "meeting bigint, groups array<bigint>")
+
+
 # --- 4: verification ----------------------------------------------------------
 
 
@@ -288,12 +367,18 @@ def verified(members: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     wanted = members.select("doc_id").distinct()
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates()
 
+    n_buckets = max(1, math.ceil(members.count() / BLOCK_DOCS))
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        sets = [H.shingle_set(t, size) for t in frame["text"]]
-        links = forest(sets, frame["doc_id"].to_numpy(), percent)
+        links = []
+        for _, own in frame.groupby("family", sort=False):
+            sets = [H.shingle_set(t, size) for t in own["text"]]
+            links += forest(sets, own["doc_id"].to_numpy(), percent)
         return pd.DataFrame(links, columns=["a", "b"])
 
-    return members.join(texts, "doc_id").groupBy("family").applyInPandas(
+    # Many families per bucket; each is bounded, and so is what a bucket holds.
+    return members.join(texts, "doc_id").withColumn(
+        "bucket", F.pmod(F.xxhash64("family"), F.lit(n_buckets))).groupBy("bucket").applyInPandas(
         lambda f: run(f), "a bigint, b bigint")
 
 
@@ -359,9 +444,11 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
         "group", "n", "docs", "prefix")
     total = found.agg(F.sum(F.length("prefix")) / 8).first()[0] or 0
     n_buckets = max(1, math.ceil(total / POSTINGS_PER_BUCKET))
-    lists = C.written(meetings(postings(groups, counts, n_buckets), percent).dropDuplicates(
+    met = C.written(meetings(postings(groups, counts, n_buckets), percent).dropDuplicates(
         ["meeting"]))
     heads = members.filter("doc_id = group").select("group", "docs", "n")
+    lists = C.written(pruned(met, heads.join(found.select(
+        F.col("doc_id").alias("group"), "signature"), "group"), percent))
     families = C.written(family_members(lists, heads, members.select("doc_id", "group")))
     labels = components(C.written(verified(families, docs, size, percent)))
     named = C.written(classes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
