@@ -407,22 +407,27 @@ def comment_batches(spark, sf):
 # --- lifecycle ---------------------------------------------------------------
 
 _LAST = ("x_last", "SELECT change_id, max(revision) AS revision FROM x_comments GROUP BY 1")
-_CURRENT = ("x_current", "SELECT c.* FROM x_comments c JOIN x_last USING (change_id, revision)")
+# Some changes have no run now, some have one that found nothing.
+_NOW = ("x_now", "SELECT change_id FROM x_last WHERE change_id % 11 <> 3")
+_CURRENT = ("x_current", "SELECT c.* FROM x_comments c JOIN x_last USING (change_id, revision) "
+            "JOIN x_now USING (change_id) WHERE change_id % 7 <> 2")
 _POSTED = ("x_posted", "SELECT c.* FROM x_comments c JOIN x_last l ON l.change_id = c.change_id "
            "AND c.revision < l.revision")
 _EXISTING = ("x_existing", """
 SELECT change_id, comment_id, max(seq) AS seq, arg_max(body, seq) AS body FROM x_posted
 WHERE seq % 13 <> 0 GROUP BY ALL""")
-_LIFE = (_COMMENTS, _LAST, _CURRENT, _POSTED, _EXISTING)
+_LIFE = (_COMMENTS, _LAST, _NOW, _CURRENT, _POSTED, _EXISTING)
 
 
 def runs_split(spark, sf):
-    """(comments of each change's last run, comments of the runs before)."""
+    """(comments of each change's last run, comments of the runs before, changes with a run)."""
     c = X.comments(spark, sf)
     last = c.groupBy("change_id").agg(F.max("revision").alias("last"))
     tagged = c.join(last, "change_id")
-    return (tagged.filter(F.col("revision") == F.col("last")).drop("last"),
-            tagged.filter(F.col("revision") < F.col("last")).drop("last"))
+    runs = last.select("change_id").filter(F.col("change_id") % 11 != 3)
+    current = tagged.filter((F.col("revision") == F.col("last")) & (F.col("change_id") % 11 != 3)
+                            & (F.col("change_id") % 7 != 2)).drop("last")
+    return current, tagged.filter(F.col("revision") < F.col("last")).drop("last"), runs
 
 
 @query("extract_marker", """
@@ -441,20 +446,21 @@ def existing_comments(spark, sf):
 SELECT change_id, comment_id, seq FROM x_current c WHERE NOT EXISTS (SELECT 1 FROM x_existing e
   WHERE e.change_id = c.change_id AND e.comment_id = c.comment_id)""", views=_LIFE)
 def new_comments(spark, sf):
-    current, posted = runs_split(spark, sf)
+    current, posted, _ = runs_split(spark, sf)
     return Y.new_comments(current, Y.existing_comments(posted)).select(
         "change_id", "comment_id", "seq")
 
 
 _RESOLVED = ("x_resolved", """
-SELECT * FROM x_existing e WHERE NOT EXISTS (SELECT 1 FROM x_current c
-  WHERE e.change_id = c.change_id AND e.comment_id = c.comment_id)""")
+SELECT * FROM x_existing e WHERE change_id IN (SELECT change_id FROM x_now)
+  AND NOT EXISTS (SELECT 1 FROM x_current c
+    WHERE e.change_id = c.change_id AND e.comment_id = c.comment_id)""")
 
 
 @query("resolved_comments", "SELECT * FROM x_resolved", views=(*_LIFE, _RESOLVED))
 def resolved_comments(spark, sf):
-    current, posted = runs_split(spark, sf)
-    return Y.resolved_comments(current, Y.existing_comments(posted))
+    current, posted, runs = runs_split(spark, sf)
+    return Y.resolved_comments(current, Y.existing_comments(posted), runs)
 
 
 @query("mark_resolved", f"""
@@ -462,8 +468,8 @@ SELECT change_id, comment_id, seq, seq % 7 <> 0 AS updated,
   CASE WHEN seq % 7 <> 0 THEN {sql_text(C.RESOLVED_BADGE)} ELSE '' END || body AS body
 FROM x_resolved""", views=(*_LIFE, _RESOLVED))
 def mark_resolved(spark, sf):
-    current, posted = runs_split(spark, sf)
-    return Y.mark_resolved(Y.resolved_comments(current, Y.existing_comments(posted)))
+    current, posted, runs = runs_split(spark, sf)
+    return Y.mark_resolved(Y.resolved_comments(current, Y.existing_comments(posted), runs))
 
 
 @query("summary_upsert", f"""
@@ -483,33 +489,42 @@ def summary_upsert(spark, sf):
 
 
 @query("lifecycle_stats", """
-SELECT change_id, CAST(sum(CAST(is_old AS INT)) AS BIGINT) AS existing_comments,
-  CAST(sum(CASE WHEN NOT is_old THEN n ELSE 0 END) AS BIGINT) AS new_comments,
-  CAST(sum(CASE WHEN is_old THEN n ELSE 0 END) AS BIGINT) AS duplicates_skipped,
-  CAST(sum(CASE WHEN is_old AND n = 0 AND seq % 7 <> 0 THEN 1 ELSE 0 END) AS BIGINT)
+SELECT change_id, CAST(coalesce(sum(CAST(is_old AS INT)), 0) AS BIGINT) AS existing_comments,
+  CAST(coalesce(sum(CASE WHEN NOT is_old THEN n ELSE 0 END), 0) AS BIGINT) AS new_comments,
+  CAST(coalesce(sum(CASE WHEN is_old THEN n ELSE 0 END), 0) AS BIGINT) AS duplicates_skipped,
+  CAST(coalesce(sum(CASE WHEN is_old AND n = 0 AND seq % 7 <> 0 THEN 1 ELSE 0 END), 0) AS BIGINT)
     AS resolved_marked
-FROM (SELECT change_id, comment_id, e.seq IS NOT NULL AS is_old, e.seq, coalesce(c.n, 0) AS n
+FROM x_now LEFT JOIN (SELECT change_id, comment_id, e.seq IS NOT NULL AS is_old, e.seq, coalesce(c.n, 0) AS n
   FROM x_existing e FULL JOIN (SELECT change_id, comment_id, count(*) AS n FROM x_current
-    GROUP BY ALL) c USING (change_id, comment_id)) t GROUP BY change_id""", views=_LIFE)
+    GROUP BY ALL) c USING (change_id, comment_id)) t USING (change_id) GROUP BY change_id""",
+       views=_LIFE)
 def lifecycle_stats(spark, sf):
-    current, posted = runs_split(spark, sf)
-    return Y.lifecycle_stats(current, posted)
+    current, posted, runs = runs_split(spark, sf)
+    return Y.lifecycle_stats(current, posted, runs)
 
 
 def review_runs(spark, sf):
-    """Runs of every change: one row each, with its comment ids."""
-    return X.comments(spark, sf).groupBy("change_id", "revision").agg(
-        F.array_sort(F.collect_set("comment_id")).alias("comment_ids"))
+    """Runs of every change, flat: a row per comment and one for the run; some runs found
+    nothing."""
+    c = X.comments(spark, sf).select("change_id", "revision", F.when(
+        ~_EMPTY_RUN, F.col("comment_id")).alias("comment_id"))
+    return c.unionByName(c.select("change_id", "revision", F.lit(None).cast("string").alias(
+        "comment_id"))).distinct()
+
+
+_EMPTY_RUN = (F.col("change_id") + F.col("revision")) % 17 == 0
 
 
 @query("lifecycle_stream", """
 SELECT p.change_id, p.comment_id, p.posted_revision, (
   SELECT min(r.revision) FROM x_runs r WHERE r.change_id = p.change_id
-    AND r.revision > p.posted_revision AND NOT EXISTS (SELECT 1 FROM x_comments c
+    AND r.revision > p.posted_revision AND NOT EXISTS (SELECT 1 FROM x_held c
       WHERE c.change_id = p.change_id AND c.comment_id = p.comment_id AND c.revision = r.revision))
   AS resolved_revision
-FROM (SELECT change_id, comment_id, min(revision) AS posted_revision FROM x_comments GROUP BY ALL) p
-""", views=(_COMMENTS, ("x_runs", "SELECT DISTINCT change_id, revision FROM x_comments")))
+FROM (SELECT change_id, comment_id, min(revision) AS posted_revision FROM x_held GROUP BY ALL) p
+""", views=(_COMMENTS,
+            ("x_held", "SELECT * FROM x_comments WHERE (change_id + revision) % 17 <> 0"),
+            ("x_runs", "SELECT DISTINCT change_id, revision FROM x_comments")))
 def lifecycle_stream(spark, sf):
     """Runs arrive as files of a few days each, in order; all are streamed."""
     import uuid
@@ -517,10 +532,10 @@ def lifecycle_stream(spark, sf):
     review_runs(spark, sf).write.parquet(f"{folder}/all")
     runs = spark.read.schema(S.RUN_SCHEMA).parquet(f"{folder}/all")
     for part in range(3):  # 31 days at most
-        runs.filter(F.floor((F.col("revision") - 1) / 11) == part).coalesce(1).write.mode(
-            "append").parquet(f"{folder}/runs")
+        runs.filter(F.floor((F.col("revision") - 1) / 11) == part).repartition(
+            "change_id").write.mode("append").parquet(f"{folder}/runs")
     table = S.StateTable(spark, f"{folder}/state", compact_every=2)
-    stream = spark.readStream.schema(S.RUN_SCHEMA).option("maxFilesPerTrigger", 1).parquet(
+    stream = spark.readStream.schema(S.RUN_SCHEMA).option("maxFilesPerTrigger", 8).parquet(
         f"{folder}/runs")
     S.start(stream, table, f"{folder}/checkpoint").awaitTermination()
     return table.ids()

@@ -28,10 +28,13 @@ def new_comments(current: DataFrame, existing: DataFrame) -> DataFrame:
                         ["change_id", "comment_id"], "left_anti")
 
 
-def resolved_comments(current: DataFrame, existing: DataFrame) -> DataFrame:
-    """Posted comments absent from the current run of their change."""
-    return existing.join(current.select("change_id", "comment_id"),
-                         ["change_id", "comment_id"], "left_anti")
+def resolved_comments(current: DataFrame, existing: DataFrame, runs: DataFrame) -> DataFrame:
+    """Posted comments absent from the current run of their change.
+
+    runs: change_id of every change that has a run now, also one that found nothing. Comments of
+    changes without a run stay as they are."""
+    return existing.join(runs.select("change_id").distinct(), "change_id", "left_semi").join(
+        current.select("change_id", "comment_id"), ["change_id", "comment_id"], "left_anti")
 
 
 def mark_resolved(resolved: DataFrame) -> DataFrame:
@@ -56,12 +59,13 @@ def summary_upsert(issue_comments: DataFrame, summaries: DataFrame,
         "seq", "body")
 
 
-def lifecycle_stats(current: DataFrame, posted: DataFrame, bot: str = C.BOT_NAME) -> DataFrame:
+def lifecycle_stats(current: DataFrame, posted: DataFrame, runs: DataFrame,
+                    bot: str = C.BOT_NAME) -> DataFrame:
     """Existing, new, skipped and resolved counts per change that has a run now.
 
-    Everything known of a (change, id) meets in one row first; the counts per
-    change then combine map-side, so a change with very many comments is not
-    gathered anywhere."""
+    runs: change_id of every such change; one that found nothing resolves all it had. Everything
+    known of a (change, id) meets in one row first; the counts per change then combine map-side, so
+    a change with very many comments is not gathered anywhere."""
     now = current.groupBy("change_id", "comment_id").agg(F.count("*").alias("now_n"))
     old = existing_comments(posted, bot).select("change_id", "comment_id", "body")
     both = old.withColumn("old", F.lit(True)).join(now, ["change_id", "comment_id"], "full")
@@ -72,6 +76,6 @@ def lifecycle_stats(current: DataFrame, posted: DataFrame, bot: str = C.BOT_NAME
         F.count_if(is_old).alias("existing_comments"),
         F.coalesce(F.sum(F.when(~is_old, F.col("now_n"))), F.lit(0)).alias("new_comments"),
         F.coalesce(F.sum(F.when(is_old, F.col("now_n"))), F.lit(0)).alias("duplicates_skipped"),
-        F.count_if(is_old & ~has_now & unmarked).alias("resolved_marked"),
-        F.bool_or(has_now).alias("_runs"))
-    return stats.filter("_runs").drop("_runs")
+        F.count_if(is_old & ~has_now & unmarked).alias("resolved_marked"))
+    counts = [c for c in stats.columns if c != "change_id"]
+    return runs.select("change_id").distinct().join(stats, "change_id", "left").na.fill(0, counts)

@@ -1,19 +1,22 @@
 """The comment lifecycle over a stream of review runs.
 
-Input rows are whole runs: (change_id, revision, comment_ids). State is a table
-of what was ever posted per (change, comment id): the run that posted it, the run
-that marked it resolved, and per change the last run applied. A returning issue
-is not posted again and keeps its badge.
+Input rows are flat: (change_id, revision, comment_id), one per comment of a run and
+one with a null id for the run itself, so that a run that found nothing exists too.
+State is a table of what was ever posted per (change, comment id): the run that
+posted it, the run that marked it resolved, and per change the last run applied. A
+returning issue is not posted again and keeps its badge.
 
 Each micro-batch first stages its runs, sorted into fresh and late ones, and then
 appends one delta of ids. A delta only ever sets values that merge by min or max,
 and its folder is named by the batch id, so replaying a batch overwrites it and
-changes nothing. Every ``compact_every`` batches the merged state is written as a
-new base, so a read is one base and few deltas.
+changes nothing. A batch counts once its commit row is written, after its data.
+Every ``compact_every`` batches the merged state is written as a new base, so a read
+is one base and few deltas; a batch merges only the state of its own changes.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,32 +25,32 @@ from patchloom.functions.ranking import bucketed_lead
 
 IDS_SCHEMA = "change_id bigint, comment_id string, posted_revision bigint, resolved_revision bigint"
 LAST_SCHEMA = "change_id bigint, last_revision bigint"
-RUN_SCHEMA = "change_id bigint, revision bigint, comment_ids array<string>"
+RUN_SCHEMA = "change_id bigint, revision bigint, comment_id string"
 
 
 STAGED_SCHEMA = RUN_SCHEMA + ", late boolean"
 
 
 def stage_runs(runs: DataFrame, last: DataFrame) -> DataFrame:
-    """Runs with ``late`` set where not newer than the last one applied to their
-    change. A run given twice in one batch counts once."""
-    once = runs.groupBy("change_id", "revision").agg(F.min("comment_ids").alias("comment_ids"))
-    return once.join(last, "change_id", "left").select(
-        "change_id", "revision", "comment_ids",
+    """Rows of runs with ``late`` set where their run is not newer than the last one
+    applied to its change. Rows given twice count once."""
+    return runs.distinct().join(last, "change_id", "left").select(
+        "change_id", "revision", "comment_id",
         F.coalesce(F.col("revision") <= F.col("last_revision"), F.lit(False)).alias("late"))
 
 
 def apply_fresh(ids: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Rows of IDS_SCHEMA that fresh runs add or alter.
+    """Rows of IDS_SCHEMA that the rows of fresh runs add or alter.
 
     Each run knows the next run of its change. An id is absent for the first time
     in the run after the first one that holds it while the next does not; that is
     seen from the rows of one (change, id) alone, so no pair of runs is formed and
     a change with very many comments is spread over its ids."""
-    linked = bucketed_lead(fresh, ["change_id"], "revision", "next_revision", width=1000)
-    starts = fresh.groupBy("change_id").agg(F.min("revision").alias("first_revision"))
-    present = linked.select("change_id", "revision", "next_revision",
-                            F.explode(F.array_distinct("comment_ids")).alias("comment_id"))
+    runs = fresh.select("change_id", "revision").distinct()
+    linked = bucketed_lead(runs, ["change_id"], "revision", "next_revision", width=1000)
+    starts = runs.groupBy("change_id").agg(F.min("revision").alias("first_revision"))
+    present = fresh.filter(F.col("comment_id").isNotNull()).distinct().join(
+        linked, ["change_id", "revision"])
     by_id = Window.partitionBy("change_id", "comment_id").orderBy("revision")
     ends = ~F.coalesce(F.lead("revision").over(by_id) == F.col("next_revision"), F.lit(False))
     seen = present.withColumn("ends", ends).groupBy("change_id", "comment_id").agg(
@@ -85,19 +88,15 @@ class StateTable:
         self.spark, self.folder, self.compact_every = spark, folder.rstrip("/"), compact_every
 
     def _batches(self, kind: str) -> list[int]:
-        """Batch ids whose folder was written completely."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
+        """Batch ids of a kind whose commit row is there: a row per batch and kind."""
+        try:
+            commits = self.spark.read.schema("kind string, batch bigint").parquet(
+                f"{self.folder}/commits")
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
             return []
-        done = []
-        for status in fs.listStatus(path):
-            name = status.getPath().getName()
-            if name.startswith("batch=") and fs.exists(
-                    jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-                done.append(int(name.removeprefix("batch=")))
-        return sorted(done)
+        return sorted({r["batch"] for r in commits.filter(F.col("kind") == kind).collect()})
 
     def _read(self, kind: str, schema: str, batches: list[int]) -> DataFrame:
         paths = [f"{self.folder}/{kind}/batch={b}" for b in batches]
@@ -111,11 +110,15 @@ class StateTable:
         after = bases[0] if bases else -1
         return bases, [b for b in self._batches(kind) if after < b < before]
 
-    def ids(self, before: int = 2 ** 62) -> DataFrame:
-        """Posted and resolved runs per (change, id) as of the batches before one."""
+    def ids(self, before: int = 2 ** 62, changes: DataFrame | None = None) -> DataFrame:
+        """Posted and resolved runs per (change, id) as of the batches before one, of
+        all changes or of those in ``changes``."""
         bases, deltas = self._since_base("ids", before)
-        return merge_ids(self._read("ids_base", IDS_SCHEMA, bases).unionByName(
-            self._read("ids", IDS_SCHEMA, deltas)))
+        rows = self._read("ids_base", IDS_SCHEMA, bases).unionByName(
+            self._read("ids", IDS_SCHEMA, deltas))
+        if changes is not None:
+            rows = rows.join(changes, "change_id", "left_semi")
+        return merge_ids(rows)
 
     def last(self, before: int = 2 ** 62) -> DataFrame:
         """Last run applied per change."""
@@ -131,12 +134,15 @@ class StateTable:
 
     def _write(self, df: DataFrame, kind: str, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.folder}/{kind}/batch={batch_id}")
+        self.spark.createDataFrame([(kind, batch_id)], "kind string, batch bigint").coalesce(
+            1).write.mode("append").parquet(f"{self.folder}/commits")
 
     def apply(self, runs: DataFrame, batch_id: int) -> None:
         """One micro-batch."""
         self._write(stage_runs(runs, self.last(batch_id)), "runs", batch_id)
         fresh = self._read("runs", STAGED_SCHEMA, [batch_id]).filter(~F.col("late")).drop("late")
-        self._write(apply_fresh(self.ids(batch_id), fresh), "ids", batch_id)
+        changes = fresh.select("change_id").distinct()
+        self._write(apply_fresh(self.ids(batch_id, changes), fresh), "ids", batch_id)
         if (batch_id + 1) % self.compact_every == 0:
             self._write(self.ids(batch_id + 1), "ids_base", batch_id)
             self._write(self.last(batch_id + 1), "runs_base", batch_id)

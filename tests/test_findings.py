@@ -90,5 +90,18 @@ def test_lifecycle_keeps_repeats_and_marks_once(spark):
     old = Y.existing_comments(posted)
     assert {(r.comment_id, r.seq) for r in old.collect()} == {("a", 3), ("b", 2), ("z", 5)}
     assert Y.new_comments(current, old).count() == 2
-    stats = Y.lifecycle_stats(current, posted).collect()
-    assert [tuple(r) for r in stats] == [(1, 2, 2, 1, 0)]
+    runs = spark.createDataFrame([(1,), (3,)], "change_id bigint")
+    stats = Y.lifecycle_stats(current, posted, runs).orderBy("change_id").collect()
+    assert [tuple(r) for r in stats] == [(1, 2, 2, 1, 0), (3, 0, 0, 0, 0)]
+
+
+def test_only_changes_with_a_run_resolve_and_an_empty_run_resolves_all(spark):
+    mark = lambda i: f"<!-- {C.BOT_NAME}:id={i} -->"
+    posted = spark.createDataFrame([(1, 1, mark("a")), (2, 2, mark("b")), (3, 3, mark("c"))],
+                                   "change_id bigint, seq bigint, body string")
+    current = spark.createDataFrame([(1, "a")], "change_id bigint, comment_id string")
+    runs = spark.createDataFrame([(1,), (2,)], "change_id bigint")
+    resolved = Y.resolved_comments(current, Y.existing_comments(posted), runs)
+    assert [r.comment_id for r in resolved.collect()] == ["b"]
+    stats = Y.lifecycle_stats(current, posted, runs).orderBy("change_id").collect()
+    assert [tuple(r) for r in stats] == [(1, 1, 0, 1, 0), (2, 1, 0, 0, 1)]
