@@ -103,20 +103,22 @@ def flat(df, *columns):
 @query("manifest_sources", """
 SELECT lower('Org/R' || g) AS repo_id, sha1('' || g) AS revision, path,
   CASE WHEN item_id % 2 = 0 THEN 'api,src' ELSE '' END AS applies_to, md5(text) AS digest
-FROM (SELECT *, CAST(floor(item_id / 10) AS BIGINT) AS g, 'docs/' || item_id || '.md' AS path,
-  count(*) OVER (PARTITION BY floor(item_id / 10)) AS n FROM benchmark) t
-WHERE item_id % 7 <> 0""")
+FROM (SELECT *, CAST(floor(item_id / 10) AS BIGINT) AS g, 'docs/' || item_id || '.md' AS path
+  FROM benchmark) t WHERE g % 4 <> 1 AND g % 5 <> 2""")
 def manifest_sources(spark, sf):
+    """Every fourth manifest misses a file, every fifth names one by a bad path."""
     i = F.col("item_id")
-    g = F.floor(i / 10).cast("string")
+    number = F.floor(i / 10)
+    g = number.cast("string")
     path = F.concat(F.lit("docs/"), i.cast("string"), F.lit(".md"))
+    named = F.when((number % 5 == 2) & (i % 10 == 0), F.concat(F.lit("docs/../"), path)).otherwise(path)
     items = X.table(spark, sf, "benchmark")
-    entry = F.struct(path.alias("path"), F.when(
+    entry = F.struct(named.alias("path"), F.when(
         i % 2 == 0, F.array(F.lit("src"), F.lit("api"), F.lit("src"))).alias("applies_to"))
     manifests = items.groupBy(g.alias("g")).agg(F.collect_list(entry).alias("sources")).select(
         F.concat(F.lit("Org/R"), "g").alias("repo_id"), F.sha1("g").alias("revision"),
         F.to_json(F.struct("sources")).alias("manifest"))
-    blobs = items.filter(i % 7 != 0).select(
+    blobs = items.filter((number % 4 != 1) | (i % 10 != 0)).select(
         F.sha1(g).alias("revision"), path.alias("path"), F.col("text").alias("content"))
     return flat(U.manifest_sources(manifests, blobs), "applies_to").withColumn(
         "digest", F.md5("content")).drop("content")

@@ -151,9 +151,9 @@ EMBEDDER_NAME = "fixture-hash-v1"
 # --- fixed values: guidance patterns ----------------------------------------
 HEADING = r"^ {0,3}#{1,6}\s+(.*)"
 FENCE = r"^ {0,3}(`{3,}|~{3,})"
-REPO_ID = r"^[a-z0-9_.-]+/[a-z0-9_.-]+$"
-COMMIT = r"^[0-9a-f]{40}$"
-DECISION_ID = r"^[a-zA-Z0-9_-]{1,80}$"
+REPO_ID = r"\A[a-z0-9_.-]+/[a-z0-9_.-]+\z"
+COMMIT = r"\A[0-9a-f]{40}\z"
+DECISION_ID = r"\A[a-zA-Z0-9_-]{1,80}\z"
 
 # --- fixed values: comment labels -------------------------------------------
 SEVERITY_LABELS = {

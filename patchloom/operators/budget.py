@@ -18,9 +18,10 @@ from patchloom.functions import text as T
 # pandas, but not this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-IN_ROW_FILES = 4096  # up to here a change is packed inside one row
-SEGMENT = 4096       # file positions per segment of a larger change
+SEGMENT = 4096       # file positions per segment of a change
+BUCKETS = 64         # groups that segments, and changes, are dealt to per step
 
+SEGMENT_KEY = ["change_id", "p", "segment"]
 CHUNK_SCHEMA = "change_id bigint, seq bigint, chunk_no bigint"
 
 
@@ -37,26 +38,6 @@ def file_priority(contexts: DataFrame) -> DataFrame:
         "priority": P.packing_priority(F.col("path"), start)})
 
 
-def _pack_in_row(files: DataFrame, limit: int) -> DataFrame:
-    """Next-fit over the sorted files of one row; for changes of few files."""
-    listed = files.groupBy("change_id").agg(F.array_sort(F.collect_list(F.struct(
-        (-F.col("priority")).alias("p"), "seq", "tokens"))).alias("fs"))
-
-    def step(acc, f):
-        fits = acc.used + f.tokens <= limit
-        # A first file over the limit starts no second chunk.
-        chunk = F.when(fits | (F.size(acc.out) == 0), acc.chunk).otherwise(acc.chunk + 1)
-        return F.struct(
-            chunk.alias("chunk"),
-            F.when(fits, acc.used + f.tokens).otherwise(f.tokens).alias("used"),
-            F.concat(acc.out, F.array(F.struct(f.seq.alias("seq"), chunk.alias("chunk_no"))))
-            .alias("out"))
-    zero = F.struct(
-        F.lit(0).cast("bigint").alias("chunk"), F.lit(0).cast("bigint").alias("used"),
-        F.array().cast("array<struct<seq:bigint,chunk_no:bigint>>").alias("out"))
-    return listed.select("change_id", F.inline(F.aggregate("fs", zero, step, lambda a: a.out)))
-
-
 def _next_break(ends: np.ndarray, start: int, used: int, limit: int) -> int:
     """Position of the first file that does not fit, from ``start`` with ``used``
     tokens taken; ``ends`` are running token sums."""
@@ -64,31 +45,44 @@ def _next_break(ends: np.ndarray, start: int, used: int, limit: int) -> int:
     return int(np.searchsorted(ends, limit - used + before, side="right"))
 
 
-def _segment_effect(limit: int):
+def _runs(rows: pd.DataFrame, keys: list[str]):
+    """(key, first, end) of runs of equal keys in sorted rows."""
+    if not len(rows):
+        return
+    values = rows[keys].to_numpy()
+    cut = np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1
+    for a, b in zip([0, *cut], [*cut, len(rows)]):
+        yield tuple(int(v) for v in values[a]), a, b
+
+
+def _segment_effect(tokens: np.ndarray, limit: int) -> tuple:
     """A segment as a step function of the tokens taken on entry: for each way it
     can first break, how many chunks it starts and what it leaves taken. Chains
     from neighbouring breaks soon meet, so few distinct steps are left."""
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        tokens = rows.sort_values("seq")["tokens"].to_numpy()
-        ends, n = np.cumsum(tokens), len(tokens)
-        starts, left = np.zeros(n + 1, "int64"), np.zeros(n + 1, "int64")
-        for k in range(n - 1, -1, -1):
-            # tokens[k] alone may exceed the limit; it still fills its chunk alone
-            nxt = max(_next_break(ends, k, 0, limit), k + 1)
-            if nxt >= n:
-                starts[k], left[k] = 1, ends[-1] - (ends[k - 1] if k else 0)
-            else:
-                starts[k], left[k] = 1 + starts[nxt], left[nxt]
-        steps = []  # (entry tokens from which on, chunks started, tokens left)
-        for k in range(n - 1, -1, -1):
-            floor = limit - ends[k] + 1  # first break at k or before from here on
-            if not steps or steps[-1][1:] != (starts[k], left[k]):
-                steps.append((int(max(floor, 0)), int(starts[k]), int(left[k])))
-        return pd.DataFrame({
-            "change_id": [key[0]], "p": [key[1]], "segment": [key[2]],
-            "total": [int(ends[-1])], "first_tokens": [int(tokens[0])],
-            "floors": [[s[0] for s in steps]], "starts": [[s[1] for s in steps]],
-            "lefts": [[s[2] for s in steps]]})
+    ends, n = np.cumsum(tokens), len(tokens)
+    starts, left = np.zeros(n + 1, "int64"), np.zeros(n + 1, "int64")
+    for k in range(n - 1, -1, -1):
+        # tokens[k] alone may exceed the limit; it still fills its chunk alone
+        nxt = max(_next_break(ends, k, 0, limit), k + 1)
+        if nxt >= n:
+            starts[k], left[k] = 1, ends[-1] - (ends[k - 1] if k else 0)
+        else:
+            starts[k], left[k] = 1 + starts[nxt], left[nxt]
+    steps = []  # (entry tokens from which on, chunks started, tokens left)
+    for k in range(n - 1, -1, -1):
+        floor = limit - ends[k] + 1  # first break at k or before from here on
+        if not steps or steps[-1][1:] != (starts[k], left[k]):
+            steps.append((int(max(floor, 0)), int(starts[k]), int(left[k])))
+    return (int(ends[-1]), int(tokens[0]), *[[s[i] for s in steps] for i in range(3)])
+
+
+def _effects(limit: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([*SEGMENT_KEY, "seq"])
+        tokens = rows["tokens"].to_numpy()
+        return pd.DataFrame(
+            [(*key, *_segment_effect(tokens[a:b], limit)) for key, a, b in _runs(rows, SEGMENT_KEY)],
+            columns=[*SEGMENT_KEY, "total", "first_tokens", "floors", "starts", "lefts"])
     return run
 
 
@@ -96,13 +90,12 @@ def _chain(limit: int):
     """Tokens taken and chunk number on entry to each segment of a change, in
     order; works on one short row per segment."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["p", "segment"])
-        used, chunk, fresh = 0, 0, True
-        out = []
-        for r in rows.itertuples(index=False):
+        out, change = [], None
+        for r in rows.sort_values(SEGMENT_KEY).itertuples(index=False):
+            if r.change_id != change:
+                change, used, chunk, fresh = r.change_id, 0, 0, True
             out.append((r.change_id, r.p, r.segment, used, chunk, fresh))
-            floors = np.asarray(r.floors)
-            hit = int(np.searchsorted(floors, used, side="right")) - 1
+            hit = int(np.searchsorted(np.asarray(r.floors), used, side="right")) - 1
             if used + r.total <= limit:
                 used += r.total
             else:
@@ -112,66 +105,61 @@ def _chain(limit: int):
                 chunk += opened - (1 if fresh and r.first_tokens > limit else 0)
                 used = int(r.lefts[hit])
             fresh = False
-        return pd.DataFrame(out, columns=["change_id", "p", "segment", "used", "chunk", "fresh"])
+        return pd.DataFrame(out, columns=[*SEGMENT_KEY, "used", "chunk", "fresh"])
     return run
 
 
-def _number_segment(limit: int):
-    def run(key: tuple, rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        tokens = rows["tokens"].to_numpy()
-        e = entry.iloc[0]
-        ends, n = np.cumsum(tokens), len(tokens)
-        numbers = np.empty(n, "int64")
-        at, used, chunk, fresh = 0, int(e["used"]), int(e["chunk"]), bool(e["fresh"])
-        while at < n:
-            stop = _next_break(ends, at, used, limit)
-            if stop <= at:  # the file at hand does not fit: it starts a chunk
-                chunk += 0 if fresh and at == 0 else 1
-                stop = max(_next_break(ends, at, 0, limit), at + 1)
-            numbers[at:stop] = chunk
-            at, used = stop, limit + 1  # whatever comes next did not fit
+def _number(limit: int):
+    def run(rows: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([*SEGMENT_KEY, "seq"])
+        entry = {tuple(int(v) for v in e[:3]): e[3:] for e in entries[
+            [*SEGMENT_KEY, "used", "chunk", "fresh"]].itertuples(index=False, name=None)}
+        tokens, numbers = rows["tokens"].to_numpy(), np.empty(len(rows), "int64")
+        for key, a, b in _runs(rows, SEGMENT_KEY):
+            ends, (used, chunk, fresh), at = np.cumsum(tokens[a:b]), entry[key], 0
+            while at < b - a:
+                stop = _next_break(ends, at, used, limit)
+                if stop <= at:  # the file at hand does not fit: it starts a chunk
+                    chunk += 0 if fresh and at == 0 else 1
+                    stop = max(_next_break(ends, at, 0, limit), at + 1)
+                numbers[a + at:a + stop] = chunk
+                at, used = stop, limit + 1  # whatever comes next did not fit
         return pd.DataFrame({"change_id": rows["change_id"].to_numpy(),
                              "seq": rows["seq"].to_numpy(), "chunk_no": numbers})
     return run
 
 
-def _pack_in_segments(files: DataFrame, limit: int, segment: int = SEGMENT) -> DataFrame:
-    """The same packing for changes of very many files. Segments are worked out
-    side by side as step functions; only these, one short row per segment, are
-    chained per change; then the segments are numbered side by side."""
+def chunk_numbers(files: DataFrame, limit: int, segment: int = SEGMENT,
+                  buckets: int = BUCKETS) -> DataFrame:
+    """(change_id, seq, chunk_no) from change_id, seq, tokens, priority.
+
+    Next-fit is a fold, but a segment of a change can be worked out without what came before it,
+    as a step function. Segments of all changes are worked out side by side; only the functions,
+    one short row per segment, are chained per change; then the segments are numbered side by
+    side. Changes of any size take this way. A group holds a share of all segments, not one."""
     keyed = files.select(
         "change_id", (-F.col("priority")).alias("p"),
-        F.floor(F.col("seq") / segment).cast("bigint").alias("segment"), "seq", "tokens")
-    keys = ["change_id", "p", "segment"]
-    effects = keyed.groupBy(*keys).applyInPandas(
-        _segment_effect(limit),
+        F.floor(F.col("seq") / segment).cast("bigint").alias("segment"), "seq", "tokens",
+        F.pmod(F.xxhash64("change_id", -F.col("priority"), F.floor(F.col("seq") / segment)),
+               F.lit(buckets)).alias("bucket"))
+    effects = keyed.groupBy("bucket").applyInPandas(
+        _effects(limit),
         "change_id bigint, p bigint, segment bigint, total bigint, first_tokens bigint, "
         "floors array<bigint>, starts array<bigint>, lefts array<bigint>")
-    entries = effects.groupBy("change_id").applyInPandas(
+    entries = effects.groupBy(F.pmod(F.xxhash64("change_id"), F.lit(buckets))).applyInPandas(
         _chain(limit), "change_id bigint, p bigint, segment bigint, used bigint, chunk bigint, "
-        "fresh boolean")
-    return keyed.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(
-        _number_segment(limit), CHUNK_SCHEMA)
-
-
-def chunk_numbers(files: DataFrame, limit: int, in_row: int = IN_ROW_FILES,
-                  segment: int = SEGMENT) -> DataFrame:
-    """(change_id, seq, chunk_no) from change_id, seq, tokens, priority."""
-    files = files.select("change_id", "seq", "tokens", "priority")
-    many = files.groupBy("change_id").count().filter(F.col("count") > in_row).select("change_id")
-    small = files.join(many, "change_id", "left_anti")
-    large = files.join(many, "change_id", "left_semi")
-    return _pack_in_row(small, limit).unionByName(_pack_in_segments(large, limit, segment))
+        "fresh boolean").withColumn("bucket", F.pmod(
+            F.xxhash64("change_id", "p", "segment"), F.lit(buckets)))
+    return keyed.groupBy("bucket").cogroup(entries.groupBy("bucket")).applyInPandas(
+        _number(limit), CHUNK_SCHEMA)
 
 
 def pack_chunks(contexts: DataFrame, max_prompt: int = C.MAX_PROMPT_TOKENS,
-                system: int = C.SYSTEM_TOKENS, in_row: int = IN_ROW_FILES,
-                segment: int = SEGMENT) -> DataFrame:
+                system: int = C.SYSTEM_TOKENS, segment: int = SEGMENT) -> DataFrame:
     """Next-fit packing in priority order; a file over the budget has a chunk of
     its own. Only ids and numbers are shuffled, never the texts."""
     sized = file_priority(contexts).select("change_id", "seq", "path", "tokens", "priority")
-    chunks = chunk_numbers(sized, available_tokens(max_prompt, system), in_row, segment)
+    chunks = chunk_numbers(sized, available_tokens(max_prompt, system), segment)
     return sized.join(chunks, ["change_id", "seq"])
 
 

@@ -107,7 +107,7 @@ def valid_paths(paths: DataFrame) -> DataFrame:
 
 
 def contract_checks(sources: DataFrame) -> DataFrame:
-    """Names of the bounds each guidance source row breaks, comma-joined.
+    """Names of the bounds each guidance source row breaks, comma-joined; a null breaks its bound.
 
     Columns in: repo_id, revision, path, content, applies_to, k."""
     scopes = F.col("applies_to")
@@ -123,5 +123,6 @@ def contract_checks(sources: DataFrame) -> DataFrame:
                                 | ~F.length(s).between(1, 300))),
         ("k", ~F.col("k").between(1, C.MAX_K)),
     )
-    failed = F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in bounds]))
+    failed = F.array_compact(F.array(*[
+        F.when(F.coalesce(broken, F.lit(True)), F.lit(name)) for name, broken in bounds]))
     return sources.select("repo_id", "path", F.array_join(failed, ",").alias("failed"))

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,21 +35,42 @@ def sorted_scopes(scopes: Column) -> Column:
     return F.array_sort(F.array_distinct(scopes))
 
 
-def manifest_sources(manifests: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Manifest entries with their file text at one commit.
-
-    manifests: repo_id, revision, manifest (JSON); blobs: revision, path, content.
-    A manifest with more than 32 entries is refused whole."""
+def _manifest_entries(manifests: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Entries of all manifests with their text and ``error``: the manifest is unreadable, holds no
+    or too many entries, or the entry's path is not valid, or the commit has no such file."""
     entries = F.from_json(
         "manifest", "struct<sources array<struct<path string, applies_to array<string>>>>").sources
     none = F.array().cast("array<string>")
-    rows = manifests.select(F.lower("repo_id").alias("repo_id"), "revision", entries.alias("e")
-                            ).filter(F.size("e") <= C.MANIFEST_SOURCES)
-    return rows.select("repo_id", "revision", F.explode("e").alias("s")).filter(
-        P.is_valid_path(F.col("s.path"))
-    ).select("repo_id", "revision", F.col("s.path").alias("path"),
-             sorted_scopes(F.coalesce("s.applies_to", none)).alias("applies_to")
-             ).join(blobs, ["revision", "path"])
+    size = F.size("e")
+    rows = manifests.select(
+        F.lower("repo_id").alias("repo_id"), "revision", entries.alias("e")).select(
+        "repo_id", "revision", F.when(F.coalesce(size, F.lit(-1)) < 1, "manifest").when(
+            size > C.MANIFEST_SOURCES, "manifest_size").alias("whole"),
+        F.explode_outer("e").alias("s"))
+    paths = rows.select("repo_id", "revision", "whole", F.col("s.path").alias("path"),
+                        sorted_scopes(F.coalesce("s.applies_to", none)).alias("applies_to"))
+    found = paths.join(blobs.select("revision", "path", "content"), ["revision", "path"], "left")
+    bad_path = ~F.coalesce(P.is_valid_path(F.col("path")), F.lit(False))
+    return found.withColumn("error", F.coalesce(
+        "whole", F.when(bad_path, "path").when(F.col("content").isNull(), "file")))
+
+
+def manifest_errors(manifests: DataFrame, blobs: DataFrame) -> DataFrame:
+    """(repo_id, revision, path, error) of what is wrong with refused manifests."""
+    return _manifest_entries(manifests, blobs).filter(F.col("error").isNotNull()).select(
+        "repo_id", "revision", "path", "error").distinct()
+
+
+def manifest_sources(manifests: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Manifest entries with their file text at one commit.
+
+    manifests: repo_id, revision, manifest (JSON); blobs: revision, path, content. A manifest with
+    an error is refused whole, so that a snapshot never shrinks unseen; ``manifest_errors`` says
+    why."""
+    bad = manifest_errors(manifests, blobs).select("repo_id", "revision").distinct()
+    return _manifest_entries(manifests, blobs).filter(F.col("error").isNull()).join(
+        bad, ["repo_id", "revision"], "left_anti").select(
+        "repo_id", "revision", "path", "applies_to", "content")
 
 
 # --- excerpts ----------------------------------------------------------------
@@ -368,19 +390,27 @@ def replace_snapshot(items: DataFrame, store: DataFrame, snapshots: DataFrame,
 
 
 def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces the two vectors of each row by their cosine; the vectors are read
-    in place as one matrix each."""
+    """Replaces the two vectors of each row by their cosine, null if one is null, zero, not finite
+    or of another length; vectors of one length are read as one matrix each."""
     for batch in batches:
         n = batch.num_rows
         if n == 0:
             continue
-        q, s = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype("float64")
-                .reshape(n, -1) for c in ("_qv", "_sv"))
-        norms = np.sqrt(np.einsum("ij,ij->i", q, q) * np.einsum("ij,ij->i", s, s))
-        cosine = np.round(np.einsum("ij,ij->i", q, s) / norms, 6)
+        q, s = batch.column("_qv"), batch.column("_sv")
+        sizes = [np.array([-1 if x is None else x for x in pc.list_value_length(v).to_pylist()])
+                 for v in (q, s)]
+        cosine = np.full(n, np.nan)
+        for size in np.unique(sizes[0][(sizes[0] == sizes[1]) & (sizes[0] > 0)]):
+            own = (sizes[0] == size) & (sizes[1] == size)
+            a, b = (v.filter(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(
+                "float64").reshape(-1, size) for v in (q, s))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                norms = np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
+                cosine[own] = np.round(np.einsum("ij,ij->i", a, b) / norms, 6)
         kept = [c for c in batch.schema.names if c not in ("_qv", "_sv")]
         yield pa.RecordBatch.from_arrays(
-            [*[batch.column(c) for c in kept], pa.array(cosine)], [*kept, "similarity"])
+            [*[batch.column(c) for c in kept], pa.array(cosine, mask=~np.isfinite(cosine))],
+            [*kept, "similarity"])
 
 
 def scope_match(queries: DataFrame, store: DataFrame) -> DataFrame:
@@ -431,9 +461,9 @@ def retrieve_guidance(requests: DataFrame, store: DataFrame, repos: DataFrame,
                       embedder: str = C.EMBEDDER_NAME) -> DataFrame:
     """Matches of all changes: (change_id, file_no, changed_path, source_id,
     similarity, rank). requests: output of ``guidance_queries``; repos: change_id,
-    repo_id."""
-    queries = embed(requests.withColumn("text", F.col("query_text"))).join(
-        repos.select("change_id", F.lower("repo_id").alias("repo_id")), "change_id").select(
+    repo_id. Only texts of changes with a repository are embedded."""
+    queries = embed(requests.withColumn("text", F.col("query_text")).join(
+        repos.select("change_id", F.lower("repo_id").alias("repo_id")), "change_id")).select(
         F.struct("change_id", "file_no").alias("query_id"), "repo_id",
         F.col("path").alias("query_path"), F.lit(embedder).alias("embedder"), "embedding")
     found = cosine_topk(queries, store, min(k, C.MAX_K), min_similarity)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from patchloom import constants as C
+from patchloom.functions import paths as P
 from patchloom.operators import diff as D
 from patchloom.operators import filters as L
 from patchloom.operators import guidance as U
@@ -24,10 +26,16 @@ def index_run(sources: DataFrame, store: GuidanceStore, version: int,
     store.write(rows, accepted, version)
 
 
-def retrieve_run(diffs: DataFrame, store: GuidanceStore, repos: DataFrame,
+def retrieve_run(diffs: DataFrame, heads: DataFrame, store: GuidanceStore, repos: DataFrame,
                  k: int = C.DEFAULT_K, min_similarity: float = C.MIN_SIMILARITY,
-                 embed=U.fixture_embedder, embedder: str = C.EMBEDDER_NAME) -> DataFrame:
-    """Matches for the reviewable files of all changes; repos: change_id, repo_id."""
-    files = L.reviewable_files(D.diff_files(diffs, with_hunks=True))
+                 embed=U.fixture_embedder, embedder: str = C.EMBEDDER_NAME,
+                 extra_ignore=()) -> DataFrame:
+    """Matches for the reviewable files of all changes; repos: change_id, repo_id.
+
+    Only files with head text (``heads``: change_id, path, content) in an analysed language ask."""
+    files = L.reviewable_files(D.diff_files(diffs, with_hunks=True), extra_ignore).filter(
+        P.language(F.col("path")).isNotNull()).join(
+        heads.filter(F.col("content") != "").select("change_id", "path").distinct(),
+        ["change_id", "path"], "left_semi")
     return U.retrieve_guidance(U.guidance_queries(D.added_text(files)), store.read(), repos, k,
                                min_similarity, embed, embedder)

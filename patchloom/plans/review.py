@@ -22,10 +22,11 @@ def check_run(diffs: DataFrame, heads: DataFrame, min_severity: str = "nitpick",
 
 def review_run(diffs: DataFrame, heads: DataFrame, responses: DataFrame, attempts: DataFrame,
                matches: DataFrame | None = None, min_severity: str = "nitpick",
-               max_comments: int = C.MAX_COMMENTS, bot: str = C.BOT_NAME) -> dict[str, DataFrame]:
+               max_comments: int = C.MAX_COMMENTS, bot: str = C.BOT_NAME,
+               rules=R.DEFAULT_RULES, extra_ignore=()) -> dict[str, DataFrame]:
     """Diffs, head files, model answers and patch attempts to findings, comments,
     summaries and totals. ``attempts`` is keyed by (change_id, src, k1, k2, k3)."""
-    files = L.reviewable_files(D.diff_files(diffs, with_hunks=True))
+    files = L.reviewable_files(D.diff_files(diffs, with_hunks=True), extra_ignore)
     changes = D.changes_of_hunks(D.hunk_rows(files))
     lines = L.changed_line_text(files, heads)
     # A change without a reviewable file ends here: no answer, comment or summary.
@@ -42,7 +43,7 @@ def review_run(diffs: DataFrame, heads: DataFrame, responses: DataFrame, attempt
         plain = model.join(has_guidance, "change_id", "left_anti").withColumn(
             "is_guidance", F.lit(False))
         model = plain.unionByName(guided, allowMissingColumns=True)
-    found = N.merge_findings(R.rule_scan(lines, min_severity=min_severity), model)
+    found = N.merge_findings(R.rule_scan(lines, rules, min_severity), model)
     tried = attempts.select("change_id", *N.ORDER, "sandbox_on", "first_ok", "first_stdout",
                             "first_stderr", "repair_code", "repair_ok")
     verified = N.verification_status(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,21 +29,26 @@ def get_spark(app_name: str = "patchloom", master: str | None = None,
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints. Only a local session
-    (tests) may fall back to a fresh temporary one."""
+    """The folder the cluster names for checkpoints. Only a local session that names none (tests)
+    falls back to a fresh temporary one, the same for the life of the session."""
     folder = spark.conf.get(CHECKPOINT_KEY, "") or spark.sparkContext.getConf().get(
         CHECKPOINT_KEY, "")
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith(
+            "local-cluster"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="patchloom-")
-    spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+    return _own_folder(spark.sparkContext.applicationId)
+
+
+@functools.cache
+def _own_folder(application_id: str) -> str:
+    return tempfile.mkdtemp(prefix=f"patchloom-{application_id}-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

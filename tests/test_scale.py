@@ -42,7 +42,7 @@ def next_fit(files, limit):
     return out
 
 
-def test_pack_in_row_and_in_segments(spark):
+def test_packing_equals_next_fit_whatever_the_segments(spark):
     rnd = random.Random(3)
     for limit in (10, 100, 1000):
         changes = {c: [(s, rnd.choice((0, 1, 5, 9, 40, 120)), rnd.choice((0, 5, 10)))
@@ -50,11 +50,11 @@ def test_pack_in_row_and_in_segments(spark):
         changes[9] = [(0, limit + 1, 0), (1, 0, 0), (2, limit, 0)]
         df = spark.createDataFrame([(c, *f) for c, fs in changes.items() for f in fs],
                                    "change_id bigint, seq bigint, tokens bigint, priority bigint")
-        for in_row in (1000, 0):
+        for segment in (16, 4096):
             got = {}
-            for r in B.chunk_numbers(df, limit, in_row=in_row, segment=16).collect():
+            for r in B.chunk_numbers(df, limit, segment=segment, buckets=7).collect():
                 got.setdefault(r.change_id, {})[r.seq] = r.chunk_no
-            assert got == {c: next_fit(fs, limit) for c, fs in changes.items()}, (limit, in_row)
+            assert got == {c: next_fit(fs, limit) for c, fs in changes.items()}, (limit, segment)
 
 
 def cut(text, limit):
