@@ -36,7 +36,7 @@ from patchloom.llm import hashing as H
 LENGTH = 50
 ANCHOR = 24
 BLOCK_BYTES = 8_000_000
-CHUNK = 1 << 19              # bytes worked on at a time
+CHUNK = 1 << 15              # bytes worked on at a time: arrays of them stay in the cache
 PLACE_BITS = 20              # places inside a chunk
 HOT_DOCS = 4_096             # documents with one anchor, beyond which windows are dealt singly
 # A window dealt singly; one that several documents of its block hold, of which the block is told
@@ -115,7 +115,8 @@ def segments(data, start, size, length: int, anchor: int):
                                          | (windows[1:] != windows[:-1] + 1)]))
     first = windows[cut]
     number = np.diff(np.concatenate([cut, [len(windows)]]))
-    return first, number, hashes[own[cut]], np.searchsorted(start, first, "right") - 1
+    # The least of several hashes is small; scrambled once more, keys are even over buckets.
+    return first, number, H.mixed(hashes[own[cut]]), np.searchsorted(start, first, "right") - 1
 
 
 def content_keys(data, first, size) -> np.ndarray:
