@@ -27,26 +27,26 @@ SELECT CAST(floor(doc_id / 20) AS BIGINT) AS change_id, doc_id,
   unnest(range(0, CAST(ceil(len(string_split(text, chr(10))) / 10.0) AS BIGINT))) AS i
 FROM documents""")
 _PY_FN = ("x_py_fn", """
-SELECT change_id, path, u.name, u.s + 16 * i AS start_line, u.e + 16 * i AS end_line,
+SELECT change_id, path, u.name, u.s + 25 * i AS start_line, u.e + 25 * i AS end_line,
   u.parameters, u.return_type, u.docstring, u.is_method, u.is_async, u.class_name, u.decorators
 FROM (SELECT *, unnest([
-  {name: 'f' || i, s: 3, e: 8, parameters: '(a, b=(1, 2))', return_type: 'int',
+  {name: 'f' || i, s: 3, e: 17, parameters: '(a, b=(1, 2))', return_type: 'int',
    docstring: 'Doc ' || i || '.', is_method: false, is_async: true, class_name: NULL,
    decorators: 'cached|retry(2)'},
-  {name: 'm' || i, s: 12, e: 13, parameters: '(self)', return_type: NULL, docstring: NULL,
+  {name: 'm' || i, s: 21, e: 22, parameters: '(self)', return_type: NULL, docstring: NULL,
    is_method: true, is_async: false, class_name: 'C' || i, decorators: ''},
-  {name: 'deep', s: 15, e: 15, parameters: '(self)', return_type: NULL, docstring: NULL,
+  {name: 'deep', s: 24, e: 24, parameters: '(self)', return_type: NULL, docstring: NULL,
    is_method: true, is_async: false, class_name: 'Inner' || i, decorators: ''}]) AS u
   FROM x_code WHERE doc_id % 2 = 0) t""")
 _PY_CLASS = ("x_py_class", """
-SELECT change_id, path, u.name, u.s + 16 * i AS start_line, 15 + 16 * i AS end_line,
+SELECT change_id, path, u.name, u.s + 25 * i AS start_line, 24 + 25 * i AS end_line,
   u.base_classes, u.docstring
 FROM (SELECT *, unnest([
-  {name: 'C' || i, s: 10, base_classes: 'Base|pkg.Mixin', docstring: 'Class ' || i},
-  {name: 'Inner' || i, s: 14, base_classes: '', docstring: NULL}]) AS u
+  {name: 'C' || i, s: 19, base_classes: 'Base|pkg.Mixin', docstring: 'Class ' || i},
+  {name: 'Inner' || i, s: 23, base_classes: '', docstring: NULL}]) AS u
   FROM x_code WHERE doc_id % 2 = 0) t""")
 _JS_FN = ("x_js_fn", """
-SELECT change_id, path, u.name, u.s + 16 * i AS start_line, u.e + 16 * i AS end_line,
+SELECT change_id, path, u.name, u.s + 25 * i AS start_line, u.e + 25 * i AS end_line,
   u.parameters, CAST(NULL AS VARCHAR) AS return_type, u.docstring, u.is_method, u.is_async,
   u.class_name, '' AS decorators
 FROM (SELECT *, unnest([
@@ -58,7 +58,7 @@ FROM (SELECT *, unnest([
    is_async: false, class_name: 'K' || i}]) AS u
   FROM x_code WHERE doc_id % 2 = 1) t""")
 _JS_CLASS = ("x_js_class", """
-SELECT change_id, path, 'K' || i AS name, 10 + 16 * i AS start_line, 15 + 16 * i AS end_line,
+SELECT change_id, path, 'K' || i AS name, 10 + 25 * i AS start_line, 15 + 25 * i AS end_line,
   CASE WHEN path LIKE '%.js' THEN 'Base' ELSE '' END AS base_classes,
   CAST(NULL AS VARCHAR) AS docstring FROM x_code WHERE doc_id % 2 = 1""")
 _SYMBOLS = (_CODE, _PY_FN, _PY_CLASS, _JS_FN, _JS_CLASS)
@@ -91,7 +91,7 @@ def class_methods(spark, sf):
 
 
 @query("py_imports", """
-SELECT change_id, path, 16 * i + 1 AS seq, 'import mod' || i AS import_text FROM x_code
+SELECT change_id, path, 25 * i + 1 AS seq, 'import mod' || i AS import_text FROM x_code
 WHERE doc_id % 2 = 0""", views=_SYMBOLS)
 def py_imports(spark, sf):
     return S.imports_of(S.py_outline(S.py_statements(X.code(spark, sf))))
@@ -277,20 +277,20 @@ SELECT p.change_id, CAST(k AS BIGINT) AS seq, CASE k WHEN 0 THEN 'system' ELSE '
   AS content
 FROM (SELECT DISTINCT change_id FROM fx_files) p LEFT JOIN (
   SELECT change_id, '[' || string_agg('{{"changed_path": ' || {_ASCII.format('path')}
-    || ', "id": "g' || file_id || '", "excerpt": ' || {_ASCII.format("'😀' || substr(content, 1, 300)")
+    || ', "id": "g' || file_id || '", "excerpt": ' || {_ASCII.format("'😀' || content")
       .replace("printf('", "CASE WHEN c = '😀' THEN '\\ud83d\\ude00' ELSE printf('")
       .replace("unicode(c)) ELSE", "unicode(c)) END ELSE")}
     || '}}', ', ' ORDER BY file_id) || ']' AS data
-  FROM fx_files WHERE file_id % 4 = 0 AND change_id % 3 <> 0 GROUP BY 1) d
+  FROM fx_files WHERE change_id % 3 <> 0 GROUP BY 1) d
   ON d.change_id = p.change_id, (SELECT unnest([0, 1]) AS k) k""")
 def chat_messages(spark, sf):
     f = X.files(spark, sf)
     prompts = f.select("change_id").distinct().withColumn(
         "prompt", F.concat(F.lit("P"), F.col("change_id").cast("string")))
-    matches = f.filter((F.col("file_id") % 4 == 0) & (F.col("change_id") % 3 != 0)).select(
+    matches = f.filter(F.col("change_id") % 3 != 0).select(
         "change_id", F.col("file_id").alias("seq"), F.col("path").alias("changed_path"),
         F.concat(F.lit("g"), F.col("file_id").cast("string")).alias("source_id"),
-        F.concat(F.lit("😀"), F.substring("content", 1, 300)).alias("excerpt"))
+        F.concat(F.lit("😀"), F.col("content")).alias("excerpt"))
     return K.chat_messages(prompts, matches)
 
 

@@ -270,7 +270,7 @@ def responses(spark, sf_dir) -> DataFrame:
         F.lit("}"))
     return documents(spark, sf_dir).select(
         d.alias("change_id"),
-        F.when(d % 11 == 0, F.substring("text", 1, 200)).otherwise(good).alias("json"))
+        F.when(d % 11 == 0, F.col("text")).otherwise(good).alias("json"))
 
 
 @memo
@@ -337,8 +337,7 @@ def sources(spark, sf_dir) -> DataFrame:
         n = i + 1
         return (F.when(n % 31 == 5, "```").when(n % 31 == 9, "```")
                 .when(n % 31 == 7, "# not a heading")
-                .when(n % 9 == 1, F.concat(F.lit("## "), F.substring(raw, 1, 200)))
-                .otherwise(F.substring(raw, 1, 1500)))
+                .when(n % 9 == 1, F.concat(F.lit("## "), raw)).otherwise(raw))
     scope = (F.when(d % 4 == 1, F.array(F.lit("src"))).when(d % 4 == 2, F.array(F.lit("src/auth")))
              .when(d % 4 == 3, F.array(F.lit("tests"), F.lit("deploy")))
              .otherwise(F.array().cast("array<string>")))
@@ -418,16 +417,20 @@ def eval_cases(spark, sf_dir) -> DataFrame:
 
 @memo
 def code(spark, sf_dir) -> DataFrame:
-    """Source files of 16-line blocks, one block per ten lines of a document: the
-    even documents in Python, the others in JavaScript or TypeScript."""
+    """Source files of 25-line blocks, one block per ten lines of a document, all ten as comments:
+    the even documents in Python, the others in JavaScript or TypeScript."""
     d = F.col("doc_id")
+    lines = F.split("text", "\n")
 
     def block(i):
         n = i.cast("string")
-        raw = F.get(F.split("text", "\n"), (i * 10).cast("int"))
+
+        def raws(mark):
+            return F.concat_ws("\n", *[F.concat(F.lit(mark), F.coalesce(
+                F.get("lines", (i * 10 + k).cast("int")), F.lit(""))) for k in range(10)])
         python = F.concat(
             F.lit("import mod"), n, F.lit("\n\n@cached\n@retry(2)\nasync def f"), n,
-            F.lit("(a, b=(1, 2)) -> int:\n    \"\"\"Doc "), n, F.lit(".\"\"\"\n    # "), raw,
+            F.lit("(a, b=(1, 2)) -> int:\n    \"\"\"Doc "), n, F.lit(".\"\"\"\n"), raws("    # "),
             F.lit("\n    return a\n\nclass C"), n, F.lit("(Base, pkg.Mixin):\n    '''Class "), n,
             F.lit("'''\n    def m"), n, F.lit("(self):\n        return 1\n    class Inner"), n,
             F.lit(":\n        def deep(self): pass\n"))
@@ -436,12 +439,11 @@ def code(spark, sf_dir) -> DataFrame:
             F.lit(".\n */\nfunction g"), n, F.lit("(a, b) {\n  if (a) { return b; }\n  return a;\n}"
                                                 "\nconst h"), n,
             F.lit(" = async x => x + 1;\nexport class K"), n,
-            F.lit(" extends Base {\n  /** Runs. */\n  run(x) {\n    return x;\n  }\n}\n// "), raw)
+            F.lit(" extends Base {\n  /** Runs. */\n  run(x) {\n    return x;\n  }\n}\n"), raws("// "))
         return F.when(d % 2 == 0, python).otherwise(script)
     blocks = F.transform(F.sequence(
-        F.lit(0).cast("bigint"),
-        (F.ceil(F.size(F.split("text", "\n")) / 10) - 1).cast("bigint")), block)
-    return documents(spark, sf_dir).select(
+        F.lit(0).cast("bigint"), (F.ceil(F.size("lines") / 10) - 1).cast("bigint")), block)
+    return documents(spark, sf_dir).withColumn("lines", lines).select(
         F.floor(d / 20).cast("bigint").alias("change_id"),
         F.concat(F.lit("src/c"), d.cast("string"), F.when(d % 2 == 0, ".py").when(
             d % 4 == 1, ".js").otherwise(".ts")).alias("path"),

@@ -31,10 +31,13 @@ SELECT *, regexp_matches(line, '^ {0,3}#{1,6}\s+') AS is_heading,
   trim(regexp_replace(line, '^ {0,3}(`{3,}|~{3,})', '')) = '' AS bare
 FROM (SELECT doc_id, n, count(*) OVER (PARTITION BY doc_id) AS total,
     CASE WHEN n % 31 IN (5, 9) THEN '```' WHEN n % 31 = 7 THEN '# not a heading'
-      WHEN n % 9 = 1 THEN '## ' || substr(raw, 1, 200) ELSE substr(raw, 1, 1500) END AS line
+      WHEN n % 9 = 1 THEN '## ' || raw ELSE raw END AS line
   FROM (SELECT doc_id, CAST(i AS BIGINT) AS n, raw FROM documents,
     unnest(string_split(text, chr(10))) WITH ORDINALITY AS t(raw, i)) a) b
-WHERE NOT (n = total AND line = '')""")
+WHERE NOT (n = total AND line = '') AND doc_id NOT IN (SELECT doc_id FROM x_long)""")
+_LONG = ("x_long", """
+SELECT DISTINCT doc_id FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS t(raw, n)
+WHERE n % 31 NOT IN (5, 7, 9) AND length(raw) + CASE WHEN n % 9 = 1 THEN 3 ELSE 0 END > 1500""")
 _FOLD = ("x_fold", """
 SELECT doc_id, CAST(0 AS BIGINT) AS n, CAST(1 AS BIGINT) AS first, CAST(0 AS BIGINT) AS cnt,
   CAST(0 AS BIGINT) AS length, '' AS heading, '' AS fence, false AS flush,
@@ -86,8 +89,9 @@ WHERE repo_id NOT IN (SELECT repo_id FROM (SELECT repo_id FROM x_md_items UNION
     SELECT repo_id FROM x_dec_items) b GROUP BY 1 HAVING count(*) > 100)
   AND repo_id NOT IN (SELECT repo_id FROM x_source GROUP BY repo_id, path HAVING count(*) > 1)
   AND repo_id NOT IN (SELECT repo_id FROM x_dec GROUP BY repo_id, path, id HAVING count(*) > 1)
-  AND repo_id NOT IN (SELECT repo_id FROM x_dec WHERE length(decision) > 1800)""")
-_MD = (_SOURCE, _MD_LINES, _FOLD, _SPANS, _CHUNKS, _MD_ITEMS)
+  AND repo_id NOT IN (SELECT repo_id FROM x_dec WHERE length(decision) > 1800)
+  AND repo_id NOT IN (SELECT repo_id FROM x_source JOIN x_long USING (doc_id))""")
+_MD = (_SOURCE, _LONG, _MD_LINES, _FOLD, _SPANS, _CHUNKS, _MD_ITEMS)
 _ALL = (*_MD, _DEC_SOURCE, _DEC_ITEMS, _ITEMS)
 _ITEM_ROW = """repo_id, source_id, kind, path, revision, locator, excerpt,
   array_to_string(scopes, ',') AS scopes"""
