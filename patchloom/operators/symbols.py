@@ -26,8 +26,10 @@ FUNCTION_COLUMNS = [*FILE, "name", "start_line", "end_line", "parameters", "retu
 
 # Balanced parentheses to a depth of four, without backtracking.
 _PARENS = r"\((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+\)"
-_DEF = rf"^\s*(async\s+)?def\s+(\w+)\s*(?:\[[^\]]*\])?({_PARENS})\s*(?:->\s*([^:]+?)\s*)?:"
-_CLASS = rf"^\s*class\s+(\w+)\s*(?:\[[^\]]*\])?({_PARENS})?\s*:"
+# Deeper ones run up to the first closing bracket that the header's colon follows.
+_PARAMETERS = rf"(?:{_PARENS}|\((?s:.*?)\)(?=\s*(?:->[^:\n]*)?:))"
+_DEF = rf"^\s*(async\s+)?def\s+(\w+)\s*(?:\[[^\]]*\])?({_PARAMETERS})\s*(?:->\s*([^:]+?)\s*)?:"
+_CLASS = rf"^\s*class\s+(\w+)\s*(?:\[[^\]]*\])?({_PARAMETERS})?\s*:"
 _IMPORT = r"^\s*((?:from\s+[\w.]+\s+)?import\b\s*(?:\([^)]*\)|(?:[^\n#\\]|\\\n)*))"
 _DOC = r"\s*(?:#[^\n]*\n\s*)*(?:\x22{3}((?s:.*?))\x22{3}|'{3}((?s:.*?))'{3})"
 
@@ -110,12 +112,25 @@ def _split_blocks(rows: DataFrame) -> DataFrame:
         F.when(F.col("lines").isNull(), passed).otherwise(F.flatten(wanted))))
 
 
-def py_statements(files: DataFrame, depth: int = 3) -> DataFrame:
+def class_levels(files: DataFrame) -> int:
+    """The most levels on which Python files open classes, by the indentation of
+    their class lines; nesting cannot be deeper."""
+    lines = F.filter(T.lines_of(F.col("content")), lambda x: x.rlike(r"^\s*class\b"))
+    indents = F.array_distinct(F.transform(lines, lambda x: F.length(
+        F.regexp_extract(x, r"^\s*", 0))))
+    return files.agg(F.max(F.size(indents))).first()[0] or 0
+
+
+def py_statements(files: DataFrame, depth: int | None = None) -> DataFrame:
     """Definitions and imports at the top level and in class bodies, with classes
-    nested up to ``depth`` levels; what is inside functions, ``if`` or ``try`` is
-    not listed."""
+    nested to any depth; what is inside functions, ``if`` or ``try`` is not listed.
+
+    ``depth`` is the number of levels to look into; without it, it is read from the
+    files first, so that the plan has as many steps as these files need."""
     none = F.lit(None)
-    rows = _language_files(files, "python").select(
+    files = _language_files(files, "python")
+    depth = class_levels(files) + 1 if depth is None else depth
+    rows = files.select(
         *FILE, none.cast("string").alias("class_name"), none.cast("bigint").alias("start_line"),
         none.cast("bigint").alias("end_line"), none.cast("array<string>").alias("decorators"),
         none.cast("array<string>").alias("block"), T.lines_of(F.col("content")).alias("lines"),

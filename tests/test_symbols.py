@@ -91,3 +91,15 @@ def test_outline(spark):
     assert sorted(r.import_text for r in rows if r.kind == "import") == [
         "from pathlib import (\n    Path,\n)", "import os", "import re",
         "import { readFile } from 'fs/promises';"]
+
+
+def test_any_depth_of_classes_and_brackets(spark):
+    code = "".join("    " * k + f"class L{k}:\n" + "    " * (k + 1) + f"def m{k}(self):\n"
+                   + "    " * (k + 2) + "pass\n" for k in range(6))
+    code += "def deep(a=((((((1,)))))), b: int = 2) -> int:\n    return a\n"
+    files = spark.createDataFrame([(1, "a.py", code)], "change_id bigint, path string, content string")
+    out = S.py_outline(S.py_statements(files))
+    assert sorted(r.name for r in S.classes_of(out).collect()) == [f"L{k}" for k in range(6)]
+    found = {r.name: (r.class_name, r.parameters) for r in S.functions_of(out).collect()}
+    assert found == {**{f"m{k}": (f"L{k}", "(self)") for k in range(6)},
+                     "deep": (None, "(a=((((((1,)))))), b: int = 2)")}
