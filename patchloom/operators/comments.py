@@ -128,25 +128,21 @@ def summary_body(counts: DataFrame, bot: str = C.BOT_NAME, title: str = C.BOT_TI
         F.col("risk_level")), F.lit(C.RISK_UNKNOWN))
     top = F.concat_ws(
         "\n",
-        F.lit(ids.summary_marker(bot)), F.lit(f"## 🔍 {title} Summary"), F.lit(""),
+        F.lit(ids.summary_marker(bot)), F.lit(C.SUMMARY_HEADING.format(title=title)), F.lit(""),
         F.when(F.coalesce("summary", F.lit("")) != "", F.concat("summary", F.lit("\n"))),
-        F.concat(F.lit("**Risk Level:** "), risk, F.lit(" "), T.capitalize(F.col("risk_level"))),
+        F.concat(F.lit(C.SUMMARY_RISK), risk, F.lit(" "), T.capitalize(F.col("risk_level"))),
         F.lit(""))
+    count = lambda text, n: F.concat(F.lit(text[0]), F.col(n).cast("string"), F.lit(text[1]))
     table = F.concat_ws(
         "\n",
-        F.lit("### Findings"), F.lit(""), F.lit("| Severity | Count |"),
-        F.lit("|:---------|------:|"),
+        *[F.lit(line) for line in C.SUMMARY_TABLE],
         *[F.when(F.col(s) > 0, F.concat(F.lit(f"| {s.capitalize()} | "),
                                         F.col(s).cast("string"), F.lit(" |")))
           for s in C.SEVERITIES_SHOWN],
         F.lit(""),
         F.when((F.col("verified") > 0) | (F.col("advisory") > 0), F.concat_ws(
-            "\n", F.lit("### Verification"),
-            F.concat(F.lit("- ✅ **"), F.col("verified").cast("string"),
-                     F.lit("** suggestions sandbox-verified (tests pass)")),
-            F.when(F.col("advisory") > 0, F.concat(
-                F.lit("- ⚠️ **"), F.col("advisory").cast("string"),
-                F.lit("** advisory comments (could not verify)"))),
+            "\n", F.lit(C.SUMMARY_VERIFICATION), count(C.SUMMARY_VERIFIED, "verified"),
+            F.when(F.col("advisory") > 0, count(C.SUMMARY_ADVISORY, "advisory")),
             F.lit(""))),
         F.lit("---"), F.lit(footer))
     return counts.select("change_id", F.concat_ws(
