@@ -22,11 +22,11 @@ from __future__ import annotations
 
 import hashlib
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +38,7 @@ ANCHOR = 24
 BLOCK_BYTES = 8_000_000
 CHUNK = 1 << 15              # bytes worked on at a time: arrays of them stay in the cache
 PLACE_BITS = 20              # places inside a chunk
+KEY_BITS = 48                # of an anchor's hash; two anchors with one key only cost some work
 HOT_DOCS = 4_096             # documents with one anchor, beyond which windows are dealt singly
 # A window dealt singly; one that several documents of its block hold, of which the block is told
 # in any case.
@@ -164,6 +165,17 @@ def unpacked(blob: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
+def planes(x: np.ndarray, n_bytes: int) -> np.ndarray:
+    """The low bytes of 64-bit values, byte place by byte place, which compresses well."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n_bytes].T)
+
+
+def from_planes(x: np.ndarray, n_bytes: int) -> np.ndarray:
+    out = np.zeros((len(x) // n_bytes, 8), np.uint8)
+    out[:, :n_bytes] = x.reshape(n_bytes, -1).T
+    return out.view("<u8").ravel()
+
+
 def rows_by(number: np.ndarray, name: str, make) -> pd.DataFrame:
     """A row (name, blob) per run of equal numbers; ``make`` packs a slice."""
     cut = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [len(number)]]).astype(int)
@@ -186,23 +198,27 @@ def send_anchors(frame: pd.DataFrame, length: int, anchor: int, n_buckets: int)
         _, _, h, piece = segments(data, start, size, length, anchor)
         hashes.append(h)
         docs.append(ids[doc[piece]])
-    keys, low, high, many, _ = least_of(np.concatenate(hashes), np.concatenate(docs))
+    keys, low, high, many, _ = least_of(
+        np.concatenate(hashes) >> np.uint64(64 - KEY_BITS), np.concatenate(docs))
     block, base = int(frame["block"].iloc[0]), int(low.min(initial=np.iinfo(np.int64).max))
-    # Ids as small differences, and a set's largest id only as "there is another one".
     offset = (low - base).astype(np.uint64)
-    offset = offset.astype(np.min_scalar_type(int(offset.max(initial=0))))
-    kind = np.array([offset.dtype.itemsize, base, block], np.int64)
-    return rows_by(in_buckets(keys, n_buckets), "bucket", lambda s: packed(
-        kind, keys[s], offset[s], np.minimum(many[s], 65535).astype(np.uint16)))
+    width = max(1, (int(offset.max(initial=0)).bit_length() + 7) // 8)
+    kind = np.array([width, base, block], np.int64)
+    # Keys go as differences of sorted values, ids as differences to the block's smallest.
+    return rows_by(in_buckets(keys << np.uint64(64 - KEY_BITS), n_buckets), "bucket",
+                   lambda s: packed(kind, planes(np.diff(keys[s], prepend=np.uint64(0)), KEY_BITS // 8),
+                                    planes(offset[s], width),
+                                    np.minimum(many[s], 65535).astype(np.uint16)))
 
 
 def find_shared(frame: pd.DataFrame) -> pd.DataFrame:
     parts = []
     for blob in frame["blob"]:
         kind = unpacked(blob, np.int64)[0]
-        _, keys, offset, many = unpacked(blob, np.int64, np.uint64, f"<u{kind[0]}", np.uint16)
-        parts.append((keys, offset.astype(np.int64) + kind[1], many.astype(np.int64),
-                      np.full(len(keys), kind[2])))
+        _, steps, offset, many = unpacked(blob, np.int64, np.uint8, np.uint8, np.uint16)
+        keys = np.cumsum(from_planes(steps, KEY_BITS // 8))
+        parts.append((keys, from_planes(offset, kind[0]).view(np.int64) + kind[1],
+                      many.astype(np.int64), np.full(len(keys), kind[2])))
     keys, low, many, block = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(keys, kind="stable")
     keys, low, many, block = keys[order], low[order], many[order], block[order]
@@ -230,8 +246,9 @@ def send_segments(frame: pd.DataFrame, shared: pd.DataFrame, length: int, anchor
     found = []
     for data, doc, start, size, _ in chunks(texts, length):
         first, number, h, piece = segments(data, start, size, length, anchor)
-        place = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-        hit = wanted[place] == h
+        short = h >> np.uint64(64 - KEY_BITS)
+        place = np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)
+        hit = wanted[place] == short
         single = hit & (hot[place] > 0)
         for own, whole in ((hit & ~single, True), (single, False)):
             f, n, key, p = first[own], number[own], h[own], piece[own]
@@ -258,11 +275,12 @@ def send_segments(frame: pd.DataFrame, shared: pd.DataFrame, length: int, anchor
     alone[at[(alone[at] > 0) & shared_here]] = SHARED_SINGLE
     at, low = at[order := np.argsort(route[at], kind="stable")], low[order]
     block = np.array([int(frame["block"].iloc[0])], np.int64)
+    pack = zstandard.ZstdCompressor(level=3)
     content, spans, begins, route, alone = (
         x[at] for x in (content, spans, begins, route, alone))
     return rows_by(in_buckets(route, n_buckets), "bucket", lambda s: packed(
-        block, content[s], low[s], spans[s].astype(np.int32), alone[s], np.frombuffer(zlib.compress(
-            gathered(text, begins[s], spans[s]).tobytes(), 1), np.uint8)))
+        block, content[s], low[s], spans[s].astype(np.int32), alone[s], np.frombuffer(
+            pack.compress(gathered(text, begins[s], spans[s]).tobytes()), np.uint8)))
 
 
 def suffix_order(text: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int):
@@ -306,7 +324,7 @@ def find_earlier(frame: pd.DataFrame, length: int) -> pd.DataFrame:
         block, content, low, spans, alone, text = unpacked(
             blob, np.int64, np.uint64, np.int64, np.int32, np.uint8, np.uint8)
         parts.append((np.full(len(content), block[0]), content, low, spans.astype(np.int64), alone,
-                      np.frombuffer(zlib.decompress(text.tobytes()), np.uint8)))
+                      np.frombuffer(zstandard.ZstdDecompressor().decompress(text.tobytes()), np.uint8)))
     block, content, low, spans, alone, text = (np.concatenate(x) for x in zip(*parts))
     del parts
     begins, number = np.cumsum(spans) - spans, spans - length + 1
