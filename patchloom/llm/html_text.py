@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -23,16 +24,19 @@ SURGE = 80                   # characters in a window that an unmarked article r
 LEAST_SHARE = 0.25           # of the largest stretch, that another one needs to be kept
 
 # --- fixed values: elements and words of HTML pages ---
-RAW = ("script style noscript template iframe svg math object title textarea select option "
-       "button canvas audio video head").split()
+RAW = ("script style noscript template iframe svg object title textarea select option "
+       "button canvas audio video annotation annotation-xml").split()
 BLOCKS = frozenset((
     "address article aside blockquote body br caption center dd details dialog dir div dl dt "
     "fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu "
-    "nav ol p pre section summary table tbody td tfoot th thead tr ul").split())
+    "nav ol p pre section summary table tbody td tfoot th thead tr ul head").split())
 CONTAINERS = frozenset((
     "article aside blockquote body details dialog div dl fieldset figure footer form header main "
     "menu nav ol pre section table tbody tr td th ul").split())
+WHOLE = frozenset("html head body".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
+HOLDERS = frozenset("html body main article div td".split())  # elements that hold whole articles
 ARTICLE = frozenset(["article", "main"])
 NO_ARTICLE = frozenset("nav aside footer form menu dialog fieldset".split())
 NO_ARTICLE_ROLES = frozenset(
@@ -51,44 +55,121 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)"
     r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>?)", re.DOTALL)
 ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE) for name in RAW}
+TEXT_ONLY = frozenset("script style iframe textarea title noscript".split())
+_BLOCK = "</?(?:" + "|".join(sorted(BLOCKS - {"hr", "br"})) + ")"
+NEXT_BLOCK = re.compile(_BLOCK + r"(?=[\s/>])", re.IGNORECASE)
+# Elements that also end where another tag begins; that tag is read again.
+ENDED_BY = {"title": r"</head|<body",
+            "option": r"</?(?:option|optgroup|select|datalist)|" + _BLOCK}
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?" + (
+    rf"|(?=(?:{ENDED_BY[name]})(?:[\s/>]|\Z))" if name in ENDED_BY else ""), re.IGNORECASE)
+    for name in RAW}
+RAW_TAG = {name: re.compile(rf"<(/?){name}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE) for name in RAW}
 WORD_PARTS = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 WHITE = re.compile(r"\s+")
 
 
-def outside_article(name: str, attributes: str, in_article: bool) -> bool:
-    """Is this element no part of an article? A header inside an article is one."""
+def raw_end(name: str, page: str, at: int) -> int:
+    """Where the content of a raw element ends that begins at ``at``. One without an end tag ends
+    at the next block, a script at the end of the page."""
+    if name in TEXT_ONLY or name in ENDED_BY:
+        end = RAW_END[name].search(page, at)
+        if end or name == "script":
+            return end.end() if end else len(page)
+    else:
+        depth = 1
+        for tag in RAW_TAG[name].finditer(page, at):
+            depth += -1 if tag.group(1) else 0 if tag.group().endswith("/>") else 1
+            if not depth:
+                return tag.end()
+    end = NEXT_BLOCK.search(page, at)
+    return end.start() if end else len(page)
+
+
+def judge(name: str, attributes: str, in_article: bool) -> str:
+    """"out" for an element that is no part of an article, "" for one that may be. Others are in
+    doubt by a word of their class or id, see ``standing``: "word" is a whole one, "part" one of
+    several ("has-sidebar"), "talk" a part that begins it ("comment-list"), and "id" a whole id
+    inside an article. A header inside an article is part of it; headings are never in doubt."""
     if name in NO_ARTICLE or (name == "header" and not in_article):
-        return True
-    if not attributes.strip(" /"):
-        return False
+        return "out"
+    if name in WHOLE or not attributes.strip(" /"):
+        return ""
     found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
     if "hidden" in found or found.get("role", "").lower() in NO_ARTICLE_ROLES or re.search(
             r"display\s*:\s*none", found.get("style", ""), re.IGNORECASE):
-        return True
-    words = {w.lower() for key in ("class", "id") for w in WORD_PARTS.split(found.get(key, ""))}
-    if name in ARTICLE or name in ("body", "html"):
-        return bool(words & COMMENT_WORDS)
-    return bool(words & NO_ARTICLE_WORDS) or (not in_article and bool(words & HEADER_WORDS))
+        return "out"
+    names, ids = (found.get(key, "").split() for key in ("class", "id"))
+    if name in HEADINGS or not (names or ids):
+        return ""
+    whole, whole_ids = {w.lower() for w in names}, {w.lower() for w in ids}
+    if (whole | whole_ids) & COMMENT_WORDS:
+        return "out"
+    parts = [[w.lower() for w in WORD_PARTS.split(x) if w] for x in names + ids]
+    if name in ARTICLE:
+        return "out" if any(w[:1] in (["comment"], ["reply"]) for w in parts) else ""
+    words = NO_ARTICLE_WORDS if in_article else NO_ARTICLE_WORDS | HEADER_WORDS
+    if in_article:
+        return "word" if whole & words else "id" if whole_ids & words else ""
+    if (whole | whole_ids) & words:
+        return "word"
+    if any(w and w[0] in COMMENT_WORDS for w in parts):
+        return "talk"
+    return "part" if any(words.intersection(w) for w in parts) else ""
+
+
+class Line(NamedTuple):
+    """A block's text, its characters in links, and where it lies."""
+
+    text: str
+    links: int
+    out: bool     # in a part that is no article
+    doubt: int    # the innermost element in doubt around it, 0 for none
+    article: int  # the outermost marked article around it, 0 for none
+    holder: int   # the innermost holder around it, 0 for the page
+
+
+class Open(NamedTuple):
+    """An open element, with what holds for the lines inside it."""
+
+    name: str
+    out: bool
+    doubt: int
+    article: int
+    holder: int
+
 
+class Doubt:
+    """An element that words of its class or id call no article."""
 
-def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """(text, weight, article) per block in page order; article is the number of the outermost
-    marked article around it, 0 outside. The weight leaves out link texts, unless an article is
-    marked; it is -1 in parts that are no article. Blocks without text are left out."""
+    def __init__(self, kind: str, parent: int, article: int):
+        self.kind, self.parent, self.article = kind, parent, article
+        self.holds, self.stands, self.chars, self.links = False, False, 0, 0
+
+
+def lines_of(page: str) -> tuple[list[Line], list[Doubt], list[int]]:
+    """The page's blocks in order, without those that have no text, the elements in doubt (from 1
+    on) and the holder around each holder (from 1 on)."""
     lines, text, link_chars = [], [], 0
-    stack: list[tuple[str, bool, bool]] = []  # element, no article from here on, marks an article
-    outside = in_link = inline_outside = False
-    article, n_articles, at, inline = 0, 0, 0, ""
+    doubts, holders = [Doubt("", 0, 0)], [0]
+    stack, here = [], Open("", False, 0, 0, 0)
+    in_link, inline, inline_out, inline_doubt = False, "", False, 0
+    n_articles, at = 0, 0
 
     def end_line():
         nonlocal text, link_chars
         line = WHITE.sub(" ", html.unescape("".join(text))).strip()
         if line:
-            lines.append((line, -1 if outside or inline_outside else len(line) if article else
-                          max(0, len(line) - link_chars), article))
+            lines.append(Line(line, min(link_chars, len(line)), here.out or inline_out,
+                              inline_doubt or here.doubt, here.article, here.holder))
         text, link_chars = [], 0
 
+    def doubted(kind: str) -> int:
+        if kind in ("", "out"):
+            return 0
+        doubts.append(Doubt(kind, here.doubt, here.article))
+        return len(doubts) - 1
+
     while at < len(page):
         m = TOKEN.search(page, at)
         piece = page[at:m.start() if m else len(page)]
@@ -106,46 +187,95 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             end = page.find(">", at)
             at = len(page) if end < 0 else end + 1
         if name in RAW_END and not closing:
-            end = RAW_END[name].search(page, at)
-            at = end.end() if end else len(page)
+            if name != "svg" or not attributes.endswith("/"):
+                at = raw_end(name, page, at)
             continue
         if name == "a":
             in_link = not closing
             continue
         if name not in BLOCKS:
             # An inline element that is no article ends its line on both sides.
-            if not closing and not inline and name not in VOID and outside_article(
-                    name, attributes, bool(article)):
-                end_line()
-                inline, inline_outside = name, True
+            if not closing and not inline and name not in VOID:
+                kind = judge(name, attributes, bool(here.article))
+                if kind:
+                    end_line()
+                    inline, inline_out, inline_doubt = name, kind == "out", doubted(kind)
             elif closing and name == inline:
                 end_line()
-                inline, inline_outside = "", False
+                inline, inline_out, inline_doubt = "", False, 0
             continue
         end_line()
         if name in VOID:
             continue
         if inline:
-            inline, inline_outside = "", False
+            inline, inline_out, inline_doubt = "", False, 0
         if name not in CONTAINERS:
-            if not closing and outside_article(name, attributes, bool(article)):
-                inline, inline_outside = name, True  # until the next block begins or it ends
+            kind = "" if closing else judge(name, attributes, bool(here.article))
+            if kind:  # until the next block begins or it ends
+                inline, inline_out, inline_doubt = name, kind == "out", doubted(kind)
             continue
         if closing:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
+                if stack[k].name == name:
                     del stack[k:]
                     break
-        else:
-            bad = outside or outside_article(name, attributes, bool(article))
-            stack.append((name, bad, name in ARTICLE and not bad))
-        outside = bool(stack) and stack[-1][1]
-        marks = any(s[2] for s in stack)
-        if marks and not article:
+            here = stack[-1] if stack else Open("", False, 0, 0, 0)
+            continue
+        kind = judge(name, attributes, bool(here.article))
+        out = here.out or kind == "out"
+        article, doubt, holder = here.article, doubted(kind) or here.doubt, here.holder
+        if name in ARTICLE and not out and not article:
             n_articles += 1
-        article = n_articles if marks else 0
+            article, k = n_articles, doubt
+            while k and not doubts[k].holds:
+                doubts[k].holds, k = True, doubts[k].parent
+        if name in HOLDERS:
+            holders.append(holder)
+            holder = len(holders) - 1
+        here = Open(name, out, doubt, article, holder)
+        stack.append(here)
     end_line()
-    return lines
+    return lines, doubts, holders
+
+
+def standing(lines: list[Line], doubts: list[Doubt]) -> list[bool]:
+    """Which lines lie in an element that words rightly call no article?
+
+    A part of a name counts only for elements that hold no marked article and are short or mostly
+    links, a whole id inside an article only if they are mostly links. A whole name counts, unless
+    its element has most of the article's text, or of the page's if no other article is marked."""
+    if len(doubts) == 1:
+        return [False] * len(lines)
+    for line in lines:
+        if not line.out and line.doubt:
+            doubts[line.doubt].chars += len(line.text)
+            doubts[line.doubt].links += line.links
+    for d in reversed(doubts[1:]):  # inner ones come after outer ones
+        doubts[d.parent].chars += d.chars
+        doubts[d.parent].links += d.links
+
+    def settle(kinds, stands):
+        for d in doubts[1:]:
+            if d.kind in kinds:
+                d.stands = stands(d)
+        inside = [False] * len(doubts)
+        for k, d in enumerate(doubts[1:], 1):
+            inside[k] = d.stands or inside[d.parent]
+        return [inside[line.doubt] for line in lines]
+
+    settle(("part", "id"), lambda d: 2 * d.links >= d.chars or (
+        d.kind == "part" and d.chars - d.links < SURGE) if not d.holds else False)
+    for d in doubts[1:]:
+        d.stands |= d.kind in ("word", "talk")
+    clear, articles, total = 0, {}, 0
+    for line, inside in zip(lines, settle((), None)):
+        if not line.out:
+            total += len(line.text)
+            articles[line.article] = articles.get(line.article, 0) + len(line.text)
+            clear += len(line.text) if line.article and not inside else 0
+    return settle(("word", "talk"), lambda d: 2 * d.chars <= articles.get(d.article, 0)
+                  if d.article else d.kind == "talk" or clear >= LEAST_SHARE * d.chars if clear
+                  else 2 * d.chars <= total)
 
 
 def stretches(weights: np.ndarray, window: int) -> list[tuple[int, int, int]]:
@@ -163,10 +293,11 @@ def stretches(weights: np.ndarray, window: int) -> list[tuple[int, int, int]]:
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article's text: blocks with white space turned to one space, joined by one space."""
-    lines = lines_of(page or "")
-    own = np.array([w >= 0 for _, w, _ in lines], bool)
-    weights = np.array([max(w, 0) for _, w, _ in lines], np.int64)
-    article = np.array([a for _, _, a in lines], np.int64)
+    lines, doubts, _ = lines_of(page or "")
+    own = np.array([not (x.out or d) for x, d in zip(lines, standing(lines, doubts))], bool)
+    weights = np.array([len(x.text) - (0 if x.article else x.links) for x in lines], np.int64)
+    weights = np.where(own, weights, 0)
+    article = np.array([x.article for x in lines], np.int64)
     sizes = np.bincount(article, weights, minlength=2)
     sizes[0] = 0
     keep = np.zeros(len(lines), bool)
@@ -182,7 +313,7 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         most = max((weights[a:b].sum() for a, b, _ in found), default=0)
         for first, end, _ in found:
             keep[first:end] = weights[first:end].sum() >= LEAST_SHARE * most
-    return " ".join(line for (line, _, _), k in zip(lines, keep & own) if k)
+    return " ".join(x.text for x, k in zip(lines, keep & own) if k)
 
 
 def extract(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:

@@ -36,3 +36,31 @@ def test_rows(spark):
     got = sorted(map(tuple, extract(pages).collect()), key=repr)
     assert got == [(1, "u", "", 0), (1, "u", "é🎈", 2), (None, None, "", 0)]
     assert extract(pages.limit(0)).count() == 0
+
+
+PROSE = "long words of prose " * 10
+
+
+def test_words_of_class_and_id_do_not_empty_an_article():
+    for c in ('class="layout has-sidebar"', 'id="no-comments"', 'class="widget"'):
+        assert main_text(f"<div {c}><article><p>Text</p></article></div>") == "Text"
+        assert main_text(f"<div {c}><p>{PROSE}</p></div>") == PROSE.strip()
+    assert main_text(f'<article><h1 class="header">T</h1><section id="related-work"><h2 id="search">'
+                     f'S</h2><p>{PROSE}</p></section></article>') == f"T S {PROSE}".strip()
+    assert main_text('<article class="comments-open">Text</article>') == "Text"
+    assert main_text(f'<article><p>a</p><div class="widget">{PROSE}</div></article>'
+                     ) == f"a {PROSE}".strip()
+    assert main_text('<main><p>Text</p><div class="share">x</div><ul id="related"><li><a>y</a></ul>'
+                     ) == "Text"
+    assert main_text(f'<article>Text</article><div class="comment-list"><article>{PROSE}</article>'
+                     "</div>") == "Text"
+
+
+def test_raw_elements_end():
+    assert main_text("<html><head><title>t</title><body><article>a</article>") == "a"
+    assert main_text("<head><title>t<body><article>a<svg><title>x</title></svg></article>") == "a"
+    assert main_text("<article>a <svg/> b <math/>c</article>") == "a b c"
+    assert main_text("<article><math><mi>x</mi><mo>=</mo><mn>1</mn></math> a</article>") == "x=1 a"
+    assert main_text("<article><select><option>1<option>2</select> a</article>") == "a"
+    assert main_text("<article><datalist><option>1<option>2</datalist><p>a</article>") == "a"
+    assert main_text("<article>a<svg><svg></svg>no</svg> b<button>x<p>c</article>") == "a b c"
