@@ -1,11 +1,11 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into blocks of text, the lines of the method. A line's weight is the length of
-its text outside links, and 0 in parts of a page that are no article (menus, adverts, forms and the
-like, told by element, role, class or id). Weights are summed over sliding windows of lines; the sum
-surges where the article begins and dives to 0 where it ends, and the lines between are kept. If the
-page marks its article, only lines inside it weigh anything, links included. One pass over the
-pages, no shuffle.
+Markup is stripped into blocks of text, the lines of the method. Parts of a page that are no
+article (menus, adverts, forms and the like, told by element, role, class or id) are taken out; the
+weight of another line is the length of its text outside links. Weights are summed over sliding
+windows of lines; the sum surges where the article begins and dives to 0 where it ends, and the
+lines between are kept. If the page marks its article and the windows surge there, that is kept
+whole, links included. One pass over the pages, no shuffle.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ CONTAINERS = frozenset((
 WHOLE = frozenset("html head body".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
-HOLDERS = frozenset("html body main article div td".split())  # elements that hold whole articles
+HOLDERS = frozenset("main article div td".split())  # elements that hold whole articles
 ARTICLE = frozenset(["article", "main"])
 NO_ARTICLE = frozenset("nav aside footer form menu dialog fieldset".split())
 NO_ARTICLE_ROLES = frozenset(
@@ -291,29 +291,67 @@ def stretches(weights: np.ndarray, window: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def main_holder(lines: list[Line], weights: np.ndarray, holders: list[int]) -> int:
+    """The innermost holder of nearly all of a stretch's text, 0 for the page."""
+    inside = dict.fromkeys(range(len(holders)), 0)
+    for line, weight in zip(lines, weights.tolist()):
+        inside[line.holder] += weight
+    least, found = (1 - LEAST_SHARE) * weights.sum(), 0
+    for k in range(len(holders) - 1, 0, -1):  # inner ones come after outer ones
+        if inside[k] >= least:
+            found = max(found, k)
+        inside[holders[k]] += inside[k]
+    return found
+
+
+def unmarked_text(lines: list[Line], weights: np.ndarray, holders: list[int], window: int,
+                  surge: int) -> np.ndarray:
+    """Which lines surge and dive keep: the largest stretch, others of its kind of size, and all
+    others in its holder, whatever lies between. If nothing surges, the page's highest stretch is
+    its article, unless that is mostly links."""
+    keep = np.zeros(len(lines), bool)
+    found = stretches(weights, window)
+    if max((s[2] for s in found), default=0) < surge:
+        surge = max((s[2] for s in found), default=0)
+        found = [s for s in found if s[2] < surge or 2 * weights[s[0]:s[1]].sum() > sum(
+            len(x.text) for x in lines[s[0]:s[1]])]
+    high = [s for s in found if s[2] >= surge]
+    if not high:
+        return keep
+    first, end, _ = max(high, key=lambda s: weights[s[0]:s[1]].sum())
+    most = weights[first:end].sum()
+    holder = main_holder(lines[first:end], weights[first:end], holders)
+    held = [k == holder for k in range(len(holders))]  # of the page only what no holder has
+    for k in range(holder + 1, len(holders)):
+        held[k] = holder > 0 and held[holders[k]]
+    for first, end, peak in found:
+        keep[first:end] = (peak >= surge and weights[first:end].sum() >= LEAST_SHARE * most) or any(
+            held[x.holder] for x, w in zip(lines[first:end], weights[first:end]) if w)
+    return keep
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The article's text: blocks with white space turned to one space, joined by one space."""
-    lines, doubts, _ = lines_of(page or "")
-    own = np.array([not (x.out or d) for x, d in zip(lines, standing(lines, doubts))], bool)
-    weights = np.array([len(x.text) - (0 if x.article else x.links) for x in lines], np.int64)
-    weights = np.where(own, weights, 0)
+    """The article's text: blocks with white space turned to one space, joined by one space.
+
+    Lines that are no article are taken out before the windows are laid, so they cut nothing in
+    two. A marked article is kept whole and overrides the stretches, unless it does not surge and
+    other lines do; then both are kept."""
+    lines, doubts, holders = lines_of(page or "")
+    lines = [x for x, d in zip(lines, standing(lines, doubts)) if not (x.out or d)]
+    if not lines:
+        return ""
+    sizes = np.array([len(x.text) for x in lines], np.int64)
     article = np.array([x.article for x in lines], np.int64)
-    sizes = np.bincount(article, weights, minlength=2)
-    sizes[0] = 0
-    keep = np.zeros(len(lines), bool)
-    if sizes.max() > 0:
-        # Several marked articles: the one with most text, and others of its kind of size.
-        chosen = np.flatnonzero(sizes >= max(1, sizes.max() * LEAST_SHARE))
-        weights = np.where(np.isin(article, chosen), weights, 0)
-        for first, end, _ in stretches(weights, window):
-            keep[first:end] = True
-        own &= np.isin(article, chosen)
-    else:
-        found = [s for s in stretches(weights, window) if s[2] >= surge]
-        most = max((weights[a:b].sum() for a, b, _ in found), default=0)
-        for first, end, _ in found:
-            keep[first:end] = weights[first:end].sum() >= LEAST_SHARE * most
-    return " ".join(x.text for x, k in zip(lines, keep & own) if k)
+    marked = np.bincount(article, sizes, minlength=2)
+    marked[0] = 0
+    # Several marked articles: the one with most text, and others of its kind of size.
+    chosen = np.flatnonzero(marked >= max(1, marked.max() * LEAST_SHARE))
+    keep = np.isin(article, chosen)
+    if max((s[2] for s in stretches(np.where(keep, sizes, 0), window)), default=0) < surge:
+        weights = np.where(article > 0, 0, sizes - np.array([x.links for x in lines], np.int64))
+        if not keep.any() or max((s[2] for s in stretches(weights, window)), default=0) >= surge:
+            keep |= unmarked_text(lines, weights, holders, window, surge)
+    return " ".join(x.text for x, k in zip(lines, keep) if k)
 
 
 def extract(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:

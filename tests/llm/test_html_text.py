@@ -64,3 +64,23 @@ def test_raw_elements_end():
     assert main_text("<article><select><option>1<option>2</select> a</article>") == "a"
     assert main_text("<article><datalist><option>1<option>2</datalist><p>a</article>") == "a"
     assert main_text("<article>a<svg><svg></svg>no</svg> b<button>x<p>c</article>") == "a b c"
+
+
+def test_short_pages_and_link_boxes_lose_nothing():
+    assert main_text("<div><p>Short one.</p></div>") == "Short one."
+    assert main_text('<div><a href="/">Home</a> | <a href="/b">Other</a></div>') == ""
+    links = "".join(f'<li><a href="/{i}">Entry {i}</a></li>' for i in range(5))
+    adverts = '<div class="ad">Buy</div>' * 4
+    for box in (f"<ul>{links}</ul>", f"<aside><ul>{links}</ul></aside>", adverts):
+        page = f"<div>{links}</div><div><p>{PROSE * 3}</p>{box}<p>The end.</p></div><div>{links}</div>"
+        assert main_text(page) == f"{PROSE * 3}The end."
+        nested = f"<div><section><p>{PROSE * 3}</p></section>{box}<section>The end.</section></div>"
+        assert main_text(nested) == f"{PROSE * 3}The end."
+
+
+def test_marked_article_that_does_not_surge_takes_nothing_from_the_rest():
+    assert main_text(f"<article>Teaser</article><div><p>{PROSE}</p></div>") == f"Teaser {PROSE}".strip()
+    assert main_text(f"<article>{PROSE}</article><div><p>{PROSE}</p></div>") == PROSE.strip()
+    assert main_text(f"<article>{PROSE}</article><div>{PROSE}</div>", surge=1000) == PROSE.strip()
+    assert main_text(f"<article>{PROSE}</article><div>{PROSE * 9}</div>", surge=1000
+                     ) == f"{PROSE}{PROSE * 9}".strip()
