@@ -88,3 +88,15 @@ def test_pieces_round_trip(spark, make_docs, odd_rows):
 
 def test_no_documents(spark, make_docs):
     assert K.pack(make_docs([])).count() == 0
+
+
+def test_added_tokens_are_one_id(spark, make_docs):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # default settings
+    rng = random.Random(3)
+    parts = [" ", "  ", "\n", "a", "bc", "<|endoftext|>", "<|endoftext|", "日本", "'s", "1"]
+    texts = ["a <|endoftext|> b", *("".join(rng.choices(parts, k=rng.randint(0, 12)))
+                                    for _ in range(500))]
+    rows = K.pieces(make_docs(list(enumerate(texts))), with_ids=True).collect()
+    want = t.encode_batch(texts, add_special_tokens=False)
+    assert {r.doc_id: r.ids for r in rows} == {k: w.ids + [2] for k, w in enumerate(want)}
+    assert [64, 220, 50256, 275, 2] in [r.ids for r in rows]
