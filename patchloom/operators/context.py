@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom import constants as C
@@ -235,9 +235,17 @@ def json_text(value: Column) -> Column:
 def chat_messages(prompts: DataFrame, matches: DataFrame | None = None) -> DataFrame:
     """(change_id, seq, role, content): a system and a user row per change. With
     guidance, the system text grows and a JSON array of excerpts follows the
-    prompt. matches: change_id, seq, changed_path, source_id, excerpt; at most
-    k per file of at most eight files, so the list per change is short."""
+    prompt. A prompt in parts (``part_no``) has a user row for each, numbered in
+    their order, the excerpts after the last. matches: change_id, seq, changed_path,
+    source_id, excerpt; at most k per file of at most eight files, so the list per
+    change is short."""
     system = F.lit(C.SYSTEM_PROMPT + "\n\n" + C.REVIEW_EXAMPLE)
+    seq, last = F.lit(1).cast("bigint"), F.lit(True)
+    if "part_no" in prompts.columns:
+        order = Window.partitionBy("change_id").orderBy("part_no")
+        prompts = prompts.withColumns({"_seq": F.row_number().over(order).cast("bigint"),
+                                       "_last": F.lead("part_no").over(order).isNull()})
+        seq, last = F.col("_seq"), F.col("_last")
     if matches is None:
         rows = prompts.withColumn("data", F.lit(None).cast("string"))
     else:
@@ -249,13 +257,15 @@ def chat_messages(prompts: DataFrame, matches: DataFrame | None = None) -> DataF
             lambda e: e.entry), ", "), F.lit("]")).alias("data"))
         rows = prompts.join(data, "change_id", "left")
     guided = F.col("data").isNotNull()
-    messages = F.array(
-        F.struct(F.lit(0).cast("bigint").alias("seq"), F.lit("system").alias("role"),
-                 F.when(guided, F.concat(system, F.lit(C.GUIDANCE_INSTRUCTIONS)))
-                 .otherwise(system).alias("content")),
-        F.struct(F.lit(1).cast("bigint").alias("seq"), F.lit("user").alias("role"),
-                 F.when(guided, F.concat("prompt", F.lit(C.GUIDANCE_DATA_HEADING), "data"))
-                 .otherwise(F.col("prompt")).alias("content")))
+    first = F.struct(
+        F.lit(0).cast("bigint").alias("seq"), F.lit("system").alias("role"),
+        F.when(guided, F.concat(system, F.lit(C.GUIDANCE_INSTRUCTIONS)))
+        .otherwise(system).alias("content"))
+    user = F.struct(
+        seq.alias("seq"), F.lit("user").alias("role"),
+        F.when(guided & last, F.concat("prompt", F.lit(C.GUIDANCE_DATA_HEADING), "data"))
+        .otherwise(F.col("prompt")).alias("content"))
+    messages = F.when(seq == 1, F.array(first, user)).otherwise(F.array(user))
     return rows.select("change_id", F.inline(messages))
 
 

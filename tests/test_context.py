@@ -78,3 +78,23 @@ def test_long_prompts_come_in_parts(spark):
     assert len(parts) == 3
     assert "".join(r.prompt for r in parts if r.change_id == 1) == whole[1]
     assert [r.prompt for r in parts if r.change_id == 2] == [whole[2]]
+
+
+def test_prompt_in_parts_has_one_system_row_and_ordered_user_rows(spark):
+    changes = spark.createDataFrame([(1, "T", ""), (2, "", "")],
+                                    "change_id bigint, title string, body string")
+    contexts = spark.createDataFrame([(1, 2, "a" * 9), (1, 5, "b" * 9), (2, 1, "c")],
+                                     "change_id bigint, file_no int, context_text string")
+    matches = spark.createDataFrame([(1, 0, "p", "s", "e")], "change_id bigint, seq int, "
+                                    "changed_path string, source_id string, excerpt string")
+    for m in (None, matches):
+        def chat(**how):
+            out = {}
+            for r in K.chat_messages(K.review_prompt(contexts, changes, **how), m).orderBy(
+                    "change_id", "seq").collect():
+                out.setdefault(r.change_id, []).append((r.seq, r.role, r.content))
+            return out
+        whole, parts = chat(), chat(whole_chars=10)
+        assert [x[:2] for x in parts[1]] == [(0, "system"), (1, "user"), (2, "user")]
+        assert parts[1][0] == whole[1][0] and parts[2] == whole[2]
+        assert parts[1][1][2] + parts[1][2][2] == whole[1][1][2]
