@@ -15,7 +15,9 @@ task sees all texts: windows are sampled by content, so that equal windows pick
 4. Blocks mark the bytes.
 
 A string that a third of all documents hold reaches a bucket once per block. Its variants, if very
-many documents hold an anchor, are dealt window by window. Windows are compared byte by byte.
+many documents hold an anchor, are dealt window by window. Buckets compare windows byte by byte;
+inside a block equal segments are found by 64-bit hashes, as are a bucket's answers. No full suffix
+array or LPF array is computed, as only whether a match reaches ``length`` is asked.
 """
 
 from __future__ import annotations
