@@ -130,9 +130,43 @@ SELECT doc_id, size, source_size, target, CAST(size * (epochs + CAST(epochs < 3
 FROM r
 """
 
+
+
+def _clusters(rounds: int = 3) -> str:
+    """Exhaustive assignment and exact means, written out round by round."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+d{k} AS (SELECT r, c, CAST(list_sum(list_transform(list_zip(v.e, m.e),
+    lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, m{k} m),
+a{k} AS (SELECT r, c, d FROM d{k} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if k < rounds:
+            steps.append(f"""
+u{k} AS (SELECT c, i, CAST(sum(w) AS BIGINT) AS s, count(*) AS n FROM (
+    SELECT a.c, unnest(v.e) AS w, generate_subscripts(v.e, 1) AS i FROM a{k} a JOIN v USING (r))
+    GROUP BY c, i),
+m{k + 1} AS (SELECT m.c, coalesce(f.e, m.e) AS e FROM m{k} m LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS e FROM u{k} GROUP BY c) f USING (c))""")
+    return f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(
+      greatest(-134217728, least(134217728, floor(64 * CAST(x AS DOUBLE)))) AS BIGINT)) AS e
+    FROM embeddings WHERE len(embedding) = 64
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+m0 AS (SELECT row_number() OVER o - 1 AS c, e FROM v
+    WINDOW o AS (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)) NULLS LAST, e)
+    QUALIFY row_number() OVER o <= 16),{",".join(steps)}
+SELECT v.vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance,
+  CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m.e, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN m{rounds} m USING (c)
+"""
+
+
 ORACLES: dict[str, str] = {
     "op4_exact_topk": TOP_K,
     "op5_quality_rules": QUALITY,
     "op6_url_filters": URLS,
     "op8_source_mix": MIX,
+    "op13_centroid_clusters": _clusters(),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from patchloom.llm import common as C
-from patchloom.llm import classifier, html_text, jaccard, mixing, packing, quality, repeats, search, secrets, urls
+from patchloom.llm import classifier, clusters, html_text, jaccard, mixing, packing, quality, repeats, search, secrets, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,10 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(C.read(spark, sf_dir, "documents"))
 
 
+def centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(C.read(spark, sf_dir, "embeddings")).drop("checks")
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_array_dedup": suffix_array_dedup,
     "op2_html_extraction": html_extraction,
@@ -67,4 +71,5 @@ QUERIES: dict[str, Query] = {
     "op8_source_mix": source_mix,
     "op9_ngram_jaccard": ngram_jaccard,
     "op10_secret_scans": secret_scans,
+    "op13_centroid_clusters": centroid_clusters,
 }
