@@ -163,10 +163,85 @@ FROM a{rounds} a JOIN v USING (r) JOIN m{rounds} m USING (c)
 """
 
 
+# Conversation repair by dynamic programming forwards. A state is cost (as digits) + edits and the
+# repaired text, so that the least one is the cheapest and, among those, the first in the alphabet.
+_WORD = r"[^\x20\x09-\x0D]"
+
+
+def _repair() -> str:
+    shift = "CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END"
+    crc = "SELECT i, i AS v FROM range(256) r(i)"
+    for _ in range(8):
+        crc = f"SELECT i, {shift} AS v FROM ({crc})"
+    line = lambda role, text: (f"(CASE WHEN @.r = '' THEN '' ELSE @.r || chr(10) END) || {role} "
+                               f"|| ':' || {text}")
+
+    def onward(state: str, cost: str, letter: str, text: str = "@.r") -> str:
+        new = ("{'k': lpad(CAST(CAST(substr(@.k, 1, 7) AS INTEGER) + " + cost + " AS VARCHAR), 7, '0')"
+               " || substr(@.k, 8) || '" + letter + "', 'r': " + text + "}")
+        return f"CASE WHEN @ IS NOT NULL THEN {new} END".replace("@", state)
+
+    least = lambda *states: ("list_sort(list_filter([" + ", ".join(states)
+                             + "], lambda x: x IS NOT NULL))[1]")
+    insert = lambda state, role: onward(state, "3", "I", line(f"'{role}'", "''"))
+    with_user = lambda p: least(f"{p}2", *[insert(f"{p}{q}", "user") for q in (0, 1, 3)])
+    reroled = lambda q, role: ("CASE WHEN kind <> 'x' THEN " + onward(
+        f"t{q}", "3 + cut", "R", line(f"'{role}'", "text")) + " END")
+    kept = lambda q, kind: (f"CASE WHEN kind = '{kind}' THEN " + onward(
+        f"t{q}", "cut", "K", line("role", "text")) + " END")
+    deleted = lambda q: onward(f"t{q}", "4", "D")
+    return rf"""
+WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS t FROM ({crc})),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295,
+    list_reduce([4294967295] || list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ')
+      || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT)),
+      lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]))) % 20 AS kind FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM k, range(CASE kind WHEN 3 THEN 2 ELSE 1 END) WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+      AS before FROM d),
+f AS (SELECT *, NOT regexp_matches(text, '{_WORD}') AS is_blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+    regexp_matches(text, '[^.!?\x20\x09-\x0D][\x20\x09-\x0D]*\z') AS is_cut FROM o),
+rows_ AS (SELECT conv_id, turn, i, role, text, is_blank, seen AND NOT is_blank AS is_dup,
+    is_cut AND NOT is_blank AND NOT seen AS is_trunc,
+    before IS NOT NULL AND before || substr(role, 1, 1) NOT IN ('su', 'ua', 'au') AS is_bad,
+    CASE WHEN is_blank OR seen THEN 'x' ELSE substr(role, 1, 1) END AS kind,
+    CASE WHEN is_cut AND NOT is_blank AND NOT seen THEN 3 ELSE 0 END AS cut FROM f),
+walk AS (
+  SELECT conv_id, 0 AS i, {{'k': '0000000', 'r': ''}} AS s0, CAST(NULL AS STRUCT(k VARCHAR, r VARCHAR))
+    AS s1, CAST(NULL AS STRUCT(k VARCHAR, r VARCHAR)) AS s2,
+    CAST(NULL AS STRUCT(k VARCHAR, r VARCHAR)) AS s3
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, {deleted(0)} AS s0, {least(deleted(1), kept(0, 's'))} AS s1,
+    {least(deleted(2), *[kept(q, 'u') for q in (0, 1, 3)], *[reroled(q, 'user') for q in (0, 1, 3)])}
+      AS s2, {least(deleted(3), kept(2, 'a'), reroled(2, 'assistant'))} AS s3
+  FROM (SELECT *, {least('s3', insert('t2', 'assistant'))} AS t3 FROM (
+    SELECT w.conv_id, r.i, role, text, kind, cut, s3, s0 AS t0, s1 AS t1, {with_user('s')} AS t2
+    FROM walk w JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1))),
+last_ AS (SELECT conv_id, {least('s0', 's3', insert('t2', 'assistant'))} AS best FROM (
+    SELECT *, {with_user('s')} AS t2 FROM walk
+    QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1)),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count_if(is_blank) AS blank, count_if(is_dup) AS duplicate, count_if(is_trunc) AS truncated,
+    count_if(is_bad) AS illegal FROM rows_ GROUP BY conv_id)
+SELECT l.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+  CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT)
+  AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+  CAST(substr(best.k, 1, 7) AS BIGINT) AS cost, substr(best.k, 8) AS audit,
+  sha256(best.r) AS repaired_sha256
+FROM last_ l LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM l.conv_id
+"""
+
+
 ORACLES: dict[str, str] = {
     "op4_exact_topk": TOP_K,
     "op5_quality_rules": QUALITY,
     "op6_url_filters": URLS,
     "op8_source_mix": MIX,
+    "op12_conversation_repair": _repair(),
     "op13_centroid_clusters": _clusters(),
 }
