@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from patchloom.llm import common as C
-from patchloom.llm import classifier, clusters, dialogs, html_text, jaccard, mixing, packing, quality, repeats, search, secrets, urls
+from patchloom.llm import classifier, clusters, dialogs, html_text, jaccard, mixing, packing, quality, repeats, search, secrets, suffix_tree, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,10 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(C.read(spark, sf_dir, "documents"))
 
 
+def suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(C.read(spark, sf_dir, "documents"))
+
+
 def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogs.digests(dialogs.repair(dialogs.damaged(C.read(spark, sf_dir, "conversations"))))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op8_source_mix": source_mix,
     "op9_ngram_jaccard": ngram_jaccard,
     "op10_secret_scans": secret_scans,
+    "op11_suffix_tree_scores": suffix_tree_scores,
     "op12_conversation_repair": conversation_repair,
     "op13_centroid_clusters": centroid_clusters,
 }
