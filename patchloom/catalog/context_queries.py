@@ -27,7 +27,7 @@ SELECT CAST(floor(doc_id / 20) AS BIGINT) AS change_id, doc_id,
   unnest(range(0, CAST(ceil(len(string_split(text, chr(10))) / 10.0) AS BIGINT))) AS i
 FROM documents""")
 _PY_FN = ("x_py_fn", """
-SELECT change_id, path, u.name, u.s + 25 * i AS start_line, u.e + 25 * i AS end_line,
+SELECT change_id, path, u.name, u.s + 33 * i AS start_line, u.e + 33 * i AS end_line,
   u.parameters, u.return_type, u.docstring, u.is_method, u.is_async, u.class_name, u.decorators
 FROM (SELECT *, unnest([
   {name: 'f' || i, s: 3, e: 17, parameters: '(a, b=(1, 2))', return_type: 'int',
@@ -36,17 +36,20 @@ FROM (SELECT *, unnest([
   {name: 'm' || i, s: 21, e: 22, parameters: '(self)', return_type: NULL, docstring: NULL,
    is_method: true, is_async: false, class_name: 'C' || i, decorators: ''},
   {name: 'deep', s: 24, e: 24, parameters: '(self)', return_type: NULL, docstring: NULL,
-   is_method: true, is_async: false, class_name: 'Inner' || i, decorators: ''}]) AS u
+   is_method: true, is_async: false, class_name: 'Inner' || i, decorators: ''},
+  {name: 'w' || i, s: 25, e: 32, parameters: '(' || chr(10) || '    a=((((((1)))))),' || chr(10)
+     || ')', return_type: 'int', docstring: NULL, is_method: false, is_async: false,
+   class_name: NULL, decorators: ''}]) AS u
   FROM x_code WHERE doc_id % 2 = 0) t""")
 _PY_CLASS = ("x_py_class", """
-SELECT change_id, path, u.name, u.s + 25 * i AS start_line, 24 + 25 * i AS end_line,
+SELECT change_id, path, u.name, u.s + 33 * i AS start_line, 24 + 33 * i AS end_line,
   u.base_classes, u.docstring
 FROM (SELECT *, unnest([
   {name: 'C' || i, s: 19, base_classes: 'Base|pkg.Mixin', docstring: 'Class ' || i},
   {name: 'Inner' || i, s: 23, base_classes: '', docstring: NULL}]) AS u
   FROM x_code WHERE doc_id % 2 = 0) t""")
 _JS_FN = ("x_js_fn", """
-SELECT change_id, path, u.name, u.s + 25 * i AS start_line, u.e + 25 * i AS end_line,
+SELECT change_id, path, u.name, u.s + 33 * i AS start_line, u.e + 33 * i AS end_line,
   u.parameters, CAST(NULL AS VARCHAR) AS return_type, u.docstring, u.is_method, u.is_async,
   u.class_name, '' AS decorators
 FROM (SELECT *, unnest([
@@ -55,12 +58,19 @@ FROM (SELECT *, unnest([
   {name: 'h' || i, s: 9, e: 9, parameters: '(x)', docstring: NULL, is_method: false,
    is_async: true, class_name: NULL},
   {name: 'run', s: 12, e: 14, parameters: '(x)', docstring: 'Runs.', is_method: true,
-   is_async: false, class_name: 'K' || i}]) AS u
+   is_async: false, class_name: 'K' || i},
+  {name: 't' || i, s: 26, e: 30, parameters: '(' || chr(10) || '  a = ((((((1)))))),' || chr(10)
+     || ')', docstring: NULL, is_method: false, is_async: false, class_name: NULL},
+  {name: 'go', s: 33, e: 33, parameters: '()', docstring: NULL, is_method: true, is_async: false,
+   class_name: 'Z' || i}]) AS u
   FROM x_code WHERE doc_id % 2 = 1) t""")
 _JS_CLASS = ("x_js_class", """
-SELECT change_id, path, 'K' || i AS name, 10 + 25 * i AS start_line, 15 + 25 * i AS end_line,
-  CASE WHEN path LIKE '%.js' THEN 'Base' ELSE '' END AS base_classes,
-  CAST(NULL AS VARCHAR) AS docstring FROM x_code WHERE doc_id % 2 = 1""")
+SELECT change_id, path, u.name, u.s + 33 * i AS start_line, u.e + 33 * i AS end_line,
+  u.base_classes, CAST(NULL AS VARCHAR) AS docstring
+FROM (SELECT *, unnest([
+  {name: 'K' || i, s: 10, e: 15, base_classes: CASE WHEN path LIKE '%.js' THEN 'Base' ELSE '' END},
+  {name: 'Z' || i, s: 31, e: 33, base_classes: ''}]) AS u
+  FROM x_code WHERE doc_id % 2 = 1) t""")
 _SYMBOLS = (_CODE, _PY_FN, _PY_CLASS, _JS_FN, _JS_CLASS)
 
 
@@ -91,7 +101,7 @@ def class_methods(spark, sf):
 
 
 @query("py_imports", """
-SELECT change_id, path, 25 * i + 1 AS seq, 'import mod' || i AS import_text FROM x_code
+SELECT change_id, path, 33 * i + 1 AS seq, 'import mod' || i AS import_text FROM x_code
 WHERE doc_id % 2 = 0""", views=_SYMBOLS)
 def py_imports(spark, sf):
     return S.imports_of(S.py_outline(S.py_statements(X.code(spark, sf))))
@@ -99,19 +109,19 @@ def py_imports(spark, sf):
 
 @query("js_functions", "SELECT * FROM x_js_fn", views=_SYMBOLS)
 def js_functions(spark, sf):
-    return flat(S.functions_of(S.js_outline(X.code(spark, sf))).drop("fn_no"), "decorators")
+    return flat(S.functions_of(S.js_outline(S.js_statements(X.code(spark, sf)))).drop("fn_no"), "decorators")
 
 
 @query("js_classes", "SELECT * FROM x_js_class", views=_SYMBOLS)
 def js_classes(spark, sf):
-    return flat(S.classes_of(S.js_outline(X.code(spark, sf))), "base_classes")
+    return flat(S.classes_of(S.js_outline(S.js_statements(X.code(spark, sf)))), "base_classes")
 
 
 @query("js_imports", """
 SELECT change_id, path, i AS seq, 'import { a' || i || ' } from ''m' || i || ''';' AS import_text
 FROM x_code WHERE doc_id % 2 = 1""", views=_SYMBOLS)
 def js_imports(spark, sf):
-    return S.imports_of(S.js_outline(X.code(spark, sf)))
+    return S.imports_of(S.js_outline(S.js_statements(X.code(spark, sf))))
 
 
 @query("symbols", """
@@ -128,9 +138,9 @@ def symbols(spark, sf):
 
 @query("symbol_report", """
 SELECT change_id, path, CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.js' THEN
-  'javascript' ELSE 'typescript' END AS language, 3 * count(*) AS functions,
-  CASE WHEN path LIKE '%.py' THEN 2 ELSE 1 END * count(*) AS methods,
-  count(*) AS async_functions, CASE WHEN path LIKE '%.py' THEN 2 ELSE 1 END * count(*) AS classes,
+  'javascript' ELSE 'typescript' END AS language,
+  CASE WHEN path LIKE '%.py' THEN 4 ELSE 5 END * count(*) AS functions,
+  2 * count(*) AS methods, count(*) AS async_functions, 2 * count(*) AS classes,
   count(*) AS imports FROM x_code GROUP BY change_id, path""", views=_SYMBOLS)
 def symbol_report(spark, sf):
     code = X.code(spark, sf)

@@ -417,8 +417,9 @@ def eval_cases(spark, sf_dir) -> DataFrame:
 
 @memo
 def code(spark, sf_dir) -> DataFrame:
-    """Source files of 25-line blocks, one block per ten lines of a document, all ten as comments:
-    the even documents in Python, the others in JavaScript or TypeScript."""
+    """Source files of 33-line blocks, one block per ten lines of a document, all ten as comments:
+    the even documents in Python, the others in JavaScript or TypeScript. Headers over several lines,
+    brackets six deep, a brace on the next line and code in strings are part of every block."""
     d = F.col("doc_id")
     lines = F.split("text", "\n")
 
@@ -433,13 +434,17 @@ def code(spark, sf_dir) -> DataFrame:
             F.lit("(a, b=(1, 2)) -> int:\n    \"\"\"Doc "), n, F.lit(".\"\"\"\n"), raws("    # "),
             F.lit("\n    return a\n\nclass C"), n, F.lit("(Base, pkg.Mixin):\n    '''Class "), n,
             F.lit("'''\n    def m"), n, F.lit("(self):\n        return 1\n    class Inner"), n,
-            F.lit(":\n        def deep(self): pass\n"))
+            F.lit(":\n        def deep(self): pass\ndef w"), n,
+            F.lit("(\n    a=((((((1)))))),\n) -> int:\n    text = \"\"\"\ndef not_me():\n    pass\n"
+                  "\"\"\"\n    return a\n"))
         script = F.concat(
             F.lit("import { a"), n, F.lit(" } from 'm"), n, F.lit("';\n/**\n * Adds "), n,
             F.lit(".\n */\nfunction g"), n, F.lit("(a, b) {\n  if (a) { return b; }\n  return a;\n}"
                                                 "\nconst h"), n,
             F.lit(" = async x => x + 1;\nexport class K"), n,
-            F.lit(" extends Base {\n  /** Runs. */\n  run(x) {\n    return x;\n  }\n}\n"), raws("// "))
+            F.lit(" extends Base {\n  /** Runs. */\n  run(x) {\n    return x;\n  }\n}\n"), raws("// "),
+            F.lit("\nfunction t"), n, F.lit("(\n  a = ((((((1)))))),\n) {\n  return `function no() {`;"
+                                           "\n}\nclass Z"), n, F.lit("\n{\n  go() { return 1; } }"))
         return F.when(d % 2 == 0, python).otherwise(script)
     blocks = F.transform(F.sequence(
         F.lit(0).cast("bigint"), (F.ceil(F.size("lines") / 10) - 1).cast("bigint")), block)

@@ -1,10 +1,10 @@
-"""Functions, classes and imports of source files, by lines.
+"""Functions, classes and imports of source files.
 
-No grammar is parsed. Python blocks are found by indentation with array
-expressions inside one row per file (no shuffle); JavaScript and TypeScript
-blocks by running brace depth over lines. Limits: text inside multi-line strings
-that looks like code can fool both; several statements on one line count as one;
-a JavaScript header must open its brace on its own line. The tables may also
+No grammar is parsed. One scan per file masks strings and comments, matches brackets and follows
+blocks by indentation or braces (``functions/lexical.py``); what a statement is and what its parts
+say is told here by column expressions over its header. The plan is the same for any files, and
+nothing is shuffled. Limits: several Python statements on one line count as one; a script statement
+ends at a line break unless what stands around the break says that it goes on. The tables may also
 come from outside, since later operators read only their columns.
 
 files: change_id, path, content.
@@ -12,9 +12,10 @@ files: change_id, path, content.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patchloom.functions import lexical
 from patchloom.functions import paths as P
 from patchloom.functions import text as T
 
@@ -23,160 +24,75 @@ OUTLINE = ["kind", "name", "start_line", "end_line", "parameters", "return_type"
            "is_method", "is_async", "class_name", "decorators", "base_classes", "import_text"]
 FUNCTION_COLUMNS = [*FILE, "name", "start_line", "end_line", "parameters", "return_type",
                     "docstring", "is_method", "is_async", "class_name", "decorators"]
+LANGUAGES = ("python", "javascript", "typescript")
+
+# What stands before the parameters and between them and the block, and the block's opening.
+_DEF, _DEF_TAIL = (r"^(async\s+)?def\s+(\w+)\s*(?:\[(?s:.*)\])?\s*\z",
+                   r"^\s*(?:->\s*((?s:.+?))\s*)?:\z")
+_CLASS = r"^class\s+(\w+)\s*(?:\[(?s:.*)\])?\s*\z"
+_TYPE_ARGS = r"(?:<[^(]*>)?"
+_JS_TAIL = r"^\s*(?::\s*((?s:.+?)))?\s*"
+_JS_FUNCTION = r"^(export\s+(?:default\s+)?)?(async\s+)?function\s*\*?\s*(\w+)\s*" + _TYPE_ARGS + r"\s*\z"
+_JS_ARROW = (r"^(?:const|let|var)\s+(\w+)\s*(?::(?s:.+?))?=\s*(async\b\s*)?" + _TYPE_ARGS
+             + r"\s*(?:(\w+)\s*=>)?\z")
+_JS_CLASS = (r"^(export\s+(?:default\s+)?)?class\s+(\w+)(?:\s*<(?s:[^{]*?)>)?"
+             r"(?:\s+extends\s+(\w+))?")
+_JS_METHOD = (r"^(?:(?:public|private|protected|static|readonly|override|get|set)\s+)*"
+              r"(async\s+)?\*?\s*(#?\w+)\s*" + _TYPE_ARGS + r"\s*\z")
+_JS_NOT_METHODS = ("if", "for", "while", "switch", "catch", "function", "return", "with")
+
+
+def statements(files: DataFrame, *languages: str) -> DataFrame:
+    """FILE, language and the statements of files in these languages (``lexical.STATEMENT``)."""
+    told = files.withColumn("language", P.language(F.col("path"))).filter(
+        F.col("language").isin(*languages))
+    return told.select(*FILE, "language", F.inline(lexical.statements(
+        T.unify_breaks(F.col("content")), F.col("language"))))
 
-# Balanced parentheses to a depth of four, without backtracking.
-_PARENS = r"\((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+\)"
-# Deeper ones run up to the first closing bracket that the header's colon follows.
-_PARAMETERS = rf"(?:{_PARENS}|\((?s:.*?)\)(?=\s*(?:->[^:\n]*)?:))"
-_DEF = rf"^\s*(async\s+)?def\s+(\w+)\s*(?:\[[^\]]*\])?({_PARAMETERS})\s*(?:->\s*([^:]+?)\s*)?:"
-_CLASS = rf"^\s*class\s+(\w+)\s*(?:\[[^\]]*\])?({_PARAMETERS})?\s*:"
-_IMPORT = r"^\s*((?:from\s+[\w.]+\s+)?import\b\s*(?:\([^)]*\)|(?:[^\n#\\]|\\\n)*))"
-_DOC = r"\s*(?:#[^\n]*\n\s*)*(?:\x22{3}((?s:.*?))\x22{3}|'{3}((?s:.*?))'{3})"
 
+def _found(pattern: str, group: int, text: str = "head") -> Column:
+    return F.regexp_extract(text, pattern, group)
 
-def _language_files(files: DataFrame, *languages: str) -> DataFrame:
-    return files.filter(P.language(F.col("path")).isin(*languages))
+
+def _some(text: Column) -> Column:
+    return F.nullif(text, F.lit(""))
 
 
 # --- Python ------------------------------------------------------------------
 
 
-_ROW = ["class_name", "start_line", "end_line", "decorators", "block", "lines", "before", "base"]
-
-
-def _split_blocks(rows: DataFrame) -> DataFrame:
-    """One level of nesting: rows with ``lines`` to look into become one row per
-    statement at their first indentation, plus one row per class body to look
-    into next; finished rows pass through. Levels are thus stages of one pass.
-
-    rows: FILE and _ROW; ``before`` counts the lines above ``lines``, ``base`` is
-    the indentation, null for that of the first line."""
-    meaningful = F.filter(F.transform("lines", lambda x, i: F.struct(
-        (i + 1).alias("no"), F.length(F.regexp_extract(x, r"^\s*", 0)).alias("indent"),
-        x.alias("x"))), lambda e: ~T.is_blank(e.x) & ~e.x.rlike(r"^\s*#"))
-    ranked = rows.withColumn("nb", F.transform(meaningful, lambda e, i: F.struct(
-        e.no.alias("no"), e.indent.alias("indent"), e.x.alias("x"), i.alias("r"))))
-    # A line that starts with a closing bracket continues the statement above.
-    heads = ranked.withColumn("heads", F.filter("nb", lambda e: (
-        e.indent == F.coalesce("base", F.get(F.col("nb"), F.lit(0)).indent))
-        & ~e.x.rlike(r"^\s*[)\]}]")))
-    own = heads.withColumn("own", F.filter(F.transform("heads", lambda h, k: F.struct(
-        h.no.alias("no"), h.x.alias("x"), k.alias("k"))), lambda h: ~h.x.rlike(r"^\s*@")))
-
-    def last_line(k):  # last meaningful line before the head after head k
-        return F.coalesce(F.get(F.col("nb"), F.get(F.col("heads"), k + 1).r - 1).no,
-                          F.element_at("nb", -1).no)
-
-    def lines_between(first, last):
-        return F.slice(F.col("lines"), first, last - first + 1)
-
-    def decorators_of(b, j):
-        """Index of the first head that belongs to b, and its decorator texts."""
-        first = F.when(j == 0, F.lit(0)).otherwise(F.get(F.col("own"), j - 1).k + 1)
-        texts = F.transform(F.filter(F.sequence(first, b.k), lambda k: k < b.k), lambda k:
-                            F.regexp_replace(T.join_lines(lines_between(
-                                F.get(F.col("heads"), k).no, last_line(k))),
-                                r"^\s*@\s*|\s+$", ""))
-        return F.get(F.col("heads"), first).no, texts
-
-    none = F.lit(None)
-
-    def rows_of(b, j):
-        start, texts = decorators_of(b, j)
-        block = lines_between(b.no, last_line(b.k))
-        above = F.col("before") + b.no - 1
-
-        def body_of(c):  # what follows the header's last line
-            header = F.array_position(F.transform(c, lambda x: x.rlike(r":\s*(?:#.*)?$")), True)
-            return F.struct(
-                F.regexp_extract(T.join_lines(c), _CLASS, 1).alias("class_name"),
-                none.cast("bigint").alias("start_line"), none.cast("bigint").alias("end_line"),
-                none.cast("array<string>").alias("decorators"),
-                none.cast("array<string>").alias("block"),
-                F.slice(c, header.cast("int") + 1, F.size(c)).alias("lines"),
-                (above + header).cast("int").alias("before"), none.cast("int").alias("base"))
-        done = F.struct(
-            F.col("class_name").alias("class_name"),
-            (F.col("before") + start).cast("bigint").alias("start_line"),
-            (F.col("before") + last_line(b.k)).cast("bigint").alias("end_line"),
-            texts.alias("decorators"), block.alias("block"),
-            none.cast("array<string>").alias("lines"), none.cast("int").alias("before"),
-            none.cast("int").alias("base"))
-        return F.when(b.x.rlike(r"^\s*class\b"), F.array(done, body_of(block))).otherwise(
-            F.array(done))
-    wanted = F.filter(F.transform("own", lambda b, j: F.when(
-        b.x.rlike(r"^\s*(?:async\s+def|def|class|import|from)\b"), rows_of(b, j))),
-        lambda rs: rs.isNotNull())
-    passed = F.array(F.struct(*_ROW))
-    return own.select(*FILE, F.inline(
-        F.when(F.col("lines").isNull(), passed).otherwise(F.flatten(wanted))))
-
-
-def class_levels(files: DataFrame) -> int:
-    """The most levels on which Python files open classes, by the indentation of
-    their class lines; nesting cannot be deeper."""
-    lines = F.filter(T.lines_of(F.col("content")), lambda x: x.rlike(r"^\s*class\b"))
-    indents = F.array_distinct(F.transform(lines, lambda x: F.length(
-        F.regexp_extract(x, r"^\s*", 0))))
-    return files.agg(F.max(F.size(indents))).first()[0] or 0
-
-
-def py_statements(files: DataFrame, depth: int | None = None) -> DataFrame:
-    """Definitions and imports at the top level and in class bodies, with classes
-    nested to any depth; what is inside functions, ``if`` or ``try`` is not listed.
-
-    ``depth`` is the number of levels to look into; without it, it is read from the
-    files first, so that the plan has as many steps as these files need."""
-    none = F.lit(None)
-    files = _language_files(files, "python")
-    depth = class_levels(files) + 1 if depth is None else depth
-    rows = files.select(
-        *FILE, none.cast("string").alias("class_name"), none.cast("bigint").alias("start_line"),
-        none.cast("bigint").alias("end_line"), none.cast("array<string>").alias("decorators"),
-        none.cast("array<string>").alias("block"), T.lines_of(F.col("content")).alias("lines"),
-        F.lit(0).alias("before"), F.lit(0).alias("base"))
-    for _ in range(depth):
-        rows = _split_blocks(rows)
-    return rows.filter(F.col("block").isNotNull()).select(
-        *FILE, "class_name", "start_line", "end_line", "decorators",
-        T.join_lines(F.col("block")).alias("code"))
-
-
-def _docstring(code: Column, header: str, groups: int) -> Column:
-    pattern = header + _DOC
-    found = [F.regexp_extract(code, pattern, groups + i) for i in (1, 2)]
-    return F.when(code.rlike(pattern), T.strip(F.concat(*found)))
-
-
-def py_outline(statements: DataFrame) -> DataFrame:
-    """Functions, classes and imports of ``py_statements`` in one pass
-    (OUTLINE columns). Bases are plain or dotted names; ``from __future__`` lines
-    are left out."""
-    code = F.col("code")
-    kinds = statements.withColumn("kind", (
-        F.when(code.rlike(_DEF), "function").when(code.rlike(_CLASS), "class")
-        .when(code.rlike(_IMPORT) & ~code.rlike(r"^\s*from\s+__future__\b"), "import")))
+def py_statements(files: DataFrame) -> DataFrame:
+    """Definitions and imports at the top level and in class bodies, with classes nested to any
+    depth; what is inside functions, ``if`` or ``try`` is not listed."""
+    return statements(files, "python")
+
+
+def py_outline(rows: DataFrame) -> DataFrame:
+    """Functions, classes and imports of ``py_statements`` (OUTLINE columns). Bases are plain or
+    dotted names; ``from __future__`` lines are left out."""
+    head, tail, code = F.col("head"), F.col("tail"), F.col("code")
+    kinds = rows.withColumn("kind", (
+        F.when(head.rlike(_DEF) & F.col("parameters").isNotNull() & tail.rlike(_DEF_TAIL), "function")
+        .when(head.rlike(_CLASS) & tail.rlike(r"^\s*:\z"), "class")
+        .when(code.isNotNull() & ~code.rlike(r"^from\s+__future__\b"), "import")))
     is_function, is_class = F.col("kind") == "function", F.col("kind") == "class"
-    inside = F.regexp_extract(F.regexp_extract(code, _CLASS, 2), r"(?s)^\((.*)\)$", 1)
+    inside = F.regexp_extract("parameters", r"(?s)^\((.*)\)$", 1)
     # Nested brackets hold commas of their own; take them out before splitting.
     flat = F.regexp_replace(inside, r"\([^()]*\)|\[[^\[\]]*\]", "()")
     bases = F.filter(F.transform(F.split(flat, ","), lambda b: T.strip(b)),
                      lambda b: b.rlike(r"^[A-Za-z_]\w*(?:\.\w+)*$"))
+    owner = _some(_found(_CLASS, 1, "owner"))
     return kinds.filter(F.col("kind").isNotNull()).select(
         *FILE, "kind",
-        F.when(is_function, F.regexp_extract(code, _DEF, 2))
-        .when(is_class, F.regexp_extract(code, _CLASS, 1)).alias("name"),
-        "start_line", "end_line",
-        F.when(is_function, F.regexp_extract(code, _DEF, 3)).alias("parameters"),
-        F.when(is_function, F.nullif(F.regexp_extract(code, _DEF, 4), F.lit("")))
-        .alias("return_type"),
-        F.when(is_function, _docstring(code, _DEF, 4))
-        .when(is_class, _docstring(code, _CLASS, 2)).alias("docstring"),
-        (is_function & F.col("class_name").isNotNull()).alias("is_method"),
-        (is_function & (F.regexp_extract(code, _DEF, 1) != "")).alias("is_async"),
-        "class_name", "decorators", F.when(is_class, bases).alias("base_classes"),
-        F.when(F.col("kind") == "import", T.strip(F.regexp_extract(code, _IMPORT, 1)))
-        .alias("import_text"))
+        F.when(is_function, _found(_DEF, 2)).when(is_class, _found(_CLASS, 1)).alias("name"),
+        "start_line", "end_line", F.when(is_function, F.col("parameters")).alias("parameters"),
+        F.when(is_function, _some(_found(_DEF_TAIL, 1, "tail"))).alias("return_type"),
+        T.strip(F.col("doc")).alias("docstring"),
+        (is_function & F.col("owner").isNotNull()).alias("is_method"),
+        (is_function & (_found(_DEF, 1) != "")).alias("is_async"), owner.alias("class_name"),
+        "decorators", F.when(is_class, F.coalesce(bases, F.array().cast("array<string>")))
+        .alias("base_classes"),
+        F.when(F.col("kind") == "import", T.strip(code)).alias("import_text"))
 
 
 def functions_of(outline: DataFrame) -> DataFrame:
@@ -197,155 +113,61 @@ def imports_of(outline: DataFrame) -> DataFrame:
 
 # --- JavaScript and TypeScript -----------------------------------------------
 
-_TYPE_ARGS = r"(?:<[^(]*>)?"
-_RETURNS = r"\s*(?::\s*((?:[^{};=<]|<(?:[^<>]|<[^<>]*>)*>|=(?!>))+?))?\s*"
-_JS_FUNCTION = (r"^(export\s+(?:default\s+)?)?(async\s+)?function\s*\*?\s*(\w+)\s*" + _TYPE_ARGS
-                + rf"\s*({_PARENS}){_RETURNS}\{{")
-_JS_ARROW = (r"^(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*(async\s+)?" + _TYPE_ARGS
-             + rf"(?:({_PARENS}){_RETURNS}|(\w+)\s*)=>")
-_JS_CLASS = (r"^(export\s+(?:default\s+)?)?class\s+(\w+)(?:\s*<[^{]*?>)?"
-             r"(?:\s+extends\s+(\w+))?[^{]*\{")
-_JS_METHOD = (r"^\s*(?:(?:public|private|protected|static|readonly|override|get|set)\s+)*"
-              r"(async\s+)?\*?\s*(#?\w+)\s*" + _TYPE_ARGS + rf"\s*({_PARENS}){_RETURNS}\{{")
-_JS_NOT_METHODS = ("if", "for", "while", "switch", "catch", "function", "return", "with")
-_JS_IMPORT = r"""(?m)^import\s*(?:[^'";]*?\sfrom\s*)?['"][^'"\n]+['"](?:[ \t]*;)?"""
-
-
-def js_lines(files: DataFrame) -> DataFrame:
-    """Lines with brace depth before and after and the next line that closes each
-    of the two outer depths. One window key per file, whose text is one value."""
-    raw = _language_files(files, "javascript", "typescript").select(
-        *FILE, F.posexplode(T.lines_of(F.col("content"))).alias("p", "x"))
-    bare = F.when(F.col("x").rlike(r"^\s*(?:\*|/\*)"), "").otherwise(F.regexp_replace(
-        "x", r"\x22(?:[^\x22\\]|\\.)*\x22|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`|//.*$", ""))
-    count = lambda c: F.length("bare") - F.length(F.replace(F.col("bare"), F.lit(c), F.lit("")))
-    lines = raw.select(*FILE, (F.col("p") + 1).cast("bigint").alias("line"), "x",
-                       bare.alias("bare")).select(
-        *FILE, "line", "x", (count("{") - count("}")).alias("step"))
-    upto = Window.partitionBy(*FILE).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    depth = lines.withColumn("after", F.sum("step").over(upto)).withColumn(
-        "before", F.col("after") - F.col("step"))
-    down = Window.partitionBy(*FILE).orderBy(F.desc("line")).rowsBetween(
-        Window.unboundedPreceding, 0)
-    closes = lambda d: F.last(F.when(F.col("after") <= d, F.col("line")), ignorenulls=True).over(down)
-    top = F.max("line").over(Window.partitionBy(*FILE))
-    return depth.withColumns({
-        "close0": F.coalesce(closes(0), top), "close1": F.coalesce(closes(1), top)})
-
-
-def _js_docs(lines: DataFrame) -> DataFrame:
-    """JSDoc comments as one line each: (FILE, next_line, doc), next_line being
-    the first non-blank line after the comment."""
-    x = F.col("x")
-    upto = Window.partitionBy(*FILE).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*FILE).orderBy(F.desc("line")).rowsBetween(
-        Window.unboundedPreceding, -1)
-    marked = lines.select(*FILE, "line", "x").withColumns({
-        "opened": F.last(F.when(x.rlike(r"^\s*/\*\*"), F.col("line")), True).over(upto),
-        "ended": F.last(F.when(x.rlike(r"\*/\s*$"), F.col("line")), True).over(upto.rowsBetween(
-            Window.unboundedPreceding, -1)),
-        "next_line": F.last(F.when(~T.is_blank(x), F.col("line")), True).over(down)})
-    inside = marked.filter(F.col("opened").isNotNull() & (
-        F.col("ended").isNull() | (F.col("ended") < F.col("opened"))))
-    clean = T.strip(F.regexp_replace(T.strip(F.regexp_replace(
-        F.regexp_replace("x", r"^\s*/\*\*", ""), r"\*/\s*$", "")), r"^[* ]+", ""))
-    parts = F.array_sort(F.collect_list(F.struct("line", clean.alias("t"))))
-    return inside.groupBy(*FILE, "opened").agg(
-        F.max_by("next_line", "line").alias("next_line"),
-        F.max_by(F.col("x").rlike(r"\*/\s*$"), "line").alias("closed"),
-        F.array_join(F.filter(F.transform(parts, lambda s: s.t), lambda t: t != ""), " ")
-        .alias("doc")).filter("closed").select(
-        *FILE, "next_line", F.nullif("doc", F.lit("")).alias("doc"))
-
-
-def _js_headers(lines: DataFrame) -> DataFrame:
-    """Lines that open a function, arrow function, class or method."""
-    x = F.col("x")
-    at = lambda d: F.col("before") == d
-    names = F.regexp_extract(x, _JS_METHOD, 2)
-    kind = (
-        F.when(at(0) & x.rlike(_JS_CLASS), "class")
-        .when(at(0) & x.rlike(_JS_FUNCTION), "function")
-        .when(at(0) & x.rlike(_JS_ARROW), "arrow")
-        .when(at(1) & x.rlike(_JS_METHOD) & ~names.isin(*_JS_NOT_METHODS), "method"))
-    upto = Window.partitionBy(*FILE).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    class_at = F.last(F.when(F.col("kind") == "class", F.struct(
-        F.regexp_extract(x, _JS_CLASS, 2).alias("name"), F.col("close0").alias("stop"))),
-        ignorenulls=True).over(upto)
-    found = lines.withColumn("kind", kind).withColumn("outer", class_at).filter(
-        F.col("kind").isNotNull())
-    docs = _js_docs(lines).select(*FILE, F.col("next_line").alias("line"), "doc")
-    return found.filter((F.col("kind") != "method") | (F.col("line") <= F.col("outer.stop"))
-                        ).join(docs, [*FILE, "line"], "left")
-
-
-def _pick(kind_patterns) -> Column:
-    """First matching (kind, pattern, group) as text, '' otherwise."""
-    out = None
-    for kind, pattern, group in kind_patterns:
-        value = F.regexp_extract("x", pattern, group)
-        test = F.col("kind") == kind
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return out.otherwise("")
-
-
-def _js_declarations(headers: DataFrame) -> DataFrame:
-    """Functions and classes of ``js_headers`` in one pass (OUTLINE columns).
-
-    An export wrapper or a variable binding hides a comment in front, so only
-    plain declarations and methods have a docstring. In TypeScript the
-    ``extends`` name lies one level deeper in the syntax and is not listed."""
-    kind = F.col("kind")
-    method, is_class = kind == "method", kind == "class"
-    arrow_params = F.regexp_extract("x", _JS_ARROW, 3)
-    params = F.when(kind == "arrow", F.when(arrow_params != "", arrow_params).otherwise(
-        F.concat(F.lit("("), F.regexp_extract("x", _JS_ARROW, 5), F.lit(")")))).otherwise(
-        _pick([("function", _JS_FUNCTION, 4), ("method", _JS_METHOD, 3)]))
-    returns = T.strip(_pick([("function", _JS_FUNCTION, 5), ("arrow", _JS_ARROW, 4),
-                             ("method", _JS_METHOD, 4)]))
-    exported = _pick([("function", _JS_FUNCTION, 1), ("class", _JS_CLASS, 1)]) != ""
-    base = F.when(P.language(F.col("path")) == "javascript",
-                  F.regexp_extract("x", _JS_CLASS, 3)).otherwise("")
-    return headers.select(
-        *FILE, F.when(is_class, "class").otherwise("function").alias("kind"),
-        _pick([("function", _JS_FUNCTION, 3), ("arrow", _JS_ARROW, 1),
-               ("method", _JS_METHOD, 2), ("class", _JS_CLASS, 2)]).alias("name"),
-        F.col("line").alias("start_line"),
-        F.when(method, F.col("close1")).otherwise(F.col("close0")).alias("end_line"),
-        F.when(~is_class, params).alias("parameters"),
-        F.when(~is_class, F.nullif(returns, F.lit(""))).alias("return_type"),
-        F.when((kind != "arrow") & ~exported, F.col("doc")).alias("docstring"),
+
+def js_statements(files: DataFrame) -> DataFrame:
+    """Functions, classes, bound arrow functions and imports at the top level, and the members of
+    its classes, whatever lines and brackets their headers take."""
+    return statements(files, "javascript", "typescript")
+
+
+def _js_doc(comment: Column) -> Column:
+    """The text of a JSDoc comment as one line."""
+    lines = F.transform(F.split(F.regexp_replace(comment, r"^/\*\*|\*/\z", ""), "\n"),
+                        lambda x: T.strip(F.regexp_replace(T.strip(x), r"^[* ]+", "")))
+    return _some(F.array_join(F.filter(lines, lambda x: x != ""), " "))
+
+
+def js_outline(rows: DataFrame) -> DataFrame:
+    """Functions, classes and imports of ``js_statements`` (OUTLINE columns). An import's place
+    among the file's imports stands in for its line.
+
+    An export wrapper or a variable binding hides a comment in front, so only plain declarations and
+    methods have a docstring. In TypeScript the ``extends`` name lies one level deeper in the syntax
+    and is not listed."""
+    head, tail, top = F.col("head"), F.col("tail"), F.col("owner").isNull()
+    block, arrow = tail.rlike(_JS_TAIL + r"\{\z"), tail.rlike(_JS_TAIL + r"=>\z")
+    kinds = rows.withColumn("form", (
+        F.when(F.col("code").isNotNull(), "import")
+        .when(top & head.rlike(_JS_CLASS) & (tail == "{"), "class")
+        .when(top & head.rlike(_JS_FUNCTION) & block, "function")
+        .when(top & head.rlike(_JS_ARROW) & (arrow | ((_found(_JS_ARROW, 3) != "") & (tail == ""))),
+              "arrow")
+        .when(~top & head.rlike(_JS_METHOD) & block & ~_found(_JS_METHOD, 2).isin(*_JS_NOT_METHODS),
+              "method")))
+    form = F.col("form")
+    is_import, is_class, method = form == "import", form == "class", form == "method"
+    function = form.isin("function", "arrow", "method")
+    exported = (F.when(form == "function", _found(_JS_FUNCTION, 1))
+                .when(is_class, _found(_JS_CLASS, 1)).otherwise("") != "")
+    returns = F.when(form == "arrow", _found(_JS_TAIL + r"=>\z", 1, "tail")).otherwise(
+        _found(_JS_TAIL + r"\{\z", 1, "tail"))
+    base = F.when(F.col("language") == "javascript", _found(_JS_CLASS, 3)).otherwise("")
+    return kinds.filter(form.isNotNull()).select(
+        *FILE, F.when(is_import, "import").when(is_class, "class").otherwise("function").alias("kind"),
+        F.when(form == "function", _found(_JS_FUNCTION, 3)).when(form == "arrow", _found(_JS_ARROW, 1))
+        .when(method, _found(_JS_METHOD, 2)).when(is_class, _found(_JS_CLASS, 2)).alias("name"),
+        "start_line", "end_line",
+        F.when(function, F.coalesce("parameters", F.concat(F.lit("("), _found(_JS_ARROW, 3),
+                                                           F.lit(")")))).alias("parameters"),
+        F.when(function, _some(T.strip(returns))).alias("return_type"),
+        F.when((form != "arrow") & ~exported, _js_doc(F.col("doc"))).alias("docstring"),
         method.alias("is_method"),
-        (_pick([("function", _JS_FUNCTION, 2), ("arrow", _JS_ARROW, 2),
-                ("method", _JS_METHOD, 1)]) != "").alias("is_async"),
-        F.when(method, F.col("outer.name")).alias("class_name"),
-        F.array().cast("array<string>").alias("decorators"),
+        (F.when(form == "function", _found(_JS_FUNCTION, 2)).when(form == "arrow", _found(_JS_ARROW, 2))
+         .when(method, _found(_JS_METHOD, 1)).otherwise("") != "").alias("is_async"),
+        F.when(method, _found(_JS_CLASS, 2, "owner")).alias("class_name"),
+        F.when(~is_import, F.array().cast("array<string>")).alias("decorators"),
         F.when(is_class, F.filter(F.array(base), lambda b: b != "")).alias("base_classes"),
-        F.lit(None).cast("string").alias("import_text"))
-
-
-def _js_imports(files: DataFrame) -> DataFrame:
-    """Import statements as text, also over several lines; their place in the
-    file stands in for the line."""
-    found = F.regexp_extract_all("content", F.lit(_JS_IMPORT), F.lit(0))
-    none = F.lit(None)
-    return _language_files(files, "javascript", "typescript").select(
-        *FILE, F.posexplode(found).alias("seq", "import_text")).select(
-        *FILE, F.lit("import").alias("kind"), none.cast("string").alias("name"),
-        F.col("seq").cast("bigint").alias("start_line"), none.cast("bigint").alias("end_line"),
-        *[none.cast("string").alias(c) for c in ("parameters", "return_type", "docstring")],
-        F.lit(False).alias("is_method"), F.lit(False).alias("is_async"),
-        none.cast("string").alias("class_name"),
-        none.cast("array<string>").alias("decorators"),
-        none.cast("array<string>").alias("base_classes"), "import_text")
-
-
-def js_outline(files: DataFrame) -> DataFrame:
-    return _js_declarations(js_headers(files)).unionByName(_js_imports(files))
-
-
-def js_headers(files: DataFrame) -> DataFrame:
-    return _js_headers(js_lines(files))
+        F.when(is_import, F.col("code")).alias("import_text"))
 
 
 # --- all languages -----------------------------------------------------------
@@ -354,7 +176,9 @@ def js_headers(files: DataFrame) -> DataFrame:
 def outline(files: DataFrame) -> DataFrame:
     """Functions, classes and imports of all supported files; others give
     nothing."""
-    return py_outline(py_statements(files)).unionByName(js_outline(files))
+    rows = statements(files, *LANGUAGES)
+    is_python = F.col("language") == "python"
+    return py_outline(rows.filter(is_python)).unionByName(js_outline(rows.filter(~is_python)))
 
 
 def symbols(outline_rows: DataFrame) -> DataFrame:
@@ -382,6 +206,6 @@ def symbol_report(files: DataFrame, outline_rows: DataFrame) -> DataFrame:
         F.count_if(kind == "class").alias("classes"), F.count_if(kind == "import").alias("imports"))
     columns = ("functions", "methods", "async_functions", "classes", "imports")
     return files.select(*FILE, P.language(F.col("path")).alias("language")).filter(
-        F.col("language").isin("python", "javascript", "typescript")
+        F.col("language").isin(*LANGUAGES)
     ).join(counts, FILE, "left").select(
         *FILE, "language", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in columns])

@@ -103,3 +103,106 @@ def test_any_depth_of_classes_and_brackets(spark):
     found = {r.name: (r.class_name, r.parameters) for r in S.functions_of(out).collect()}
     assert found == {**{f"m{k}": (f"L{k}", "(self)") for k in range(6)},
                      "deep": (None, "(a=((((((1,)))))), b: int = 2)")}
+
+
+MANY_LINES = """function one(
+  a,
+  b = ((((((1)))))), // {
+) {
+  return `x ${a + `y ${"}"} {`} z {`;
+}
+class K<T>
+  extends Base
+{
+  static x = 1
+  handler = (a) => { return 1 }
+  /** Runs. */
+  @Get("/{id}")
+  async run(
+    x: { a: number },
+  ): Promise<{ b: number }>
+  {
+    if (x) { y() }
+  }
+  get z() { return /[{"]/.test(a) }
+}
+const f = async (
+  a: string,
+): Promise<void> =>
+{
+  go()
+}
+const g = <T,>(a: T): T => a
+const {p, q} = require("x")
+const h = x =>
+  x + 1
+const o = { a: 1, run() { return 2 } }
+/* import { no } from "no" */
+import {
+  z,
+} from "z"
+import 'side';
+export default function () {}
+function two(a: string): string;
+function two(a: any): { b: number } { return a }
+"""
+FILES = "change_id bigint, path string, content string"
+
+
+def test_headers_over_lines(spark):
+    rows = S.outline(spark.createDataFrame([(1, "a.js", MANY_LINES)], FILES)).collect()
+    assert {(r.name, r.start_line, r.end_line, r.class_name, r.is_async, r.return_type)
+            for r in rows if r.kind == "function"} == {
+        ("one", 1, 6, None, False, None), ("run", 14, 19, "K", True, "Promise<{ b: number }>"),
+        ("z", 20, 20, "K", False, None), ("f", 22, 27, None, True, "Promise<void>"),
+        ("g", 28, 28, None, False, "T"), ("h", 30, 31, None, False, None),
+        ("two", 40, 40, None, False, "{ b: number }")}
+    found = {r.name: r for r in rows}
+    assert found["one"].parameters == "(\n  a,\n  b = ((((((1)))))), // {\n)"
+    assert found["run"].docstring == "Runs."
+    assert [(r.name, r.start_line, r.end_line, r.base_classes) for r in rows if r.kind == "class"] == [
+        ("K", 7, 21, ["Base"])]
+    assert sorted(r.import_text for r in rows if r.kind == "import") == [
+        "import 'side';", 'import {\n  z,\n} from "z"']
+
+
+ODD = '''"""
+def no(): pass
+"""
+X = {
+    "a": [1,
+def after(x="#", y=(")")):
+    r"""class No: pass"""
+    def inner(): pass
+class A(  # base
+    B,
+):
+
+    \'\'\'Doc.
+
+    def no(): pass
+    \'\'\'
+    if True:
+        def hidden(self): pass
+    x = """
+def no2(): pass"""
+    def m(self, *, a: "dict[str, int]" = {}, **k) -> "A": return 1
+    # end
+
+import os  # why
+'''
+
+
+def test_code_in_strings_and_open_brackets(spark):
+    cut = "class B:\n    def open(self, x='never closed"
+    deep = "class C {\n  m(a) {\n    `${"
+    rows = S.outline(spark.createDataFrame([
+        (1, "a.py", ODD), (2, "b.py", cut), (3, "c.js", deep), (4, "d.py", ""), (5, "e.js", None),
+        (6, "f.py", "\n\n"), (7, "g.ts", "})] class"), (8, "h.py", ")]}\ndef ok(): pass")], FILES)).collect()
+    assert {(r.change_id, r.kind, r.name or r.import_text, r.start_line, r.end_line) for r in rows} == {
+        (1, "function", "after", 6, 8), (1, "class", "A", 9, 21), (1, "function", "m", 21, 21),
+        (1, "import", "import os", 24, 24), (2, "class", "B", 1, 2), (3, "class", "C", 1, 3),
+        (3, "function", "m", 2, 3), (8, "function", "ok", 2, 2)}
+    m = next(r for r in rows if r.name == "m" and r.change_id == 1)
+    assert m.return_type == '"A"' and m.parameters == '(self, *, a: "dict[str, int]" = {}, **k)'
+    assert next(r for r in rows if r.name == "A").docstring == "Doc.\n\n    def no(): pass"
