@@ -262,16 +262,20 @@ def change_texts(spark, sf):
 
 
 @query("review_prompt", f"""
+SELECT change_id, CAST(k AS BIGINT) AS part_no, CAST(ceil(length(prompt) / {K.PROMPT_PART_CHARS}.0)
+    AS BIGINT) AS parts,
+  substr(prompt, CAST(k * {K.PROMPT_PART_CHARS} + 1 AS BIGINT), {K.PROMPT_PART_CHARS}) AS prompt
+FROM (SELECT *, unnest(range(CAST(ceil(length(prompt) / {K.PROMPT_PART_CHARS}.0) AS BIGINT))) AS k FROM (
 SELECT c.change_id, CASE WHEN title <> '' THEN '## Pull Request: ' || title || chr(10) ELSE '' END
   || CASE WHEN body <> '' THEN chr(10) || CASE WHEN length(body) > 500 THEN substr(body, 1, 500)
     || '...' ELSE body END || chr(10) || chr(10) ELSE '' END
   || '## Code Changes to Review' || chr(10) || chr(10)
   || (SELECT string_agg(content, chr(10) || '---' || chr(10) ORDER BY file_id) FROM fx_files f
     WHERE f.change_id = c.change_id) || chr(10) || {sql_text(C.REVIEW_INSTRUCTIONS)} AS prompt
-FROM x_changes c""", views=(_CHANGES,))
+FROM x_changes c))""", views=(_CHANGES,))
 def review_prompt(spark, sf):
     contexts = X.contexts(spark, sf).withColumnRenamed("seq", "file_no")
-    return K.review_prompt(contexts, change_texts(spark, sf)).drop("part_no")
+    return K.review_prompt(contexts, change_texts(spark, sf))
 
 
 _ASCII = """list_aggregate(list_transform(string_split(CAST(to_json({0}) AS VARCHAR), ''),

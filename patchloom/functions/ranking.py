@@ -27,6 +27,24 @@ def bucketed_row_number(df: DataFrame, keys: list[str], seq: str, out: str,
     ).drop("_bucket", "_local", "_offset")
 
 
+def bucketed_running_sum(df: DataFrame, keys: list[str], seq: str, value: str, out: str, total: str,
+                         width: int = BUCKET_WIDTH) -> DataFrame:
+    """The sum of ``value`` before each row in the order of ``seq`` (a whole number, unique per key)
+    within ``keys``, and the sum over all. Rows are summed inside buckets of ``width`` values of
+    ``seq``; only one sum per bucket is ordered per key."""
+    rows = df.withColumn("_bucket", F.floor(F.col(seq) / width).cast("bigint"))
+    key = Window.partitionBy(*keys)
+    before = Window.unboundedPreceding, -1
+    offsets = rows.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_n")).select(
+        *keys, "_bucket", F.sum("_n").over(key).cast("bigint").alias(total),
+        F.coalesce(F.sum("_n").over(key.orderBy("_bucket").rowsBetween(*before)), F.lit(0))
+        .alias("_offset"))
+    local = F.sum(value).over(Window.partitionBy(*keys, "_bucket").orderBy(seq).rowsBetween(*before))
+    return rows.withColumn("_local", F.coalesce(local, F.lit(0))).join(
+        offsets, [*keys, "_bucket"]).withColumn(
+        out, (F.col("_local") + F.col("_offset")).cast("bigint")).drop("_bucket", "_local", "_offset")
+
+
 def bucketed_lead(df: DataFrame, keys: list[str], seq: str, out: str,
                   width: int = BUCKET_WIDTH) -> DataFrame:
     """The next larger ``seq`` within ``keys``, null for the last; ``seq`` is

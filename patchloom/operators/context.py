@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchloom import constants as C
 from patchloom.functions import paths as P
+from patchloom.functions import ranking as R
 from patchloom.functions import text as T
 from patchloom.operators import diff as D
 
 SPAN_BUCKET = 64  # lines per bucket of the interval joins
-WHOLE_PROMPT_CHARS = 64_000_000  # prompts up to here are one value
+PROMPT_PART_CHARS = 16_384
+PROMPT_BUCKET = 64  # files per bucket when prompts are laid out
 FUNCTION_KEY = ["change_id", "path", "fn_no"]
 
 
@@ -178,14 +180,13 @@ def file_context(files: DataFrame, heads: DataFrame, functions: DataFrame,
 
 
 def review_prompt(contexts: DataFrame, changes: DataFrame,
-                  whole_chars: int = WHOLE_PROMPT_CHARS) -> DataFrame:
-    """The user prompt of each change: (change_id, part_no, prompt).
-
-    contexts: change_id, file_no, context_text; changes: change_id, title, body.
-    A prompt is one row with part 0. Where the contexts of a change together are
-    longer than ``whole_chars``, they are not gathered in one task: the prompt
-    comes as several rows whose texts, in order of ``part_no`` and put together,
-    are the same prompt."""
+                  part_chars: int = PROMPT_PART_CHARS) -> DataFrame:
+    """The user prompt of each change in parts: (change_id, part_no, parts, prompt).
+
+    contexts: change_id, file_no, context_text; changes: change_id, title, body. The prompt is the
+    texts of a change's parts in order of ``part_no``, which counts from 0; every part but the last
+    of ``parts`` has ``part_chars`` characters. Each file knows where in the prompt its text begins,
+    is cut there, and only what falls into one part is gathered, so a change may be of any size."""
     body = F.when(F.length("body") > C.BODY_CHARS,
                   F.concat(F.substring("body", 1, C.BODY_CHARS), F.lit("..."))
                   ).otherwise(F.col("body"))
@@ -195,25 +196,27 @@ def review_prompt(contexts: DataFrame, changes: DataFrame,
         F.when(some("title"), F.concat(F.lit(C.REVIEW_TITLE_PREFIX), "title")),
         F.when(some("body"), F.concat(F.lit("\n"), body, F.lit("\n"))),
         F.lit(C.REVIEW_CODE_HEADING + "\n")).alias("top"))
-    foot = F.lit("\n" + C.REVIEW_INSTRUCTIONS)
-    sizes = contexts.groupBy("change_id").agg(
-        F.sum(F.length("context_text").cast("bigint")).alias("chars"),
+    ends = contexts.groupBy("change_id").agg(
         F.min("file_no").alias("first_no"), F.max("file_no").alias("last_no"))
-    framed = frame.join(sizes, "change_id")
-    whole = framed.filter(F.col("chars") <= whole_chars).select("change_id", "top")
-    gathered = contexts.join(whole.select("change_id"), "change_id", "left_semi").groupBy(
-        "change_id").agg(F.array_sort(F.collect_list(F.struct("file_no", "context_text")))
-                         .alias("cs"))
-    short = gathered.join(whole, "change_id").select(
-        "change_id", F.lit(0).cast("bigint").alias("part_no"),
-        F.concat("top", F.array_join(F.transform("cs", lambda c: c.context_text),
-                                     C.REVIEW_SEPARATOR), foot).alias("prompt"))
-    parts = contexts.join(framed.filter(F.col("chars") > whole_chars), "change_id").select(
-        "change_id", F.col("file_no").cast("bigint").alias("part_no"),
-        F.concat(F.when(F.col("file_no") == F.col("first_no"), F.col("top")).otherwise(
-            C.REVIEW_SEPARATOR), "context_text",
-            F.when(F.col("file_no") == F.col("last_no"), foot).otherwise("")).alias("prompt"))
-    return short.unionByName(parts)
+    texts = contexts.join(frame.join(ends, "change_id"), "change_id").select(
+        "change_id", "file_no", F.concat(
+            F.when(F.col("file_no") == F.col("first_no"), F.col("top")).otherwise(
+                C.REVIEW_SEPARATOR), "context_text",
+            F.when(F.col("file_no") == F.col("last_no"), "\n" + C.REVIEW_INSTRUCTIONS).otherwise(""))
+        .alias("text"))
+    placed = R.bucketed_running_sum(
+        texts.withColumn("chars", F.length("text").cast("bigint")), ["change_id"], "file_no", "chars",
+        "start", "total", width=PROMPT_BUCKET)
+    room = F.lit(part_chars) - F.col("start") % part_chars  # characters left in the first part
+    pieces = F.concat(
+        F.array(F.substr("text", F.lit(1), room)),
+        F.regexp_extract_all(F.substr("text", room + 1), F.lit(f"(?s).{{1,{part_chars}}}"), F.lit(0)))
+    cut = placed.select("change_id", "file_no", "total", F.floor(F.col("start") / part_chars)
+                        .cast("bigint").alias("first_part"), F.posexplode(pieces).alias("k", "piece"))
+    return cut.groupBy("change_id", (F.col("first_part") + F.col("k")).alias("part_no")).agg(
+        F.ceil(F.first("total") / part_chars).cast("bigint").alias("parts"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_no", "piece"))),
+                                 lambda x: x.piece), "").alias("prompt"))
 
 
 def json_text(value: Column) -> Column:
@@ -233,19 +236,16 @@ def json_text(value: Column) -> Column:
 
 
 def chat_messages(prompts: DataFrame, matches: DataFrame | None = None) -> DataFrame:
-    """(change_id, seq, role, content): a system and a user row per change. With
-    guidance, the system text grows and a JSON array of excerpts follows the
-    prompt. A prompt in parts (``part_no``) has a user row for each, numbered in
-    their order, the excerpts after the last. matches: change_id, seq, changed_path,
-    source_id, excerpt; at most k per file of at most eight files, so the list per
-    change is short."""
+    """(change_id, seq, role, content): a system row and user rows per change. With guidance, the
+    system text grows and a JSON array of excerpts follows the prompt. A prompt in parts (``part_no``
+    of ``parts``) has a user row for each, numbered in their order, the excerpts after the last.
+    matches: change_id, seq, changed_path, source_id, excerpt; at most k per file of at most eight
+    files, so the list per change is short."""
     system = F.lit(C.SYSTEM_PROMPT + "\n\n" + C.REVIEW_EXAMPLE)
     seq, last = F.lit(1).cast("bigint"), F.lit(True)
     if "part_no" in prompts.columns:
-        order = Window.partitionBy("change_id").orderBy("part_no")
-        prompts = prompts.withColumns({"_seq": F.row_number().over(order).cast("bigint"),
-                                       "_last": F.lead("part_no").over(order).isNull()})
-        seq, last = F.col("_seq"), F.col("_last")
+        seq = F.col("part_no") + 1
+        last = seq == F.col("parts")
     if matches is None:
         rows = prompts.withColumn("data", F.lit(None).cast("string"))
     else:

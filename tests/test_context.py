@@ -66,18 +66,22 @@ def test_check_run_end_to_end(spark):
     assert C.SEVERITIES[-1] == found[0].severity
 
 
-def test_long_prompts_come_in_parts(spark):
-    contexts = spark.createDataFrame([(1, 4, "b" * 9), (1, 2, "a" * 9), (2, 0, "c")],
+def test_prompts_are_parts_of_one_text(spark):
+    texts = {1: [(4, "b" * 90), (2, "a😀" * 9), (70, ""), (200, "z")], 2: [(0, "c")], 3: []}
+    contexts = spark.createDataFrame([(c, n, t) for c, rows in texts.items() for n, t in rows],
                                      "change_id bigint, file_no bigint, context_text string")
-    changes = spark.createDataFrame([(1, "T", "B"), (2, "", None)],
+    changes = spark.createDataFrame([(1, "T", "B"), (2, "", None), (3, "x", "y")],
                                     "change_id bigint, title string, body string")
-    whole = {r.change_id: r.prompt for r in K.review_prompt(contexts, changes).collect()}
-    assert whole[1].startswith("## Pull Request: T\n\nB\n\n## Code Changes to Review\n\n" + "a" * 9
-                               + "\n---\n" + "b" * 9 + "\n\n## Instructions\n")
-    parts = K.review_prompt(contexts, changes, whole_chars=10).orderBy("part_no").collect()
-    assert len(parts) == 3
-    assert "".join(r.prompt for r in parts if r.change_id == 1) == whole[1]
-    assert [r.prompt for r in parts if r.change_id == 2] == [whole[2]]
+    want = {c: ("## Pull Request: T\n\nB\n\n" if c == 1 else "") + "## Code Changes to Review\n\n"
+            + "\n---\n".join(t for _, t in sorted(texts[c])) + "\n" + C.REVIEW_INSTRUCTIONS for c in (1, 2)}
+    for chars in (1, 7, 64, 100_000):
+        got = {}
+        for r in K.review_prompt(contexts, changes, chars).orderBy("change_id", "part_no").collect():
+            got.setdefault(r.change_id, []).append(r)
+        assert {c: "".join(r.prompt for r in rows) for c, rows in got.items()} == want
+        for rows in got.values():
+            assert [(r.part_no, r.parts) for r in rows] == [(k, len(rows)) for k in range(len(rows))]
+            assert {len(r.prompt) for r in rows[:-1]} <= {chars}
 
 
 def test_prompt_in_parts_has_one_system_row_and_ordered_user_rows(spark):
@@ -88,13 +92,14 @@ def test_prompt_in_parts_has_one_system_row_and_ordered_user_rows(spark):
     matches = spark.createDataFrame([(1, 0, "p", "s", "e")], "change_id bigint, seq int, "
                                     "changed_path string, source_id string, excerpt string")
     for m in (None, matches):
-        def chat(**how):
+        def chat(chars):
             out = {}
-            for r in K.chat_messages(K.review_prompt(contexts, changes, **how), m).orderBy(
+            for r in K.chat_messages(K.review_prompt(contexts, changes, chars), m).orderBy(
                     "change_id", "seq").collect():
                 out.setdefault(r.change_id, []).append((r.seq, r.role, r.content))
             return out
-        whole, parts = chat(), chat(whole_chars=10)
-        assert [x[:2] for x in parts[1]] == [(0, "system"), (1, "user"), (2, "user")]
-        assert parts[1][0] == whole[1][0] and parts[2] == whole[2]
-        assert parts[1][1][2] + parts[1][2][2] == whole[1][1][2]
+        whole, parts = chat(100_000), chat(100)
+        assert [x[:2] for x in parts[1]] == [(0, "system")] + [
+            (k, "user") for k in range(1, len(parts[1]))] and len(parts[1]) > 3
+        assert parts[1][0] == whole[1][0] and len(whole[2]) == 2
+        assert "".join(x[2] for x in parts[1][1:]) == whole[1][1][2]
