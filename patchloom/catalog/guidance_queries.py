@@ -152,20 +152,27 @@ FROM x_vec WHERE floor(vec_id / 50) % 2 = 0 OR vec_id % 2 = 0""".replace(
     "CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END::BIGINT",
     "CAST(CASE WHEN floor(vec_id / 50) % 2 = 0 THEN 1 ELSE 2 END AS BIGINT)"), views=(_VECTORS,))
 def guidance_table(spark, sf):
-    """All rows stored, then every other repository replaced by half of them."""
+    """All rows stored, then every other repository replaced by half of them; compacted, vacuumed."""
+    return flat(stored(spark, sf).read()).select(
+        "repo_id", "source_id", "embedder", "scopes", F.size("embedding").cast("bigint").alias("dims"),
+        F.col("revision").cast("bigint").alias("version"))
+
+
+def stored(spark, sf):
     rows = X.guidance(spark, sf).select(
         "repo_id", "source_id", F.lit("markdown").alias("kind"), F.lit("docs/g.md").alias("path"),
         F.lit("1").alias("revision"), F.col("source_id").alias("locator"),
         F.lit("text").alias("excerpt"), "scopes", "embedder", "embedding")
-    store = GuidanceStore(spark, f"{shared_folder(spark)}/guidance-{uuid.uuid4().hex}", dimensions=64)
+    store = GuidanceStore(spark, f"{shared_folder(spark)}/guidance-{uuid.uuid4().hex}", dimensions=64,
+                          buckets=8)
     store.write(rows, rows, 1)
     number = F.substr("source_id", F.lit(2)).cast("bigint")
-    second = rows.filter((F.floor(number / 50) % 2 == 1) & (number % 2 == 0)).withColumn(
-        "revision", F.lit("2"))
-    store.write(second, rows.filter(F.floor(number / 50) % 2 == 1), 2)
-    return flat(store.read()).select(
-        "repo_id", "source_id", "embedder", "scopes", F.size("embedding").cast("bigint").alias("dims"),
-        F.col("revision").cast("bigint").alias("version"))
+    odd = F.floor(number / 50) % 2 == 1
+    store.write(rows.filter(odd & (number % 2 == 0)).withColumn("revision", F.lit("2")),
+                rows.filter(odd), 2)
+    store.compact(3, attempts=1)
+    store.vacuum(keep=1)
+    return store
 
 
 # --- excerpts ----------------------------------------------------------------

@@ -22,7 +22,7 @@ def index_run(sources: DataFrame, store: GuidanceStore, version: int,
     items = cut_lineage(U.index_items(sources))
     accepted = sources.select("repo_id").distinct().join(
         U.refused_snapshots(sources), "repo_id", "left_anti")
-    rows = U.replace_snapshot(items, store.read(), accepted, embed, embedder)
+    rows = U.replace_snapshot(items, store.read(accepted), accepted, embed, embedder)
     store.write(rows, accepted, version)
 
 
@@ -37,5 +37,6 @@ def retrieve_run(diffs: DataFrame, heads: DataFrame, store: GuidanceStore, repos
         P.language(F.col("path")).isNotNull()).join(
         heads.filter(F.col("content") != "").select("change_id", "path").distinct(),
         ["change_id", "path"], "left_semi")
-    return U.retrieve_guidance(U.guidance_queries(D.added_text(files)), store.read(), repos, k,
+    known = store.read(repos.select(F.lower("repo_id").alias("repo_id")))
+    return U.retrieve_guidance(U.guidance_queries(D.added_text(files)), known, repos, k,
                                min_similarity, embed, embedder)

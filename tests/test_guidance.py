@@ -151,6 +151,80 @@ def test_store_versions(spark, tmp_path):
     assert [r.source_id for r in store.read().collect()] == ["2"]
 
 
+def _store(spark, folder, buckets=3):
+    schema = ("repo_id string, source_id string, kind string, path string, revision string, locator "
+              "string, excerpt string, scopes array<string>, embedder string, embedding array<float>")
+    store = GuidanceStore(spark, str(folder), dimensions=2, buckets=buckets)
+    rows = lambda rev, *keys: spark.createDataFrame(
+        [(r, s, "markdown", "p.md", rev, "L1", "x", [], "m", [1.0, 0.0]) for r, s in keys], schema)
+    repos = lambda *names: spark.createDataFrame([(n,) for n in names], "repo_id string")
+    shown = lambda df: sorted((r.repo_id, r.source_id, r.revision) for r in df.collect())
+    return store, rows, repos, shown
+
+
+def test_store_opens_live_files_of_wanted_repositories(spark, tmp_path):
+    store, rows, repos, shown = _store(spark, tmp_path)
+    names = [f"r{i}" for i in range(12)]
+    for version in range(1, 6):
+        mine = names[version % 2::2] if version > 1 else names
+        store.write(rows(str(version), *[(n, "s") for n in mine]), repos(*mine), version)
+    want = sorted((n, "s", str(5 if i % 2 else 4)) for i, n in enumerate(names))
+    assert shown(store.read()) == want
+    attempts = lambda df: {f.split("attempt=")[1].split("-")[0] for f in df.inputFiles() if "/rows/" in f}
+    assert attempts(store.read()) == {"4", "5"}
+    one = store.read(repos("r3", "not there"))
+    assert shown(one) == [("r3", "s", "5")] and attempts(one) == {"5"}
+    assert len({f.split("bucket=")[1].split("/")[0] for f in one.inputFiles() if "/rows/" in f}) == 1
+    store.compact(6, attempts=1)
+    assert shown(store.read()) == want and attempts(store.read()) == {"6"}
+    assert sorted(a.split("-")[0] for a in store.vacuum(keep=1)) == ["1", "2", "3", "4", "5"]
+    assert store.versions() == [6] and shown(store.read()) == want
+    store.write(rows("7"), repos("r0", "r1"), 7)  # emptied
+    assert shown(store.read()) == [w for w in want if w[0] not in ("r0", "r1")]
+    store.compact(8, attempts=1)
+    store.vacuum(keep=1)
+    assert shown(store.read()) == [w for w in want if w[0] not in ("r0", "r1")]
+
+
+def test_store_survives_a_crash_between_steps(spark, tmp_path, monkeypatch):
+    store, rows, repos, shown = _store(spark, tmp_path)
+    store.write(rows("1", ("a", "1"), ("b", "1")), repos("a", "b"), 1)
+    want = [("a", "1", "1"), ("b", "1", "1")]
+
+    def crash(*_):
+        raise RuntimeError("lost")
+    with monkeypatch.context() as m:
+        m.setattr(GuidanceStore, "_commit", crash)
+        for step in (lambda: store.write(rows("2", ("a", "9"), ("a", "8")), repos("a", "b"), 2),
+                     lambda: store.compact(3, attempts=0)):
+            try:
+                step()
+                raise AssertionError("no crash")
+            except RuntimeError:
+                pass
+            assert shown(store.read()) == want and store.versions() == [1]
+    (tmp_path / "log" / "version=2").mkdir()  # a commit that was cut off counts for nothing
+    assert shown(store.read()) == want
+    store.write(rows("2", ("a", "2")), repos("a", "b"), 2)  # b is emptied now, the failed try held it
+    assert shown(store.read()) == [("a", "2", "2")]
+    assert len(store.vacuum(keep=2)) == 1  # the failed second attempt; the third is still ahead
+    assert shown(store.read()) == [("a", "2", "2")]
+    with monkeypatch.context() as m:
+        m.setattr(GuidanceStore, "_remove", crash)
+        try:
+            store.vacuum(keep=1)
+        except RuntimeError:
+            pass
+    assert shown(store.read()) == [("a", "2", "2")]
+    store.compact(4, attempts=0)
+    with monkeypatch.context() as m:  # whole log there, old logs not yet removed
+        m.setattr(GuidanceStore, "_remove", lambda *_: None)
+        store.vacuum(keep=1)
+    assert shown(store.read()) == [("a", "2", "2")]
+    store.vacuum(keep=1)
+    assert store.versions() == [4] and shown(store.read()) == [("a", "2", "2")]
+
+
 def test_index_run_keeps_refused_repositories(spark, tmp_path):
     from patchloom.plans.guidance import index_run
     store = GuidanceStore(spark, str(tmp_path))
