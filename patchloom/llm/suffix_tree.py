@@ -34,14 +34,16 @@ LEAST = 8                    # training occurrences of a context that may be kep
 SMOOTH = 100.0               # weight of the shorter context's distribution, in occurrences
 DIVERGENCE = 2.0             # least gain of a kept context, in nats over all its occurrences
 HELD_OUT, REMAINDER = 5, 1   # rows whose crc32(doc_id) leaves this remainder are not trained on
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 16_000_000
 PIECE_BYTES = 2_000_000      # a longer text is cut at white space
-BUCKET_KEYS = 3_000_000
+BUCKET_KEYS = 2_500_000
 LEAST_BUCKETS = 12
 END = np.uint64(0x2545F4914F6CDD1D)   # the token after a document's last word
 UNIT = 1024.0                # divergences are summed as whole parts of a nat, in any order
 COUNTS, GAINS = 0, 1
-RAW_PLANES = 5               # low bytes of key differences are noise and not worth compressing
+LEAST_BITS, SPARE_BITS = 40, 11  # a sequence of words has a key of log2(tokens) + SPARE_BITS bits,
+                             # so that at any size one in a thousand meets another; a word has 64
+RAW_PLANES = 4               # low bytes of key differences are noise and not worth compressing
 
 
 def held_out(doc_id: Column) -> Column:
@@ -49,6 +51,30 @@ def held_out(doc_id: Column) -> Column:
                       F.lit(False))
 
 
+def steps(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte place by byte place."""
+    places = planes(np.diff(keys, prepend=np.uint64(0)), 8)
+    high = zlib.compress(places[RAW_PLANES:].tobytes(), 1)
+    return packed(places[:RAW_PLANES], np.frombuffer(high, np.uint8))
+
+
+def from_steps(blob: bytes) -> np.ndarray:
+    low, high = unpacked(blob, np.uint8, np.uint8)
+    high = np.frombuffer(zlib.decompress(high), np.uint8)
+    return np.cumsum(from_planes(np.concatenate([low, high]), 8), dtype=np.uint64)
+
+
+class Model:
+    """Parameters of the tree, and sizes of the corpus once they are known."""
+
+    def __init__(self, depth: int, least: int, smooth: float, divergence: float,
+                 all_tokens: int) -> None:
+        self.depth, self.least, self.smooth, self.divergence = depth, least, smooth, divergence
+        self.n_buckets = max(LEAST_BUCKETS, math.ceil(0.85 * all_tokens / BUCKET_KEYS))
+        self.drop_bits = 64 - min(64, max(LEAST_BITS, all_tokens.bit_length() + SPARE_BITS))
+        self.n_tokens = self.n_types = 0  # of training, known after the first round
+
+
 # --- blocks of hashed documents -----------------------------------------------
 
 
@@ -109,8 +135,10 @@ def blocks(docs: DataFrame, depth: int, block_bytes: int, piece_bytes: int) -> D
             width = max(1, (int(len(vocabulary) - 1).bit_length() + 7) // 8)
             meta = np.array([[h[1][0], h[1][1] or 0, h[1][1] is not None, h[1][2]] for h in held],
                             np.int64)
-            body = zlib.compress(packed(meta, np.array(lead, np.int32), np.array(size, np.int32),
-                                        vocabulary, np.array([width]), planes(ids, width)), 1)
+            small = zlib.compress(packed(meta, np.array(lead, np.int32), np.array(size, np.int32),
+                                         np.array([width])), 1)
+            body = packed(*[np.frombuffer(x, np.uint8) for x in (
+                small, steps(vocabulary), zlib.compress(planes(ids, width).tobytes(), 1))])
             out = pd.DataFrame({"block": [number], "tokens": [len(ids)], "body": [body]})
             held, filled, number = [], 0, number + 1
             return out
@@ -137,11 +165,14 @@ def blocks(docs: DataFrame, depth: int, block_bytes: int, piece_bytes: int) -> D
 class Block:
     """A block's tokens, and for each length of sequences the totals that buckets have told."""
 
-    def __init__(self, body: bytes) -> None:
-        meta, self.lead, self.size, self.vocabulary, width, ids = unpacked(
-            zlib.decompress(body), np.int64, np.int32, np.int32, np.uint64, np.int64, np.uint8)
-        self.meta = meta.reshape(-1, 4)
-        self.ids = from_planes(ids, int(width[0])).astype(np.int64)
+    def __init__(self, body: bytes, drop_bits: int) -> None:
+        self.drop = np.uint64(drop_bits)
+        small, words, ids = unpacked(body, np.uint8, np.uint8, np.uint8)
+        meta, self.lead, self.size, width = unpacked(
+            zlib.decompress(small), np.int64, np.int32, np.int32, np.int64)
+        self.meta, self.vocabulary = meta.reshape(-1, 4), from_steps(words.tobytes())
+        self.ids = from_planes(np.frombuffer(zlib.decompress(ids), np.uint8),
+                               int(width[0])).astype(np.int64)
         self.piece = np.repeat(np.arange(len(self.size)), self.size)
         begin = np.cumsum(self.size) - self.size
         self.offset = np.arange(len(self.ids)) - begin[self.piece]
@@ -158,6 +189,7 @@ class Block:
         if len(self.grams) == k:
             longer = np.zeros_like(self.grams[1])
             longer[1:] = H.mixed(self.grams[k - 1][:-1] * np.uint64(3) + self.grams[1][1:])
+            longer = longer >> self.drop << self.drop
             self.grams.append(longer)
         may = self.offset >= k - 1
         if k > 2:
@@ -193,32 +225,31 @@ def smoothed(count: np.ndarray, context: np.ndarray, shorter: np.ndarray,
 
 
 def sent(block: int, kind: int, k: int, keys: np.ndarray, values: np.ndarray,
-         n_buckets: int) -> list[tuple]:
+         model: Model) -> list[tuple]:
     """Rows (bucket, block, kind, k, blob) of sorted keys with whole numbers."""
-    bucket = in_buckets(keys, n_buckets)
+    bucket = in_buckets(keys, model.n_buckets)
     cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)]]).astype(int)
     rows = []
     for a, b in zip(cut[:-1], cut[1:]):
         if b > a:
-            steps = planes(np.diff(keys[a:b], prepend=np.uint64(0)), 8)
-            packs = zlib.compress(packed(steps[RAW_PLANES:], planes(values[a:b].view(np.uint64), 8)), 1)
-            rows.append((int(bucket[a]), block, kind, k, packed(
-                steps[:RAW_PLANES], np.frombuffer(packs, np.uint8))))
+            packs = zlib.compress(planes(values[a:b].view(np.uint64), 8).tobytes(), 1)
+            shown = keys[a:b] if k == 1 else keys[a:b] >> np.uint64(model.drop_bits)
+            rows.append((int(bucket[a]), block, kind, k, packed(*[
+                np.frombuffer(x, np.uint8) for x in (steps(shown), packs)])))
     return rows
 
 
 def received(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    low, packs = unpacked(blob, np.uint8, np.uint8)
-    high, values = unpacked(zlib.decompress(packs), np.uint8, np.uint8)
-    return (np.cumsum(from_planes(np.concatenate([low, high]), 8), dtype=np.uint64),
-            from_planes(values, 8).view(np.int64))
+    keys, packs = unpacked(blob, np.uint8, np.uint8)
+    values = from_planes(np.frombuffer(zlib.decompress(packs), np.uint8), 8)
+    return from_steps(keys.tobytes()), values.view(np.int64)
 
 
 SENT = "bucket int, block bigint, kind int, k int, blob binary"
 TOLD = ("block bigint, kind int, k int, bucket int, answer binary, types bigint, tokens bigint")
 
 
-def answered(frame: pd.DataFrame, divergence: float) -> pd.DataFrame:
+def answered(frame: pd.DataFrame, model: Model) -> pd.DataFrame:
     """A bucket's answers: totals, and one block of those with training occurrences as each key's
     owner; or which contexts are kept."""
     out = []
@@ -245,7 +276,7 @@ def answered(frame: pd.DataFrame, divergence: float) -> pd.DataFrame:
                 answer = packed(np.array([width]), planes(each[mine].view(np.uint64), width),
                                 np.packbits(owner[mine]))
             else:
-                answer = packed(np.packbits(each[mine] > divergence * UNIT))
+                answer = packed(np.packbits(each[mine] > model.divergence * UNIT))
             words = kind == COUNTS and k == 1 and j == 0
             out.append((block, kind, k, rows["bucket"].iloc[0], zlib.compress(answer, 1),
                         int((total > 0).sum()) if words else 0, int(total.sum()) if words else 0))
@@ -281,16 +312,6 @@ class Answers:
 # --- rounds -------------------------------------------------------------------
 
 
-class Model:
-    """Parameters of the tree, and sizes of the corpus once they are known."""
-
-    def __init__(self, depth: int, least: int, smooth: float, divergence: float,
-                 n_buckets: int) -> None:
-        self.depth, self.least, self.smooth = depth, least, smooth
-        self.divergence, self.n_buckets = divergence, n_buckets
-        self.n_tokens = self.n_types = 0
-
-
 def counts_of(b: Block, k: int, model: Model) -> tuple[np.ndarray, np.ndarray]:
     places, keys, number = b.sequences(k, model.least)
     return keys, np.bincount(number[b.train[places]], minlength=len(keys)).astype(np.int64)
@@ -345,23 +366,23 @@ def gains_of(b: Block, k: int, p: np.ndarray, at: np.ndarray, number: np.ndarray
 def send(block: int, body: bytes, frame: pd.DataFrame, model: Model, turn: int) -> pd.DataFrame:
     """What a block sends in a round: counts of one and two words first, then divergences of k-word
     contexts beside counts of sequences two words longer."""
-    b, rows = Block(body), []
+    b, rows = Block(body, model.drop_bits), []
     if turn == 0:
         for k in (1, 2):
-            rows += sent(block, COUNTS, k, *counts_of(b, k, model), model.n_buckets)
+            rows += sent(block, COUNTS, k, *counts_of(b, k, model), model)
     else:
         for k, p, at, number, totals, owners, _ in climbed(b, Answers(frame), model, turn):
             if k == turn:
                 rows += sent(block, GAINS, k, *gains_of(b, k, p, at, number, totals, owners, model),
-                             model.n_buckets)
+                             model)
         if turn < model.depth:
-            rows += sent(block, COUNTS, turn + 2, *counts_of(b, turn + 2, model), model.n_buckets)
+            rows += sent(block, COUNTS, turn + 2, *counts_of(b, turn + 2, model), model)
     return pd.DataFrame(rows, columns=[c.split()[0] for c in SENT.split(", ")])
 
 
 def scored(body: bytes, frame: pd.DataFrame, model: Model) -> pd.DataFrame:
     """Figures of each piece of a block."""
-    b, told = Block(body), Answers(frame)
+    b, told = Block(body, model.drop_bits), Answers(frame)
     state = None
     for k, p, at, _, _, _, longer in climbed(b, told, model, model.depth):
         if state is None:
@@ -383,21 +404,30 @@ def scored(body: bytes, frame: pd.DataFrame, model: Model) -> pd.DataFrame:
         "n_known": count(b.totals[1] > 0), "base_score": log(base), "score": log(state)})
 
 
+def in_place(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out by a key and written, so that later groups by this key leave it where it is
+    and only move what they are joined with. A written table keeps how it is dealt out only if its
+    plan is not adaptive, so that is off for this one step."""
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    parts, before = int(conf.get("spark.sql.shuffle.partitions")), conf.get(name)
+    conf.set(name, "false")
+    try:
+        return C.written(df.repartition(parts, key))
+    finally:
+        conf.set(name, before)
+
+
 def score(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, smooth: float = SMOOTH,
           divergence: float = DIVERGENCE, block_bytes: int = BLOCK_BYTES,
           piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per document.
 
     Null and empty texts are one end token. Rows without a doc_id are trained on, not held out;
-    repeated rows count and are scored one by one. Words are told apart by 64-bit hashes. Without
-    training rows every word has the probability that smoothing leaves. No documents give no rows."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Dealt out by block once: later rounds bring answers to the blocks and leave these in place.
-    kept = C.written(blocks(docs, depth, block_bytes, piece_bytes).repartition(parts, "block"))
-    tokens = kept.agg(F.sum("tokens")).first()[0] or 0
-    model = Model(depth, least, smooth, divergence,
-                  max(LEAST_BUCKETS, math.ceil(0.85 * tokens / BUCKET_KEYS)))
+    repeated rows count and are scored one by one. Words are told apart by 64-bit hashes, longer
+    sequences by as many bits as their number asks for (SPARE_BITS). Without training rows every word has the probability that smoothing
+    leaves. No documents give no rows."""
+    kept = in_place(blocks(docs, depth, block_bytes, piece_bytes), "block")
+    model = Model(depth, least, smooth, divergence, kept.agg(F.sum("tokens")).first()[0] or 0)
 
     def ask(turn: int, told: DataFrame | None) -> DataFrame:
         now = model
@@ -412,8 +442,8 @@ def score(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, smooth: float
 
         rows = kept.mapInPandas(first, SENT) if told is None else kept.groupBy("block").cogroup(
             told.groupBy("block")).applyInPandas(lambda a, b: later(a, b), SENT)
-        return C.written(rows.groupBy("bucket").applyInPandas(
-            lambda f: answered(f, divergence), TOLD))
+        return in_place(rows.groupBy("bucket").applyInPandas(
+            lambda f: answered(f, now), TOLD), "block")
 
     told = ask(0, None)
     sums = told.agg(F.sum("types"), F.sum("tokens")).first()
