@@ -38,9 +38,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % HELD_OUT == 0, F.lit(False))
 
 
-def features(data: np.ndarray, table_bits: int = TABLE_BITS) -> tuple[np.ndarray, np.ndarray]:
+def features(data: np.ndarray, owner: np.ndarray, table_bits: int = TABLE_BITS
+             ) -> tuple[np.ndarray, np.ndarray]:
     """(slot, end) of all features of a byte array; ``end`` is the byte after a feature, which
-    tells its document. White space runs count as one edge mark."""
+    tells its document by ``owner``. White space runs count as one edge mark; words of two documents
+    are no pair."""
     space = H.IS_SPACE[data]
     kept = ~space | ~np.concatenate([[False], space[:-1]])
     places = np.flatnonzero(kept)
@@ -65,8 +67,10 @@ def features(data: np.ndarray, table_bits: int = TABLE_BITS) -> tuple[np.ndarray
         ends.append(starts)
         # A pair of equal words is one feature, whatever the word.
         pairs = H.mixed(words[1:] * np.uint64(3) + words[:-1])
-        parts.append(np.where(words[1:] == words[:-1], REPEATED, pairs) >> drop)
-        ends.append(starts[1:])
+        pairs = np.where(words[1:] == words[:-1], REPEATED, pairs) >> drop
+        own = owner[starts[1:]] == owner[starts[:-1]]
+        parts.append(pairs[own])
+        ends.append(starts[1:][own])
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(parts).astype(np.int64), np.concatenate(ends)
@@ -74,28 +78,32 @@ def features(data: np.ndarray, table_bits: int = TABLE_BITS) -> tuple[np.ndarray
 
 def pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(bytes, document of each byte) of texts joined by white space, about a chunk at a time. A
-    longer text is cut at white space, or at the chunk's end if it has none."""
+    longer text comes alone, cut at white space, or at the chunk's end if it has none."""
     buffer, owner, filled = [], [], 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(buffer), np.uint8), np.repeat(*np.array(owner, np.int64).T)
+
     for k, text in enumerate(texts):
+        if len(text) <= CHUNK:
+            buffer.append(b" " + text + b" ")
+            owner.append((k, len(buffer[-1])))
+            filled += len(buffer[-1])
+            if filled >= CHUNK:
+                yield joined()
+                buffer, owner, filled = [], [], 0
+            continue
         at = 0
-        while at < len(text) or not at:
+        while at < len(text):
             end = min(len(text), at + CHUNK)
             if end < len(text):
                 end = max(text.rfind(b" ", at, end), text.rfind(b"\n", at, end)) + 1 or end
                 end = end if end > at else min(len(text), at + CHUNK)
-            part = b" " + text[at:end] + b" "
-            buffer.append(part)
-            owner.append((k, len(part)))
-            filled += len(part)
+            part = np.frombuffer(b" " + text[at:end] + b" ", np.uint8)
+            yield part, np.full(len(part), k, np.int64)
             at = end
-            if filled >= CHUNK:
-                yield (np.frombuffer(b"".join(buffer), np.uint8),
-                       np.repeat(*np.array(owner, np.int64).T))
-                buffer, owner, filled = [], [], 0
-            if not text:
-                break
     if buffer:
-        yield np.frombuffer(b"".join(buffer), np.uint8), np.repeat(*np.array(owner, np.int64).T)
+        yield joined()
 
 
 def encoded(texts) -> list[bytes]:
@@ -106,18 +114,19 @@ def encoded(texts) -> list[bytes]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """(doc_id, label, slots, counts): features of at most ``rows`` labelled rows that are not held
-    out, in the order of a hash of their ids."""
+    """(doc_id, label, slots, counts): features of at most ``rows`` labelled documents that are not
+    held out, in the order of a hash of their ids. Of rows that repeat an id, the least text counts."""
     wanted = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).filter(
         ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("label")).orderBy(
         F.md5(F.col("doc_id").cast("string"))).limit(rows)
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id")
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id").groupBy("doc_id", "label").agg(
+        F.min("text").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for text in encoded(batch["text"]):
-                found = [features(data)[0] for data, _ in pieces([text])]
+                found = [features(*piece)[0] for piece in pieces([text])]
                 slots, counts = np.unique(np.concatenate(found), return_counts=True)
                 out.append((slots.astype("<i4").tobytes(), counts.astype("<i4").tobytes()))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"].astype("int32"),
@@ -185,7 +194,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = T
         for batch in batches:
             total, count = np.zeros(len(batch)), np.zeros(len(batch))
             for data, owner in pieces(encoded(batch["text"])):
-                slots, ends = features(data)
+                slots, ends = features(data, owner)
                 doc = owner[ends]
                 total += np.bincount(doc, table[slots], minlength=len(batch))
                 count += np.bincount(doc, minlength=len(batch))

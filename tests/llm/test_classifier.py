@@ -47,16 +47,32 @@ def test_features_do_not_depend_on_batches():
     texts = [b"", b"one two two", b" \n ", "é ü".encode(), b"x" * 3000, b"a b " * 500]
     alone = []
     for t in texts:
-        found = [K.features(d)[0] for d, _ in K.pieces([t])]
+        found = [K.features(*piece)[0] for piece in K.pieces([t])]
         alone.append(sorted(np.concatenate(found).tolist()))
     together = [[] for _ in texts]
     for data, owner in K.pieces(texts):
-        slots, ends = K.features(data)
+        slots, ends = K.features(data, owner)
         for s, d in zip(slots.tolist(), owner[ends].tolist()):
             together[d].append(s)
-    # Pairs of words across two documents are the only difference, at most one per border.
-    for a, b in zip(alone, together):
-        assert abs(len(a) - len(b)) <= 2
+    assert alone == [sorted(t) for t in together]
+
+
+def test_scores_do_not_depend_on_other_rows(spark, make_docs, monkeypatch):
+    model = (np.random.default_rng(1).normal(size=1 << K.TABLE_BITS).astype(np.float32), 0.1)
+    monkeypatch.setattr(K, "CHUNK", 500)
+    rows = [(i, t) for i, t in enumerate(["hello", "other words", "", None, "ab " * 400, "x" * 1200,
+                                          "hello", "a b c d e " * 40])]
+    together = {r.doc_id: r.score for r in K.score(make_docs(rows).coalesce(1), model).collect()}
+    for i, t in rows:
+        assert K.score(make_docs([(i, t)]), model).first().score == together[i]
+    assert together[0] == together[6]
+
+
+def test_repeated_ids_in_training_count_once(spark, sample):
+    docs, labels = sample
+    one = K.fit(docs, labels, rows=40)
+    more = K.fit(docs.unionByName(docs).unionByName(docs), labels.unionByName(labels), rows=40)
+    assert np.array_equal(one[0], more[0]) and one[1] == more[1]
 
 
 def test_odd_rows(spark, sample, make_docs, odd_rows):
