@@ -34,8 +34,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{36})(?![A-Za-z0-9])")
 NPM = re.compile(r"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-PRIVATE_KEY = re.compile(r"-----BEGIN ([A-Z ]{0,30})PRIVATE KEY-----[A-Za-z0-9+/=\s]+"
-                         r"-----END \1PRIVATE KEY-----", re.ASCII)
+PRIVATE_KEY = re.compile(r"-----BEGIN ([A-Z ]{0,30})PRIVATE KEY-----(?:\s*[A-Za-z0-9-]+:[^\n]*\n)*+"
+                         r"[A-Za-z0-9+/=\s]+-----END \1PRIVATE KEY-----", re.ASCII)
+JWT_PART = re.compile(r"[A-Za-z0-9_-]+")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "private_key")
 BASE_KINDS = ("assign", "access", "hex")
@@ -108,6 +109,8 @@ def find_secrets(text: str, trie) -> list[tuple[int, str, int]]:
         pattern, counts = CHECKS[kind]
         m = pattern.match(text, start)
         if m is None:
+            if kind == "jwt":  # a later start in the same run of characters ends at the same place
+                after[kind] = JWT_PART.match(text, start).end() if text[start:start + 3] == "eyJ" else 0
             continue
         after[kind] = m.end()
         if counts(m):

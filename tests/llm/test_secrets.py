@@ -72,3 +72,18 @@ def test_redaction(spark, make_docs):
     assert got[1][0] == "a [assign]' b" and got[2] == (None, None) and got[3] == ("clean", 5)
     assert got[4] == ("[hex]", 5) and got[5][0] == "[assign]!"
     assert out.columns == make_docs(rows).columns
+
+
+def test_runs_of_headers_take_linear_time():
+    import time
+    trie = S.automaton()
+    for run in ("eyJ", "eyJa.", "eyJ.eyJ", "-----BEGIN PRIVATE KEY-----\n", "a: b\n", "token ", "password"):
+        start = time.perf_counter()
+        S.find_secrets(run * 100_000, trie)
+        assert time.perf_counter() - start < 5, run
+
+
+def test_private_keys_with_header_lines():
+    key = ("-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n"
+           "QUJD\nREVG\n-----END RSA PRIVATE KEY-----")
+    assert (3, "private_key", 3 + len(key)) in S.find_secrets("x: " + key + " y", S.automaton())
