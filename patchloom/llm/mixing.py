@@ -58,6 +58,14 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
                     / F.col("_s.left_w").cast("double")).alias("target"))
 
 
+def key_share(key: Column) -> Column:
+    """The share of a source's documents that have smaller keys, about: keys of weight w are
+    exponential with rate w. It rises with the key, so buckets of it are in order and even."""
+    below = F.aggregate("powers", F.lit(0.0), lambda total, p: total + p.n * (
+        1 - F.exp(-F.pow(F.lit(2.0), p.power / 4) * key)))
+    return F.least(below / F.col("n_docs"), F.lit(1.0))
+
+
 def mix(docs: DataFrame, quality: DataFrame | None = None, weights=WEIGHTS,
         max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs, part (boolean), taken per document.
@@ -67,7 +75,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights=WEIGHTS,
     while the words before them are fewer than the rest by at least half of the document, so that
     the sum is off by at most half of one document. A document never counts in the part once its
     source has reached ``max_epochs``. Null texts have size 0; a null source is a source; rows with
-    the same id are different documents with the same key. No rows give no rows."""
+    the same id are different documents with the same key, the smaller first. No rows give no rows."""
     sized = docs.select("doc_id", "source", C.word_count(F.col("text")).alias("size"))
     if quality is not None:
         sized = sized.join(quality.select("doc_id", "weight"), "doc_id", "left")
@@ -75,30 +83,34 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights=WEIGHTS,
         sized = sized.withColumn("weight", F.lit(None).cast("double"))
     sized = C.written(sized.select("doc_id", "source", "size", F.coalesce(
         "weight", F.lit(DEFAULT_WEIGHT)).alias("weight")))
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"),
-                                        F.count("*").alias("n_docs"))
+    # Weights by quarter powers of two: few rows per source, whatever the weights.
+    power = F.round(4 * F.log2("weight")).cast("int")
+    shares = sized.groupBy("source", power.alias("power")).agg(
+        F.sum("size").alias("words"), F.count("*").alias("n"))
+    sizes = shares.groupBy("source").agg(
+        F.sum("words").alias("source_size"), F.sum("n").alias("n_docs"),
+        F.array_sort(F.collect_list(F.struct("power", "n"))).alias("powers"))
     plan = targets(sizes.select("source", "source_size"), weights, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.least(F.lit(float(max_epochs)), F.floor(
         F.col("target") / F.col("source_size")).cast("double"))).otherwise(0.0)
-    plan = plan.join(sizes.select(F.col("source").alias("_s"), "n_docs"),
+    plan = plan.join(sizes.select(F.col("source").alias("_s"), "n_docs", "powers"),
                      F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn(
         "epochs", epochs.cast("bigint")).withColumn(
         "rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn(
         "n_buckets", F.ceil(F.col("n_docs") / ROWS_PER_BUCKET))
     plan = C.written(plan)
-    # exp(-key) lies in (0, 1); the largest come first, as do the smallest keys.
     key = -F.log(uniform(F.col("doc_id"), seed)) / F.col("weight")
     p = plan.select(F.col("source").alias("_s"), "source_size", "target", "epochs", "rest",
-                    "n_buckets")
+                    "n_buckets", "n_docs", "powers")
     keyed = sized.join(p, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn(
         "key", key).withColumn("bucket", F.floor(
-            (1 - F.exp(-F.col("key"))) * F.col("n_buckets")).cast("bigint"))
+            key_share(F.col("key")) * F.col("n_buckets")).cast("bigint"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("_words")).select(
         F.col("source").alias("_s"), F.col("bucket").alias("_b"),
         F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(
         Window.unboundedPreceding, -1)
     ranked = keyed.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
         offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b")))

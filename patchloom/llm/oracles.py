@@ -88,7 +88,7 @@ c AS (SELECT *, CASE WHEN host <> '' THEN concat(regexp_replace(host, '^(www|m)\
       WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/fr/') THEN 'org/fr/'
       WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/') THEN 'net/' END AS rule
   FROM q),
-l AS (SELECT canon, min(page_id) AS first_page FROM c WHERE canon IS NOT NULL
+l AS (SELECT canon, min(page_id) AS first_page FROM c WHERE canon IS NOT NULL AND rule IS NULL
       GROUP BY canon HAVING count(*) > 1)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
     WHEN rule IS NOT NULL THEN 'allow'
@@ -123,7 +123,7 @@ j AS (SELECT s.*, source_size, target, epochs, target - epochs * source_size AS
         -ln((CAST(concat('0x', substr(md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), ''))),
           1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / weight AS key
       FROM s JOIN p ON s.source IS NOT DISTINCT FROM p.source),
-r AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id
+r AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM j)
 SELECT doc_id, size, source_size, target, CAST(size * (epochs + CAST(epochs < 3 AND rest > 0
     AND before + size / 2 <= rest AS BIGINT)) AS BIGINT) AS taken

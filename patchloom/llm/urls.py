@@ -80,9 +80,11 @@ def located(pages: DataFrame, rules=RULES) -> DataFrame:
                        canonical(F.col("url"), F.col("host"), F.col("path")).alias("canonical"))
 
 
-def repeated_urls(pages: DataFrame) -> DataFrame:
-    """The list for a crawl: (canonical, first_page) of URLs that several pages share."""
-    return located(pages).filter(F.col("canonical").isNotNull()).groupBy("canonical").agg(
+def repeated_urls(pages: DataFrame, rules=RULES) -> DataFrame:
+    """The list for a crawl: (canonical, first_page) of URLs that several pages share which no rule
+    decides; a page that a rule blocks does not stand for the others."""
+    return located(pages, rules).filter(F.col("canonical").isNotNull() & F.col("rule").isNull()
+                                        ).groupBy("canonical").agg(
         F.min("page_id").alias("first_page"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
 
 
@@ -116,11 +118,11 @@ def filter_urls(pages: DataFrame, listed: DataFrame | None = None, rules=RULES)
 
     A rule decides its pages. Of the others, a page is blocked when its canonical URL is in
     ``listed`` (canonical, first_page) and it is not ``first_page`` itself; without a list, that of
-    repeated URLs is taken, so that each URL stays once, at its smallest page_id. A null page_id on
+    repeated URLs is taken, so that each URL stays once, at the smallest page_id that no rule decides. A null page_id on
     a listed URL is blocked. A list longer than MAX_BLOCKS * KEYS_PER_BLOCK only lets more false
     hits through to the exact join. Null URLs, and those without '://', have empty host and path,
     fit no rule and are allowed. Repeated rows are judged one by one."""
-    listed = C.written((repeated_urls(pages) if listed is None else listed).select(
+    listed = C.written((repeated_urls(pages, rules) if listed is None else listed).select(
         "canonical", "first_page").groupBy("canonical").agg(
         F.min("first_page").alias("first_page")))
     n_blocks = blocks_for(listed.count())

@@ -66,3 +66,24 @@ def test_copies(spark, make_docs, odd_rows):
     times = {r.doc_id: r.n for r in M.repeated(docs).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     want = {r.doc_id: r.taken // r["size"] for r in M.mix(docs).collect() if r.taken}
     assert times == want
+
+
+@pytest.mark.parametrize("weights", [[1.0], [0.05], [2.0, 0.5, 1.0], [1e-6, 1e6, 3.0]])
+def test_buckets_are_even(spark, monkeypatch, weights):
+    monkeypatch.setattr(M, "ROWS_PER_BUCKET", 500)
+    powers = F.array(*[F.struct(F.round(4 * F.log2(F.lit(w))).cast("int").alias("power"),
+                                F.lit(20_000 // len(weights)).alias("n")) for w in weights])
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("id") % len(weights) + 1).cast("int"))
+    keyed = spark.range(20_000 // len(weights) * len(weights)).withColumns({
+        "powers": powers, "n_docs": F.lit(20_000 // len(weights) * len(weights))}).withColumn(
+        "key", -F.log(M.uniform(F.col("id"))) / weight)
+    counts = keyed.groupBy(F.floor(M.key_share(F.col("key")) * 40).alias("b")).count().collect()
+    assert max(r["count"] for r in counts) < 1_000 and len(counts) >= 20
+
+
+def test_equal_ids_of_unequal_sizes_agree(spark, make_docs):
+    rows = [(1, "w " * n, "en", "a") for n in (5, 3, 9, 1)] + [(i, "v " * 7, "en", "b") for i in range(2, 60)]
+    def taken(order):
+        got = M.mix(make_docs(order).repartition(3)).collect()
+        return sorted((r.doc_id, r.size, r.taken) for r in got)
+    assert taken(rows) == taken(rows[::-1]) == taken(rows[2:] + rows[:2])

@@ -48,3 +48,10 @@ def test_repeated_and_missing_rows(spark):
                                    (None, "http://a.com/x", "")], SCHEMA)
     got = [(r.page_id, r.verdict) for r in U.filter_urls(pages).collect()]
     assert sorted(got, key=repr) == [(1, "allow"), (1, "allow"), (None, "block")]
+
+
+def test_a_page_that_a_rule_blocks_does_not_stand_for_its_copies(spark):
+    got = judge(spark, [(1, "http://example.com/de/"), (2, "http://example.com/de"),
+                        (3, "http://www.example.com/de"), (4, "http://example.com/de?" + "a=b&" * 9000)])
+    assert [got[i].verdict for i in (1, 2, 3, 4)] == ["block", "allow", "block", "allow"]
+    assert got[1].rule == "example.com/de/" and got[2].rule is None
