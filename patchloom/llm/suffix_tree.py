@@ -36,7 +36,7 @@ DIVERGENCE = 2.0             # least gain of a kept context, in nats over all it
 HELD_OUT, REMAINDER = 5, 1   # rows whose crc32(doc_id) leaves this remainder are not trained on
 BLOCK_BYTES = 16_000_000
 PIECE_BYTES = 2_000_000      # a longer text is cut at white space
-BUCKET_KEYS = 2_500_000
+BUCKET_KEYS = 1_500_000
 LEAST_BUCKETS = 12
 END = np.uint64(0x2545F4914F6CDD1D)   # the token after a document's last word
 UNIT = 1024.0                # divergences are summed as whole parts of a nat, in any order
@@ -75,6 +75,17 @@ class Model:
         self.n_tokens = self.n_types = 0  # of training, known after the first round
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys sorted, number of each key's), in less memory than the general function."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return keys[new], number
+
+
 # --- blocks of hashed documents -----------------------------------------------
 
 
@@ -131,7 +142,7 @@ def blocks(docs: DataFrame, depth: int, block_bytes: int, piece_bytes: int) -> D
                 parts.append(tokens)
                 lead.append(len(carried))
                 size.append(len(tokens))
-            vocabulary, ids = np.unique(np.concatenate(parts), return_inverse=True)
+            vocabulary, ids = distinct(np.concatenate(parts))
             width = max(1, (int(len(vocabulary) - 1).bit_length() + 7) // 8)
             meta = np.array([[h[1][0], h[1][1] or 0, h[1][1] is not None, h[1][2]] for h in held],
                             np.int64)
@@ -172,10 +183,11 @@ class Block:
             zlib.decompress(small), np.int64, np.int32, np.int32, np.int64)
         self.meta, self.vocabulary = meta.reshape(-1, 4), from_steps(words.tobytes())
         self.ids = from_planes(np.frombuffer(zlib.decompress(ids), np.uint8),
-                               int(width[0])).astype(np.int64)
-        self.piece = np.repeat(np.arange(len(self.size)), self.size)
-        begin = np.cumsum(self.size) - self.size
-        self.offset = np.arange(len(self.ids)) - begin[self.piece]
+                               int(width[0])).astype(np.int32)
+        self.piece = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
+        begin = (np.cumsum(self.size) - self.size).astype(np.int32)
+        self.offset = np.arange(len(self.ids), dtype=np.int32)
+        self.offset -= begin[self.piece]
         self.counted = self.offset >= self.lead[self.piece]
         self.train = self.counted & (self.meta[:, 3] > 0)[self.piece]
         self.grams = [None, self.vocabulary[self.ids]]
@@ -185,28 +197,33 @@ class Block:
         """(places, distinct keys, key number of each place) of the k-word sequences that end at
         these places, inside a document and, from three words on, after a frequent context."""
         if k == 1:
-            return np.arange(len(self.ids)), self.vocabulary, self.ids
+            return np.arange(len(self.ids), dtype=np.int32), self.vocabulary, self.ids
         if len(self.grams) == k:
-            longer = np.zeros_like(self.grams[1])
-            longer[1:] = H.mixed(self.grams[k - 1][:-1] * np.uint64(3) + self.grams[1][1:])
-            longer = longer >> self.drop << self.drop
-            self.grams.append(longer)
+            longer = self.grams[k - 1][:-1] * np.uint64(3)
+            longer += self.grams[1][1:]
+            longer = H.mixed(longer)
+            longer >>= self.drop
+            longer <<= self.drop
+            self.grams.append(np.concatenate([np.zeros(min(1, len(self.ids)), np.uint64), longer]))
         may = self.offset >= k - 1
         if k > 2:
             may &= self.context(k - 1) >= least
-        places = np.flatnonzero(may)
-        keys, number = np.unique(self.grams[k][places], return_inverse=True)
-        return places, keys, number
+        places = np.flatnonzero(may).astype(np.int32)
+        return places, *distinct(self.grams[k][places])
 
     def told(self, totals: np.ndarray, places: np.ndarray, number: np.ndarray) -> None:
         """Take the totals of the next length of sequences."""
-        at = np.zeros(len(self.ids), np.int64)
-        at[places] = totals[number]
+        wide = np.int64 if totals.max(initial=0) >> 31 else np.int32
+        at = np.zeros(len(self.ids), wide)
+        at[places] = totals.astype(wide)[number]
         self.totals.append(at)
+        k = len(self.totals) - 1
+        if k > 3:  # only the last two lengths and words are looked at again
+            self.grams[k - 2] = None
 
     def context(self, k: int) -> np.ndarray:
         """The total of the k words before each place, 0 where there are none in the document."""
-        out = np.zeros(len(self.ids), np.int64)
+        out = np.zeros_like(self.totals[k])
         out[1:] = self.totals[k][:-1]
         out[self.offset < k] = 0
         return out
@@ -323,12 +340,13 @@ def contexts_of(b: Block, k: int, places: np.ndarray) -> tuple[np.ndarray, np.nd
         used = np.zeros(len(b.vocabulary), bool)
         used[b.ids[places - 1]] = True
         return b.vocabulary[used], (np.cumsum(used) - 1)[b.ids[places - 1]]
-    return np.unique(b.grams[k][places - 1], return_inverse=True)
+    return distinct(b.grams[k][places - 1])
 
 
 def climbed(b: Block, told: Answers, model: Model, upto: int):
     """For k = 1 .. upto: (k, probability after k - 1 words of context, places where the k-word
-    context is frequent, their sequences' numbers, totals and owners, probability there)."""
+    context is frequent, their sequences' numbers, totals and owners, probability there). The
+    probabilities are the same array each time, changed in between."""
     places, keys, number = b.sequences(1, model.least)
     totals, _ = told.counts(1)
     b.told(totals, places, number)
@@ -342,7 +360,6 @@ def climbed(b: Block, told: Answers, model: Model, upto: int):
         at = places[frequent]
         longer = smoothed(b.totals[k + 1][at], context[at], p[at], model.smooth)
         yield k, p, at, number[frequent], totals, owners, longer
-        p = p.copy()
         p[at] = longer
 
 
@@ -356,7 +373,7 @@ def gains_of(b: Block, k: int, p: np.ndarray, at: np.ndarray, number: np.ndarray
     once = np.full(len(totals), -1)
     once[number] = np.arange(len(number))
     once = once[(once >= 0) & owners]
-    count, around = totals[number[once]], b.context(k)[at[once]]
+    count, around = totals[number[once]], b.context(k)[at[once]].astype(np.int64)
     shorter = p[at[once]]
     gain = count * np.log(smoothed(count - 1, around - 1, shorter, model.smooth) / shorter)
     np.add.at(sums, context[once], np.rint(gain * UNIT).astype(np.int64))
@@ -383,25 +400,26 @@ def send(block: int, body: bytes, frame: pd.DataFrame, model: Model, turn: int)
 def scored(body: bytes, frame: pd.DataFrame, model: Model) -> pd.DataFrame:
     """Figures of each piece of a block."""
     b, told = Block(body, model.drop_bits), Answers(frame)
+    piece, n = b.piece[b.counted], len(b.size)
+    log = lambda x: np.bincount(piece, np.log10(x[b.counted]), n)
     state = None
     for k, p, at, _, _, _, longer in climbed(b, told, model, model.depth):
         if state is None:
-            base, state = p, p.copy()
+            base, state = log(p), p.copy()
         keys, context = contexts_of(b, k, at)
         kept = told.kept(k, keys, model.n_buckets)[context]
         state[at[kept]] = longer[kept]
     if state is None:  # no contexts at all
         totals, _ = told.counts(1)
         b.told(totals, np.arange(len(b.ids)), b.ids)
-        base = state = words_only(b.totals[1], model.n_tokens, model.n_types)
-    piece, n = b.piece[b.counted], len(b.size)
-    log = lambda x: np.bincount(piece, np.log10(x[b.counted]), n)
+        state = words_only(b.totals[1], model.n_tokens, model.n_types)
+        base = log(state)
     count = lambda x: np.bincount(piece, x[b.counted], n).astype(np.int64)
     ids = pd.array(b.meta[:, 1], "Int64")
     ids[b.meta[:, 2] == 0] = pd.NA
     return pd.DataFrame({
         "row": b.meta[:, 0], "doc_id": ids, "n_tokens": np.bincount(piece, minlength=n),
-        "n_known": count(b.totals[1] > 0), "base_score": log(base), "score": log(state)})
+        "n_known": count(b.totals[1] > 0), "base_score": base, "score": log(state)})
 
 
 def in_place(df: DataFrame, key: str) -> DataFrame:
