@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
-import re
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -15,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from patchloom import constants as C
 from patchloom.functions import ids
@@ -26,6 +24,7 @@ from patchloom.functions import text as T
 # and Arrow, but not this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+QUERY_BLOCK = 1_000    # queries of a repository scored at a time
 DECISIONS = "array<struct<id string, title string, decision string, applies_to array<string>>>"
 SPAN = "array<struct<first:int,last:int,heading:string>>"
 REFERENCE = ["source_id", "kind", "path", "revision", "locator", "excerpt"]
@@ -310,24 +309,28 @@ def embed_terms(text: Column, dimensions: int = C.DIMENSIONS) -> Column:
 def term_embedder(digest: str = "md5", dimensions: int = C.DIMENSIONS):
     """An embedder over hashed terms: adds ``embedding`` of ``text``.
 
-    Any DataFrame function of this shape is an embedder, such as one around an
-    outside model. This one runs over Arrow batches, because hashing each word in
-    a column expression is interpreted and took 2.4 to 2.8 times as long (21,583
-    excerpts, runs 2 and 3 of 3), and because BLAKE2b ("blake2b"), which the stored vectors of the review service
-    use, is no Spark function. With "md5" it equals ``embed_terms``."""
-    @F.pandas_udf("array<float>")
-    def embed(texts: pd.Series) -> pd.Series:
-        size = {"digest_size": 4} if digest == "blake2b" else {}
+    Any DataFrame function of this shape is an embedder, such as one around an outside model. This
+    one takes whole Arrow batches: words are cut by Arrow, each distinct word of a batch is hashed
+    once, and all rows are counted together. BLAKE2b ("blake2b"), which the stored vectors of the
+    review service use, is no Spark function. With "md5" it equals ``embed_terms``."""
+    size = {"digest_size": 4} if digest == "blake2b" else {}
 
-        @functools.lru_cache(maxsize=1 << 16)
-        def slot(word):
-            code = hashlib.new(digest, word.encode(), **size).digest()[:4]
-            return int.from_bytes(code, "big") % dimensions
+    def slot(word: str) -> int:
+        return int.from_bytes(hashlib.new(digest, word.encode(), **size).digest()[:4], "big") % dimensions
 
-        def one(text):
-            slots = [slot(w) for w in re.findall(r"[a-z0-9]+", text.lower())] or [0]
-            return np.bincount(slots, minlength=dimensions).astype("float32")
-        return texts.map(one)
+    @F.pandas_udf("array<float>")
+    def embed(texts: pd.Series) -> pd.Series:
+        known = texts.notna().to_numpy()
+        spaced = pc.replace_substring_regex(
+            pa.array(texts.fillna("").str.lower(), pa.string()), "[^a-z0-9]+", " ")
+        words = pc.split_pattern(pc.ascii_trim_whitespace(spaced), " ")
+        rows = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy())
+        coded = words.flatten().dictionary_encode()
+        slots = np.array([slot(w) if w else 0 for w in coded.dictionary.to_pylist()], np.int64)
+        counts = np.bincount(rows * dimensions + slots[coded.indices.to_numpy()],
+                             minlength=len(texts) * dimensions).astype("float32")
+        return pd.Series([v if k else None for v, k in zip(counts.reshape(-1, dimensions), known)],
+                         dtype=object)
 
     return lambda rows: rows.withColumn("embedding", embed(F.col("text")))
 
@@ -389,62 +392,106 @@ def replace_snapshot(items: DataFrame, store: DataFrame, snapshots: DataFrame,
 # --- retrieval ---------------------------------------------------------------
 
 
-def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces the two vectors of each row by their cosine, null if one is null, zero, not finite
-    or of another length; vectors of one length are read as one matrix each."""
-    for batch in batches:
-        n = batch.num_rows
-        if n == 0:
-            continue
-        q, s = batch.column("_qv"), batch.column("_sv")
-        sizes = [np.array([-1 if x is None else x for x in pc.list_value_length(v).to_pylist()])
-                 for v in (q, s)]
-        cosine = np.full(n, np.nan)
-        for size in np.unique(sizes[0][(sizes[0] == sizes[1]) & (sizes[0] > 0)]):
-            own = (sizes[0] == size) & (sizes[1] == size)
-            a, b = (v.filter(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(
-                "float64").reshape(-1, size) for v in (q, s))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                norms = np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
-                cosine[own] = np.round(np.einsum("ij,ij->i", a, b) / norms, 6)
-        kept = [c for c in batch.schema.names if c not in ("_qv", "_sv")]
-        yield pa.RecordBatch.from_arrays(
-            [*[batch.column(c) for c in kept], pa.array(cosine, mask=~np.isfinite(cosine))],
-            [*kept, "similarity"])
+def _matrix(vectors: pa.Array, size: int, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, unit vectors) of the vectors of this size that have a direction."""
+    places = np.flatnonzero(lengths == size)
+    flat = vectors.take(pa.array(places)).flatten().to_numpy(zero_copy_only=False)
+    rows = flat.astype("float64").reshape(-1, size)
+    with np.errstate(invalid="ignore", over="ignore"):
+        norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+    good = np.isfinite(norms) & (norms > 0)
+    return places[good], rows[good] / norms[good, None]
+
+
+def _ranked(queries: pa.Table, items: pa.Table, k: int, least: float) -> tuple[np.ndarray, ...]:
+    """(query, item, similarity, rank) of the k best allowed items of each query in a block."""
+    lengths = lambda v: np.array([-1 if n is None else n for n in pc.list_value_length(v).to_pylist()])
+    one = lambda t, c: t.column(c).combine_chunks()
+    qv, sv, allowed = one(queries, "_qv"), one(items, "_sv"), one(queries, "_allowed")
+    q_len, s_len = lengths(qv), lengths(sv)
+    may = np.zeros((len(qv), len(sv)), bool)
+    place = np.full(max(one(items, "_no").to_pylist(), default=0) + 1, -1)
+    place[one(items, "_no").to_numpy()] = np.arange(len(sv))
+    may[np.repeat(np.arange(len(qv)), lengths(allowed)), place[allowed.flatten().to_numpy()]] = True
+    similarity = np.full(may.shape, -np.inf)
+    for size in np.intersect1d(q_len[q_len > 0], s_len[s_len > 0]):
+        (a, left), (b, right) = _matrix(qv, size, q_len), _matrix(sv, size, s_len)
+        similarity[np.ix_(a, b)] = np.round(left @ right.T, 6)
+    similarity[~may] = -np.inf
+    # Items come sorted by id, so a stable order breaks ties by it.
+    order = np.argsort(-similarity, axis=1, kind="stable")[:, :k]
+    best = np.take_along_axis(similarity, order, 1)
+    q, rank = np.nonzero((best >= least) & np.isfinite(best))
+    return q, order[q, rank], best[q, rank], rank + 1
+
+
+def _scope_keys(path: Column) -> Column:
+    """The keys under which items that cover a path are filed: any, the path, all above it."""
+    parts = F.split(path, "/", -1)
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(
+        F.lit("="), F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    return F.concat(F.array(F.lit("*")), above)
+
+
+def _item_keys(scopes: Column) -> Column:
+    """The keys of an item: any without scopes, else its scopes that lie below no other of its own, so
+    that a path meets an item once at most."""
+    some = F.array_distinct(F.array_compact(scopes))
+    outer = F.filter(some, lambda s: ~F.exists(
+        some, lambda o: (o != s) & F.startswith(s, F.concat(o, F.lit("/")))))
+    return F.when(F.size(scopes) == 0, F.array(F.lit("*"))).otherwise(
+        F.transform(outer, lambda s: F.concat(F.lit("="), s)))
 
 
 def scope_match(queries: DataFrame, store: DataFrame) -> DataFrame:
-    """Pairs of a query and stored items of its repository and embedder whose
-    scopes cover its path. A repository holds at most 100 items, so a query
-    meets at most 100 rows; a repository with very many queries is split by
-    adaptive skew handling on the query side."""
-    return queries.join(store, ["repo_id", "embedder"]).filter(
-        P.in_scope(F.col("query_path"), F.col("scopes")))
+    """Pairs of a query and stored items of its repository and embedder whose scopes cover its path.
+
+    Both sides are filed under scopes, a query under every folder above its path, and joined on
+    equal keys. A repository with very many queries is split by adaptive skew handling."""
+    asked = queries.withColumn("_key", F.explode(_scope_keys(F.col("query_path"))))
+    filed = store.withColumn("_key", F.explode(_item_keys(F.col("scopes"))))
+    return asked.join(filed, ["repo_id", "embedder", "_key"]).drop("_key")
 
 
 def cosine_topk(queries: DataFrame, store: DataFrame, k: int = C.DEFAULT_K,
-                min_similarity: float = C.MIN_SIMILARITY) -> DataFrame:
-    """The k nearest items per query within scope and threshold.
-
-    queries: query_id, repo_id, query_path, embedder, embedding; store: repo_id,
-    source_id, embedder, scopes, embedding. The scope filter is part of the join;
-    dot products are then taken over Arrow batches, since an expression over two
-    arrays is interpreted element by element. Similarity is rounded to 6 places
-    before ranking, so ties go by id. The row number is filtered at once, which
-    keeps only k rows per query in each task before the shuffle."""
-    q = queries.select("query_id", "repo_id", "query_path", "embedder",
-                       F.col("embedding").alias("_qv"))
-    s = store.select("repo_id", "source_id", "embedder", "scopes",
-                     F.col("embedding").alias("_sv"))
-    pairs = scope_match(q, s).select("query_id", "repo_id", "source_id", "query_path",
-                                     "_qv", "_sv")
-    scored = pairs.mapInArrow(_cosines, StructType([
-        *[f for f in pairs.schema if f.name not in ("_qv", "_sv")],
-        StructField("similarity", DoubleType())]))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(
-        F.desc("similarity"), "source_id"))
-    return scored.filter(F.col("similarity") >= min_similarity).withColumn("rank", rank).filter(
-        F.col("rank") <= k)
+                min_similarity: float = C.MIN_SIMILARITY, block: int = QUERY_BLOCK) -> DataFrame:
+    """The k nearest items per query within scope and threshold: (query_id, repo_id, source_id,
+    query_path, similarity, rank).
+
+    queries: query_id (unique), repo_id, query_path, embedder, embedding; store: repo_id, source_id,
+    embedder, scopes, embedding. Scopes are matched on light rows. Then a block of at most about
+    ``block`` queries of a repository meets the repository's items, at most 100 by the snapshot's
+    bound, as two matrices: an item's vector is sent once per block and not once per pair, and a
+    repository with very many queries has many blocks. Similarity is rounded to 6 places before
+    ranking, so ties go by id."""
+    repo = ["repo_id", "embedder"]
+    numbered = store.select(*repo, "source_id", "scopes", F.col("embedding").alias("_sv"), F.row_number(
+        ).over(Window.partitionBy(*repo).orderBy("source_id")).alias("_no"))
+    pairs = scope_match(queries.select("query_id", "query_path", *repo),
+                        numbered.select(*repo, "scopes", "_no"))
+    allowed = pairs.groupBy("query_id", *repo).agg(F.collect_list("_no").alias("_allowed"))
+    blocks = allowed.groupBy(*repo).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    asked = queries.select("query_id", *repo, "query_path", F.col("embedding").alias("_qv")).join(
+        allowed, ["query_id", *repo]).join(blocks, repo).withColumn("_block", F.pmod(
+            F.xxhash64("query_id"), F.col("_blocks").cast("bigint")).cast("int")).drop("_blocks")
+    items = numbered.drop("scopes").join(blocks, repo).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    keys = [*repo, "_block"]
+    kept = [f for f in asked.schema if f.name in ("query_id", "repo_id", "query_path")]
+    schema = StructType([*kept, StructField("source_id", StringType()),
+                         StructField("similarity", DoubleType()), StructField("rank", IntegerType())])
+    names = [f.name for f in kept]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("source_id")
+        q, s, similarity, rank = _ranked(left, right, k, min_similarity)
+        out = left.select(names).take(pa.array(q))
+        out = out.append_column("source_id", right.column("source_id").take(pa.array(s)))
+        return out.append_column("similarity", pa.array(similarity)).append_column(
+            "rank", pa.array(rank.astype("int32")))
+
+    return asked.groupBy(*keys).cogroup(items.groupBy(*keys)).applyInArrow(
+        lambda a, b: run(a, b), schema)
 
 
 def guidance_queries(added: DataFrame, limit: int = C.QUERY_FILES) -> DataFrame:

@@ -280,3 +280,33 @@ def test_labelled_cases(spark):
     assert (on.hits, on.applicable, on.grounded, on.violations, on.false_positives) == (3, 3, 2, 2, 0)
     assert (off.hits, off.grounded, off.false_positives, off.retrieval_ms) == (0, 0, 0, None)
     assert E.eval_gate(runs).collect()[0].passed
+
+
+def test_scope_keys_equal_a_test_of_each_scope(spark):
+    scopes = [[], ["src"], ["src", "src/auth"], ["src/auth", "tests", "src/auth"], [""], ["/a"], ["src/"],
+              ["a/b/c", "a"], [None], [None, "src"], None, ["srcx"]]
+    paths = ["src/auth/a", "src", "srcx/q", "tests", "/a/b", "", "src//x", "a/b", "a/b/c/d", "b"]
+    store = spark.createDataFrame([("r", f"s{i}", "m", s) for i, s in enumerate(scopes)],
+                                  "repo_id string, source_id string, embedder string, scopes array<string>")
+    asks = spark.createDataFrame([(i, "r", p, "m") for i, p in enumerate(paths)],
+                                 "query_id bigint, repo_id string, query_path string, embedder string")
+    got = sorted((r.query_id, r.source_id) for r in U.scope_match(asks, store).collect())
+    fits = lambda p, s: s is not None and (not s or any(
+        x is not None and (p == x or p.startswith(x + "/")) for x in s))
+    assert got == sorted((i, f"s{j}") for i, p in enumerate(paths) for j, s in enumerate(scopes)
+                         if fits(p, s))
+
+
+def test_topk_does_not_depend_on_blocks(spark):
+    import random
+    rng = random.Random(6)
+    vector = lambda: [rng.choice([0.0, 1.0, -1.0, 0.5]) for _ in range(3)]
+    store = spark.createDataFrame([(f"r{i % 2}", f"s{i:03}", "m", [["src"], [], ["a"]][i % 3], vector())
+                                   for i in range(60)], "repo_id string, source_id string, embedder string, "
+                                  "scopes array<string>, embedding array<float>")
+    asks = spark.createDataFrame([(i, f"r{i % 3}", "src/x" if i % 2 else "a/y", "m", vector())
+                                  for i in range(120)], "query_id bigint, repo_id string, query_path string, "
+                                 "embedder string, embedding array<float>")
+    a, b = (sorted(tuple(r) for r in U.cosine_topk(asks, store, 4, 0.1, block=n).collect()) for n in (7, 1000))
+    assert a == b and len(a) > 100
+    assert U.cosine_topk(asks.limit(0), store).count() == 0 and U.cosine_topk(asks, store.limit(0)).count() == 0
