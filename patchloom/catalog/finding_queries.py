@@ -531,7 +531,7 @@ def lifecycle_stream(spark, sf):
     for part in range(3):  # 31 days at most
         runs.filter(F.floor((F.col("revision") - 1) / 11) == part).repartition(
             "change_id").write.mode("append").parquet(f"{folder}/runs")
-    table = S.StateTable(spark, f"{folder}/state", compact_every=2)
+    table = S.StateTable(spark, f"{folder}/state", compact_every=2, buckets=8)
     stream = spark.readStream.schema(S.RUN_SCHEMA).option("maxFilesPerTrigger", 8).parquet(
         f"{folder}/runs")
     S.start(stream, table, f"{folder}/checkpoint").awaitTermination()

@@ -403,16 +403,28 @@ def _matrix(vectors: pa.Array, size: int, lengths: np.ndarray) -> tuple[np.ndarr
     return places[good], rows[good] / norms[good, None]
 
 
+def _same_key(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """(left, right): whether two lists of keys have one in common."""
+    sizes = [pc.list_value_length(x).fill_null(0).to_numpy() for x in (left, right)]
+    rows = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    keys = pa.concat_arrays([left.flatten(), right.flatten()]).dictionary_encode().indices.to_numpy()
+    a, b = keys[:len(rows[0])], keys[len(rows[0]):]
+    order = np.argsort(b, kind="stable")
+    first = np.searchsorted(b[order], a, "left")
+    n = np.searchsorted(b[order], a, "right") - first
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    out = np.zeros((len(left), len(right)), bool)
+    out[np.repeat(rows[0], n), rows[1][order][at]] = True
+    return out
+
+
 def _ranked(queries: pa.Table, items: pa.Table, k: int, least: float) -> tuple[np.ndarray, ...]:
     """(query, item, similarity, rank) of the k best allowed items of each query in a block."""
     lengths = lambda v: np.array([-1 if n is None else n for n in pc.list_value_length(v).to_pylist()])
     one = lambda t, c: t.column(c).combine_chunks()
-    qv, sv, allowed = one(queries, "_qv"), one(items, "_sv"), one(queries, "_allowed")
+    qv, sv = one(queries, "_qv"), one(items, "_sv")
     q_len, s_len = lengths(qv), lengths(sv)
-    may = np.zeros((len(qv), len(sv)), bool)
-    place = np.full(max(one(items, "_no").to_pylist(), default=0) + 1, -1)
-    place[one(items, "_no").to_numpy()] = np.arange(len(sv))
-    may[np.repeat(np.arange(len(qv)), lengths(allowed)), place[allowed.flatten().to_numpy()]] = True
+    may = _same_key(one(queries, "_keys"), one(items, "_keys"))
     similarity = np.full(may.shape, -np.inf)
     for size in np.intersect1d(q_len[q_len > 0], s_len[s_len > 0]):
         (a, left), (b, right) = _matrix(qv, size, q_len), _matrix(sv, size, s_len)
@@ -454,27 +466,29 @@ def scope_match(queries: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def cosine_topk(queries: DataFrame, store: DataFrame, k: int = C.DEFAULT_K,
-                min_similarity: float = C.MIN_SIMILARITY, block: int = QUERY_BLOCK) -> DataFrame:
+                min_similarity: float = C.MIN_SIMILARITY, block: int = QUERY_BLOCK,
+                load: DataFrame | None = None) -> DataFrame:
     """The k nearest items per query within scope and threshold: (query_id, repo_id, source_id,
     query_path, similarity, rank).
 
     queries: query_id (unique), repo_id, query_path, embedder, embedding; store: repo_id, source_id,
-    embedder, scopes, embedding. Scopes are matched on light rows. Then a block of at most about
-    ``block`` queries of a repository meets the repository's items, at most 100 by the snapshot's
-    bound, as two matrices: an item's vector is sent once per block and not once per pair, and a
-    repository with very many queries has many blocks. Similarity is rounded to 6 places before
-    ranking, so ties go by id."""
+    embedder, scopes, embedding. A block of about ``block`` queries of a repository meets the
+    repository's items, at most 100 by the snapshot's bound, as two matrices, and their scopes as
+    keys (see ``scope_match``): an item is sent once per block and not once per pair, and a
+    repository with very many queries has many blocks. ``load`` (repo_id, queries) says how many
+    queries to expect of each repository, where that is known without making them; else they are
+    counted first. Similarity is rounded to 6 places before ranking, so ties go by id."""
     repo = ["repo_id", "embedder"]
-    numbered = store.select(*repo, "source_id", "scopes", F.col("embedding").alias("_sv"), F.row_number(
-        ).over(Window.partitionBy(*repo).orderBy("source_id")).alias("_no"))
-    pairs = scope_match(queries.select("query_id", "query_path", *repo),
-                        numbered.select(*repo, "scopes", "_no"))
-    allowed = pairs.groupBy("query_id", *repo).agg(F.collect_list("_no").alias("_allowed"))
-    blocks = allowed.groupBy(*repo).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
-    asked = queries.select("query_id", *repo, "query_path", F.col("embedding").alias("_qv")).join(
-        allowed, ["query_id", *repo]).join(blocks, repo).withColumn("_block", F.pmod(
+    if load is None:
+        load = queries.groupBy("repo_id").agg(F.count("*").alias("queries"))
+    blocks = load.select("repo_id", F.greatest(F.lit(1), F.ceil(F.col("queries") / block)).cast(
+        "int").alias("_blocks"))
+    asked = queries.select("query_id", *repo, "query_path", F.col("embedding").alias("_qv"),
+                           _scope_keys(F.col("query_path")).alias("_keys")).join(
+        blocks, "repo_id").withColumn("_block", F.pmod(
             F.xxhash64("query_id"), F.col("_blocks").cast("bigint")).cast("int")).drop("_blocks")
-    items = numbered.drop("scopes").join(blocks, repo).withColumn(
+    items = store.select(*repo, "source_id", F.col("embedding").alias("_sv"),
+                         _item_keys(F.col("scopes")).alias("_keys")).join(blocks, "repo_id").withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
     keys = [*repo, "_block"]
     kept = [f for f in asked.schema if f.name in ("query_id", "repo_id", "query_path")]
@@ -513,7 +527,9 @@ def retrieve_guidance(requests: DataFrame, store: DataFrame, repos: DataFrame,
         repos.select("change_id", F.lower("repo_id").alias("repo_id")), "change_id")).select(
         F.struct("change_id", "file_no").alias("query_id"), "repo_id",
         F.col("path").alias("query_path"), F.lit(embedder).alias("embedder"), "embedding")
-    found = cosine_topk(queries, store, min(k, C.MAX_K), min_similarity)
+    load = repos.groupBy(F.lower("repo_id").alias("repo_id")).agg(
+        (F.count("*") * C.QUERY_FILES).alias("queries"))  # at most so many for each change
+    found = cosine_topk(queries, store, min(k, C.MAX_K), min_similarity, load=load)
     return found.select(
         "query_id.change_id", "query_id.file_no", F.col("query_path").alias("changed_path"),
         "source_id", "similarity", F.col("rank").cast("bigint").alias("rank"))

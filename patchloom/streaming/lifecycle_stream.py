@@ -6,18 +6,18 @@ State is a table of what was ever posted per (change, comment id): the run that
 posted it, the run that marked it resolved, and per change the last run applied. A
 returning issue is not posted again and keeps its badge.
 
-Each micro-batch first stages its runs, sorted into fresh and late ones, and then
-appends one delta of ids. A delta only ever sets values that merge by min or max,
-and its folder is named by the batch id, so replaying a batch overwrites it and
-changes nothing. A batch counts once its commit row is written, after its data.
-Every ``compact_every`` batches the merged state is written as a new base, so a read
-is one base and few deltas; a batch merges only the state of its own changes.
+State rows lie in a fixed number of buckets of changes. A micro-batch stages its runs, reads the
+buckets of its own changes, sorts runs into fresh and late ones, and appends one delta to each bucket
+with fresh runs; a bucket with many deltas gets a merged base in the delta's place. Then it writes
+the manifest, one row per bucket with its base and deltas, which is the commit; what no recent manifest
+names is removed. So a batch costs what its buckets hold, however many batches came before. Values
+merge by min or max and folders are named by the batch id, so repeating a batch overwrites it and
+changes nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,7 +28,11 @@ LAST_SCHEMA = "change_id bigint, last_revision bigint"
 RUN_SCHEMA = "change_id bigint, revision bigint, comment_id string"
 
 
-STAGED_SCHEMA = RUN_SCHEMA + ", late boolean"
+STATE_SCHEMA = IDS_SCHEMA + ", last_revision bigint"  # comment_id is null in a change's own row
+MANIFEST_SCHEMA = "bucket int, base bigint, deltas array<bigint>"
+BUCKETS = 64
+COMPACT_EVERY = 20
+KEPT_MANIFESTS = 2  # a batch may be repeated, which reads the one before
 
 
 def stage_runs(runs: DataFrame, last: DataFrame) -> DataFrame:
@@ -82,70 +86,138 @@ def history(runs: DataFrame) -> DataFrame:
 
 
 class StateTable:
-    """The state's folders: staged runs, ``ids`` deltas and their bases."""
+    """The state's folders: ``input``, ``state`` and ``late`` rows by batch, and the manifests.
+    ``buckets`` is the table's for good: the same value must be given each time."""
 
-    def __init__(self, spark: SparkSession, folder: str, compact_every: int = 20):
-        self.spark, self.folder, self.compact_every = spark, folder.rstrip("/"), compact_every
+    def __init__(self, spark: SparkSession, folder: str, compact_every: int = COMPACT_EVERY,
+                 buckets: int = BUCKETS):
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+        self.compact_every = compact_every
+
+    # --- folders ---
+
+    def _files(self, path: str):
+        context = self.spark.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(context._jsc.hadoopConfiguration()), at
 
     def _batches(self, kind: str) -> list[int]:
-        """Batch ids of a kind whose commit row is there: a row per batch and kind."""
-        try:
-            commits = self.spark.read.schema("kind string, batch bigint").parquet(
-                f"{self.folder}/commits")
-        except AnalysisException as exc:
-            if exc.getCondition() != "PATH_NOT_FOUND":
-                raise
+        """Batches of a kind that were written to the end."""
+        files, at = self._files(f"{self.folder}/{kind}")
+        if not files.exists(at):
             return []
-        return sorted({r["batch"] for r in commits.filter(F.col("kind") == kind).collect()})
-
-    def _read(self, kind: str, schema: str, batches: list[int]) -> DataFrame:
-        paths = [f"{self.folder}/{kind}/batch={b}" for b in batches]
+        names = [s.getPath() for s in files.listStatus(at) if s.getPath().getName().startswith("batch=")]
+        done = [n for n in names if files.exists(self._files(f"{n.toString()}/_SUCCESS")[1])]
+        return sorted(int(n.getName().split("=")[1]) for n in done)
+
+    def _remove(self, kind: str, batch: int) -> None:
+        files, at = self._files(f"{self.folder}/{kind}/batch={batch}")
+        files.delete(at, True)
+
+    def _write(self, df: DataFrame, kind: str, batch: int, *by: str) -> DataFrame:
+        target = f"{self.folder}/{kind}/batch={batch}"
+        df.write.mode("overwrite").partitionBy(*by).parquet(target)
+        return self.spark.read.schema(df.schema).parquet(target)
+
+    # --- reading ---
+
+    def manifest(self, before: int = 2 ** 62) -> dict[int, tuple[int | None, list[int]]]:
+        """Base and deltas of each bucket as of the batches before one: a row per bucket at most."""
+        seen = [b for b in self._batches("manifest") if b < before]
+        if not seen:
+            return {}
+        rows = self.spark.read.schema(MANIFEST_SCHEMA).parquet(
+            f"{self.folder}/manifest/batch={seen[-1]}").collect()
+        return {r["bucket"]: (r["base"], list(r["deltas"])) for r in rows}
+
+    def _state(self, manifest: dict, wanted=None) -> DataFrame:
+        """State rows of some buckets, or of all; only their files are opened."""
+        paths = [f"{self.folder}/state/batch={batch}/bucket={b}" for b, (base, deltas) in manifest.items()
+                 if wanted is None or b in wanted for batch in ([] if base is None else [base]) + deltas]
         if not paths:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*paths)
-
-    def _since_base(self, kind: str, before: int) -> tuple[list[int], list[int]]:
-        """(the last base before a batch, the deltas after it)."""
-        bases = [b for b in self._batches(f"{kind}_base") if b < before][-1:]
-        after = bases[0] if bases else -1
-        return bases, [b for b in self._batches(kind) if after < b < before]
-
-    def ids(self, before: int = 2 ** 62, changes: DataFrame | None = None) -> DataFrame:
-        """Posted and resolved runs per (change, id) as of the batches before one, of
-        all changes or of those in ``changes``."""
-        bases, deltas = self._since_base("ids", before)
-        rows = self._read("ids_base", IDS_SCHEMA, bases).unionByName(
-            self._read("ids", IDS_SCHEMA, deltas))
-        if changes is not None:
-            rows = rows.join(changes, "change_id", "left_semi")
-        return merge_ids(rows)
+            return self.spark.createDataFrame([], STATE_SCHEMA)
+        return self.spark.read.schema(STATE_SCHEMA).parquet(*paths)
+
+    @staticmethod
+    def _ids(state: DataFrame) -> DataFrame:
+        return merge_ids(state.filter(F.col("comment_id").isNotNull()))
+
+    @staticmethod
+    def _last(state: DataFrame) -> DataFrame:
+        return state.filter(F.col("comment_id").isNull()).groupBy("change_id").agg(
+            F.max("last_revision").alias("last_revision"))
+
+    def ids(self, before: int = 2 ** 62) -> DataFrame:
+        """Posted and resolved runs per (change, id) as of the batches before one."""
+        return self._ids(self._state(self.manifest(before)))
 
     def last(self, before: int = 2 ** 62) -> DataFrame:
         """Last run applied per change."""
-        bases, deltas = self._since_base("runs", before)
-        applied = self._read("runs", STAGED_SCHEMA, deltas).filter(~F.col("late")).select(
-            "change_id", F.col("revision").alias("last_revision"))
-        return self._read("runs_base", LAST_SCHEMA, bases).unionByName(applied).groupBy(
-            "change_id").agg(F.max("last_revision").alias("last_revision"))
+        return self._last(self._state(self.manifest(before)))
 
     def late(self) -> DataFrame:
         """Runs that came too late to be applied."""
-        return self._read("runs", STAGED_SCHEMA, self._batches("runs")).filter("late").drop("late")
+        paths = [f"{self.folder}/late/batch={b}" for b in self._batches("late")]
+        if not paths:
+            return self.spark.createDataFrame([], RUN_SCHEMA)
+        return self.spark.read.schema(RUN_SCHEMA).parquet(*paths)
+
+    # --- a micro-batch ---
 
-    def _write(self, df: DataFrame, kind: str, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/{kind}/batch={batch_id}")
-        self.spark.createDataFrame([(kind, batch_id)], "kind string, batch bigint").coalesce(
-            1).write.mode("append").parquet(f"{self.folder}/commits")
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("change_id"), F.lit(self.buckets)).cast("int").alias("bucket")
 
     def apply(self, runs: DataFrame, batch_id: int) -> None:
         """One micro-batch."""
-        self._write(stage_runs(runs, self.last(batch_id)), "runs", batch_id)
-        fresh = self._read("runs", STAGED_SCHEMA, [batch_id]).filter(~F.col("late")).drop("late")
-        changes = fresh.select("change_id").distinct()
-        self._write(apply_fresh(self.ids(batch_id, changes), fresh), "ids", batch_id)
-        if (batch_id + 1) % self.compact_every == 0:
-            self._write(self.ids(batch_id + 1), "ids_base", batch_id)
-            self._write(self.last(batch_id + 1), "runs_base", batch_id)
+        runs = self._write(runs.select("change_id", "revision", "comment_id").distinct(), "input", batch_id)
+        buckets_of = lambda df: {r["bucket"] for r in df.select(self._bucket()).distinct().collect()}
+        known = self.manifest(batch_id)
+        mine = self._state(known, buckets_of(runs))
+        staged = stage_runs(runs, self._last(mine))
+        self._write(staged.filter("late").drop("late"), "late", batch_id)
+        fresh = staged.filter(~F.col("late")).drop("late")
+        touched = buckets_of(fresh)
+        ids = self._ids(mine).join(fresh.select("change_id").distinct(), "change_id", "left_semi")
+        none = F.lit(None)
+        delta = apply_fresh(ids, fresh).withColumn("last_revision", none.cast("bigint")).unionByName(
+            fresh.groupBy("change_id").agg(F.max("revision").alias("last_revision")).select(
+                "change_id", none.cast("string").alias("comment_id"),
+                none.cast("bigint").alias("posted_revision"),
+                none.cast("bigint").alias("resolved_revision"), "last_revision"))
+        full = {b for b in touched if len(known.get(b, (None, []))[1]) >= self.compact_every}
+        if full:
+            old = self._state(known, full)
+            in_full = self._bucket().isin(*full)
+            merged = delta.filter(in_full).unionByName(old).groupBy("change_id", "comment_id").agg(
+                F.min("posted_revision").alias("posted_revision"),
+                F.min("resolved_revision").alias("resolved_revision"),
+                F.max("last_revision").alias("last_revision"))
+            delta = delta.filter(~in_full).unionByName(merged)
+        self._write(delta.select("*", self._bucket()).repartition("bucket"), "state", batch_id, "bucket")
+        now = dict(known)
+        for b in touched:
+            base, deltas = known.get(b, (None, []))
+            now[b] = (batch_id, []) if b in full else (base, deltas + [batch_id])
+        self._write(self.spark.createDataFrame(
+            [(b, base, deltas) for b, (base, deltas) in sorted(now.items())], MANIFEST_SCHEMA).coalesce(1),
+            "manifest", batch_id)
+        self._clean(batch_id)
+
+    def _clean(self, batch_id: int) -> None:
+        """Remove folders that neither of the last manifests names."""
+        manifests = [b for b in self._batches("manifest") if b <= batch_id]
+        kept = manifests[-KEPT_MANIFESTS:]
+        for b in manifests:
+            if b not in kept:
+                self._remove("manifest", b)
+        for b in self._batches("input"):
+            if b < batch_id:
+                self._remove("input", b)
+        named = {k for m in kept for base, deltas in self.manifest(m + 1).values()
+                 for k in (base, *deltas)}
+        for b in self._batches("state"):
+            if b <= batch_id and b not in named:
+                self._remove("state", b)
 
 
 def start(runs: DataFrame, table: StateTable, checkpoint: str, **trigger) -> StreamingQuery:

@@ -129,3 +129,39 @@ def test_lifecycle_stream_with_late_and_repeated_runs(spark, tmp_path):
     assert len(late) == (2 if batches[1] else 1)
     table.apply(as_df(batches[3]), 3)  # a replayed batch changes nothing
     assert result() == twin
+
+
+def test_lifecycle_state_is_read_by_bucket_and_cleaned(spark, tmp_path):
+    as_df = lambda rows: spark.createDataFrame(
+        [(c, r, i) for c, r, found in rows for i in (None, *found)], S.RUN_SCHEMA)
+    table = S.StateTable(spark, str(tmp_path), compact_every=2, buckets=4)
+    rnd, runs = random.Random(8), []
+    shown = lambda: {(r.change_id, r.comment_id): (r.posted_revision, r.resolved_revision)
+                     for r in table.ids().collect()}
+    for batch in range(7):
+        mine = [(c, 10 * batch + 1, sorted(rnd.sample("abc", rnd.randint(0, 3))))
+                for c in rnd.sample(range(20), 6)]
+        runs += mine
+        if batch == 4:  # a crash before the commit leaves the state as it was
+            before, write = shown(), table._write
+            def crash(df, kind, *rest):
+                if kind == "manifest":
+                    raise RuntimeError("lost")
+                return write(df, kind, *rest)
+            table._write = crash
+            try:
+                table.apply(as_df(mine[:3] + [(99, 1, ["z"])]), batch)
+                raise AssertionError("no crash")
+            except RuntimeError:
+                table._write = write
+            assert shown() == before
+        table.apply(as_df(mine), batch)
+        table.apply(as_df(mine), batch)  # repeated
+        assert shown() == lifecycle(runs)
+    held = table.manifest()
+    assert all(len(deltas) <= 2 for _, deltas in held.values())
+    assert len(table._batches("manifest")) == 2 and len(table._batches("input")) == 1
+    some = table._state(held, {next(iter(held))})
+    assert len({f.split("bucket=")[1].split("/")[0] for f in some.inputFiles()}) == 1
+    assert {r.change_id: r.last_revision for r in table.last().collect()} == {
+        c: max(r for x, r, _ in runs if x == c) for c, _, _ in runs}
