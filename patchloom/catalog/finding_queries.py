@@ -86,7 +86,7 @@ SELECT r.change_id, r.valid, CASE WHEN valid THEN substr(md5(text), 1, 8) ELSE
   CASE WHEN i IS NOT NULL THEN change_id % 2 = 0 END AS can_generate_patch,
   CASE WHEN i IS NOT NULL AND change_id % 3 = 0 THEN 'c' || change_id END AS replacement_code
 FROM (SELECT doc_id AS change_id, text, doc_id % 11 NOT IN (0, 2)
-        AND (doc_id % 11 <> 1 OR doc_id % 4 = 0) AS valid FROM documents) r
+        AND doc_id % 13 <> 3 AND (doc_id % 11 <> 1 OR doc_id % 4 = 0) AS valid FROM documents) r
 LEFT JOIN LATERAL (SELECT unnest(range(0, CASE WHEN valid THEN change_id % 4 ELSE 0 END)) AS i)
   ON true""")
 def parse_responses(spark, sf):

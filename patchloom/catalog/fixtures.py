@@ -250,13 +250,14 @@ def model_findings(spark, sf_dir) -> DataFrame:
 
 @memo
 def responses(spark, sf_dir) -> DataFrame:
-    """Model answers as JSON text: some malformed, with a wrong enum value or
-    without a required field."""
+    """Model answers as JSON text: some malformed, with a wrong enum value, without a required field,
+    with a quoted line number or with a number for a text."""
     d = F.col("doc_id")
     issue = F.concat(
         F.lit('{"file_path":"src/f'), (d % 20).cast("string"), F.lit('.py","start_line":'),
-        (d % 50 + 1).cast("string"), F.lit(',"end_line":'), (d % 50 + 3).cast("string"),
-        F.lit(',"severity":"'), F.when(d % 11 == 1, "urgent").otherwise("major"),
+        F.when(d % 7 == 1, F.concat(F.lit('" '), (d % 50 + 1).cast("string"), F.lit('"'))).otherwise(
+            (d % 50 + 1).cast("string")), F.lit(',"end_line":'), (d % 50 + 3).cast("string"),
+        F.when(d % 7 == 2, ".0").otherwise(""), F.lit(',"severity":"'), F.when(d % 11 == 1, "urgent").otherwise("major"),
         F.lit('","category":"bug","reasoning":"r","explanation":"e'), d.cast("string"),
         F.lit('","can_generate_patch":'), F.when(d % 2 == 0, "true").otherwise("false"),
         F.when(d % 3 == 0, F.concat(F.lit(',"replacement_code":"c'), d.cast("string"), F.lit('"')))
@@ -264,8 +265,9 @@ def responses(spark, sf_dir) -> DataFrame:
     count = (d % 4).cast("int")
     issues = F.array_join(F.array_repeat(issue, count), ",")
     good = F.concat(
-        F.lit('{"summary":"'), F.substring(F.md5("text"), 1, 8),
-        F.when(d % 11 == 2, '"').otherwise('","risk_level":"medium"'),
+        F.lit('{"summary":'), F.when(d % 13 == 3, d.cast("string")).otherwise(F.concat(
+            F.lit('"'), F.substring(F.md5("text"), 1, 8), F.lit('"'))),
+        F.when(d % 11 == 2, "").otherwise(',"risk_level":"medium"'),
         F.when(d % 4 == 0, "").otherwise(F.concat(F.lit(',"issues":['), issues, F.lit("]"))),
         F.lit("}"))
     return documents(spark, sf_dir).select(

@@ -11,7 +11,6 @@ from patchloom.functions import text as T
 ISSUE = """struct<file_path string, start_line bigint, end_line bigint, severity string,
  category string, reasoning string, explanation string, can_generate_patch boolean,
  replacement_code string, repository_convention boolean, guidance_id string>"""
-RESPONSE = f"struct<summary string, risk_level string, issues array<{ISSUE}>, _bad string>"
 ISSUE_REQUIRED = ("file_path", "start_line", "end_line", "severity", "category", "reasoning",
                   "explanation", "can_generate_patch")
 
@@ -23,32 +22,91 @@ FINDING_COLUMNS = ["path", "start_line", "end_line", "severity", "category", "re
                    "explanation", "can_generate_patch", "replacement_code"]
 
 
+# How a field's JSON value is taken. Texts must be strings; whole numbers may also come as strings,
+# as decimals without a fraction or as truth values, and truth values as these words or as 0 and 1.
+INT_TEXT = r"^[+-]?[0-9]+(?:_[0-9]+)*(?:\.0*)?$"
+TRUE_WORDS, FALSE_WORDS = ("1", "t", "true", "on", "y", "yes"), ("0", "f", "false", "off", "n", "no")
+
+
+def _kind(value: Column) -> Column:
+    return F.schema_of_variant(value)
+
+
+def _text(value: Column) -> Column:
+    return F.when(_kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def _number(value: Column) -> Column:
+    """A JSON number with its fraction, null for anything else."""
+    return F.when(_kind(value).rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(value, "$", "double"))
+
+
+def _whole(value: Column) -> Column:
+    text, number = T.strip(_text(value)), _number(value)
+    return (F.when(_kind(value) == "BIGINT", F.try_variant_get(value, "$", "bigint"))
+            .when(_kind(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("bigint"))
+            .when(number == F.floor(number), number.try_cast("bigint"))
+            .when(text.rlike(INT_TEXT), F.regexp_replace(text, r"_|\..*$", "").try_cast("bigint")))
+
+
+def _truth(value: Column) -> Column:
+    word, number = F.lower(_text(value)), _number(value)
+    return (F.when(_kind(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
+            .when(word.isin(*TRUE_WORDS) | (number == 1), True)
+            .when(word.isin(*FALSE_WORDS) | (number == 0), False))
+
+
+_TAKE = {"string": _text, "bigint": _whole, "boolean": _truth}
+_FIELDS = [f.strip().rsplit(" ", 1) for f in ISSUE[len("struct<"):-1].replace("\n", "").split(",")]
+
+
+def _issue(value: Column) -> Column:
+    """An issue's fields as far as they can be taken, and whether it keeps the schema. A field that
+    may be missing may be null or of its type, not of another."""
+    fields, fine = [], []
+    for name, kind in _FIELDS:
+        raw = F.try_variant_get(value, f"$.{name}", "variant")
+        taken = _TAKE[kind](raw)
+        fields.append(taken.alias(name))
+        if name in ISSUE_REQUIRED:
+            fine.append(taken.isNotNull())
+        elif kind == "boolean":  # has a default and may be missing, but not null
+            fine.append(taken.isNotNull() | raw.isNull())
+        else:
+            fine.append(taken.isNotNull() | raw.isNull() | F.is_variant_null(raw))
+    values = {"severity": C.SEVERITIES, "category": C.CATEGORIES}
+    fine += [F.coalesce(fields[[n for n, _ in _FIELDS].index(f)].isin(*v), F.lit(False))
+             for f, v in values.items()]
+    ok = fine[0]
+    for test in fine[1:]:
+        ok = ok & test
+    return F.struct(F.struct(*fields).alias("issue"), ok.alias("ok"))
+
+
 def parse_responses(responses: DataFrame) -> DataFrame:
     """(change_id, json) to (change_id, valid, summary, risk_level, issues).
 
-    An answer that breaks the schema gives an empty review with a fixed summary
-    and risk. Types are strict: a quoted number is not an integer."""
-    parsed = responses.select(
-        "change_id",
-        F.json_object_keys("json").alias("keys"),
-        F.from_json("json", RESPONSE, {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    ok_issue = lambda i: (
-        i.isNotNull()
-        & F.forall(F.array(*[i[f].isNotNull() for f in ISSUE_REQUIRED]), lambda b: b)
-        & i.severity.isin(*C.SEVERITIES) & i.category.isin(*C.CATEGORIES))
-    valid = F.coalesce(
-        F.col("r").isNotNull() & F.col("r._bad").isNull()
-        & F.col("r.summary").isNotNull() & F.col("r.risk_level").isNotNull()
-        & (F.col("r.issues").isNotNull() | ~F.array_contains("keys", "issues"))
-        & F.forall(F.coalesce("r.issues", F.array().cast(f"array<{ISSUE}>")), ok_issue),
-        F.lit(False))
+    An answer that breaks the schema gives an empty review with a fixed summary and risk. Fields are
+    taken one by one from the JSON value: a quoted whole number is a number, but a number is no text.
+    Unknown fields are ignored."""
     none = F.array().cast(f"array<{ISSUE}>")
+    answer = F.col("answer")
+    field = lambda name: F.try_variant_get(answer, f"$.{name}", "variant")
+    parsed = responses.select("change_id", F.try_parse_json("json").alias("answer")).select(
+        "change_id", _text(field("summary")).alias("summary"), _text(field("risk_level")).alias("risk"),
+        field("issues").isNull().alias("no_list"), F.transform(
+            F.try_variant_get(answer, "$.issues", "array<variant>"), _issue).alias("taken"))
+    # Leaving a generator, the parsed columns are not pulled apart and parsed again.
+    parsed = parsed.select("change_id", F.inline(F.array(F.struct("summary", "risk", "no_list", "taken"))))
+    valid = F.coalesce(
+        F.col("summary").isNotNull() & F.col("risk").isNotNull()
+        & (F.col("no_list") | F.forall("taken", lambda t: t.ok)), F.lit(False))
     return parsed.withColumn("valid", valid).select(
         "change_id", "valid",
-        F.when(F.col("valid"), F.col("r.summary")).otherwise(C.FALLBACK_SUMMARY).alias("summary"),
-        F.when(F.col("valid"), F.col("r.risk_level")).otherwise(C.FALLBACK_RISK)
-        .alias("risk_level"),
-        F.when(F.col("valid"), F.coalesce("r.issues", none)).otherwise(none).alias("issues"))
+        F.when(F.col("valid"), F.col("summary")).otherwise(C.FALLBACK_SUMMARY).alias("summary"),
+        F.when(F.col("valid"), F.col("risk")).otherwise(C.FALLBACK_RISK).alias("risk_level"),
+        F.when(F.col("valid") & ~F.col("no_list"), F.transform("taken", lambda t: t.issue)).otherwise(none)
+        .alias("issues"))
 
 
 def response_findings(parsed: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def test_parse_responses(spark):
     cases = [
         (answer(issues=[ISSUE]), True, 1), (answer(), True, 0), (answer(issues=None), False, 0),
         (answer(issues=[{**ISSUE, "severity": "urgent"}]), False, 0),
-        (answer(issues=[{**ISSUE, "start_line": "1"}]), False, 0),
+        (answer(issues=[{**ISSUE, "start_line": "1"}]), True, 1),
         (answer(issues=[{k: v for k, v in ISSUE.items() if k != "reasoning"}]), False, 0),
         ('{"summary": "s"}', False, 0), ("not json", False, 0), ("", False, 0),
         (answer(issues=[ISSUE, {**ISSUE, "replacement_code": None, "extra": 1}]), True, 2)]
@@ -29,6 +29,34 @@ def test_parse_responses(spark):
     assert rows[0].risk_level == "odd"
 
 
+def test_answers_are_taken_field_by_field(spark):
+    one = lambda **more: json.dumps({"summary": "s", "risk_level": "low", "issues": [{**ISSUE, **more}]})
+    whole = {" 12 ": 12, "+3": 3, "-4": -4, "1_000": 1000, "5.0": 5, 6.0: 6, True: 1, 7: 7, "7.5": None,
+             7.5: None, "x": None, "": None, None: None, "1e3": None, "0x1": None}
+    cases = [(one(start_line=v), w) for v, w in whole.items()] + [
+        (one(start_line=[1]), None), (one(start_line={}), None)]
+    truth = {"Yes": True, "off": False, 1: True, 0.0: False, "TRUE": True, "maybe": None, 2: None}
+    cases_b = [(one(can_generate_patch=v), w) for v, w in truth.items()]
+    bad = [one(reasoning=5), one(file_path=None), one(severity="Major"), one(replacement_code=3),
+           one(guidance_id=1), one(repository_convention=None), one(category=1),
+           json.dumps({"summary": 5, "risk_level": "low"}), json.dumps({"summary": "s", "risk_level": None}),
+           json.dumps({"summary": "s", "risk_level": "x", "issues": {}}), "[]", "5", "null", '{"summary": "s"',
+           json.dumps({"summary": "s", "risk_level": "x", "issues": [None]})]
+    rows = [c for c, _ in cases + cases_b] + bad + [None]
+    got = {r.change_id: r for r in N.parse_responses(spark.createDataFrame(
+        list(enumerate(rows)), "change_id bigint, json string")).collect()}
+    for i, (_, want) in enumerate(cases):
+        assert [x.start_line for x in got[i].issues] == ([] if want is None else [want]), rows[i]
+    for i, (_, want) in enumerate(cases_b, len(cases)):
+        assert [x.can_generate_patch for x in got[i].issues] == ([] if want is None else [want]), rows[i]
+    assert not any(got[i].valid for i in range(len(cases) + len(cases_b), len(rows)))
+    fine = [one(repository_convention="true", guidance_id="g"), one(replacement_code=None, guidance_id=None)]
+    got = {r.change_id: r for r in N.parse_responses(spark.createDataFrame(
+        list(enumerate(fine)), "change_id bigint, json string")).collect()}
+    assert got[0].issues[0].repository_convention is True and got[0].issues[0].guidance_id == "g"
+    assert got[1].valid and got[1].issues[0].replacement_code is None
+
+
 def test_snap_and_span(spark):
     lines = spark.createDataFrame([(1, "a", n) for n in (10, 12, 20, 21)],
                                   "change_id bigint, path string, line bigint")
