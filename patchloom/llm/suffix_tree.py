@@ -34,7 +34,7 @@ LEAST = 8                    # training occurrences of a context that may be kep
 SMOOTH = 100.0               # weight of the shorter context's distribution, in occurrences
 DIVERGENCE = 2.0             # least gain of a kept context, in nats over all its occurrences
 HELD_OUT, REMAINDER = 5, 1   # rows whose crc32(doc_id) leaves this remainder are not trained on
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 12_000_000
 PIECE_BYTES = 2_000_000      # a longer text is cut at white space
 BUCKET_KEYS = 1_500_000
 LEAST_BUCKETS = 12
