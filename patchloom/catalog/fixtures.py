@@ -332,7 +332,8 @@ def attempts(spark, sf_dir) -> DataFrame:
 
 @memo
 def sources(spark, sf_dir) -> DataFrame:
-    """Guidance Markdown: five documents per repository snapshot."""
+    """Guidance Markdown: five documents per repository snapshot; one in sixteen snapshots has a
+    branch for a commit, and one source in eighty a path outside the repository."""
     d = F.col("doc_id")
 
     def line(raw, i):
@@ -344,8 +345,9 @@ def sources(spark, sf_dir) -> DataFrame:
              .when(d % 4 == 3, F.array(F.lit("tests"), F.lit("deploy")))
              .otherwise(F.array().cast("array<string>")))
     return documents(spark, sf_dir).select(
-        "doc_id", _repo(d).alias("repo_id"), F.sha1(_repo(d)).alias("revision"),
-        F.concat(F.lit("docs/g"), F.when(d % 50 == 3, d - 1).otherwise(d).cast("string"),
+        "doc_id", _repo(d).alias("repo_id"), F.when(F.floor(d / 5) % 16 == 9, "main").otherwise(
+            F.sha1(_repo(d))).alias("revision"),
+        F.concat(F.when(d % 80 == 41, "../g").otherwise("docs/g"), F.when(d % 50 == 3, d - 1).otherwise(d).cast("string"),
                  F.lit(".md")).alias("path"),
         F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("content"),
         scope.alias("applies_to"))

@@ -20,8 +20,9 @@ from patchloom.sources.guidance_store import GuidanceStore
 
 _REPO = "'org/r' || CAST(floor(doc_id / 5) AS BIGINT)"
 _SOURCE = ("x_source", f"""
-SELECT doc_id, {_REPO} AS repo_id, sha1({_REPO}) AS revision,
-  'docs/g' || CASE WHEN doc_id % 50 = 3 THEN doc_id - 1 ELSE doc_id END || '.md' AS path,
+SELECT doc_id, {_REPO} AS repo_id,
+  CASE WHEN floor(doc_id / 5) % 16 = 9 THEN 'main' ELSE sha1({_REPO}) END AS revision,
+  CASE WHEN doc_id % 80 = 41 THEN '../g' ELSE 'docs/g' END || CASE WHEN doc_id % 50 = 3 THEN doc_id - 1 ELSE doc_id END || '.md' AS path,
   text, CASE doc_id % 4 WHEN 1 THEN ['src'] WHEN 2 THEN ['src/auth'] WHEN 3 THEN
     ['deploy', 'tests'] ELSE [] END AS scopes FROM documents""")
 _MD_LINES = ("x_md_lines", r"""
@@ -90,6 +91,11 @@ WHERE repo_id NOT IN (SELECT repo_id FROM (SELECT repo_id FROM x_md_items UNION
   AND repo_id NOT IN (SELECT repo_id FROM x_source GROUP BY repo_id, path HAVING count(*) > 1)
   AND repo_id NOT IN (SELECT repo_id FROM x_dec GROUP BY repo_id, path, id HAVING count(*) > 1)
   AND repo_id NOT IN (SELECT repo_id FROM x_dec WHERE length(decision) > 1800)
+  AND repo_id NOT IN (SELECT repo_id FROM x_source WHERE revision = 'main' OR path LIKE '../%')
+  AND repo_id NOT IN (SELECT repo_id FROM x_source JOIN (
+    SELECT doc_id FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS t(raw, n)
+    GROUP BY doc_id HAVING count(*) - 1 + sum(CASE WHEN n % 31 IN (5, 9) THEN 3 WHEN n % 31 = 7 THEN 15
+      WHEN n % 9 = 1 THEN length(raw) + 3 ELSE length(raw) END) > 40000) USING (doc_id))
   AND repo_id NOT IN (SELECT repo_id FROM x_source JOIN x_long USING (doc_id))""")
 _MD = (_SOURCE, _LONG, _MD_LINES, _FOLD, _SPANS, _CHUNKS, _MD_ITEMS)
 _ALL = (*_MD, _DEC_SOURCE, _DEC_ITEMS, _ITEMS)

@@ -106,10 +106,10 @@ def valid_paths(paths: DataFrame) -> DataFrame:
     return paths.withColumn("valid", P.is_valid_path(F.col("path")))
 
 
-def contract_checks(sources: DataFrame) -> DataFrame:
-    """Names of the bounds each guidance source row breaks, comma-joined; a null breaks its bound.
+def source_bounds() -> tuple[tuple[str, Column], ...]:
+    """The bounds of a guidance source row: (name, whether the row breaks it). A null breaks a bound.
 
-    Columns in: repo_id, revision, path, content, applies_to, k."""
+    Columns in: repo_id, revision, path, content, applies_to."""
     scopes = F.col("applies_to")
     bounds = (
         ("repo_id", ~F.col("repo_id").rlike(C.REPO_ID) | (F.length("repo_id") > 200)),
@@ -121,8 +121,19 @@ def contract_checks(sources: DataFrame) -> DataFrame:
         ("scope_count", F.size(scopes) > 16),
         ("scope_path", F.exists(scopes, lambda s: ~P.is_valid_path(s)
                                 | ~F.length(s).between(1, 300))),
-        ("k", ~F.col("k").between(1, C.MAX_K)),
     )
-    failed = F.array_compact(F.array(*[
-        F.when(F.coalesce(broken, F.lit(True)), F.lit(name)) for name, broken in bounds]))
+    return tuple((name, F.coalesce(broken, F.lit(True))) for name, broken in bounds)
+
+
+def broken_bounds(bounds) -> Column:
+    """The names of the bounds a row breaks, as an array."""
+    return F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in bounds]))
+
+
+def contract_checks(sources: DataFrame) -> DataFrame:
+    """Names of the bounds each guidance source row breaks, comma-joined; a null breaks its bound.
+
+    Columns in: repo_id, revision, path, content, applies_to, k."""
+    asked = F.coalesce(~F.col("k").between(1, C.MAX_K), F.lit(True))
+    failed = broken_bounds((*source_bounds(), ("k", asked)))
     return sources.select("repo_id", "path", F.array_join(failed, ",").alias("failed"))

@@ -19,6 +19,7 @@ from patchloom import constants as C
 from patchloom.functions import ids
 from patchloom.functions import paths as P
 from patchloom.functions import text as T
+from patchloom.operators import filters as L
 
 # Functions that run in Python workers travel by value: workers need numpy, pandas
 # and Arrow, but not this package.
@@ -237,15 +238,29 @@ def _source_items(sources: DataFrame) -> DataFrame:
         .alias("source_id"), "kind", "path", "revision", "locator", "excerpt", "scopes", "_error")
 
 
-def _doubled_paths(sources: DataFrame) -> DataFrame:
-    return sources.groupBy("repo_id", "path").count().filter("count > 1").select("repo_id")
+def source_errors(sources: DataFrame) -> DataFrame:
+    """(repo_id, path, error): bounds that sources break by themselves, a path given twice, and more
+    sources than a snapshot may hold (path null). Texts are not read beyond their length."""
+    alone = sources.select("repo_id", "path", F.explode(L.broken_bounds(L.source_bounds())).alias("error"))
+    counts = sources.groupBy("repo_id", "path").agg(F.count("*").alias("n"))
+    doubled = counts.filter("n > 1").select("repo_id", "path", F.lit("duplicate_path").alias("error"))
+    many = counts.groupBy("repo_id").agg(F.sum("n").alias("n")).filter(
+        F.col("n") > C.MANIFEST_SOURCES).select(
+        "repo_id", F.lit(None).cast("string").alias("path"), F.lit("source_count").alias("error"))
+    return alone.unionByName(doubled).unionByName(many)
 
 
 def snapshot_errors(sources: DataFrame) -> DataFrame:
-    """Repositories whose snapshot holds a duplicate path, a line over the limit,
-    unreadable decisions or a repeated decision id: (repo_id)."""
-    return _doubled_paths(sources).unionByName(
-        _source_items(sources).filter("_error").select("repo_id")).distinct()
+    """Why snapshots are refused: (repo_id, path, error) of ``source_errors``, of sources with a line
+    over the limit, unreadable decisions or a repeated decision id (``content``), and of snapshots
+    with more than 100 items (``item_count``)."""
+    judged = _judged_items(sources).filter("_refused")
+    content = judged.filter("_error").select("repo_id", "path", F.lit("content").alias("error"))
+    none = F.lit(None).cast("string")
+    count = judged.groupBy("repo_id").agg(F.count("*").alias("n"), F.bool_or("_error").alias("e")).filter(
+        (F.col("n") > C.SNAPSHOT_ITEMS) & ~F.col("e")).select(
+        "repo_id", none.alias("path"), F.lit("item_count").alias("error"))
+    return source_errors(sources).unionByName(content).unionByName(count).distinct()
 
 
 def _judged_items(sources: DataFrame) -> DataFrame:
@@ -264,16 +279,16 @@ def _judged_items(sources: DataFrame) -> DataFrame:
 
 
 def index_items(sources: DataFrame) -> DataFrame:
-    """Items of all snapshots. A snapshot with an error or more than 100 items is
-    refused whole."""
-    return _judged_items(sources).filter(~F.col("_refused")).drop(
-        "_n", "_refused", "_error").join(_doubled_paths(sources).distinct(), "repo_id", "left_anti")
+    """Items of all snapshots. A snapshot with an error or more than 100 items is refused whole;
+    ``snapshot_errors`` says why."""
+    return _judged_items(sources).filter(~F.col("_refused")).drop("_n", "_refused", "_error").join(
+        source_errors(sources).select("repo_id").distinct(), "repo_id", "left_anti")
 
 
 def refused_snapshots(sources: DataFrame) -> DataFrame:
     """Repositories whose snapshot ``index_items`` leaves out: (repo_id)."""
     return _judged_items(sources).filter("_refused").select("repo_id").unionByName(
-        _doubled_paths(sources)).distinct()
+        source_errors(sources).select("repo_id")).distinct()
 
 
 # --- vectors -----------------------------------------------------------------

@@ -58,18 +58,37 @@ def test_markdown_chunks(spark):
     for r in U.markdown_chunks(df).orderBy("chunk_no").collect():
         got.setdefault(int(r.path[:-3]), []).append((r.locator, r.text))
     assert got == {i: c for i, t in enumerate(texts) if (c := chunks(t))}
-    long = spark.createDataFrame([("o/r", "1", "a.md", "y" * 1501, [])], SOURCE)
+    long = spark.createDataFrame([("o/r", "1" * 40, "a.md", "y" * 1501, [])], SOURCE)
     assert U.markdown_chunks(long).count() == 0 and U.snapshot_errors(long).count() == 1
 
 
+ONE, TWO = "1" * 40, "2" * 40
+
+
 def test_refused_snapshots(spark):
-    rows = [("ok/a", "1", "a.md", "# A\ntext", []), ("dup/a", "1", "a.md", "# A", []),
-            ("dup/a", "1", "a.md", "# B", []), ("many/a", "1", "a.md", "# h\n" * 101, []),
-            ("full/a", "1", "a.md", "# h\n" * 100, []), ("ids/a", "1", "d.json", DECISIONS.replace(
-                "queue-names", "money-decimal"), []), ("bad/a", "1", "d.json", "{", []),
-            ("ok/b", "1", "d.json", DECISIONS, ["src"])]
-    items = U.index_items(spark.createDataFrame(rows, SOURCE)).groupBy("repo_id").count().collect()
+    rows = [("ok/a", ONE, "a.md", "# A\ntext", []), ("dup/a", ONE, "a.md", "# A", []),
+            ("dup/a", ONE, "a.md", "# B", []), ("many/a", ONE, "a.md", "# h\n" * 101, []),
+            ("full/a", ONE, "a.md", "# h\n" * 100, []), ("ids/a", ONE, "d.json", DECISIONS.replace(
+                "queue-names", "money-decimal"), []), ("bad/a", ONE, "d.json", "{", []),
+            ("ok/b", ONE, "d.json", DECISIONS, ["src"])]
+    rows += [("Org/R", ONE, "a.md", "# A", []), ("rev/a", "main", "a.md", "# A", []),
+             ("path/a", ONE, "../x.md", "# A", []), ("ext/a", ONE, "a.txt", "# A", []),
+             ("big/a", ONE, "a.md", ("x" * 999 + "\n") * 60, []), ("scope/a", ONE, "a.md", "# A", ["/a"]),
+             ("null/a", ONE, "a.md", None, []), ("two/a", ONE, "a.md", "# A", []), ("two/a", ONE, "../b.md", "", []),
+             ("wide/a", ONE, "a.md", "# A", [f"s{i}" for i in range(17)])]
+    rows += [("lots/a", ONE, f"{i}.md", "# A", []) for i in range(33)]
+    df = spark.createDataFrame(rows, SOURCE)
+    items = U.index_items(df).groupBy("repo_id").count().collect()
     assert {r.repo_id: r["count"] for r in items} == {"ok/a": 1, "full/a": 100, "ok/b": 2}
+    assert {(r.repo_id, r.path, r.error) for r in U.snapshot_errors(df).collect()} == {
+        ("dup/a", "a.md", "duplicate_path"), ("many/a", None, "item_count"), ("ids/a", "d.json", "content"),
+        ("bad/a", "d.json", "content"), ("Org/R", "a.md", "repo_id"), ("rev/a", "a.md", "revision"),
+        ("path/a", "../x.md", "path"), ("ext/a", "a.txt", "path_extension"), ("ext/a", "a.txt", "content"),
+        ("big/a", "a.md", "content_length"), ("scope/a", "a.md", "scope_path"),
+        ("null/a", "a.md", "content_length"), ("two/a", "../b.md", "path"), ("wide/a", "a.md", "scope_count"),
+        ("lots/a", None, "source_count")}
+    assert {r.repo_id for r in U.refused_snapshots(df).collect()} == {r[0] for r in rows} - {
+        "ok/a", "ok/b", "full/a"}
 
 
 def test_embedders_agree(spark):
@@ -228,14 +247,14 @@ def test_store_survives_a_crash_between_steps(spark, tmp_path, monkeypatch):
 def test_index_run_keeps_refused_repositories(spark, tmp_path):
     from patchloom.plans.guidance import index_run
     store = GuidanceStore(spark, str(tmp_path))
-    first = [("a/a", "1", "a.md", "# A\none", []), ("b/b", "1", "a.md", "# B\none", []),
-             ("c/c", "1", "a.md", "# C\none", [])]
+    first = [("a/a", ONE, "a.md", "# A\none", []), ("b/b", ONE, "a.md", "# B\none", []),
+             ("c/c", ONE, "a.md", "# C\none", [])]
     index_run(spark.createDataFrame(first, SOURCE), store, 1)
-    second = [("a/a", "2", "a.md", "# A\none", ["src"]), ("b/b", "2", "a.md", "# h\n" * 101, []),
-              ("c/c", "2", "a.md", "", [])]
+    second = [("a/a", TWO, "a.md", "# A\none", ["src"]), ("b/b", TWO, "a.md", "# h\n" * 101, []),
+              ("c/c", TWO, "a.md", "", [])]
     index_run(spark.createDataFrame(second, SOURCE), store, 2)
     rows = {r.repo_id: (r.revision, r.scopes) for r in store.read().collect()}
-    assert rows == {"a/a": ("2", ["src"]), "b/b": ("1", [])}
+    assert rows == {"a/a": (TWO, ["src"]), "b/b": (ONE, [])}
 
 
 def test_labelled_cases(spark):
