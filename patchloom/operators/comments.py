@@ -11,6 +11,8 @@ from patchloom.functions import text as T
 from patchloom.functions.ranking import bucketed_row_number
 from patchloom.operators.findings import ORDER
 
+LINE_BUCKET = 64  # lines of a file whose commentable ones are one list
+
 
 def _label(table: dict[str, str], key: Column) -> Column:
     """Label by key, the key itself if unknown. The tables have fixed sizes."""
@@ -29,15 +31,21 @@ def snap_line(findings: DataFrame, commentable: DataFrame, key: list[str]) -> Da
     nearest such line within five (the later one on a tie); else the finding
     goes. ``key`` names the columns that identify a finding.
 
-    The eleven candidate lines are spelled out, so the join is on equal (change,
-    path, line) and a file with very many lines or findings is spread by line."""
-    steps = [0] + [s for d in range(1, C.SNAP_DISTANCE + 1) for s in (d, -d)]
-    candidates = findings.select(
-        *key, "path", F.posexplode(F.array(*[F.col("end_line") + s for s in steps]))
-        .alias("_preference", "line"))
-    lines = commentable.select("change_id", "path", "line").distinct()
-    best = candidates.join(lines, ["change_id", "path", "line"]).groupBy(*key).agg(
-        F.min_by("line", "_preference").alias("comment_line"))
+    Lines that can carry a comment are gathered into one short list per bucket of LINE_BUCKET lines
+    of a file. A finding meets the bucket of its line, or two at a border, and the nearest line is
+    found in the list; keys are equal, and a file with very many lines or findings is spread."""
+    end, reach = F.col("end_line"), C.SNAP_DISTANCE
+    bucket = lambda line: F.floor(line / LINE_BUCKET).cast("bigint")
+    lists = commentable.groupBy("change_id", "path", bucket(F.col("line")).alias("_bucket")).agg(
+        F.collect_set("line").alias("_lines"))
+    asked = findings.select(*dict.fromkeys([*key, "change_id", "path"]), "end_line", F.explode(
+        F.array_distinct(F.array(bucket(end - reach), bucket(end + reach)))).alias("_bucket"))
+    near = F.array_min(F.transform(
+        F.filter("_lines", lambda x: F.abs(x - F.col("end_line")) <= reach),
+        lambda x: F.struct(F.abs(x - F.col("end_line")).alias("far"),
+                           (x < F.col("end_line")).alias("above"), x.alias("line"))))
+    best = asked.join(lists, ["change_id", "path", "_bucket"]).withColumn("_near", near).filter(
+        "_near IS NOT NULL").groupBy(*key).agg(F.min("_near").getField("line").alias("comment_line"))
     return findings.join(best, key)
 
 
