@@ -53,3 +53,27 @@ def test_review_run(spark):
     summaries = {r.change_id: r.body for r in out["summaries"].collect()}
     assert "S1\n" in summaries[1] and "| Critical | 1 |" in summaries[1]
     assert set(summaries) == {1, 2}  # nothing to review in the third change
+
+
+def test_prompt_run_on_real_outlines(spark):
+    from patchloom import constants as C
+    from patchloom.plans.prompts import prompt_run
+    head = ("import os\n\n\ndef untouched(a,\n              b=(1, 2)):\n    return a\n\n\n"
+            "class K:\n    def touched(self):\n        x = 1\n        return x\n")
+    diff = "\n".join([
+        "diff --git a/src/a.py b/src/a.py", "--- a/src/a.py", "+++ b/src/a.py", "@@ -9,3 +9,4 @@", " class K:",
+        "     def touched(self):", "+        x = 1", "         return x",
+        "diff --git a/yarn.lock b/yarn.lock", "--- a/yarn.lock", "+++ b/yarn.lock", "@@ -1 +1 @@", "+x"])
+    diffs = spark.createDataFrame([(1, diff), (2, "")], "change_id bigint, diff_text string")
+    heads = spark.createDataFrame([(1, "src/a.py", head), (1, "yarn.lock", "x")],
+                                  "change_id bigint, path string, content string")
+    changes = spark.createDataFrame([(1, "T", "B"), (2, "U", "")], "change_id bigint, title string, body string")
+    whole = prompt_run(diffs, heads, changes).orderBy("seq").collect()
+    assert [(r.change_id, r.seq, r.role) for r in whole] == [(1, 0, "system"), (1, 1, "user")]
+    text = whole[1].content
+    shown = text.split(C.CONTEXT_MODIFIED.strip())[1].split(C.CONTEXT_SKELETONS.strip())
+    assert "  11 |         x = 1" in shown[0] and "untouched" not in shown[0]
+    assert "untouched(a,\n              b=(1, 2))" in shown[1] and "import os" in text.split("###")[1]
+    assert "+        x = 1" in text and "yarn.lock" not in text
+    parts = prompt_run(diffs, heads, changes, part_chars=50).filter("role = 'user'").orderBy("seq").collect()
+    assert len(parts) > 5 and "".join(r.content for r in parts) == text
