@@ -285,41 +285,134 @@ def send_segments(frame: pd.DataFrame, shared: pd.DataFrame, length: int, anchor
             pack.compress(gathered(text, begins[s], spans[s]).tobytes()), np.uint8)))
 
 
-def suffix_order(text: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int):
-    """(order, same): the windows at ``starts`` in the order of their bytes, equal ones by
-    document, and whether each equals the one before it."""
+def words_at(text: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number in byte order; those beyond ``left`` are 0."""
     padded = np.concatenate([text, np.zeros(8, np.uint8)]).tobytes()
-    words = np.ndarray((len(text),), ">u8", padded, strides=(1,))
-    columns, left = [], length
-    while left > 0:
-        column = words[starts + (length - left)].astype(np.uint64)
-        if left < 8:
-            column >>= np.uint64(8 * (8 - left))
-        columns.append(column)
-        left -= 8
-    order = np.lexsort((docs, *columns[::-1]))
-    same = np.ones(len(starts), bool)
-    same[:1] = False
-    for column in columns:
-        sorted_ = column[order]
-        same[1:] &= sorted_[1:] == sorted_[:-1]
-    return order, same
-
-
-def previous_factor(order: np.ndarray, same: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """For each window, whether its longest previous factor, over documents with a smaller id,
-    reaches the windows' length.
-
-    Equal windows are a run in suffix order with documents ascending, so the previous smaller
-    document of a window, if in the run at all, shows in the run's first; the next smaller one lies
-    beyond the run, where fewer bytes agree."""
-    run = np.cumsum(~same) - 1
-    smallest = docs[order][np.flatnonzero(~same)]
-    out = np.zeros(len(order), bool)
-    out[order] = smallest[run] < docs[order]
+    words = np.ndarray((len(text) + 1,), ">u8", padded, strides=(1,))[at].astype(np.uint64)
+    short = np.flatnonzero(left < 8)
+    bits = (8 * (8 - np.maximum(left[short], 0))).astype(np.uint64)
+    words[short] = np.where(bits < 64, words[short] >> (bits % 64) << (bits % 64), 0)
+    return words
+
+
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(dense ranks from 1 on, order) of keys."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    ranks = np.empty(len(keys), np.uint32)
+    ranks[order] = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ranks, order
+
+
+class SuffixArray:
+    """Suffixes that begin at ``starts``, in order, of texts that lie one after another and end at
+    ``ends``; by prefix doubling. ``levels[k]`` ranks all suffixes by their first 8 * 2^k bytes.
+    As only ``length`` bytes are asked for, the last doubling is the first to reach them, and
+    suffixes that agree so far keep any order."""
+
+    def __init__(self, text: np.ndarray, ends: np.ndarray, starts: np.ndarray, length: int):
+        self.text, self.starts = text, starts
+        place = np.arange(len(text))
+        self.left = np.repeat(ends, np.diff(ends, prepend=0)) - place
+        self.levels = [ranked(words_at(text, place, self.left))[0]]
+        size = 8
+        while 2 * size < length:
+            self.levels.append(ranked(self.doubled(size, place))[0])
+            size *= 2
+        self.order = np.argsort(self.doubled(size, starts))
+
+    def doubled(self, size: int, at: np.ndarray) -> np.ndarray:
+        """Keys by twice ``size`` bytes; nothing ranks before anything."""
+        ranks = self.levels[-1]
+        more = ranks[np.minimum(at + size, len(ranks) - 1)].astype(np.uint64)
+        more[self.left[at] <= size] = 0
+        return (ranks[at].astype(np.uint64) << np.uint64(32)) | more
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Length of the longest common prefix of pairs of suffixes, as far as the levels and
+        seven more bytes tell: at least the asked length if that many agree."""
+        a, b = self.starts[a], self.starts[b]
+        room = np.minimum(self.left[a], self.left[b])
+        out = np.zeros(len(a), np.int64)
+        last = len(self.text) - 1
+        for k in [len(self.levels) - 1, *range(len(self.levels) - 1, -1, -1)]:
+            x, y = np.minimum(a + out, last), np.minimum(b + out, last)
+            out += np.where((out < room) & (self.levels[k][x] == self.levels[k][y]), 8 << k, 0)
+        x = words_at(self.text, np.minimum(a + out, last), np.full(len(a), 8))
+        y = words_at(self.text, np.minimum(b + out, last), np.full(len(a), 8))
+        differ = x ^ y
+        for n in (4, 2, 1):
+            equal = differ >> np.uint64(64 - 8 * n) == 0
+            out += np.where(equal, n, 0)
+            differ = np.where(equal, differ << np.uint64(8 * n), differ)
+        return np.minimum(out, room)
+
+
+def previous_smaller(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Place of the nearest earlier, smaller value not before ``first``, or -1. Between a value and
+    the place that it points to all are as large, so it may take over that place's pointer."""
+    place = np.arange(len(values))
+    to = np.where(place > first, place - 1, -1)
+    active = np.flatnonzero(to >= 0)
+    while len(active):
+        active = active[values[to[active]] >= values[active]]
+        to[active] = to[to[active]]
+        active = active[to[active] >= 0]
+    return to
+
+
+def longest_previous_factors(suffixes: SuffixArray, docs: np.ndarray, length: int) -> np.ndarray:
+    """For each suffix the length of its longest match that starts in a smaller document, as far as
+    ``common`` tells; 0 if that is below ``length``.
+
+    In suffix order the best match among smaller documents is the previous or the next smaller one.
+    Both are looked for only while neighbours agree in ``length`` bytes."""
+    order = suffixes.order
+    out = np.zeros(len(order), np.int64)
+    if len(order) < 2:
+        return out
+    joined = suffixes.common(order[1:], order[:-1]) >= length
+    member = np.flatnonzero(np.concatenate([[False], joined]) | np.concatenate([joined, [False]]))
+    if not len(member):
+        return out
+    own, values = order[member], docs[order[member]]
+    begins = ~np.concatenate([[False], joined])[member]
+    place = np.arange(len(member))
+    first = np.maximum.accumulate(np.where(begins, place, 0))
+    ends = np.concatenate([begins[1:], [True]])
+    last = np.minimum.accumulate(np.where(ends, place, len(place))[::-1])[::-1]
+    before = previous_smaller(values, first)
+    after = previous_smaller(values[::-1], (len(place) - 1 - last)[::-1])[::-1]
+    after = np.where(after >= 0, len(place) - 1 - after, -1)
+    for other in (before, after):
+        has = np.flatnonzero(other >= 0)
+        match = suffixes.common(own[has], own[other[has]])
+        out[own[has]] = np.maximum(out[own[has]], match)
     return out
 
 
+def distinct_segments(content, low, text, begins, spans) -> tuple[np.ndarray, np.ndarray]:
+    """(a segment of each text, by its smallest document; which of these each segment equals).
+    Segments of one key are compared byte by byte; one that differs stands for itself."""
+    order = np.lexsort((low, content))
+    new = np.concatenate([[True], content[order][1:] != content[order][:-1]])
+    model = np.empty(len(order), np.int64)
+    model[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    copies = np.flatnonzero(model != np.arange(len(model)))
+    same = spans[copies] == spans[model[copies]]
+    for done in range(0, int(spans.max()), 8):
+        left = spans[copies] - done
+        same &= (left <= 0) | (
+            words_at(text, np.minimum(begins[copies] + done, len(text)), left)
+            == words_at(text, np.minimum(begins[model[copies]] + done, len(text)), left))
+    model[copies[~same]] = copies[~same]
+    kept = np.flatnonzero(model == np.arange(len(model)))
+    kept = kept[np.argsort(low[kept], kind="stable")]
+    number = np.empty(len(model), np.int64)
+    number[kept] = np.arange(len(kept))
+    return kept, number[model]
+
+
 def find_earlier(frame: pd.DataFrame, length: int) -> pd.DataFrame:
     parts = []
     for blob in frame["blob"]:
@@ -329,23 +422,27 @@ def find_earlier(frame: pd.DataFrame, length: int) -> pd.DataFrame:
                       np.frombuffer(zstandard.ZstdDecompressor().decompress(text.tobytes()), np.uint8)))
     block, content, low, spans, alone, text = (np.concatenate(x) for x in zip(*parts))
     del parts
-    begins, number = np.cumsum(spans) - spans, spans - length + 1
-    ends = np.cumsum(number)
-    starts = np.repeat(begins - (ends - number), number) + np.arange(ends[-1])
-    docs = np.repeat(low, number)
-    earlier = previous_factor(*suffix_order(text, starts, docs, length), docs)
-    segment = np.repeat(np.arange(len(spans)), number)
-    some = np.zeros(len(spans), bool)
-    some[segment[earlier]] = True
-    some |= alone == SHARED_SINGLE
+    kept, model = distinct_segments(content, low, text, np.cumsum(spans) - spans, spans)
+    text = gathered(text, (np.cumsum(spans) - spans)[kept], spans[kept])
+    ends = np.cumsum(spans[kept])
+    windows = spans[kept] - length + 1
+    begins = np.cumsum(windows) - windows
+    starts = np.repeat(ends - spans[kept] - begins, windows) + np.arange(windows.sum())
+    docs = np.repeat(low[kept], windows)
+    factors = longest_previous_factors(SuffixArray(text, ends, starts, length), docs, length)
+    earlier = factors >= length
+    # A copy in a document larger than its model's has an earlier match throughout.
+    copied = low > low[kept][model]
+    number = spans - length + 1
+    some = copied | (alone == SHARED_SINGLE)
+    some |= np.logical_or.reduceat(earlier, begins)[model]
     chosen = np.flatnonzero(some)
     chosen = chosen[np.argsort(block[chosen], kind="stable")]
-    first = ends - number
 
     def make(s):
         own = chosen[s]
-        return packed(content[own], number[own].astype(np.int32), alone[own],
-                      np.packbits(gathered(earlier, first[own], number[own])))
+        flags = gathered(earlier, begins[model[own]], number[own]) | np.repeat(copied[own], number[own])
+        return packed(content[own], number[own].astype(np.int32), alone[own], np.packbits(flags))
     return rows_by(block[chosen], "block", make)
 
 
