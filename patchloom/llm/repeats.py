@@ -8,16 +8,16 @@ task sees all texts: windows are sampled by content, so that equal windows pick
    its anchors' hashes, each once with the smallest id, to buckets.
 2. Anchors that only one document has are done with. For the others, blocks send their distinct
    segments, again once each, to buckets of the anchor.
-3. A bucket puts its windows in suffix order, equal windows by document. There the previous smaller
-   document of a window is its earlier match if both are equal to ``length`` bytes, that is, if its
-   longest previous factor reaches ``length``; the next smaller document is never in the same run.
-   Blocks get back which windows of each segment have an earlier match.
+3. A bucket keeps one of equal segments, compared byte by byte, and builds the suffix array of the
+   rest by prefix doubling. The previous and the next smaller document in suffix order give each
+   window's longest previous factor; it has an earlier match if that reaches ``length``. Blocks get
+   back which windows of each segment have one.
 4. Blocks mark the bytes.
 
 A string that a third of all documents hold reaches a bucket once per block. Its variants, if very
-many documents hold an anchor, are dealt window by window. Buckets compare windows byte by byte;
-inside a block equal segments are found by 64-bit hashes, as are a bucket's answers. No full suffix
-array or LPF array is computed, as only whether a match reaches ``length`` is asked.
+many documents hold an anchor, are dealt window by window. Inside a block equal segments are found by
+64-bit hashes, as are a bucket's answers, without a look at the bytes. Suffixes are sorted, and factors
+measured, only as far as ``length`` bytes and somewhat beyond.
 """
 
 from __future__ import annotations

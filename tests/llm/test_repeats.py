@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 
 from patchloom.llm import repeats as R
@@ -45,3 +46,20 @@ def test_no_documents_and_extra_columns(spark, make_docs):
     assert R.repeat_digests(make_docs([])).count() == 0
     docs = make_docs([(1, "x" * 80), (2, "x" * 80)]).selectExpr("*", "1 AS block", "2 AS kept")
     assert sorted(r.n_removed for r in R.repeat_digests(docs).collect()) == [0, 80]
+
+
+def test_longest_previous_factors_against_all_pairs():
+    length = 20
+    texts = [b"abcabcabcabcabcabcabcabcabc", b"x" * 45, b"xabcabcabcabcabcabcabcabcabcy",
+             b"x" * 30 + b"\0" * 25, b"\0" * 24, b"q" * 20]
+    owners = [4, 2, 1, 3, 5, 6]
+    ends = np.cumsum([len(t) for t in texts])
+    places = [(n, i) for n, t in enumerate(texts) for i in range(len(t) - length + 1)]
+    starts = np.array([ends[n] - len(texts[n]) + i for n, i in places])
+    docs = np.array([owners[n] for n, _ in places])
+    suffixes = R.SuffixArray(np.frombuffer(b"".join(texts), np.uint8), ends, starts, length)
+    got = R.longest_previous_factors(suffixes, docs, length) >= length
+    windows = [texts[n][i:i + length] for n, i in places]
+    assert got.tolist() == [any(w == v and e < d for v, e in zip(windows, docs))
+                            for w, d in zip(windows, docs)]
+    assert got.any() and not got.all()
