@@ -88,8 +88,10 @@ c AS (SELECT *, CASE WHEN host <> '' THEN concat(regexp_replace(host, '^(www|m)\
       WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/fr/') THEN 'org/fr/'
       WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/') THEN 'net/' END AS rule
   FROM q),
-l AS (SELECT canon, min(page_id) AS first_page FROM c WHERE canon IS NOT NULL AND rule IS NULL
-      GROUP BY canon HAVING count(*) > 1)
+l AS (SELECT canon, CASE WHEN count(*) FILTER (rule IS NULL OR rule IN ('example.net/en/', 'org/fr/')) > 0
+      THEN coalesce(min(page_id) FILTER (rule IN ('example.net/en/', 'org/fr/')),
+        min(page_id) FILTER (rule IS NULL)) ELSE min(page_id) END AS first_page
+      FROM c WHERE canon IS NOT NULL GROUP BY canon HAVING count(*) > 1)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
     WHEN rule IS NOT NULL THEN 'allow'
     WHEN first_page IS NOT NULL AND page_id IS DISTINCT FROM first_page THEN 'block'
