@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StringType, StructField, StructType
 
 from patchloom import constants as C
 from patchloom.functions import ids
@@ -26,6 +25,7 @@ from patchloom.operators import filters as L
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 QUERY_BLOCK = 1_000    # queries of a repository scored at a time
+EMBED_ROWS = 500       # rows embedded together
 DECISIONS = "array<struct<id string, title string, decision string, applies_to array<string>>>"
 SPAN = "array<struct<first:int,last:int,heading:string>>"
 REFERENCE = ["source_id", "kind", "path", "revision", "locator", "excerpt"]
@@ -321,33 +321,47 @@ def embed_terms(text: Column, dimensions: int = C.DIMENSIONS) -> Column:
     return T.let(T.let(filled, run_ends), dense)
 
 
+def _embedded(batches: Iterator[pa.RecordBatch], vectors: Callable[[pa.Array], pa.Array]
+              ) -> Iterator[pa.RecordBatch]:
+    """Batches with ``embedding`` of ``text``, at most EMBED_ROWS rows at a time: dense vectors are
+    far larger than their texts, so no whole batch of them is held."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, EMBED_ROWS):
+            part = batch.slice(start, EMBED_ROWS)
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, vectors(part.column("text"))], [*part.schema.names, "embedding"])
+
+
 def term_embedder(digest: str = "md5", dimensions: int = C.DIMENSIONS):
     """An embedder over hashed terms: adds ``embedding`` of ``text``.
 
     Any DataFrame function of this shape is an embedder, such as one around an outside model. This
-    one takes whole Arrow batches: words are cut by Arrow, each distinct word of a batch is hashed
-    once, and all rows are counted together. BLAKE2b ("blake2b"), which the stored vectors of the
+    one takes EMBED_ROWS rows at a time: words are cut by Arrow, each distinct word of them is hashed
+    once, and all are counted together. BLAKE2b ("blake2b"), which the stored vectors of the
     review service use, is no Spark function. With "md5" it equals ``embed_terms``."""
     size = {"digest_size": 4} if digest == "blake2b" else {}
 
     def slot(word: str) -> int:
         return int.from_bytes(hashlib.new(digest, word.encode(), **size).digest()[:4], "big") % dimensions
 
-    @F.pandas_udf("array<float>")
-    def embed(texts: pd.Series) -> pd.Series:
-        known = texts.notna().to_numpy()
+    def vectors(texts: pa.Array) -> pa.Array:
         spaced = pc.replace_substring_regex(
-            pa.array(texts.fillna("").str.lower(), pa.string()), "[^a-z0-9]+", " ")
+            pa.array([(t or "").lower() for t in texts.to_pylist()], pa.string()), "[^a-z0-9]+", " ")
         words = pc.split_pattern(pc.ascii_trim_whitespace(spaced), " ")
         rows = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy())
         coded = words.flatten().dictionary_encode()
         slots = np.array([slot(w) if w else 0 for w in coded.dictionary.to_pylist()], np.int64)
         counts = np.bincount(rows * dimensions + slots[coded.indices.to_numpy()],
                              minlength=len(texts) * dimensions).astype("float32")
-        return pd.Series([v if k else None for v, k in zip(counts.reshape(-1, dimensions), known)],
-                         dtype=object)
+        ends = np.arange(len(texts) + 1, dtype="int32") * dimensions
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(counts), mask=pc.is_null(texts))
+
+    def embedded(rows: DataFrame) -> DataFrame:
+        rows = rows.drop("embedding")
+        return rows.mapInArrow(lambda batches: _embedded(batches, vectors), StructType(
+            [*rows.schema.fields, StructField("embedding", ArrayType(FloatType()))]))
 
-    return lambda rows: rows.withColumn("embedding", embed(F.col("text")))
+    return embedded
 
 
 def fixture_embedder(rows: DataFrame) -> DataFrame:

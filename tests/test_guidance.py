@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from patchloom.operators import evaluation as E
@@ -99,6 +100,17 @@ def test_embedders_agree(spark):
     assert a == b and a[0][0] == 1.0 and sum(a[2]) == 3.0 and len(a[4]) == 768
 
 
+def test_vectors_leave_in_small_batches(spark):
+    texts = pa.array([None if i % 7 == 3 else f"w{i} w{i * 7}" for i in range(1201)])
+    whole = pa.record_batch([pa.array(range(1201)), texts], ["i", "text"])
+    sizes = [b.num_rows for b in U._embedded([whole], lambda t: pa.array([1] * len(t)))]
+    assert sum(sizes) == 1201 and max(sizes) <= U.EMBED_ROWS
+    df = spark.createDataFrame(whole.to_pylist(), "i int, text string").coalesce(1)
+    want = {r.i: r.e for r in df.select("i", U.embed_terms(F.col("text")).alias("e")).collect()}
+    got = {r.i: r.embedding for r in U.fixture_embedder(df.withColumn("embedding", F.lit(0))).collect()}
+    assert len(got) == 1201 and all(got[i] is None if i % 7 == 3 else got[i] == want[i] for i in got)
+
+
 def test_topk_ties_scopes_and_threshold(spark):
     v = lambda *x: [float(y) for y in x]
     store = spark.createDataFrame(
