@@ -44,10 +44,10 @@ _JS_NOT_METHODS = ("if", "for", "while", "switch", "catch", "function", "return"
 
 def statements(files: DataFrame, *languages: str) -> DataFrame:
     """FILE, language and the statements of files in these languages (``lexical.STATEMENT``)."""
-    told = files.withColumn("language", P.language(F.col("path"))).filter(
+    told = files.select(*FILE, P.language(F.col("path")).alias("language"), F.col("content")).filter(
         F.col("language").isin(*languages))
-    return told.select(*FILE, "language", F.inline(lexical.statements(
-        T.unify_breaks(F.col("content")), F.col("language"))))
+    return lexical.statements(told.select(
+        *FILE, "language", T.unify_breaks(F.col("content")).alias("text")))
 
 
 def _found(pattern: str, group: int, text: str = "head") -> Column:
@@ -176,9 +176,7 @@ def js_outline(rows: DataFrame) -> DataFrame:
 def outline(files: DataFrame) -> DataFrame:
     """Functions, classes and imports of all supported files; others give
     nothing."""
-    rows = statements(files, *LANGUAGES)
-    is_python = F.col("language") == "python"
-    return py_outline(rows.filter(is_python)).unionByName(js_outline(rows.filter(~is_python)))
+    return py_outline(py_statements(files)).unionByName(js_outline(js_statements(files)))
 
 
 def symbols(outline_rows: DataFrame) -> DataFrame:

@@ -1,3 +1,6 @@
+import pyarrow as pa
+
+from patchloom.functions import lexical
 from patchloom.operators import symbols as S
 
 PY = '''from __future__ import annotations
@@ -206,3 +209,19 @@ def test_code_in_strings_and_open_brackets(spark):
     m = next(r for r in rows if r.name == "m" and r.change_id == 1)
     assert m.return_type == '"A"' and m.parameters == '(self, *, a: "dict[str, int]" = {}, **k)'
     assert next(r for r in rows if r.name == "A").docstring == "Doc.\n\n    def no(): pass"
+
+
+def test_statements_leave_in_small_batches(spark):
+    texts = [None if k % 10 == 9 else "" if k % 10 == 8 else "".join(
+        f"def f{k}_{i}(a):\n    pass\n" for i in range(20)) for k in range(300)]
+    whole = pa.record_batch([pa.array(range(300)), pa.array(["python"] * 300), pa.array(texts)],
+                            ["n", "language", "text"])
+    one, most = sum(map(len, texts[10:11])), 2000
+    out = list(lexical.scanned([whole], most))
+    assert sum(b.num_rows for b in out) == 240 * 20
+    assert max(b.num_rows for b in out) <= 20 * (most // one + 1)
+    assert [b.column("n")[0].as_py() for b in out] == sorted({b.column("n")[0].as_py() for b in out})
+    files = spark.createDataFrame([(k, "a.py", t) for k, t in enumerate(texts)],
+                                  "change_id bigint, path string, content string").coalesce(1)
+    got = sorted((r.change_id, r.start_line, r.name) for r in S.outline(files).collect())
+    assert got == [(k, 2 * i + 1, f"f{k}_{i}") for k in range(300) if k % 10 < 8 for i in range(20)]
