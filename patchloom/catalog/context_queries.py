@@ -95,8 +95,7 @@ JOIN (SELECT * FROM x_py_class UNION ALL SELECT * FROM x_js_class) c
   ON c.change_id = f.change_id AND c.path = f.path AND c.name = f.class_name
 GROUP BY ALL""", views=_SYMBOLS)
 def class_methods(spark, sf):
-    found = S.outline(X.code(spark, sf))
-    return S.class_methods(S.functions_of(found), S.classes_of(found)).select(
+    return S.class_methods(S.outline(X.code(spark, sf))).select(
         "change_id", "path", "class_name", "name", "start_line", "class_line")
 
 

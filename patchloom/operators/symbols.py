@@ -12,7 +12,7 @@ files: change_id, path, content.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.functions import lexical
@@ -188,11 +188,17 @@ def symbols(outline_rows: DataFrame) -> DataFrame:
         F.when(~is_import, F.col("end_line")).alias("end_line"))
 
 
-def class_methods(fns: DataFrame, cls: DataFrame) -> DataFrame:
-    """Methods attached to the first class of their class name in the file."""
-    first = cls.groupBy(*FILE, F.col("name").alias("class_name")).agg(
-        F.min("start_line").alias("class_line"))
-    return fns.filter(F.col("class_name").isNotNull()).join(first, [*FILE, "class_name"])
+def class_methods(outline_rows: DataFrame) -> DataFrame:
+    """Methods attached to the first class of their class name in the file (``class_line``). Classes
+    and methods meet under file and class name, so the outline is made once."""
+    is_class, is_function = F.col("kind") == "class", F.col("kind") == "function"
+    by_class = Window.partitionBy(*FILE, "_class")
+    met = outline_rows.filter(is_class | is_function).withColumn(
+        "_class", F.when(is_class, F.col("name")).otherwise(F.col("class_name"))).dropna(
+        subset=[*FILE, "_class"]).withColumn(
+        "class_line", F.min(F.when(is_class, F.col("start_line"))).over(by_class))
+    return met.filter(is_function & F.col("class_line").isNotNull()).select(
+        *FUNCTION_COLUMNS, F.col("start_line").alias("fn_no"), "class_line")
 
 
 def symbol_report(files: DataFrame, outline_rows: DataFrame) -> DataFrame:

@@ -225,3 +225,17 @@ def test_statements_leave_in_small_batches(spark):
                                   "change_id bigint, path string, content string").coalesce(1)
     got = sorted((r.change_id, r.start_line, r.name) for r in S.outline(files).collect())
     assert got == [(k, 2 * i + 1, f"f{k}_{i}") for k in range(300) if k % 10 < 8 for i in range(20)]
+
+
+def test_methods_meet_their_class_in_one_scan(spark):
+    code = ("class A:\n    def x(self):\n        pass\nclass A:\n    class In:\n        def y(self):\n"
+            "            pass\n    def x(self):\n        pass\ndef free():\n    pass\n")
+    files = spark.createDataFrame([(1, "a.py", code), (1, "b.py", code), (None, "c.py", code),
+                                   (2, "d.js", JS)], "change_id bigint, path string, content string")
+    met = S.class_methods(S.outline(files))
+    got = sorted((r.path, r.class_name, r.name, r.start_line, r.class_line) for r in met.collect())
+    assert got == [(p, *row) for p in ("a.py", "b.py") for row in (
+        ("A", "x", 2, 1), ("A", "x", 8, 1), ("In", "y", 6, 5))] + [
+        ("d.js", "Dog", "constructor", 16, 15), ("d.js", "Dog", "speak", 18, 15)]
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # one per family of languages
