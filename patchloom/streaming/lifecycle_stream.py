@@ -8,7 +8,8 @@ returning issue is not posted again and keeps its badge.
 
 State rows lie in a fixed number of buckets of changes. A micro-batch stages its runs, reads the
 buckets of its own changes, sorts runs into fresh and late ones, and appends one delta to each bucket
-with fresh runs; a bucket with many deltas gets a merged base in the delta's place. Then it writes
+with fresh runs; a bucket with many deltas gets one merged from them in the delta's place, or a merged
+base once they have grown to half of it, so a row is rewritten few times. Then it writes
 the manifest, one row per bucket with its base and deltas, which is the commit; what no recent manifest
 names is removed. So a batch costs what its buckets hold, however many batches came before. Values
 merge by min or max and folders are named by the batch id, so repeating a batch overwrites it and
@@ -32,6 +33,7 @@ STATE_SCHEMA = IDS_SCHEMA + ", last_revision bigint"  # comment_id is null in a
 MANIFEST_SCHEMA = "bucket int, base bigint, deltas array<bigint>"
 BUCKETS = 64
 COMPACT_EVERY = 20
+LIGHT_DELTAS = 2    # deltas are merged among themselves until twice their size reaches the base's
 KEPT_MANIFESTS = 2  # a batch may be repeated, which reads the one before
 
 
@@ -86,7 +88,7 @@ def history(runs: DataFrame) -> DataFrame:
 
 
 class StateTable:
-    """The state's folders: ``input``, ``state`` and ``late`` rows by batch, and the manifests.
+    """The state's folders: ``input``, ``staged``, ``state`` and ``late`` rows by batch, and the manifests.
     ``buckets`` is the table's for good: the same value must be given each time."""
 
     def __init__(self, spark: SparkSession, folder: str, compact_every: int = COMPACT_EVERY,
@@ -162,6 +164,13 @@ class StateTable:
             return self.spark.createDataFrame([], RUN_SCHEMA)
         return self.spark.read.schema(RUN_SCHEMA).parquet(*paths)
 
+    def _is_light(self, bucket: int, base: int | None, deltas: list[int]) -> bool:
+        """Whether a bucket's deltas are far smaller than its base, which then need not be rewritten."""
+        def size(batch):
+            files, at = self._files(f"{self.folder}/state/batch={batch}/bucket={bucket}")
+            return files.getContentSummary(at).getLength()
+        return base is not None and LIGHT_DELTAS * sum(map(size, deltas)) < size(base)
+
     # --- a micro-batch ---
 
     def _bucket(self) -> Column:
@@ -169,15 +178,18 @@ class StateTable:
 
     def apply(self, runs: DataFrame, batch_id: int) -> None:
         """One micro-batch."""
-        runs = self._write(runs.select("change_id", "revision", "comment_id").distinct(), "input", batch_id)
+        # As it comes: a stream's own plans are not adaptive, so nothing is shuffled before this.
+        runs = self._write(runs.select("change_id", "revision", "comment_id"), "input", batch_id)
         buckets_of = lambda df: {r["bucket"] for r in df.select(self._bucket()).distinct().collect()}
         known = self.manifest(batch_id)
         mine = self._state(known, buckets_of(runs))
-        staged = stage_runs(runs, self._last(mine))
+        # Written, as the rows of fresh runs are read many times below.
+        staged = self._write(stage_runs(runs, self._last(mine)), "staged", batch_id)
         self._write(staged.filter("late").drop("late"), "late", batch_id)
         fresh = staged.filter(~F.col("late")).drop("late")
         touched = buckets_of(fresh)
-        ids = self._ids(mine).join(fresh.select("change_id").distinct(), "change_id", "left_semi")
+        # Of the buckets' rows only those of the batch's own changes go on.
+        ids = self._ids(mine.join(fresh.select("change_id").distinct(), "change_id", "left_semi"))
         none = F.lit(None)
         delta = apply_fresh(ids, fresh).withColumn("last_revision", none.cast("bigint")).unionByName(
             fresh.groupBy("change_id").agg(F.max("revision").alias("last_revision")).select(
@@ -185,8 +197,9 @@ class StateTable:
                 none.cast("bigint").alias("posted_revision"),
                 none.cast("bigint").alias("resolved_revision"), "last_revision"))
         full = {b for b in touched if len(known.get(b, (None, []))[1]) >= self.compact_every}
+        light = {b for b in full if self._is_light(b, *known[b])}
         if full:
-            old = self._state(known, full)
+            old = self._state({b: (None if b in light else known[b][0], known[b][1]) for b in full})
             in_full = self._bucket().isin(*full)
             merged = delta.filter(in_full).unionByName(old).groupBy("change_id", "comment_id").agg(
                 F.min("posted_revision").alias("posted_revision"),
@@ -197,7 +210,8 @@ class StateTable:
         now = dict(known)
         for b in touched:
             base, deltas = known.get(b, (None, []))
-            now[b] = (batch_id, []) if b in full else (base, deltas + [batch_id])
+            now[b] = ((base, [batch_id]) if b in light else (batch_id, []) if b in full
+                      else (base, deltas + [batch_id]))
         self._write(self.spark.createDataFrame(
             [(b, base, deltas) for b, (base, deltas) in sorted(now.items())], MANIFEST_SCHEMA).coalesce(1),
             "manifest", batch_id)
@@ -210,9 +224,10 @@ class StateTable:
         for b in manifests:
             if b not in kept:
                 self._remove("manifest", b)
-        for b in self._batches("input"):
-            if b < batch_id:
-                self._remove("input", b)
+        for kind in ("input", "staged"):
+            for b in self._batches(kind):
+                if b < batch_id:
+                    self._remove(kind, b)
         named = {k for m in kept for base, deltas in self.manifest(m + 1).values()
                  for k in (base, *deltas)}
         for b in self._batches("state"):

@@ -165,3 +165,25 @@ def test_lifecycle_state_is_read_by_bucket_and_cleaned(spark, tmp_path):
     assert len({f.split("bucket=")[1].split("/")[0] for f in some.inputFiles()}) == 1
     assert {r.change_id: r.last_revision for r in table.last().collect()} == {
         c: max(r for x, r, _ in runs if x == c) for c, _, _ in runs}
+
+
+def test_lifecycle_base_is_rewritten_only_when_deltas_have_grown(spark, tmp_path):
+    as_df = lambda rows: spark.createDataFrame(
+        [(c, r, i) for c, r, found in rows for i in (None, *found)], S.RUN_SCHEMA)
+    table, runs, bases = S.StateTable(spark, str(tmp_path), compact_every=1, buckets=1), [], []
+    for batch in range(6):
+        n = 3000 if batch == 1 else 1
+        mine = [(int(n > 1), 10 * batch + 1, [f"id{batch}-{i}" for i in range(n)])]
+        runs += mine
+        if batch == 2:
+            mine += [(0, 1, ["late"])]
+        table.apply(as_df(mine + mine), batch)
+        (base, deltas), = table.manifest().values()
+        bases.append(base)
+        assert len(deltas) <= 1
+    # The large batch made the base; the small ones after it are merged among themselves.
+    assert bases == [None, 1, 1, 1, 1, 1]
+    assert {(r.change_id, r.comment_id): (r.posted_revision, r.resolved_revision)
+            for r in table.ids().collect()} == lifecycle(runs)
+    assert [r.comment_id for r in table.late().collect() if r.comment_id] == ["late"]
+    assert len(table._batches("staged")) == 1 and len(table._batches("state")) <= 4
