@@ -98,3 +98,43 @@ def test_components(spark):
     assert {got[i] for i in range(100, 161)} == {100} and {got[i] for i in (1, 5, 9)} == {1}
     assert {got[i] for i in range(500, 540)} == {500} and 3 not in got
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_components_of_few_links_take_few_tasks(spark):
+    """Rounds over a short chain came to thousands of tasks when many partitions were shuffled to."""
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in held}
+    sc = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few-links", "")
+        links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
+        assert {(r.node, r.component) for r in components(links).collect()} == {
+            (i, 0) for i in range(41)}
+        seen = sc.statusTracker()
+        stages = {s for j in seen.getJobIdsForGroup("few-links") for s in seen.getJobInfo(j).stageIds}
+        assert 0 < sum(seen.getStageInfo(s).numTasks for s in stages if seen.getStageInfo(s)) < 100
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_components_with_more_links_than_a_task_takes(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [
+        (i, i + 1) for i in range(1000, 1040)] + [(None, 1), (2, None)]
+    table = spark.createDataFrame(links + links[:50], "a bigint, b bigint")
+    got = lambda: sorted((r.node, r.component) for r in components(table).collect())
+    whole = got()
+    root = {n: n for a, b in links if a != b and a is not None and b is not None for n in (a, b)}
+    for _ in root:
+        for a, b in links:
+            if a in root and b in root:
+                root[a] = root[b] = min(root[a], root[b])
+    assert whole == sorted(root.items())
+    # 0: rounds to the end; 150: rounds first, then one task.
+    for most in (0, 150):
+        monkeypatch.setattr("patchloom.llm.components.LINKS_PER_TASK", most)
+        assert got() == whole
