@@ -110,9 +110,11 @@ def top_k(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, scale: i
         F.min("v").alias("v")))
     c_blocks, n_c = blocks(rows, per_block, "c")
     q_blocks, _ = blocks(queries, QUERIES_PER_BLOCK, "q")
+    # Estimates do not see that each query block leaves n_c times, so by size this side would be
+    # broadcast, all of its copies through the driver.
     met = q_blocks.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)))).select(
-        "c", *[F.col(x).alias(f"q_{x}") for x in ("ids", "at", "starts", "weights")]).join(
-        c_blocks, "c")
+        "c", *[F.col(x).alias(f"q_{x}") for x in ("ids", "at", "starts", "weights")]).hint(
+        "merge").join(c_blocks, "c")
     kinds = {"ids": "<i8", "at": "<i4", "starts": "<i8", "weights": "<i8"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

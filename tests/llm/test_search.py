@@ -43,3 +43,11 @@ def test_small_tables(spark):
     assert top_k(spark.createDataFrame([(0, [1.0], 0)], SCHEMA)).count() == 0
     two = spark.createDataFrame([(0, [1.0], 0), (3, [-1.0], 0)], SCHEMA)
     assert [tuple(r) for r in top_k(two).collect()] == [(0, 1, 3, -65536)]
+
+
+def test_copies_of_query_blocks_do_not_pass_the_driver(spark):
+    rows = [(i, [float(i % 7), float(i % 11)], 0) for i in range(200)]
+    top = top_k(spark.createDataFrame(rows, SCHEMA), per_block=10)
+    assert len(top.collect()) == 20
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
