@@ -65,6 +65,7 @@ def blocks(rows: DataFrame, per_block: int, number: str) -> tuple[DataFrame, int
 def scores(q: dict, c: dict, lo: int, hi: int) -> np.ndarray:
     """Dense scores of queries lo..hi against a candidate block, one dimension after another."""
     out = np.zeros((hi - lo, len(c["ids"])), np.int64)
+    line, part = np.empty((2, out.shape[1]), np.int64)
     for d in range(min(len(q["starts"]), len(c["starts"])) - 1):
         who = slice(q["starts"][d], q["starts"][d + 1])
         at, weight = q["at"][who], q["weights"][who]
@@ -74,10 +75,14 @@ def scores(q: dict, c: dict, lo: int, hi: int) -> np.ndarray:
         where = slice(c["starts"][d], c["starts"][d + 1])
         cells = c["at"][where]
         # Each row occurs once per dimension, so a fancy-indexed sum loses nothing.
-        if len(cells) == out.shape[1]:
-            out[at[mine] - lo] += weight[mine][:, None] * c["weights"][where][None, :]
-        else:
+        if 4 * len(cells) < out.shape[1]:
             out[np.ix_(at[mine] - lo, cells)] += weight[mine][:, None] * c["weights"][where][None, :]
+            continue
+        # Long postings are laid out as one line of weights that stays in the cache.
+        line[:] = 0
+        line[cells] = c["weights"][where]
+        for i, w in zip(at[mine] - lo, weight[mine]):
+            out[i] += np.multiply(line, w, out=part)
     return out
 
 

@@ -51,3 +51,13 @@ def test_copies_of_query_blocks_do_not_pass_the_driver(spark):
     assert len(top.collect()) == 20
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("filled", [0.05, 0.24, 0.5, 1.0])
+def test_scores_of_short_and_long_postings(spark, filled):
+    rng = random.Random(int(100 * filled))
+    rows = [(i, [rng.choice((-0.75, 0.5, 1.0)) if rng.random() < filled else 0.0 for _ in range(8)])
+            for i in range(150)]
+    table = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    got = top_k(table, per_block=40).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute(rows)
